@@ -72,7 +72,7 @@ DOSE = "dose AS (SELECT model, value, " + ", ".join(
 def _markdown() -> str:
     cols = GRID_TRAITS
     widths = ", ".join(
-        f"greatest({len(c) + 2}, max(length(coalesce({c}, ''))) OVER (PARTITION BY model)) AS w{j}"
+        f"CAST(greatest({len(c) + 2}, max(length(coalesce({c}, ''))) OVER (PARTITION BY model)) AS INTEGER) AS w{j}"
         for j, c in enumerate(cols))
     head = " || ".join([f"'| ' || lpad('', wi, ' ') || ' |'"] +
                        [f"' ' || rpad({lit(c)}, w{j}, ' ') || ' |'" for j, c in enumerate(cols)])
@@ -83,7 +83,7 @@ def _markdown() -> str:
     return f"""{BASE},
 {DOSE},
 mw AS (SELECT *, CAST(value AS VARCHAR) AS i,
-    greatest(2, max(length(CAST(value AS VARCHAR))) OVER (PARTITION BY model)) AS wi, {widths},
+    CAST(greatest(2, max(length(CAST(value AS VARCHAR))) OVER (PARTITION BY model)) AS INTEGER) AS wi, {widths},
     row_number() OVER (PARTITION BY model ORDER BY value) AS rn FROM dose)
 SELECT model, CAST(0 AS INTEGER) AS line_no, {head} AS line FROM mw WHERE rn = 1
 UNION ALL SELECT model, CAST(1 AS INTEGER), {align} FROM mw WHERE rn = 1
