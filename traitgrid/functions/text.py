@@ -10,10 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters Python's str.isspace() accepts (Unicode White_Space
-# plus the ASCII information separators). Written for both Java regex and RE2.
+# plus the ASCII information separators) — as a plain set for btrim/trim, and as
+# a character class valid in both Java regex and RE2.
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                       "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 PY_WHITESPACE = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-_STRIP_RE = f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$"
 
 
 def _c(col) -> Column:
@@ -21,8 +23,8 @@ def _c(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """``s.strip()``."""
-    return F.regexp_replace(_c(col), _STRIP_RE, "")
+    """``s.strip()`` — a character-set trim, no regex."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE_CHARS))
 
 
 def first_char(col) -> Column:

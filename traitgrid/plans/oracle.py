@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from traitgrid.functions.prompts import AGREEMENT_INTRO, RATING_PREFIX, RATING_SUFFIX, STATEMENT_CLOSE, STATEMENT_OPEN
 from traitgrid.functions.files import RUN_FILE_RE
-from traitgrid.functions.text import PY_WHITESPACE
+from traitgrid.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS
 from traitgrid.plans.fixtures import D6_MODELS
 from traitgrid.schemas import GRID_TRAITS, TRAITS
 
@@ -23,7 +23,7 @@ def lst(xs) -> str:
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit(f'^{PY_WHITESPACE}+|{PY_WHITESPACE}+$')}, '', 'g')"
+    return f"trim({e}, {lit(PY_WHITESPACE_CHARS)})"
 
 
 ALLOWED = "('1', '2', '3', '4', '5')"
