@@ -1,0 +1,70 @@
+import pandas as pd
+
+from traitgrid.operators.collect import batch_timing, collect_responses, resolve_attempts
+
+
+def _attempts(spark, replies):
+    rows = [(1, i + 1, r, 0.5) for i, r in enumerate(replies)]
+    return spark.createDataFrame(rows, "item_id long, attempt int, response_text string, elapsed_s double")
+
+
+def test_first_valid_reply_wins(spark):
+    r = resolve_attempts(_attempts(spark, ["x", "3", "4"]), ["item_id"]).first()
+    assert (r.attempt, r.rating_text, r.response_text) == (2, "3", "3")
+
+
+def test_ten_invalid_then_valid(spark):
+    r = resolve_attempts(_attempts(spark, ["no"] * 9 + ["last no", "4"]), ["item_id"]).first()
+    assert (r.attempt, r.rating_text, r.response_text, r.n_calls) == (10, "N/A", "last no", 10)
+
+
+def test_allowed_none_takes_first(spark):
+    r = resolve_attempts(_attempts(spark, ["x", "3"]), ["item_id"], allowed=None).first()
+    assert (r.attempt, r.response_text, r.rating_text) == (1, "x", "N/A")
+
+
+def test_failed_calls_do_not_count(spark):
+    rows = [(1, 1, False, None), (1, 2, True, "x"), (1, 3, False, None), (1, 4, True, "5")]
+    df = spark.createDataFrame(rows, "item_id long, call int, ok boolean, response_text string")
+    df = df.withColumn("elapsed_s", df.call * 1.0)
+    r = resolve_attempts(df, ["item_id"], ["call"]).first()
+    assert (r.attempt, r.rating_text, r.elapsed_s) == (2, "5", 4.0)
+
+
+def test_resolving_twice_is_idempotent(spark):
+    a = _attempts(spark, ["x", "7", "2", "4"])
+    once = resolve_attempts(a, ["item_id"])
+    twice = resolve_attempts(once.select("item_id", "attempt", "response_text", "elapsed_s"), ["item_id"])
+    assert once.select("response_text", "rating_text").collect() == twice.select("response_text", "rating_text").collect()
+
+
+def _flaky():
+    def ask(prompts: pd.Series, attempt: int) -> pd.Series:
+        out = []
+        for p in prompts:
+            if p == "fail-once" and attempt == 1 and not hasattr(ask, "failed"):
+                ask.failed = True
+                out.append(None)
+            elif p == "never":
+                out.append("hmm")
+            else:
+                out.append("2" if attempt >= 2 else "maybe")
+        return pd.Series(out, dtype=object)
+    return ask
+
+
+def test_collect_retries_until_valid(spark):
+    prompts = spark.createDataFrame([(1, "a"), (2, "never"), (3, "fail-once")], "item_id long, prompt string")
+    att = collect_responses(prompts, _flaky, ["item_id"], max_attempts=4).cache()
+    res = {r.item_id: r for r in resolve_attempts(att, ["item_id"], ["attempt"], max_attempts=4).collect()}
+    assert (res[1].attempt, res[1].rating_text) == (2, "2")
+    assert (res[2].attempt, res[2].rating_text, res[2].response_text) == (4, "N/A", "hmm")
+    assert (res[3].attempt, res[3].rating_text) == (2, "2")
+    assert att.filter("NOT ok").count() == 1  # the failed call is logged but not counted
+
+
+def test_batch_timing(spark):
+    df = spark.createDataFrame([(i, 0.1 * (i % 3)) for i in range(45)], "item_id long, elapsed_s double")
+    rows = sorted(batch_timing(df, [], "item_id", 20).collect())
+    assert [(r.batch, r.n_questions) for r in rows] == [(0, 20), (1, 20), (2, 5)]
+    assert rows[2].max_elapsed_s == 0.2
