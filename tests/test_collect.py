@@ -68,3 +68,30 @@ def test_batch_timing(spark):
     rows = sorted(batch_timing(df, [], "item_id", 20).collect())
     assert [(r.batch, r.n_questions) for r in rows] == [(0, 20), (1, 20), (2, 5)]
     assert rows[2].max_elapsed_s == 0.2
+
+
+def test_run_experiment_resumes(spark):
+    from pyspark.sql import functions as F
+    from traitgrid.operators.grid import persona_catalogue
+    from traitgrid.plans.experiment import run_experiment
+    from traitgrid.session import shared_path
+
+    key = spark.createDataFrame([(i, f"I do thing {i}.", "Openness" if i % 2 else "Agreeableness", 1.0 if i % 3 else -1.0)
+                                 for i in range(12)], "item_id long, question string, trait string, weight double")
+    personas = persona_catalogue(spark, ["Openness", "Agreeableness"], values=[1, 9])
+
+    def factory():
+        def ask(prompts, attempt):
+            return prompts.map(lambda p: "5" if "score 9" in p else ("maybe" if attempt == 1 else "1"))
+        return ask
+
+    root = shared_path(spark, "exp")
+    paths = run_experiment(spark, key, personas, ["m1"], ["Openness", "Agreeableness"], root, factory, max_attempts=3)
+    scores = {(r.trait, r.value): r for r in spark.read.parquet(paths["scores"]).collect()}
+    assert len(scores) == 4
+    assert scores[("Openness", 9)].n_valid == 6 and scores[("Openness", 1)].n_valid == 6
+    n_att = spark.read.parquet(paths["attempts"]).count()
+    assert n_att == 12 * 1 + 12 * 2  # value 9 answers at once, value 1 needs a second attempt
+    run_experiment(spark, key, personas, ["m1"], ["Openness", "Agreeableness"], root, factory, max_attempts=3)
+    assert spark.read.parquet(paths["attempts"]).count() == n_att  # nothing re-asked
+    assert spark.read.parquet(paths["responses"]).count() == 24

@@ -70,6 +70,8 @@ def _run_na(traits: list[str]) -> Column:
 
 def scores_from_moments(moments: DataFrame, run_cols: list[str], traits: list[str] = TRAITS) -> DataFrame:
     """Wide moments → long scores, one row per (run, trait)."""
+    if "trait" in run_cols:
+        raise ValueError("a run column named 'trait' clashes with the scored trait; rename it (e.g. cell_trait)")
     per_trait = F.array(*[
         F.struct(F.lit(t).alias("trait"),
                  F.col(f"n_keyed_{i}").alias("n_keyed"),
