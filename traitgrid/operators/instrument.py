@@ -30,9 +30,14 @@ def key_long(wide: DataFrame, traits: list[str] = TRAITS, keyed_only: bool = Fal
 
 def key_wide(long: DataFrame, traits: list[str] = TRAITS,
              id_cols: tuple[str, ...] = ("item_id", "question")) -> DataFrame:
-    """Long key → one-hot signed wide key; absent (item, trait) pairs get 0."""
-    wide = long.groupBy(*id_cols).pivot("trait", traits).agg(F.first("weight"))
-    return wide.fillna(0.0, subset=traits)
+    """Long key → one-hot signed wide key; absent (item, trait) pairs get 0.
+
+    A pivot over the explicit trait list written as one conditional aggregate
+    (partial + final), not Spark's two-level pivot. An item listing the same
+    trait twice keeps the larger weight."""
+    w = F.col("weight").cast("double")
+    return long.groupBy(*id_cols).agg(
+        *[F.coalesce(F.max(F.when(F.col("trait") == t, w)), F.lit(0.0)).alias(t) for t in traits])
 
 
 def keyed_items(long: DataFrame, traits: list[str] | None = None, sign: float | None = None) -> DataFrame:

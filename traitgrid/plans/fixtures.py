@@ -65,28 +65,28 @@ def d4_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _pick(["E", "A", "C", "N", "O"], k % 5)
     item = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
     items = p.select(
-        (k / 500).cast("long").alias("file_id"),
-        (k / 50).cast("long").alias("chunk"),
+        F.expr("p_partkey div 500").alias("file_id"),
+        F.expr("p_partkey div 50").alias("chunk"),
         (k % 5).cast("int").alias("t"),
         code.alias("code"),
         (k % 2 == 0).alias("plus"),
         k.alias("k"), item.alias("item"))
-    # one row per block; ≤ 5 items each
-    blocks = items.groupBy("file_id", "chunk", "t", "code", "plus").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda s: s["item"]),
-                     "\n \t").alias("body"))
-    blocks = blocks.withColumn(
-        "block", F.concat(F.when(F.col("plus"), F.lit("+ keyed\t")).otherwise(F.lit("– keyed\t")), "body"))
-    facets = blocks.groupBy("file_id", "chunk", "t", "code").agg(
-        F.max(F.when(F.col("plus"), F.col("block"))).alias("plus_block"),
-        F.max(F.when(~F.col("plus"), F.col("block"))).alias("minus_block"))
+
+    def block(arr, plus: bool, marker: str):
+        lines = F.transform(F.filter(arr, lambda x: x["plus"] if plus else ~x["plus"]), lambda x: x["item"])
+        return F.when(F.size(lines) > 0, F.concat(F.lit(marker), F.array_join(lines, "\n \t")))
+
+    # one row per facet (≤ 10 items)
+    facets = items.groupBy("file_id", "chunk", "t", "code").agg(
+        F.array_sort(F.collect_list(F.struct("k", "plus", "item"))).alias("arr"))
     alpha = F.concat(F.lit(".8"), (F.col("chunk") % 10).cast("string"))
     header = F.concat(F.col("code"), F.col("chunk").cast("string"), F.lit(": FACET "), F.col("chunk").cast("string"),
                       F.when(F.col("chunk") % 10 == 0, F.concat(F.lit(" (Alpha = "), alpha, F.lit(")")))
                       .otherwise(F.concat(F.lit(" ("), alpha, F.lit(")"))))
-    facet_text = F.concat_ws("\n\n", F.concat(header, F.lit("\n"), F.col("plus_block")), F.col("minus_block"))
+    facet_text = F.concat_ws("\n\n", F.concat(header, F.lit("\n"), block("arr", True, "+ keyed\t")),
+                             block("arr", False, "– keyed\t"))
     facets = facets.select("file_id", "chunk", "t", facet_text.alias("facet_text"))
-    # one row per text; ≤ 50 facets each
+    # one row per text (≤ 50 facets)
     return facets.groupBy("file_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "t", "facet_text"))),
                                  lambda s: s["facet_text"]), "\n\n").alias("text"))
