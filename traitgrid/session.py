@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark 4 captures a Python call site (extra JVM round trips) for every
+    # Column call; plans here are built from hundreds of Column calls.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
