@@ -100,12 +100,13 @@ def d5_personas(spark: SparkSession, sf_dir: str | None = None, traits: list[str
 
 def d6_run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score-card files named like the local runner's output; level = value."""
+    from traitgrid.functions.files import run_file_name
     ev = table(spark, sf_dir, "events")
     e = F.col("event_id")
-    model = _pick(D6_MODELS, e % len(D6_MODELS))
+    hub_path = F.concat(F.lit("org/"), _pick(D6_MODELS, e % len(D6_MODELS)))
     trait = F.when(e % 2 == 0, F.lit("")).otherwise(F.lit("Neuroticism"))
-    sec = F.lpad((e % 60).cast("string"), 2, "0")
-    name = F.concat(model, F.lit("_"), trait, F.lit("_20250101_1200"), sec, F.lit(".json"))
+    ts = F.make_timestamp_ntz(F.lit(2025), F.lit(1), F.lit(1), F.lit(12), F.lit(0), (e % 60).cast("int"))
+    name = run_file_name(hub_path, trait, ts)
     return ev.select(e.alias("event_id"), name.alias("file_name"), F.col("value").alias("level"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from traitgrid.functions.prompts import AGREEMENT_INTRO, RATING_PREFIX, RATING_SUFFIX, STATEMENT_CLOSE, STATEMENT_OPEN
 from traitgrid.functions.files import RUN_FILE_RE
 from traitgrid.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS
+from traitgrid.operators.grid import QUALIFIERS
 from traitgrid.plans.fixtures import D6_MODELS
 from traitgrid.schemas import GRID_TRAITS, TRAITS
 
@@ -146,16 +147,19 @@ SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY block_no,
 FROM l1"""
 
 
-PERSONAS = """pe AS (SELECT t.trait, CAST(v.value AS INTEGER) AS value,
+PERSONAS = f"""pe AS (SELECT t.trait, CAST(v.value AS INTEGER) AS value,
+    CASE v.value {' '.join(f'WHEN {k} THEN {lit(q[0])}' for k, q in QUALIFIERS.items())} END AS qualifier_type,
+    CASE v.value {' '.join(f'WHEN {k} THEN {lit(q[1])}' for k, q in QUALIFIERS.items())} END AS qualifier,
     'You score ' || CAST(v.value AS VARCHAR) || ' on ' || t.trait || '. ' AS description
   FROM tl t, (SELECT unnest(range(1, 10)) AS value) v)"""
 
 
-def _grid(models: list[str]) -> str:
+def _grid(models: list[str], traits: list[str] | None = None) -> str:
+    only = "" if traits is None else f" AND d2.trait IN ({', '.join(lit(t) for t in traits)})"
     return f"""grid AS (SELECT m.model, d2.trait, pe.value, CAST(0 AS INTEGER) AS repetition, d2.item_id, d2.question,
     pe.description || {lit(RATING_PREFIX)} || d2.question || {lit(RATING_SUFFIX)} AS prompt
   FROM d2 JOIN pe ON d2.trait = pe.trait, (SELECT unnest({lst(models)}) AS model) m
-  WHERE d2.weight <> 0 AND NOT isnan(d2.weight))"""
+  WHERE d2.weight <> 0 AND NOT isnan(d2.weight){only})"""
 
 
 CELLS = f"""cells AS (SELECT m.model, t.trait, CAST(v.value AS INTEGER) AS value
@@ -230,23 +234,54 @@ rw2 AS (SELECT *, CAST(1.0 AS DOUBLE) * rating_reward + CAST(0.2 AS DOUBLE) * fo
 IDS7 = "prompt_id, line_no, part_id, supp_id"
 
 
-def _collect() -> str:
+def _collect_ctes(traits: list[str] | None = None) -> str:
     return f"""WITH {D2},
 {TRAIT_LIST},
 {PERSONAS},
-{_grid(['A'])},
+{_grid(['A'], traits)},
 a AS (SELECT g.*, t.attempt,
     CASE WHEN length(prompt) % 13 = 0 THEN 'no idea'
       ELSE 'I would say ' || CAST((length(prompt) + 3 * t.attempt) % 7 AS VARCHAR) END AS response_text
   FROM grid g, (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS attempt) t),
 a2 AS (SELECT *, {_number('response_text')} AS number FROM a),
 f AS (SELECT model, trait, value, repetition, item_id,
-    min(attempt) FILTER (WHERE number IN {ALLOWED}) AS first_ok FROM a2 GROUP BY ALL)
-SELECT a2.model, a2.trait, a2.value, a2.repetition, a2.item_id, CAST(coalesce(f.first_ok, 10) AS INTEGER) AS attempt,
-  CAST(coalesce(f.first_ok, 10) AS INTEGER) AS n_calls, a2.response_text,
-  CASE WHEN f.first_ok IS NOT NULL THEN a2.number ELSE 'N/A' END AS rating_text
-FROM a2 JOIN f USING (model, trait, value, repetition, item_id)
-WHERE a2.attempt = coalesce(f.first_ok, 10)"""
+    min(attempt) FILTER (WHERE number IN {ALLOWED}) AS first_ok FROM a2 GROUP BY ALL),
+resolved AS (SELECT a2.model, a2.trait, a2.value, a2.repetition, a2.item_id,
+  CAST(coalesce(f.first_ok, 10) AS INTEGER) AS attempt, CAST(coalesce(f.first_ok, 10) AS INTEGER) AS n_calls,
+  a2.response_text, CASE WHEN f.first_ok IS NOT NULL THEN a2.number ELSE 'N/A' END AS rating_text
+  FROM a2 JOIN f USING (model, trait, value, repetition, item_id)
+  WHERE a2.attempt = coalesce(f.first_ok, 10))"""
+
+
+def _collect() -> str:
+    return _collect_ctes() + "\nSELECT * FROM resolved"
+
+
+def _experiment() -> str:
+    return _collect_ctes(GRID_TRAITS) + f""",
+ex AS (SELECT r.model, r.trait, r.value, r.repetition,
+    CASE WHEN r.rating_text IN {ALLOWED} THEN
+      CASE WHEN d2.weight = -1 THEN 6 - CAST(r.rating_text AS INTEGER) ELSE CAST(r.rating_text AS INTEGER) END
+    END AS x
+  FROM resolved r JOIN d2 ON r.item_id = d2.item_id AND r.trait = d2.trait WHERE d2.weight <> 0),
+em AS (SELECT model, trait, value, repetition, count(*) AS n_keyed, count(x) AS n_valid,
+    CAST(sum(x) AS BIGINT) AS s1, CAST(sum(x * x) AS BIGINT) AS s2 FROM ex GROUP BY ALL)
+SELECT model, trait, value, repetition, n_keyed, n_valid, CAST(n_keyed - n_valid AS BIGINT) AS n_na,
+  round_even(CAST(s1 AS DOUBLE) / n_valid * 100, 0) / 100 AS mean,
+  round_even(sqrt(CAST(CAST(n_valid AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * s1 AS DOUBLE)) / n_valid * 100, 0) / 100 AS std
+FROM em"""
+
+
+def _local_prompts() -> str:
+    tmpl = f"{lit(AGREEMENT_INTRO)} || {lit(STATEMENT_OPEN)} || question || {lit(STATEMENT_CLOSE)}"
+    persona = ("(SELECT description FROM pe WHERE trait = 'Neuroticism' AND qualifier_type = 'high' "
+               "AND qualifier = 'extremely' ORDER BY value LIMIT 1)")
+    return f"""WITH {D2},
+{TRAIT_LIST},
+{PERSONAS}
+SELECT 'baseline' AS run, item_id, {tmpl} AS prompt FROM d2
+UNION ALL
+SELECT 'Neuroticism', item_id, {persona} || chr(10) || {tmpl} FROM d2"""
 
 
 SQL: dict[str, str] = {
@@ -335,7 +370,10 @@ FROM rw2 JOIN st USING (prompt_id)""",
 SELECT {IDS7}, {strip("string_split(string_split(completion, '<answer>')[-1], '</answer>')[1]")} AS xml_answer,
   CASE WHEN contains(completion, '####') THEN translate({strip("split_part(completion, '####', 2)")}, ',$', '') END AS hash_answer
 FROM d7""",
+    "local_prompts": _local_prompts(),
+    "experiment_scores": _experiment(),
     "echo_strip": f"""WITH {D7},
 e AS (SELECT *, {strip('substr(prompt || completion, length(prompt) + 1)')} AS reply FROM d7)
 SELECT {IDS7}, reply, substr({strip('reply')}, 1, 1) AS first_char FROM e""",
 }
+SQL["live_trait_scores"] = SQL["trait_scores"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from traitgrid.functions.files import cohort_of, parse_run_file
 from traitgrid.functions.models import api_model_name, provider
-from traitgrid.functions.prompts import AGREEMENT_INTRO, chat_prompt
+from traitgrid.functions.prompts import AGREEMENT_INTRO, agreement_prompt, chat_prompt
 from traitgrid.functions.ratings import digit_strings, extract_number, rating_text, rating_value
 from traitgrid.functions.rewards import format_reward, hash_answer, rating_reward, xml_answer
 from traitgrid.functions.text import first_char, strip_echo
@@ -181,6 +181,41 @@ def echo_strip(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*_D7_IDS, reply.alias("reply"), first_char(reply).alias("first_char"))
 
 
+def local_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The local runner's prompts for every item: once without a persona and once
+    with the 'high'/'extremely' Neuroticism persona (first match by value)."""
+    items = fx.d2_key(spark, sf).select("item_id", "question")
+    persona = grid.persona_prefix(fx.d5_personas(spark), "Neuroticism", "high", "extremely").scalar()
+    base = items.select(F.lit("baseline").alias("run"), "item_id", agreement_prompt("question").alias("prompt"))
+    pers = items.select(F.lit("Neuroticism").alias("run"), "item_id", agreement_prompt("question", persona).alias("prompt"))
+    return base.unionByName(pers)
+
+
+def live_trait_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming scorer run to completion over the response table landing as
+    several files; must equal the batch ``trait_scores``."""
+    from traitgrid.session import shared_path
+    from traitgrid.streaming import start_live_scores
+    resp, key = fx.d1_responses(spark, sf), fx.d2_key(spark, sf)
+    src, out = shared_path(spark, "live-src"), shared_path(spark, "live-out")
+    resp.repartition(4, "model").write.parquet(src)
+    q = start_live_scores(spark, src, resp.schema, key, RUN, out, max_files_per_trigger=1, available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("model", F.col("value").cast("int").alias("value"), "trait",
+                                          "n_keyed", "n_valid", "n_na", "mean", "std")
+
+
+def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The durable grid runner end to end (prompts → scripted replies → attempts
+    → responses → cell scores) for one model over the grid traits."""
+    from traitgrid.plans.experiment import run_experiment
+    from traitgrid.session import shared_path
+    paths = run_experiment(spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS,
+                           shared_path(spark, "experiment"), scripted_responder, max_attempts=10)
+    return spark.read.parquet(paths["scores"]).select("model", "trait", F.col("value").cast("int").alias("value"),
+                                                      "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
+
+
 def columns_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.session import shared_path
     from traitgrid.sinks.writers import write_columns_json
@@ -219,5 +254,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_advantage": group_advantage,
     "answer_extract": answer_extract,
     "echo_strip": echo_strip,
+    "local_prompts": local_prompts,
+    "live_trait_scores": live_trait_scores,
+    "experiment_scores": experiment_scores,
     "columns_json_roundtrip": columns_json_roundtrip,
 }
