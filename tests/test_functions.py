@@ -52,6 +52,9 @@ def test_rewards(spark):
     assert col_values(spark, [" 5 yes", "6", "no", "", "4", "\n3"], rating_reward) == [1.0, -1.0, -1.0, -1.0, 0.7, 0.2]
     assert col_values(spark, ["5", "05", "5 ", "5\n", "6", "0", "2"], format_reward) == [1.0, 1.0, -0.5, -0.5, -0.5, -0.5, 1.0]
     assert col_values(spark, ["5"], lambda c: format_reward(c, 0.2, -0.1)) == [0.2]
+    # Unicode decimal digits count like int() reads them; other "digits" (superscripts) do not
+    assert col_values(spark, ["٥ yes", "²", "߃"], rating_reward) == [1.0, -1.0, 0.2]
+    assert col_values(spark, ["٠٤", "²", "४"], format_reward) == [1.0, -0.5, 1.0]
 
 
 def test_answer_extractors(spark):

@@ -6,6 +6,10 @@ tabs, newlines and Unicode spaces, so stripping uses an explicit class.
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +45,22 @@ def strip_echo(response, prompt) -> Column:
 def normalize_item(col) -> Column:
     """Inventory item text → question: ``'I ' + s.strip().lower()``."""
     return F.concat(F.lit("I "), F.lower(py_strip(col)))
+
+
+@functools.lru_cache(maxsize=1)
+def decimal_digit_table() -> tuple[str, str]:
+    """(from, to) strings mapping every non-ASCII Unicode decimal digit (category
+    Nd — what Python's ``int()`` accepts) to its ASCII digit; built by rule."""
+    src, dst = [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if unicodedata.category(ch) == "Nd":
+            src.append(ch)
+            dst.append(str(unicodedata.decimal(ch)))
+    return "".join(src), "".join(dst)
+
+
+def ascii_digits(col) -> Column:
+    """Replace every Unicode decimal digit by its ASCII digit (like ``int()`` reads them)."""
+    src, dst = decimal_digit_table()
+    return F.translate(_c(col), src, dst)

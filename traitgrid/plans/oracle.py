@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from traitgrid.functions.prompts import AGREEMENT_INTRO, RATING_PREFIX, RATING_SUFFIX, STATEMENT_CLOSE, STATEMENT_OPEN
 from traitgrid.functions.files import RUN_FILE_RE
-from traitgrid.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS
+from traitgrid.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS, decimal_digit_table
 from traitgrid.operators.grid import QUALIFIERS
 from traitgrid.plans.fixtures import D6_MODELS
 from traitgrid.schemas import GRID_TRAITS, TRAITS
@@ -28,6 +28,12 @@ def strip(e: str) -> str:
 
 
 ALLOWED = "('1', '2', '3', '4', '5')"
+
+
+def ascii_digits(e: str) -> str:
+    src, dst = decimal_digit_table()
+    return f"translate({e}, {lit(src)}, {lit(dst)})"
+
 NL = "chr(10)"
 
 D1 = """d1 AS (SELECT l_returnflag AS model, CAST(1 + l_suppkey % 9 AS INTEGER) AS value, l_partkey AS item_id,
@@ -224,10 +230,10 @@ D7 = f"""d7 AS (SELECT l_orderkey AS prompt_id, l_linenumber AS line_no, l_partk
   FROM (SELECT *, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem))"""
 
 REWARDS = f"""rw AS (SELECT *,
-    CASE substr({strip('completion')}, 1, 1) WHEN '5' THEN CAST(1.0 AS DOUBLE) WHEN '4' THEN CAST(0.7 AS DOUBLE)
+    CASE {ascii_digits(f"substr({strip('completion')}, 1, 1)")} WHEN '5' THEN CAST(1.0 AS DOUBLE) WHEN '4' THEN CAST(0.7 AS DOUBLE)
       WHEN '3' THEN CAST(0.2 AS DOUBLE) WHEN '2' THEN CAST(0.0 AS DOUBLE) WHEN '1' THEN CAST(-0.5 AS DOUBLE)
       ELSE CAST(-1.0 AS DOUBLE) END AS rating_reward,
-    CASE WHEN coalesce(regexp_full_match(completion, '0*[1-5]'), false) THEN CAST(1.0 AS DOUBLE)
+    CASE WHEN coalesce(regexp_full_match({ascii_digits('completion')}, '0*[1-5]'), false) THEN CAST(1.0 AS DOUBLE)
       ELSE CAST(-0.5 AS DOUBLE) END AS format_reward FROM d7),
 rw2 AS (SELECT *, CAST(1.0 AS DOUBLE) * rating_reward + CAST(0.2 AS DOUBLE) * format_reward AS reward FROM rw)"""
 

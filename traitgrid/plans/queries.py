@@ -198,7 +198,7 @@ def live_trait_scores(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.streaming import start_live_scores
     resp, key = fx.d1_responses(spark, sf), fx.d2_key(spark, sf)
     src, out = shared_path(spark, "live-src"), shared_path(spark, "live-out")
-    resp.repartition(4, "model").write.parquet(src)
+    resp.repartition(2, "model").write.parquet(src)
     q = start_live_scores(spark, src, resp.schema, key, RUN, out, max_files_per_trigger=1, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("model", F.col("value").cast("int").alias("value"), "trait",

@@ -14,7 +14,10 @@ from traitgrid.operators.grid import CELL
 
 
 def write_cells(responses: DataFrame, path: str, cell_cols: list[str] = CELL, fmt: str = "parquet") -> None:
-    (responses.sortWithinPartitions(*cell_cols).write.mode("overwrite")
+    """Cell-partitioned write. The ``rebalance`` hint shuffles rows by cell and
+    lets AQE coalesce small partitions and split skewed ones, so a cell lands in
+    few files without one task having to write a huge cell alone."""
+    (responses.hint("rebalance", *cell_cols).sortWithinPartitions(*cell_cols).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*cell_cols).format(fmt).save(path))
 
 
