@@ -25,7 +25,9 @@ def format_reward(completion, hit: float = 1.0, miss: float = -0.5, lo: int = 1,
     and its value is in lo..hi (leading zeros allowed), else ``miss``."""
     assert 0 <= lo <= hi <= 9, "single-digit scales only"
     pattern = rf"\A0*[{lo}-{hi}]\z" if lo > 0 else rf"\A0*[{lo}-{hi}]\z|\A0+\z"
-    ok = F.coalesce(ascii_digits(completion).rlike(pattern), F.lit(False))
+    c = _c(completion)
+    # the translate only runs for all-digit completions with non-ASCII digits
+    ok = F.coalesce(c.rlike(pattern) | (c.rlike(r"\A\p{Nd}+\z") & ascii_digits(c).rlike(pattern)), F.lit(False))
     return F.when(ok, F.lit(float(hit))).otherwise(F.lit(float(miss)))
 
 
