@@ -50,3 +50,11 @@ def test_attempt_resolution_limits_before_shuffle(plans):
 
 def test_split_uses_top_k(plans):
     assert "TakeOrderedAndProject" in plans["train_eval_split"]
+
+
+def test_results_unchanged_under_scale_settings(spark):
+    from traitgrid.plans.queries import resolve_attempts, trait_scores
+    from traitgrid.session import tune_for_scale
+    tuned = tune_for_scale(spark.newSession(), total_cores=4)
+    for q in (trait_scores, resolve_attempts):
+        assert sorted(q(tuned, SF_SMALL).collect()) == sorted(q(spark, SF_SMALL).collect())

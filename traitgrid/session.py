@@ -27,6 +27,41 @@ DEFAULT_CONF = {
 }
 
 
+# Runtime SQL settings for a large cluster (all settable on a running session).
+# Shuffle partitions start high and AQE coalesces them to the advisory size;
+# skewed join and rebalance partitions are split; streaming state lives in
+# RocksDB; Arrow batches to the responder stay small so a slow model call
+# holds little memory.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+# Static settings: pass at submit time (``--conf``) or to ``build_session(extra=...)``.
+SCALE_STATIC_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.enabled": "false",
+}
+
+
+def tune_for_scale(spark: SparkSession, total_cores: int) -> SparkSession:
+    """Apply ``SCALE_CONF`` and size shuffle partitions to the cluster
+    (3 per core; AQE merges them down when stages are small)."""
+    for k, v in SCALE_CONF.items():
+        spark.conf.set(k, v)
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(200, 3 * total_cores)))
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "traitgrid", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
