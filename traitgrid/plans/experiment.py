@@ -55,7 +55,7 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
     attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
                                  num_partitions=num_partitions or spark.sparkContext.defaultParallelism)
-    write_cells(attempts, paths["attempts"])
+    write_cells(attempts, paths["attempts"], rebalance=False)  # written by the tasks that asked
 
     # resolve only the cells collected in this call, from the durable attempts table
     fresh = spark.read.parquet(paths["attempts"]).join(todo, CELL, "left_semi")

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from traitgrid.operators.grid import CELL
 
 
-def write_cells(responses: DataFrame, path: str, cell_cols: list[str] = CELL, fmt: str = "parquet") -> None:
+def write_cells(responses: DataFrame, path: str, cell_cols: list[str] = CELL, fmt: str = "parquet",
+                rebalance: bool = True) -> None:
     """Cell-partitioned write. The ``rebalance`` hint shuffles rows by cell and
     lets AQE coalesce small partitions and split skewed ones, so a cell lands in
-    few files without one task having to write a huge cell alone."""
-    (responses.hint("rebalance", *cell_cols).sortWithinPartitions(*cell_cols).write.mode("overwrite")
+    few files without one task having to write a huge cell alone. Pass
+    ``rebalance=False`` for output of a non-deterministic step (model replies):
+    it is then written by the tasks that produced it, with no shuffle whose loss
+    could force the step to run again."""
+    df = responses.hint("rebalance", *cell_cols) if rebalance else responses
+    (df.sortWithinPartitions(*cell_cols).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*cell_cols).format(fmt).save(path))
 
 
