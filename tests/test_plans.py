@@ -58,3 +58,15 @@ def test_results_unchanged_under_scale_settings(spark):
     tuned = tune_for_scale(spark.newSession(), total_cores=4)
     for q in (trait_scores, resolve_attempts):
         assert sorted(q(tuned, SF_SMALL).collect()) == sorted(q(spark, SF_SMALL).collect())
+
+
+def test_fits_guards_partition_count(spark):
+    from traitgrid.operators.joins import fits
+    small = spark.range(0, 10, 1, 1)
+    assert fits(small, 10) and not fits(small, 9)
+    assert not fits(spark.range(0, 10, 1, 20), 100, max_partitions=16)  # decided without a job
+
+
+def test_grid_broadcasts_personas(plans):
+    p = plans["prompt_grid"]
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p

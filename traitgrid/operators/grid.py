@@ -31,7 +31,7 @@ def persona_catalogue(spark: SparkSession, traits: list[str] = TRAITS, values=ra
     real catalogues come from ``sources.columns_json.read_personas``."""
     qt = F.create_map(*[x for v, (t, _) in QUALIFIERS.items() for x in (F.lit(v), F.lit(t))])
     ql = F.create_map(*[x for v, (_, q) in QUALIFIERS.items() for x in (F.lit(v), F.lit(q))])
-    base = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in traits])).alias("domain"))
+    base = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(t) for t in traits])).alias("domain"))
     base = base.select("domain", F.explode(F.array(*[F.lit(int(v)) for v in values])).alias("value"))
     return base.select(
         "domain", F.try_element_at(qt, F.col("value")).alias("qualifier_type"),
@@ -48,7 +48,7 @@ def persona_prefix(personas: DataFrame, trait: str, qualifier_type: str, qualifi
     """One row ``persona``: the first description (lowest value) of the domain
     with that qualifier type and qualifier; ``''`` for the baseline trait ``''``."""
     if trait == "":
-        return personas.sparkSession.range(1).select(F.lit("").alias("persona"))
+        return personas.sparkSession.range(0, 1, 1, 1).select(F.lit("").alias("persona"))
     hit = personas.filter((F.col("domain") == trait) & (F.col("qualifier_type") == qualifier_type)
                           & (F.col("qualifier") == qualifier))
     return hit.agg(F.min_by("description", "value").alias("persona"))
@@ -56,7 +56,7 @@ def persona_prefix(personas: DataFrame, trait: str, qualifier_type: str, qualifi
 
 def grid_cells(spark: SparkSession, models: list[str], traits: list[str], values=range(1, 10)) -> DataFrame:
     """All (model, trait, value) cells of an experiment."""
-    df = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    df = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     df = df.select("model", F.explode(F.array(*[F.lit(t) for t in traits])).alias("trait"))
     return df.select("model", "trait", F.explode(F.array(*[F.lit(int(v)) for v in values])).alias("value"))
 

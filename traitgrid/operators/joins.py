@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_PARTITIONS = 1024
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
+def fits(df: DataFrame, max_rows: int, max_partitions: int = DEFAULT_MAX_PARTITIONS) -> bool:
+    """True iff ``df`` has at most ``max_rows`` rows. A side spread over more than
+    ``max_partitions`` input splits is taken as large without running anything
+    (the partition count comes from planning), so the bounded count never fans
+    out over a huge table."""
+    if df.rdd.getNumPartitions() > max_partitions:
+        return False
     return df.limit(max_rows + 1).count() <= max_rows
 
 
