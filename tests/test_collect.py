@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
 from traitgrid.operators.collect import batch_timing, collect_responses, resolve_attempts
 
@@ -95,3 +96,18 @@ def test_run_experiment_resumes(spark):
     run_experiment(spark, key, personas, ["m1"], ["Openness", "Agreeableness"], root, factory, max_attempts=3)
     assert spark.read.parquet(paths["attempts"]).count() == n_att  # nothing re-asked
     assert spark.read.parquet(paths["responses"]).count() == 24
+
+
+def test_item_with_only_failed_calls_is_na(spark):
+    rows = [(1, 1, False, None), (1, 2, False, None), (2, 1, True, "4")]
+    df = spark.createDataFrame(rows, "item_id long, call int, ok boolean, response_text string").withColumn("elapsed_s", F.lit(1.0))
+    res = {r.item_id: r for r in resolve_attempts(df, ["item_id"], ["call"]).collect()}
+    assert (res[1].attempt, res[1].rating_text, res[1].response_text, res[1].n_calls) == (0, "N/A", None, 0)
+    assert (res[2].attempt, res[2].rating_text) == (1, "4")
+
+
+def test_failed_calls_do_not_use_up_attempts(spark):
+    rows = [(1, i, i % 2 == 0, "x" if i % 2 == 0 else None) for i in range(1, 21)] + [(1, 21, True, "3")]
+    df = spark.createDataFrame(rows, "item_id long, call int, ok boolean, response_text string").withColumn("elapsed_s", F.lit(1.0))
+    r = resolve_attempts(df, ["item_id"], ["call"], max_attempts=11).first()
+    assert (r.attempt, r.rating_text, r.n_calls) == (11, "3", 11)

@@ -93,7 +93,8 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
                      max_attempts: int = 10, scale: RatingScale = DEFAULT_SCALE,
                      allowed: list[str] | None | str = "scale") -> DataFrame:
     """Attempt log → one reply per key: the first valid one among the first
-    ``max_attempts`` successful calls; otherwise the last of them with ``'N/A'``.
+    ``max_attempts`` successful calls; otherwise the last of them with ``'N/A'``
+    (a key whose calls all failed gets ``'N/A'``, attempt 0, no text).
 
     The top-``max_attempts`` per key is a ``row_number() ≤ k`` window, which
     Spark plans as a partial WindowGroupLimit before the shuffle, so even a key
@@ -101,25 +102,26 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
     """
     order_cols = order_cols or ["attempt"]
     allowed_vals = scale.allowed if allowed == "scale" else allowed
-    df = attempts
-    if "ok" in df.columns:
-        df = df.filter(F.coalesce(F.col("ok"), F.lit(True)))
-    w = Window.partitionBy(*key_cols).orderBy(*order_cols)
+    ok = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in attempts.columns else F.lit(True)
+    df = attempts.withColumn("__ok", ok)
+    # successful calls sort first, so their row number is their attempt number and
+    # the top-k still holds the first k of them; failed calls only fill the rest
+    w = Window.partitionBy(*key_cols).orderBy(F.col("__ok").desc(), *order_cols)
     num = extract_number("response_text")
     valid = F.lit(True) if allowed_vals is None else F.coalesce(num.isin(*allowed_vals), F.lit(False))
     df = (df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max_attempts)
-          .select(*key_cols, "__n", valid.alias("__valid"),
+          .select(*key_cols, "__n", "__ok", (F.col("__ok") & valid).alias("__valid"),
                   F.struct(F.col("__n").alias("attempt"), F.col("response_text"), num.alias("number"),
                            F.col("elapsed_s")).alias("__s")))
     agg = df.groupBy(*key_cols).agg(
         F.expr("min_by(__s, __n) FILTER (WHERE __valid)").alias("__first"),
-        F.max_by("__s", "__n").alias("__last"),
-        F.count(F.lit(1)).alias("n_calls"))
+        F.expr("max_by(__s, __n) FILTER (WHERE __ok)").alias("__last"),
+        F.expr("count(*) FILTER (WHERE __ok)").alias("n_calls"))
     hit = F.col("__first").isNotNull()
     pick = F.when(hit, F.col("__first")).otherwise(F.col("__last"))
     return agg.select(
         *key_cols,
-        pick["attempt"].cast("int").alias("attempt"),
+        F.coalesce(pick["attempt"], F.lit(0)).cast("int").alias("attempt"),
         F.col("n_calls").cast("int").alias("n_calls"),
         pick["response_text"].alias("response_text"),
         F.when(hit, rating_text(F.col("__first")["number"], scale)).otherwise(F.lit("N/A")).alias("rating_text"),
