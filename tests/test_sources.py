@@ -92,3 +92,25 @@ def test_markdown_and_card_writers(spark):
     cp = shared_path(spark, "card")
     write_score_card(card, cp)
     assert "N/A" in spark.read.json(cp).columns
+
+
+def test_result_tree_reference_layout(spark):
+    from traitgrid.operators.scoring import cell_scores
+    from traitgrid.sources.columns_json import read_result_tree
+    d = tempfile.mkdtemp(prefix="tg-tree-")
+    for model in ["m1", "m2"]:
+        os.makedirs(f"{d}/{model}")
+        for v, ratings in [(1, [5, 4]), (9, [1, "N/A"])]:
+            _write(f"{d}/{model}/Openness_{v}.json", {
+                "question": {"3": "I a.", "7": "I b."}, "Openness": {"3": "1.0", "7": "-1.0"},
+                "Extraversion": {"3": "0.0", "7": "0.0"},
+                "responses": {"3": "x", "7": "y"}, "numbers_extracted": {"3": ratings[0], "7": ratings[1]},
+                "elapsed_times": {"3": 0.1, "7": 0.2}})
+    tree = read_result_tree(spark, d, ["Extraversion", "Openness"])
+    assert sorted({(r.model, r.trait, r.value) for r in tree.collect()}) == [
+        ("m1", "Openness", 1), ("m1", "Openness", 9), ("m2", "Openness", 1), ("m2", "Openness", 9)]
+    s = {(r.model, r.value): r for r in cell_scores(tree, None, ("model", "trait", "value"),
+                                                       ["Extraversion", "Openness"]).collect()}
+    assert (s[("m1", 1)].mean, s[("m1", 1)].std) == (3.5, 1.5)   # 5 and 6-4=2
+    assert (s[("m2", 9)].n_valid, s[("m2", 9)].n_na, s[("m2", 9)].mean) == (1, 1, 1.0)
+    assert len(s) == 4  # only the cell's own trait is scored

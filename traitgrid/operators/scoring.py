@@ -30,18 +30,24 @@ def _wide_key(key: DataFrame, traits: list[str], item_col: str, max_rows: int) -
     return F.broadcast(key) if small else key
 
 
-def run_moments(responses: DataFrame, key: DataFrame, run_cols: list[str],
+def run_moments(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
                 traits: list[str] = TRAITS, scale: RatingScale = DEFAULT_SCALE,
                 item_col: str = "item_id", rating_col: str = "rating_text",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Per run: ``n_rows`` and, per trait i, ``n_keyed_i, n_valid_i, s1_i, s2_i``.
 
     ``key`` may be long (item, trait, weight) or wide (one column per trait).
-    A response whose item is not in the key still counts in ``n_rows``.
+    A response whose item is not in the key still counts in ``n_rows``. With
+    ``key=None`` the responses carry their own weight columns (one per trait,
+    as response files do) and no join is needed.
     """
-    k = _wide_key(key, traits, item_col, max_broadcast_rows)
-    r = responses.select(*run_cols, item_col, rating_value(rating_col, scale).alias("__r"))
-    j = r.join(k, item_col, "left")
+    if key is None:
+        j = responses.select(*run_cols, rating_value(rating_col, scale).alias("__r"),
+                             *[F.col(t).try_cast("double").alias(f"__w{i}") for i, t in enumerate(traits)])
+    else:
+        k = _wide_key(key, traits, item_col, max_broadcast_rows)
+        r = responses.select(*run_cols, item_col, rating_value(rating_col, scale).alias("__r"))
+        j = r.join(k, item_col, "left")
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i in range(len(traits)):
         w = F.col(f"__w{i}")
@@ -91,7 +97,7 @@ def scores_from_moments(moments: DataFrame, run_cols: list[str], traits: list[st
     )
 
 
-def trait_scores(responses: DataFrame, key: DataFrame, run_cols: list[str],
+def trait_scores(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
                  traits: list[str] = TRAITS, scale: RatingScale = DEFAULT_SCALE, **kw) -> DataFrame:
     """Long score table: per (run, trait) ``n_keyed, n_valid, n_na, mean, std``
     (mean/std rounded half-even to 2 places; null without a valid rating), with
@@ -99,7 +105,7 @@ def trait_scores(responses: DataFrame, key: DataFrame, run_cols: list[str],
     return scores_from_moments(run_moments(responses, key, run_cols, traits, scale, **kw), run_cols, traits)
 
 
-def score_card(responses: DataFrame, key: DataFrame, run_cols: list[str],
+def score_card(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
                traits: list[str] = TRAITS, scale: RatingScale = DEFAULT_SCALE,
                sep: str = "+-", **kw) -> DataFrame:
     """Wide score card per run: one ``"m+-s"`` / ``"N/A"`` column per trait plus
@@ -114,6 +120,16 @@ def score_card(responses: DataFrame, key: DataFrame, run_cols: list[str],
     return m.select(*run_cols, *cols, "n_rows", na.alias("n_na"), (na / F.col("n_rows")).alias("na_share"))
 
 
+def cell_scores(responses: DataFrame, key: DataFrame | None, cell_cols: tuple[str, ...] = ("model", "trait", "value"),
+                traits: list[str] = TRAITS, scale: RatingScale = DEFAULT_SCALE, **kw) -> DataFrame:
+    """Scores of grid cells, each on its own trait (the persona's domain): the
+    cell's ``trait`` column is the scored trait; other traits are dropped."""
+    runs = [("cell_trait" if c == "trait" else c) for c in cell_cols]
+    r = responses.withColumnRenamed("trait", "cell_trait")
+    s = trait_scores(r, key, runs, traits, scale, **kw)
+    return s.filter(F.col("trait") == F.col("cell_trait")).drop("cell_trait")
+
+
 def format_scores(scores: DataFrame, sep: str = "+-") -> DataFrame:
     """Add the display column ``score`` (``"m+-s"`` or ``"N/A"``) to a long score table."""
     return scores.withColumn("score", F.when(F.col("n_valid") > 0, format_score("mean", "std", sep))

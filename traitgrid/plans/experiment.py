@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from traitgrid.operators.collect import collect_responses, resolve_attempts
 from traitgrid.operators.grid import CELL, pending_cells, prompt_grid
-from traitgrid.operators.scoring import trait_scores
+from traitgrid.operators.scoring import cell_scores
 from traitgrid.schemas import DEFAULT_SCALE, RatingScale
 from traitgrid.sinks.writers import write_cells
 
@@ -62,10 +62,8 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
     resolved = resolve_attempts(fresh, IDS, ["attempt"], max_attempts, scale)
     write_cells(resolved, paths["responses"])
 
-    # a cell's own trait is the persona's domain; keep that trait's score (the other
-    # traits have no items in the cell)
-    responses = spark.read.parquet(paths["responses"]).withColumnRenamed("trait", "cell_trait")
-    scores = trait_scores(responses, key, ["model", "cell_trait", "value", "repetition"], traits, scale)
-    (scores.filter(F.col("trait") == F.col("cell_trait")).drop("cell_trait")
-     .write.mode("overwrite").parquet(paths["scores"]))
+    # a cell's own trait is the persona's domain; the other traits have no items in it
+    scores = cell_scores(spark.read.parquet(paths["responses"]), key, ("model", "trait", "value", "repetition"),
+                         traits, scale)
+    scores.write.mode("overwrite").parquet(paths["scores"])
     return paths

@@ -35,6 +35,34 @@ def d1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 as response-file rows of grid cells: each response goes to the cell of
+    its item's trait and carries the item's weight columns; the row key is
+    ``orderkey:linenumber:partkey:suppkey`` (unique) and files hold at most
+    100,000 orders."""
+    from traitgrid.operators.instrument import key_wide
+    from traitgrid.operators.joins import fits
+    li = table(spark, sf_dir, "lineitem")
+    key = d2_key(spark, sf_dir)
+    small = fits(key, 1_000_000)  # checked on the source, before the pivot
+    wide = key_wide(key)
+    keyed = key.filter(F.col("weight") != 0).select("item_id", "trait")
+    if small:
+        wide, keyed = F.broadcast(wide), F.broadcast(keyed)
+    r = li.select(
+        F.col("l_returnflag").alias("model"),
+        (F.lit(1) + F.col("l_suppkey") % 9).cast("int").alias("value"),
+        F.expr("l_orderkey div 100000").alias("chunk"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.col("l_partkey").alias("item_id"),
+        F.concat(F.lit("My answer: "), F.col("l_linenumber").cast("string")).alias("responses"),
+        F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber").cast("string")).otherwise(F.lit("N/A")).alias("numbers_extracted"),
+        (F.col("l_quantity") / 10.0).alias("elapsed_times"))
+    r = r.join(keyed, "item_id").join(wide, "item_id")
+    return r.select("model", "trait", "value", "chunk", "row_id", "question", *TRAITS,
+                    "responses", "numbers_extracted", "elapsed_times")
+
+
 def d2_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long scoring key: trait by key mod 5, unkeyed when key mod 11 = 0, else
     +1 for even and −1 for odd keys."""

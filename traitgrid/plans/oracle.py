@@ -383,3 +383,5 @@ e AS (SELECT *, {strip('substr(prompt || completion, length(prompt) + 1)')} AS r
 SELECT {IDS7}, reply, substr({strip('reply')}, 1, 1) AS first_char FROM e""",
 }
 SQL["live_trait_scores"] = SQL["trait_scores"]
+SQL["result_tree_scores"] = f"""{BASE}
+SELECT model, trait, value, n_keyed, n_valid, n_na, mean, std FROM scores WHERE n_keyed > 0"""

@@ -216,6 +216,20 @@ def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
                                                       "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
 
 
+def result_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Response files of every grid cell written as column-oriented JSON, read
+    back as one result tree and scored per cell from the files' own weights."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_columns_json
+    from traitgrid.sources.columns_json import read_result_tree
+    root = shared_path(spark, "result-tree")
+    write_columns_json(fx.d1_cell_files(spark, sf), root, index_col="row_id",
+                       chunk_cols=["model", "trait", "value", "chunk"])
+    tree = read_result_tree(spark, root, index_type="string")
+    s = scoring.cell_scores(tree, None, ("model", "trait", "value"))
+    return s.select("model", "trait", "value", "n_keyed", "n_valid", "n_na", "mean", "std")
+
+
 def columns_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.session import shared_path
     from traitgrid.sinks.writers import write_columns_json
@@ -257,5 +271,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "local_prompts": local_prompts,
     "live_trait_scores": live_trait_scores,
     "experiment_scores": experiment_scores,
+    "result_tree_scores": result_tree_scores,
     "columns_json_roundtrip": columns_json_roundtrip,
 }

@@ -31,18 +31,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file: int = 1000,
-                       chunk_col: str | None = None) -> None:
+                       chunk_cols: list[str] | None = None) -> None:
     """Column-oriented JSON export: one ``{column: {index: value}}`` object per
-    file, one file per chunk of at most ``rows_per_file`` index values (or per
-    value of ``chunk_col``, e.g. a grid cell). Chunks bound every collect."""
-    chunk = F.col(chunk_col) if chunk_col else F.floor(F.col(index_col) / rows_per_file)
-    cols = [c for c in df.columns if c not in (index_col, chunk_col)]
-    aggs = [F.map_from_entries(F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col(index_col).alias("i"), F.col(c).alias("v")))),
-                lambda x: F.struct(x["i"].cast("string"), x["v"]))).alias(c) for c in cols]
-    g = df.groupBy(chunk.alias("__chunk")).agg(*aggs)
-    out = g.select("__chunk", F.to_json(F.struct(*[F.col(c) for c in cols])).alias("value"))
-    out.write.mode("overwrite").partitionBy("__chunk").text(path)
+    file, one file per chunk of at most ``rows_per_file`` index values, or per
+    value of ``chunk_cols`` (e.g. a grid cell: ``model/trait/value``
+    directories). Chunks bound every collect."""
+    keys = [F.col(c) for c in chunk_cols] if chunk_cols else [F.floor(F.col(index_col) / rows_per_file).alias("__chunk")]
+    names = chunk_cols or ["__chunk"]
+    cols = [c for c in df.columns if c != index_col and c not in names]
+    # one bounded collect per chunk, sorted once; each column map is a view of it.
+    # The index must be unique within a file (it becomes the JSON object keys).
+    rows = F.struct(F.col(index_col).alias("__i"), *[F.col(c).alias(f"__c{j}") for j, c in enumerate(cols)])
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(rows)).alias("__rows"))
+
+    def entry(j: int):
+        return lambda x: F.struct(x["__i"].cast("string"), x[f"__c{j}"])
+    maps = [F.map_from_entries(F.transform("__rows", entry(j))).alias(c) for j, c in enumerate(cols)]
+    out = g.select(*names, F.to_json(F.struct(*maps)).alias("__json"))
+    out.write.mode("overwrite").partitionBy(*names).text(path)
 
 
 def write_score_card(card: DataFrame, path: str) -> None:

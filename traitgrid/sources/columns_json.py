@@ -1,7 +1,8 @@
 """Column-oriented JSON (``{column: {rowIndex: value}}``, one object per file).
 
 ``spark.read.json`` would infer one struct field per row index, so each file
-is read whole (``wholetext``), parsed once into a map of maps, and turned into
+is read whole (the ``binaryFile`` source, which also keeps partition
+directories such as ``value=3`` as columns), parsed once into a map of maps, and turned into
 rows with a per-file ``transform`` + ``inline`` — no row-by-row Python and no
 copy of the parsed file per output row. Files are independent, so a directory
 of many cell files is read in parallel; values arrive as text and are
@@ -17,30 +18,33 @@ from pyspark.sql import functions as F
 from traitgrid.schemas import TRAITS
 
 _MAP = "map<string, map<string, string>>"
+_BINARY_FILE_COLS = {"path", "modificationTime", "length", "content"}
 
 
 def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index_name: str = "row_index",
-                      path_glob: str | None = None, recursive: bool = False) -> DataFrame:
+                      path_glob: str | None = None, recursive: bool = False,
+                      index_type: str = "long") -> DataFrame:
     """Rows of every file under ``paths``: ``file_path, file_name, <index_name>,
     <columns…>``. ``columns`` maps JSON column name → Spark type; the row
     indices are taken from the first column."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read.format("binaryFile")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    raw = reader.text(paths if isinstance(paths, (list, tuple)) else [paths])
-    parsed = raw.select(F.col("_metadata.file_path").alias("file_path"),
+    raw = reader.load(list(paths) if isinstance(paths, (list, tuple)) else paths)
+    part_cols = [c for c in raw.columns if c not in _BINARY_FILE_COLS]  # partition directories
+    parsed = raw.select(*part_cols, F.col("_metadata.file_path").alias("file_path"),
                         F.col("_metadata.file_name").alias("file_name"),
-                        F.from_json("value", _MAP).alias("m"))
+                        F.from_json(F.decode("content", "UTF-8"), _MAP).alias("m"))
     names = list(columns)
     keys = F.map_keys(F.element_at("m", F.lit(names[0])))
 
     def row(k):
         return F.struct(k.alias("__idx"), *[F.element_at(F.element_at("m", F.lit(c)), k).alias(f"__c{j}")
                                             for j, c in enumerate(names)])
-    rows = parsed.select("file_path", "file_name", F.inline(F.transform(keys, row)))
-    return rows.select("file_path", "file_name", F.col("__idx").try_cast("long").alias(index_name),
+    rows = parsed.select(*part_cols, "file_path", "file_name", F.inline(F.transform(keys, row)))
+    return rows.select(*part_cols, "file_path", "file_name", F.col("__idx").try_cast(index_type).alias(index_name),
                        *[F.col(f"__c{j}").try_cast(t).alias(c) for j, (c, t) in enumerate(columns.items())])
 
 
@@ -59,17 +63,41 @@ def read_personas(spark: SparkSession, paths) -> DataFrame:
                      F.col("Description").alias("description"))
 
 
-def read_responses(spark: SparkSession, paths, traits: list[str] = TRAITS, recursive: bool = True) -> DataFrame:
+def read_responses(spark: SparkSession, paths, traits: list[str] = TRAITS, recursive: bool = True,
+                   path_glob: str | None = "*.json", index_type: str = "long") -> DataFrame:
     """Response files (key columns + ``responses``, ``numbers_extracted``,
     ``elapsed_times``) of any number of cells, with their file path."""
     cols = {"question": "string", **{t: "double" for t in traits},
             "responses": "string", "numbers_extracted": "string", "elapsed_times": "double"}
-    df = read_columns_json(spark, paths, cols, "item_id", path_glob="*.json", recursive=recursive)
+    df = read_columns_json(spark, paths, cols, "item_id", path_glob=path_glob, recursive=recursive,
+                           index_type=index_type)
     return (df.withColumnRenamed("responses", "response_text")
               .withColumnRenamed("numbers_extracted", "rating_text")
               .withColumnRenamed("elapsed_times", "elapsed_s"))
 
 
+# ``<root>/<model>/<trait>_<value>.json`` — one response file per grid cell.
+CELL_PATH_RE = r"([^/]+)/([^/_]+)_(\d+)\.json$"
+
+
+def read_result_tree(spark: SparkSession, root: str, traits: list[str] = TRAITS,
+                     path_glob: str | None = None, index_type: str = "long") -> DataFrame:
+    """All response files of a result tree in one read, with their cell.
+
+    Accepts the per-cell file layout ``<root>/<model>/<trait>_<value>.json``
+    (cell parsed from the path) and the partitioned layout written by
+    ``sinks.write_columns_json(..., chunk_cols=["model", "trait", "value"])``
+    (cell from partition discovery). Only cells that exist are read."""
+    df = read_responses(spark, root, traits, recursive=False, path_glob=path_glob, index_type=index_type)
+    if {"model", "trait", "value"} <= set(df.columns):  # decided from the listing, no job
+        return df.withColumn("value", F.col("value").cast("int"))
+    df = read_responses(spark, root, traits, recursive=True, path_glob=path_glob or "*.json", index_type=index_type)
+    p = F.col("file_path")
+    return df.select(F.regexp_extract(p, CELL_PATH_RE, 1).alias("model"),
+                     F.regexp_extract(p, CELL_PATH_RE, 2).alias("trait"),
+                     F.regexp_extract(p, CELL_PATH_RE, 3).try_cast("int").alias("value"), "*")
+
+
 def read_score_cards(spark: SparkSession, directory: str, traits: list[str] = TRAITS,
                      path_glob: str = "*.json") -> DataFrame:
     """All score cards of a directory (files only) in one read, with file name."""
