@@ -2,9 +2,10 @@
 
 ``spark.read.json`` would infer one struct field per row index, so each file
 is read whole (the ``binaryFile`` source, which also keeps partition
-directories such as ``value=3`` as columns), parsed once into a map of maps, and turned into
-rows with a per-file ``transform`` + ``inline`` — no row-by-row Python and no
-copy of the parsed file per output row. Files are independent, so a directory
+directories such as ``value=3`` as columns), parsed once into a map of maps,
+and turned into rows by sorting each column's entries by row index and zipping
+the columns — no row-by-row Python, no per-row map lookups (a linear scan in
+Spark), no copy of the parsed file per output row. Files are independent, so a directory
 of many cell files is read in parallel; values arrive as text and are
 ``try_cast`` to the declared types (numbers written as JSON numbers arrive as
 their text, ``"N/A"`` in a numeric column becomes null).
@@ -38,14 +39,15 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
                         F.col("_metadata.file_name").alias("file_name"),
                         F.from_json(F.decode("content", "UTF-8"), _MAP).alias("m"))
     names = list(columns)
-    keys = F.map_keys(F.element_at("m", F.lit(names[0])))
-
-    def row(k):
-        return F.struct(k.alias("__idx"), *[F.element_at(F.element_at("m", F.lit(c)), k).alias(f"__c{j}")
-                                            for j, c in enumerate(names)])
-    rows = parsed.select(*part_cols, "file_path", "file_name", F.inline(F.transform(keys, row)))
-    return rows.select(*part_cols, "file_path", "file_name", F.col("__idx").try_cast(index_type).alias(index_name),
-                       *[F.col(f"__c{j}").try_cast(t).alias(c) for j, (c, t) in enumerate(columns.items())])
+    # Each column map → its entries sorted by row index; the columns of one file
+    # share the index, so the sorted arrays line up by position (a map lookup per
+    # row would be a linear scan, quadratic per file).
+    cols = [F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))).alias(f"__e{j}") for j, c in enumerate(names)]
+    zipped = parsed.select(*part_cols, "file_path", "file_name", F.inline(F.arrays_zip(*cols)))
+    key = F.col("__e0")["key"]
+    values = [F.when(F.col(f"__e{j}")["key"] == key, F.col(f"__e{j}")["value"]).try_cast(t).alias(c)
+              for j, (c, t) in enumerate(columns.items())]
+    return zipped.select(*part_cols, "file_path", "file_name", key.try_cast(index_type).alias(index_name), *values)
 
 
 def read_key(spark: SparkSession, paths, traits: list[str] = TRAITS) -> DataFrame:
