@@ -27,6 +27,7 @@ from traitgrid.operators.collect import collect_responses, resolve_attempts
 from traitgrid.operators.grid import CELL, pending_cells, prompt_grid
 from traitgrid.operators.scoring import cell_scores
 from traitgrid.schemas import DEFAULT_SCALE, RatingScale
+from traitgrid.session import parallelism
 from traitgrid.sinks.writers import write_cells
 
 IDS = ["model", "trait", "value", "repetition", "item_id"]
@@ -54,7 +55,7 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
     todo = cells if done is None else pending_cells(cells, done)
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
     attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
-                                 num_partitions=num_partitions or spark.sparkContext.defaultParallelism)
+                                 num_partitions=num_partitions or parallelism(spark))
     write_cells(attempts, paths["attempts"], rebalance=False)  # written by the tasks that asked
 
     # resolve only the cells collected in this call, from the durable attempts table

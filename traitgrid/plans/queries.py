@@ -17,6 +17,7 @@ from traitgrid.functions.text import first_char, strip_echo
 from traitgrid.operators import collect, grid, instrument, report, scoring, training
 from traitgrid.plans import fixtures as fx
 from traitgrid.schemas import GRID_TRAITS, TRAITS
+from traitgrid.session import parallelism
 
 RUN = ["model", "value"]
 GRID_MODELS = ["A", "N", "R"]
@@ -125,7 +126,7 @@ def collect_responses(spark: SparkSession, sf: str) -> DataFrame:
     ids = ["model", "trait", "value", "repetition", "item_id"]
     prompts = grid.prompt_grid(fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], repetitions=1)
     attempts = collect.collect_responses(prompts, scripted_responder, ids, max_attempts=10,
-                                         num_partitions=spark.sparkContext.defaultParallelism)
+                                         num_partitions=parallelism(spark))
     res = collect.resolve_attempts(attempts, ids, ["attempt"], max_attempts=10)
     return res.select(*ids, "attempt", "n_calls", "response_text", "rating_text")
 
