@@ -114,3 +114,26 @@ def test_result_tree_reference_layout(spark):
     assert (s[("m1", 1)].mean, s[("m1", 1)].std) == (3.5, 1.5)   # 5 and 6-4=2
     assert (s[("m2", 9)].n_valid, s[("m2", 9)].n_na, s[("m2", 9)].mean) == (1, 1, 1.0)
     assert len(s) == 4  # only the cell's own trait is scored
+
+
+def test_inventory_file_split_models_and_training_rows(spark):
+    from traitgrid.operators.instrument import parse_inventory
+    from traitgrid.sinks.writers import training_dataset, write_table
+    from traitgrid.sources.inventory import read_inventory_text
+    from traitgrid.sources.results import list_models, read_split
+    d = tempfile.mkdtemp(prefix="tg-inv-")
+    with open(f"{d}/inv.txt", "w") as f:
+        f.write("O1: IMAGINATION (Alpha = .83)\n+ keyed\tHave a vivid imagination.\n\n– keyed\tSeldom daydream.")
+    items = parse_inventory(read_inventory_text(spark, f"{d}/inv.txt")).orderBy("item_no").collect()
+    assert [(i.trait, i.sign, i.question) for i in items] == [
+        ("Openness", 1, "I have a vivid imagination."), ("Openness", -1, "I seldom daydream.")]
+    corpus = spark.createDataFrame([("q1", "#### 4", "train"), ("q2", "#### 5", "test")], "question string, answer string, split string")
+    path = shared_path(spark, "corpus")
+    corpus.write.partitionBy("split").parquet(path)
+    assert [r.question for r in read_split(spark, path, "test").collect()] == ["q2"]
+    cells = spark.createDataFrame([("m1", "O", 1), ("m2", "O", 1), ("m1", "A", 2)], "model string, trait string, value int")
+    assert sorted(r.model for r in list_models(cells).collect()) == ["m1", "m2"]
+    ex = spark.createDataFrame([(1, "Q?", "P", "5")], "item_id long, question string, prompt string, answer string")
+    out = shared_path(spark, "train")
+    write_table(training_dataset(ex), out)
+    assert spark.read.parquet(out).columns == ["question", "prompt", "answer"]
