@@ -7,5 +7,6 @@ from pyspark.sql import functions as F
 
 
 def read_inventory_text(spark: SparkSession, paths) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(paths if isinstance(paths, (list, tuple)) else [paths])
+    # text()'s own wholetext argument would override a reader option, so pass it here
+    raw = spark.read.text(paths if isinstance(paths, (list, tuple)) else [paths], wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("value").alias("text"))
