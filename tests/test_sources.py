@@ -58,7 +58,10 @@ def test_score_cards_directory(spark):
         _write(f"{d}/{name}", {"Neuroticism": {"0": v}, "N/A": {"0": 0.0}})
     os.makedirs(f"{d}/sub")
     cards = read_score_cards(spark, d, ["Neuroticism"])
-    assert sorted(r.file_name for r in cards.collect()) == sorted(os.listdir(d))[:2] or cards.count() == 2
+    got = {r.file_name: r for r in cards.collect()}
+    assert set(got) == {"Qwen2.5-1.5B__20250101_120000.json", "Qwen2.5-1.5B_Neuroticism_20250101_120001.json"}
+    assert got["Qwen2.5-1.5B__20250101_120000.json"].Neuroticism == "3.22+-0.95"
+    assert got["Qwen2.5-1.5B__20250101_120000.json"].na_share == 0.0
     runs = {r.file_name: r for r in read_run_files(spark, d).collect()}
     assert runs["Qwen2.5-1.5B__20250101_120000.json"].trait == ""
 
@@ -69,6 +72,11 @@ def test_cells_layout_and_resume(spark):
     personas = persona_catalogue(spark, ["Openness"], values=[1, 2])
     g = prompt_grid(key, personas, ["m1"])
     assert g.count() == 12
+    local = prompt_grid(key, personas, ["m1"], repetitions=2, style="agreement").filter("value = 1 AND item_id = 1")
+    rows = local.orderBy("repetition").collect()
+    assert [r.repetition for r in rows] == [0, 1]
+    assert rows[0].prompt.startswith("You score 1 on Openness. \n\nYou will be given a statement.")
+    assert rows[0].prompt.endswith('Statement: "I q1."\nYour agreement level (1-5): ')
     resp = g.select("model", "trait", "value", "item_id", F.lit("3").alias("rating_text")).filter("value = 1")
     root = shared_path(spark, "cells")
     write_cells(resp, root)
