@@ -160,11 +160,12 @@ PERSONAS = f"""pe AS (SELECT t.trait, CAST(v.value AS INTEGER) AS value,
   FROM tl t, (SELECT unnest(range(1, 10)) AS value) v)"""
 
 
-def _grid(models: list[str], traits: list[str] | None = None) -> str:
+def _grid(models: list[str], traits: list[str] | None = None, repetitions: int = 1) -> str:
     only = "" if traits is None else f" AND d2.trait IN ({', '.join(lit(t) for t in traits)})"
-    return f"""grid AS (SELECT m.model, d2.trait, pe.value, CAST(0 AS INTEGER) AS repetition, d2.item_id, d2.question,
-    pe.description || {lit(RATING_PREFIX)} || d2.question || {lit(RATING_SUFFIX)} AS prompt
-  FROM d2 JOIN pe ON d2.trait = pe.trait, (SELECT unnest({lst(models)}) AS model) m
+    return f"""grid AS (SELECT m.model, d2.trait, pe.value, CAST(r.repetition AS INTEGER) AS repetition, d2.item_id,
+    d2.question, pe.description || {lit(RATING_PREFIX)} || d2.question || {lit(RATING_SUFFIX)} AS prompt
+  FROM d2 JOIN pe ON d2.trait = pe.trait, (SELECT unnest({lst(models)}) AS model) m,
+    (SELECT unnest(range(0, {repetitions})) AS repetition) r
   WHERE d2.weight <> 0 AND NOT isnan(d2.weight){only})"""
 
 
@@ -338,7 +339,7 @@ FROM resolved GROUP BY 1""",
     "prompt_grid": f"""WITH {D2},
 {TRAIT_LIST},
 {PERSONAS},
-{_grid(['A', 'N', 'R'])}
+{_grid(['A', 'N', 'R'], repetitions=2)}
 SELECT * FROM grid""",
     "pending_cells": f"""WITH {D1},
 {D2},
@@ -385,3 +386,4 @@ SELECT {IDS7}, reply, substr({strip('reply')}, 1, 1) AS first_char FROM e""",
 SQL["live_trait_scores"] = SQL["trait_scores"]
 SQL["result_tree_scores"] = f"""{BASE}
 SELECT model, trait, value, n_keyed, n_valid, n_na, mean, std FROM scores WHERE n_keyed > 0"""
+SQL["columns_json_roundtrip"] = SQL["key_one_hot"]

@@ -94,7 +94,7 @@ def inventory_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.prompt_grid(fx.d2_key(spark, sf), fx.d5_personas(spark), GRID_MODELS, repetitions=1)
+    return grid.prompt_grid(fx.d2_key(spark, sf), fx.d5_personas(spark), GRID_MODELS, repetitions=2)
 
 
 def _done_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,8 @@ def columns_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "key-json")
     write_columns_json(wide, path, index_col="item_id", rows_per_file=500)
     schema = {"question": "string", **{t: "double" for t in TRAITS}}
-    return read_columns_json(spark, path, schema, index_name="item_id", recursive=True)
+    back = read_columns_json(spark, path, schema, index_name="item_id", recursive=True)
+    return back.select("item_id", "question", *TRAITS)  # must equal the one-hot key
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
