@@ -199,8 +199,10 @@ def live_trait_scores(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.streaming import start_live_scores
     resp, key = fx.d1_responses(spark, sf), fx.d2_key(spark, sf)
     src, out = shared_path(spark, "live-src"), shared_path(spark, "live-out")
-    resp.repartition(2, "model").write.parquet(src)
-    q = start_live_scores(spark, src, resp.schema, key, RUN, out, max_files_per_trigger=1, available_now=True)
+    resp.write.parquet(src)  # as many files as the scan has tasks
+    n_files = len(spark.read.parquet(src).inputFiles())
+    q = start_live_scores(spark, src, resp.schema, key, RUN, out,
+                          max_files_per_trigger=max(1, -(-n_files // 2)), available_now=True)  # ~2 micro-batches
     q.awaitTermination()
     return spark.read.parquet(out).select("model", F.col("value").cast("int").alias("value"), "trait",
                                           "n_keyed", "n_valid", "n_na", "mean", "std")
