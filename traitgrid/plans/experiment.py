@@ -52,7 +52,9 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
              .select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
                      F.col("domain").alias("trait"), "value").distinct())
     done = _existing_cells(spark, paths["responses"])
-    todo = cells if done is None else pending_cells(cells, done)
+    # the pending cells are fixed now: checkpointed (shared folder) so that later
+    # jobs, which rewrite the responses table, do not re-derive them from it
+    todo = (cells if done is None else pending_cells(cells, done)).checkpoint(eager=True)
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
     attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
                                  num_partitions=num_partitions or parallelism(spark))
