@@ -40,15 +40,17 @@ def test_group_advantage_with_a_hot_prompt(spark):
     from traitgrid.plans import fixtures as fx
     from traitgrid.plans.queries import REWARDS
     d = fx.d7_completions(spark, SF_SMALL)
+    d = d.withColumn("order_id", F.col("prompt_id"))
     d = d.withColumn("prompt_id", F.when(F.col("part_id") % 3 == 0, F.lit(-1)).otherwise(F.col("prompt_id")))
     scored = score_completions(d, REWARDS)
-    got = group_advantage(scored, "prompt_id", "reward").select("prompt_id", "line_no", "part_id", "supp_id", "advantage")
-    pdf = scored.select("prompt_id", "line_no", "part_id", "supp_id", "reward").toPandas()
+    ids = ["order_id", "line_no", "part_id", "supp_id"]
+    got = group_advantage(scored, "prompt_id", "reward").select(*ids, "advantage")
+    pdf = scored.select("prompt_id", *ids, "reward").toPandas()
     hot = (pdf.prompt_id == -1).mean()
     assert 0.25 < hot < 0.4
     g = pdf.groupby("prompt_id")["reward"]
     mean, std, n = g.transform("mean"), g.transform("std"), g.transform("count")
     pdf["expect"] = ((pdf.reward - mean) / (std + 1e-4)).where(n > 1, 0.0)
-    m = pdf.merge(got.toPandas(), on=["prompt_id", "line_no", "part_id", "supp_id"])
+    m = pdf.merge(got.toPandas(), on=ids)
     assert len(m) == len(pdf)
     assert (m.expect - m.advantage).abs().max() < 1e-9
