@@ -86,8 +86,14 @@ def main(argv: list[str]) -> int:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     import __spark_entry__ as E
-    from traitgrid.session import build_session
-    spark = build_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):  # a session as a caller would build it, none of our defaults
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "America/Los_Angeles"))
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        from traitgrid.session import build_session
+        spark = build_session("local[8]", 8)
     con = duck_conn(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     failed = 0
