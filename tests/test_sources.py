@@ -145,3 +145,18 @@ def test_inventory_file_split_models_and_training_rows(spark):
     out = shared_path(spark, "train")
     write_table(training_dataset(ex), out)
     assert spark.read.parquet(out).columns == ["question", "prompt", "answer"]
+
+
+def test_published_score_card_format(spark):
+    from traitgrid.operators.report import score_series
+    d = tempfile.mkdtemp(prefix="tg-card-")
+    text = ('{"Extraversion":{"0":"3.22+-0.95"},"Agreeableness":{"0":"3.03+-0.97"},"Conscientiousness":{"0":"3.17+-0.86"},'
+            '"Neuroticism":{"0":"2.83+-0.9"},"Openness":{"0":"3.07+-0.95"},"N\\/A":{"0":0.0}}')
+    with open(f"{d}/Qwen2.5-1.5B__20250101_120000.json", "w") as f:
+        f.write(text)
+    card = read_score_cards(spark, d)
+    r = card.first()
+    assert (r.Neuroticism, r.na_share) == ("2.83+-0.9", 0.0)
+    s = {x.trait: (x.mean, x.std) for x in score_series(card, ["file_name"]).collect()}
+    assert s == {"Extraversion": (3.22, 0.95), "Agreeableness": (3.03, 0.97), "Conscientiousness": (3.17, 0.86),
+                 "Neuroticism": (2.83, 0.9), "Openness": (3.07, 0.95)}
