@@ -65,6 +65,8 @@ def test_scores_match_brute_force(spark, data):
     for r in got:
         e = expect[((r.model, r.value), r.trait)]
         assert (r.n_keyed, r.n_valid, r.mean, r.std) == e
+        assert r.mean is None or 1.0 <= r.mean <= 5.0
+        assert r.n_valid + r.n_na == r.n_keyed
         assert math.isclose(r.na_share, expect[((r.model, r.value), "share")])
     card = {(c.model, c.value): c for c in score_card(rdf, kdf, RUN, TRAITS).collect()}
     for (run, t), e in expect.items():
