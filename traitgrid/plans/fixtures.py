@@ -38,8 +38,8 @@ def d1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 as response-file rows of grid cells: each response goes to the cell of
     its item's trait and carries the item's weight columns; the row key is
-    ``orderkey:linenumber:partkey:suppkey`` (unique) and files hold at most
-    100,000 orders."""
+    ``orderkey:linenumber:partkey:suppkey`` (unique) and a file holds one cell's
+    rows of at most 1,000,000 orders."""
     from traitgrid.operators.instrument import key_wide
     from traitgrid.operators.joins import fits
     li = table(spark, sf_dir, "lineitem")
@@ -52,7 +52,7 @@ def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = li.select(
         F.col("l_returnflag").alias("model"),
         (F.lit(1) + F.col("l_suppkey") % 9).cast("int").alias("value"),
-        F.expr("l_orderkey div 100000").alias("chunk"),
+        F.expr("l_orderkey div 1000000").alias("chunk"),
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         F.col("l_partkey").alias("item_id"),
         F.concat(F.lit("My answer: "), F.col("l_linenumber").cast("string")).alias("responses"),
