@@ -97,3 +97,19 @@ def test_prompts(spark):
     assert r[2].startswith("\nYou will be given") and r[2].endswith('Statement: "I worry 100% {x}."\nYour agreement level (1-5): ')
     msgs = df.select(chat_prompt("q", "SYS")).first()[0]
     assert [(m.role, m.content) for m in msgs] == [("system", "SYS"), ("user", "I worry 100% {x}.")]
+
+
+def test_python_round_ratio_matches_python(spark):
+    import random
+    from traitgrid.functions.ratings import python_round_ratio
+    rnd = random.Random(5)
+    pairs = [(n, d) for d in (1, 2, 3, 7, 8, 40, 200, 300, 1000) for n in range(0, 2 * d + 1)]
+    pairs += [(rnd.randrange(0, 5000), rnd.randrange(1, 3000)) for _ in range(3000)]
+    pairs += [(1, 200), (3, 200), (29, 200), (57, 200), (1, 8), (3, 8), (5, 8), (7, 8)]  # decimal ties
+    df = spark.createDataFrame(pairs + [(1, 0)], "n long, d long")
+    cols = [python_round_ratio("n", "d").alias("x"), python_round_ratio("n", "d", max_value=40.0).alias("y")]
+    got = {(r.n, r.d): (r.x, r.y) for r in df.select("n", "d", *cols).collect()}
+    assert got[(1, 0)] == (None, None)
+    bad = [(n, d, got[(n, d)], round(n / d, 2)) for n, d in pairs
+           if got[(n, d)][1] != round(n / d, 2) or (n / d < 10 and got[(n, d)][0] != round(n / d, 2))]
+    assert not bad, bad[:5]

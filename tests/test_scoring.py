@@ -27,7 +27,7 @@ def test_reverse_keying_and_counts(spark):
 def test_na_share_can_exceed_one(spark):
     resp = responses_df(spark, [("m", 1, 3, "N/A")])
     card = score_card(resp, _key(spark), RUN).first()
-    assert card.na_share == 2.0 and card.n_na == 2
+    assert card.na_share == 2.0 and card.na_share_rounded == 2.0 and card.n_na == 2
     assert card.Extraversion == "N/A" and card.Openness == "N/A"
 
 

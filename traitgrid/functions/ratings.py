@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,36 @@ def format_score(mean, std, sep: str = "+-", missing: str = "N/A") -> Column:
 def parse_score(text, part: int = 1, sep: str = "+-") -> Column:
     """Inverse of ``format_score``: part 1 = mean, 2 = std; ``'N/A'`` → null."""
     return F.split_part(_c(text), F.lit(sep), F.lit(part)).try_cast("double")
+
+
+@functools.lru_cache(maxsize=None)
+def tie_rounds_up(digits: int = 2, max_value: float = 10.0) -> tuple[bool, ...]:
+    """For each decimal tie t_k = (k + ½)·10^-digits below ``max_value``: does
+    Python's ``round(t_k, digits)`` go up? (It rounds the nearest double to t_k,
+    which lies above or below t_k.) Built by rule, one entry per tie."""
+    scale = 10 ** digits
+    return tuple(round((2 * k + 1) / (2 * scale), digits) * scale > k + 0.5
+                 for k in range(int(max_value * scale) + 1))
+
+
+def python_round_ratio(num, den, digits: int = 2, max_value: float = 10.0) -> Column:
+    """Exactly ``round(num / den, digits)`` as Python computes it, for
+    non-negative integer ``num`` and positive ``den`` (null when ``den`` is 0):
+    the rational is rounded to nearest with integer arithmetic, and an exact
+    decimal tie goes the way Python's rounding of the nearest double goes
+    (``tie_rounds_up``); ties beyond ``max_value`` fall back to half-even."""
+    scale = 10 ** digits
+
+    def idiv(x: Column, y: Column) -> Column:  # exact floor division of non-negative longs
+        return ((x - F.pmod(x, y)) / y).cast("long")
+
+    a = _c(num).cast("long") * (2 * scale)   # 2·scale·num
+    b = F.when(_c(den) > 0, _c(den).cast("long"))
+    quot = idiv(a, b)
+    tie = (F.pmod(a, b) == 0) & (F.pmod(quot, F.lit(2)) == 1)   # num/den·scale = k + ½
+    k = idiv(quot - 1, F.lit(2))
+    table = F.array(*[F.lit(x) for x in tie_rounds_up(digits, max_value)])
+    up = F.coalesce(F.try_element_at(table, (k + 1).cast("int")), F.pmod(k, F.lit(2)) == 1)
+    nearest = idiv(a + b, 2 * b)                                 # floor(num/den·scale + ½)
+    units = F.when(tie, k + F.when(up, 1).otherwise(0)).otherwise(nearest)
+    return units / F.lit(float(scale))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitgrid.functions.ratings import format_score, rating_value, reverse_key, round_half_even
+from traitgrid.functions.ratings import format_score, python_round_ratio, rating_value, reverse_key, round_half_even
 from traitgrid.operators.instrument import key_wide
 from traitgrid.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, fits
 from traitgrid.schemas import DEFAULT_SCALE, TRAITS, RatingScale
@@ -109,7 +109,8 @@ def score_card(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
                traits: list[str] = TRAITS, scale: RatingScale = DEFAULT_SCALE,
                sep: str = "+-", **kw) -> DataFrame:
     """Wide score card per run: one ``"m+-s"`` / ``"N/A"`` column per trait plus
-    ``n_rows``, ``n_na`` and ``na_share`` (the card's ``N/A`` entry, unrounded).
+    ``n_rows``, ``n_na``, the share ``na_share`` and ``na_share_rounded`` (the
+    card's ``N/A`` entry, rounded exactly as Python's ``round(x, 2)`` does).
     Built straight from the moments: no pivot, no extra shuffle."""
     m = run_moments(responses, key, run_cols, traits, scale, **kw)
     cols = []
@@ -117,7 +118,8 @@ def score_card(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
         n, s1, s2 = F.col(f"n_valid_{i}"), F.col(f"s1_{i}"), F.col(f"s2_{i}")
         cols.append(F.when(n > 0, format_score(_mean(n, s1), _std(n, s1, s2), sep)).otherwise(F.lit("N/A")).alias(t))
     na = _run_na(traits)
-    return m.select(*run_cols, *cols, "n_rows", na.alias("n_na"), (na / F.col("n_rows")).alias("na_share"))
+    return m.select(*run_cols, *cols, "n_rows", na.alias("n_na"), (na / F.col("n_rows")).alias("na_share"),
+                    python_round_ratio(na, F.col("n_rows")).alias("na_share_rounded"))
 
 
 def cell_scores(responses: DataFrame, key: DataFrame | None, cell_cols: tuple[str, ...] = ("model", "trait", "value"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from traitgrid.functions.prompts import AGREEMENT_INTRO, RATING_PREFIX, RATING_SUFFIX, STATEMENT_CLOSE, STATEMENT_OPEN
 from traitgrid.functions.files import RUN_FILE_RE
+from traitgrid.functions.ratings import tie_rounds_up
 from traitgrid.functions.text import PY_WHITESPACE, PY_WHITESPACE_CHARS, decimal_digit_table
 from traitgrid.operators.grid import QUALIFIERS
 from traitgrid.plans.fixtures import D6_MODELS
@@ -66,9 +67,22 @@ fscores AS (SELECT *, CASE WHEN n_valid > 0 THEN CAST(mean AS VARCHAR) || '+-' |
 
 BASE = f"WITH {D1},\n{D2},\n{TRAIT_LIST},\n{SCORES}"
 
+def python_round_ratio(num: str, den: str) -> str:
+    """SQL twin of functions.ratings.python_round_ratio (digits=2)."""
+    table = "[" + ", ".join("true" if x else "false" for x in tie_rounds_up(2, 10.0)) + "]"
+    a, b = f"(CAST({num} AS BIGINT) * 200)", f"CAST({den} AS BIGINT)"
+    quot = f"({a} // {b})"
+    k = f"(({quot} - 1) // 2)"
+    tie = f"({a} % {b} = 0 AND {quot} % 2 = 1)"
+    up = f"coalesce({table}[{k} + 1], {k} % 2 = 1)"
+    return (f"CAST(CASE WHEN {tie} THEN {k} + CASE WHEN {up} THEN 1 ELSE 0 END "
+            f"ELSE ({a} + {b}) // (2 * {b}) END AS DOUBLE) / CAST(100 AS DOUBLE)")
+
+
 CARD = "card AS (SELECT model, value, " + ", ".join(
-    f"max(CASE WHEN trait = {lit(t)} THEN score END) AS {t}" for t in TRAITS) + """,
-    max(n_rows) AS n_rows, CAST(sum(n_na) AS BIGINT) AS n_na, CAST(sum(n_na) AS DOUBLE) / max(n_rows) AS na_share
+    f"max(CASE WHEN trait = {lit(t)} THEN score END) AS {t}" for t in TRAITS) + f""",
+    max(n_rows) AS n_rows, CAST(sum(n_na) AS BIGINT) AS n_na, CAST(sum(n_na) AS DOUBLE) / max(n_rows) AS na_share,
+    {python_round_ratio("sum(n_na)", "max(n_rows)")} AS na_share_rounded
   FROM fscores GROUP BY model, value)"""
 
 DOSE = "dose AS (SELECT model, value, " + ", ".join(

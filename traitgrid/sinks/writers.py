@@ -52,8 +52,9 @@ def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file:
 
 
 def write_score_card(card: DataFrame, path: str) -> None:
-    """Score cards as JSON with the card's own column name for the share."""
-    card.withColumnRenamed("na_share", "N/A").write.mode("overwrite").json(path)
+    """Score cards as JSON; the rounded share goes under the card's own name ``N/A``."""
+    share = "na_share_rounded" if "na_share_rounded" in card.columns else "na_share"
+    card.withColumnRenamed(share, "N/A").write.mode("overwrite").json(path)
 
 
 def write_markdown(lines: DataFrame, path: str, group_cols: list[str]) -> None:
