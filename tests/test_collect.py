@@ -111,3 +111,17 @@ def test_failed_calls_do_not_use_up_attempts(spark):
     df = spark.createDataFrame(rows, "item_id long, call int, ok boolean, response_text string").withColumn("elapsed_s", F.lit(1.0))
     r = resolve_attempts(df, ["item_id"], ["call"], max_attempts=11).first()
     assert (r.attempt, r.rating_text, r.n_calls) == (11, "3", 11)
+
+
+def test_local_runner_flow_first_character(spark):
+    from traitgrid.functions import first_char, strip_echo
+    prompts = spark.createDataFrame([(1, "P1: "), (2, "P2: ")], "item_id long, prompt string")
+
+    def factory():
+        # the model echoes the prompt before its answer
+        return lambda ps, attempt: ps.map(lambda p: p + (" 4 because" if p.startswith("P1") else " maybe 5"))
+    att = collect_responses(prompts, factory, ["item_id"], max_attempts=1, allowed=None)
+    att = att.join(prompts, "item_id").withColumn("response_text", strip_echo("response_text", "prompt"))
+    res = {r.item_id: r for r in resolve_attempts(att, ["item_id"], max_attempts=1, parser=first_char).collect()}
+    assert (res[1].rating_text, res[1].response_text) == ("4", "4 because")
+    assert res[2].rating_text == "N/A"

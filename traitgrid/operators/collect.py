@@ -13,7 +13,7 @@ import re
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,10 +91,13 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
 
 def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[str] | None = None,
                      max_attempts: int = 10, scale: RatingScale = DEFAULT_SCALE,
-                     allowed: list[str] | None | str = "scale") -> DataFrame:
+                     allowed: list[str] | None | str = "scale",
+                     parser: Callable[[Column], Column] | None = None) -> DataFrame:
     """Attempt log → one reply per key: the first valid one among the first
     ``max_attempts`` successful calls; otherwise the last of them with ``'N/A'``
     (a key whose calls all failed gets ``'N/A'``, attempt 0, no text).
+    ``parser`` turns the reply text into the rating string (default: the single
+    distinct number in it; e.g. ``functions.first_char`` for one-token replies).
 
     The top-``max_attempts`` per key is a ``row_number() ≤ k`` window, which
     Spark plans as a partial WindowGroupLimit before the shuffle, so even a key
@@ -107,7 +110,7 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
     # successful calls sort first, so their row number is their attempt number and
     # the top-k still holds the first k of them; failed calls only fill the rest
     w = Window.partitionBy(*key_cols).orderBy(F.col("__ok").desc(), *order_cols)
-    num = extract_number("response_text")
+    num = (parser or extract_number)(F.col("response_text"))
     valid = F.lit(True) if allowed_vals is None else F.coalesce(num.isin(*allowed_vals), F.lit(False))
     df = (df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= max_attempts)
           .select(*key_cols, "__n", "__ok", (F.col("__ok") & valid).alias("__valid"),
