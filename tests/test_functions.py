@@ -1,4 +1,3 @@
-import math
 
 from pyspark.sql import functions as F
 

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from traitgrid.operators.instrument import key_from_inventory, key_long, key_wide, keyed_items, parse_inventory
 

@@ -1,4 +1,3 @@
-import time
 
 from traitgrid.operators.scoring import trait_scores
 from traitgrid.plans.fixtures import d1_responses, d2_key
