@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -34,6 +35,27 @@ def copies(spark, sf_dir: str, k: int, name: str, shifts: dict[str, int]) -> str
     return out
 
 
+def shuffle_records(log_dir: str, description: str) -> int:
+    """Shuffle records written by the jobs with this description (from the event log)."""
+    stages, written = set(), 0
+    events = []
+    for base, _dirs, files in os.walk(log_dir):  # rolling logs: a folder of parts
+        for name in sorted(files):
+            if name.startswith(("events", "eventlog", "app", "local")) and not name.endswith(".inprogress"):
+                with open(os.path.join(base, name)) as f:
+                    events += [json.loads(line) for line in f if line.startswith("{")]
+    if events:
+        for e in events:
+            if e.get("Event") == "SparkListenerJobStart" and \
+                    (e.get("Properties") or {}).get("spark.job.description") == description:
+                stages.update(e.get("Stage IDs", []))
+        for e in events:
+            if e.get("Event") == "SparkListenerTaskEnd" and e.get("Stage ID") in stages:
+                m = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                written += m.get("Shuffle Records Written", 0)
+    return written
+
+
 def run(spark, li_path: str, part_path: str, ev_path: str) -> dict[str, float]:
     li, part, ev = spark.read.parquet(li_path), spark.read.parquet(part_path), spark.read.parquet(ev_path)
     resp = li.select(F.col("l_returnflag").alias("model"), (F.lit(1) + F.col("l_suppkey") % 9).cast("int").alias("value"),
@@ -52,24 +74,33 @@ def run(spark, li_path: str, part_path: str, ev_path: str) -> dict[str, float]:
     }
     out = {}
     for name, job in jobs.items():
+        spark.sparkContext.setJobDescription(f"{name}@{li_path}")
         t0 = time.perf_counter()
         job().write.format("noop").mode("overwrite").save()
         out[name] = round(time.perf_counter() - t0, 2)
+    spark.sparkContext.setJobDescription(None)
     out["rows_lineitem"] = li.count()
+    out["rows_events"] = ev.count()
     return out
 
 
 def main() -> None:
     k = int(sys.argv[1]) if len(sys.argv) > 1 else 10
     sf_dir = sys.argv[2] if len(sys.argv) > 2 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", 64)
+    log_dir = tempfile.mkdtemp(prefix="traitgrid-eventlog-")  # local scratch for this measurement only
+    spark = build_session("local[8]", 64, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                                                       "spark.eventLog.compress": "false"})
+    results = []
     for n in (1, k):
         li = copies(spark, sf_dir, n, "lineitem", {"l_orderkey": 10**9, "l_partkey": 10**8})
         part = copies(spark, sf_dir, n, "part", {"p_partkey": 10**8})
         ev = copies(spark, sf_dir, n, "events", {"event_id": 10**9})  # same users: hot keys grow
         run(spark, li, part, ev)  # warm-up
-        print(json.dumps({"copies": n, **run(spark, li, part, ev)}), flush=True)
-    spark.stop()
+        results.append((n, li, run(spark, li, part, ev)))
+    spark.stop()  # flushes the event log
+    for n, li, r in results:
+        r["resolve_shuffle_records"] = shuffle_records(log_dir, f"resolve_attempts@{li}") // 2  # two runs each
+        print(json.dumps({"copies": n, **r}), flush=True)
 
 
 if __name__ == "__main__":
