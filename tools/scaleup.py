@@ -99,7 +99,8 @@ def main() -> None:
         results.append((n, li, run(spark, li, part, ev)))
     spark.stop()  # flushes the event log
     for n, li, r in results:
-        r["resolve_shuffle_records"] = shuffle_records(log_dir, f"resolve_attempts@{li}") // 2  # two runs each
+        for job in ("trait_scores", "resolve_attempts", "group_advantage"):  # each ran twice (warm-up)
+            r[f"{job}_shuffled_rows"] = shuffle_records(log_dir, f"{job}@{li}") // 2
         print(json.dumps({"copies": n, **r}), flush=True)
 
 
