@@ -42,9 +42,12 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
     # Each column map → its entries sorted by row index; the columns of one file
     # share the index, so the sorted arrays line up by position (a map lookup per
     # row would be a linear scan, quadratic per file).
-    cols = [F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))).alias(f"__e{j}") for j, c in enumerate(names)]
+    # a column missing from a file contributes an empty array (→ nulls after the zip)
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    cols = [F.coalesce(F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))), empty).alias(f"__e{j}")
+            for j, c in enumerate(names)]
     zipped = parsed.select(*part_cols, "file_path", "file_name", F.inline(F.arrays_zip(*cols)))
-    key = F.col("__e0")["key"]
+    key = F.coalesce(*[F.col(f"__e{j}")["key"] for j in range(len(names))])
     values = [F.when(F.col(f"__e{j}")["key"] == key, F.col(f"__e{j}")["value"]).try_cast(t).alias(c)
               for j, (c, t) in enumerate(columns.items())]
     return zipped.select(*part_cols, "file_path", "file_name", key.try_cast(index_type).alias(index_name), *values)
@@ -53,7 +56,7 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
 def read_key(spark: SparkSession, paths, traits: list[str] = TRAITS) -> DataFrame:
     """Scoring key (wide): ``item_id, question, <trait weights as double>``."""
     cols = {"question": "string", **{t: "double" for t in traits}}
-    return read_columns_json(spark, paths, cols, "item_id").drop("file_path", "file_name")
+    return read_columns_json(spark, paths, cols, "item_id", recursive=True).select("item_id", *cols)
 
 
 def read_personas(spark: SparkSession, paths) -> DataFrame:
