@@ -35,6 +35,12 @@ def ascii_digits(e: str) -> str:
     src, dst = decimal_digit_table()
     return f"translate({e}, {lit(src)}, {lit(dst)})"
 
+
+def digit_char(e: str) -> str:
+    """One character, with a non-ASCII decimal digit mapped to ASCII (translate only then)."""
+    return (f"CASE WHEN regexp_full_match({e}, '\\p{{Nd}}') AND NOT regexp_full_match({e}, '[0-9]') "
+            f"THEN {ascii_digits(e)} ELSE {e} END")
+
 NL = "chr(10)"
 
 D1 = """d1 AS (SELECT l_returnflag AS model, CAST(1 + l_suppkey % 9 AS INTEGER) AS value, l_partkey AS item_id,
@@ -245,10 +251,12 @@ D7 = f"""d7 AS (SELECT l_orderkey AS prompt_id, l_linenumber AS line_no, l_partk
   FROM (SELECT *, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem))"""
 
 REWARDS = f"""rw AS (SELECT *,
-    CASE {ascii_digits(f"substr({strip('completion')}, 1, 1)")} WHEN '5' THEN CAST(1.0 AS DOUBLE) WHEN '4' THEN CAST(0.7 AS DOUBLE)
+    CASE {digit_char(f"substr({strip('completion')}, 1, 1)")} WHEN '5' THEN CAST(1.0 AS DOUBLE) WHEN '4' THEN CAST(0.7 AS DOUBLE)
       WHEN '3' THEN CAST(0.2 AS DOUBLE) WHEN '2' THEN CAST(0.0 AS DOUBLE) WHEN '1' THEN CAST(-0.5 AS DOUBLE)
       ELSE CAST(-1.0 AS DOUBLE) END AS rating_reward,
-    CASE WHEN coalesce(regexp_full_match({ascii_digits('completion')}, '0*[1-5]'), false) THEN CAST(1.0 AS DOUBLE)
+    CASE WHEN coalesce(regexp_full_match(completion, '0*[1-5]'), false) THEN CAST(1.0 AS DOUBLE)
+      WHEN coalesce(regexp_full_match(completion, '\\p{{Nd}}+'), false)
+           AND regexp_full_match({ascii_digits('completion')}, '0*[1-5]') THEN CAST(1.0 AS DOUBLE)
       ELSE CAST(-0.5 AS DOUBLE) END AS format_reward FROM d7),
 rw2 AS (SELECT *, CAST(1.0 AS DOUBLE) * rating_reward + CAST(0.2 AS DOUBLE) * format_reward AS reward FROM rw)"""
 
