@@ -160,3 +160,13 @@ def test_published_score_card_format(spark):
     s = {x.trait: (x.mean, x.std) for x in score_series(card, ["file_name"]).collect()}
     assert s == {"Extraversion": (3.22, 0.95), "Agreeableness": (3.03, 0.97), "Conscientiousness": (3.17, 0.86),
                  "Neuroticism": (2.83, 0.9), "Openness": (3.07, 0.95)}
+
+
+def test_column_json_with_misaligned_columns(spark):
+    d = tempfile.mkdtemp(prefix="tg-mis-")
+    _write(f"{d}/a.json", {"a": {"0": "x", "1": "y"}, "b": {"0": 1, "5": 2}})
+    _write(f"{d}/b.json", {"a": {"3": "z"}, "b": {"3": 7}})
+    _write(f"{d}/c.json", {})
+    rows = read_columns_json(spark, d, {"a": "string", "b": "int"}, "i").select("file_name", "i", "a", "b").collect()
+    assert sorted(tuple(r) for r in rows) == [("a.json", 0, "x", 1), ("a.json", 1, "y", None), ("a.json", 5, None, 2),
+                                             ("b.json", 3, "z", 7)]

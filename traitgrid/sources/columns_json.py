@@ -42,15 +42,35 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
     # Each column map → its entries sorted by row index; the columns of one file
     # share the index, so the sorted arrays line up by position (a map lookup per
     # row would be a linear scan, quadratic per file).
-    # a column missing from a file contributes an empty array (→ nulls after the zip)
+    # Row index = union of the columns' keys. When every present column holds
+    # exactly those keys (what a DataFrame export writes), rows are assembled by
+    # position from the sorted entries; otherwise that file falls back to a
+    # lookup per key. A missing column reads as nulls.
     empty = F.array().cast("array<struct<key:string,value:string>>")
-    cols = [F.coalesce(F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))), empty).alias(f"__e{j}")
-            for j, c in enumerate(names)]
-    zipped = parsed.select(*part_cols, "file_path", "file_name", F.inline(F.arrays_zip(*cols)))
-    key = F.coalesce(*[F.col(f"__e{j}")["key"] for j in range(len(names))])
-    values = [F.when(F.col(f"__e{j}")["key"] == key, F.col(f"__e{j}")["value"]).try_cast(t).alias(c)
-              for j, (c, t) in enumerate(columns.items())]
-    return zipped.select(*part_cols, "file_path", "file_name", key.try_cast(index_type).alias(index_name), *values)
+    ents = [F.coalesce(F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))), empty) for c in names]
+    keys = [F.transform(e, lambda x: x["key"]) for e in ents]
+    parsed = parsed.select(*part_cols, "file_path", "file_name", "m",
+                           *[e.alias(f"__e{j}") for j, e in enumerate(ents)],
+                           F.array_sort(F.array_distinct(F.flatten(F.array(*keys)))).alias("__idx"))
+    idx = F.col("__idx")
+    aligned = F.lit(True)
+    for j in range(len(names)):
+        kj = F.transform(F.col(f"__e{j}"), lambda x: x["key"])
+        aligned = aligned & ((F.size(f"__e{j}") == 0) | (kj == idx))
+
+    def by_position(i):
+        return F.struct(F.element_at(idx, i).alias("__k"),
+                        *[F.try_element_at(F.col(f"__e{j}"), i)["value"].alias(f"__c{j}") for j in range(len(names))])
+
+    def by_key(k):
+        return F.struct(k.alias("__k"),
+                        *[F.element_at(F.element_at("m", F.lit(c)), k).alias(f"__c{j}") for j, c in enumerate(names)])
+    rows = F.when(F.size(idx) > 0,
+                  F.when(aligned, F.transform(F.sequence(F.lit(1), F.size(idx)), by_position))
+                  .otherwise(F.transform(idx, by_key)))
+    out = parsed.select(*part_cols, "file_path", "file_name", F.inline(rows))  # no rows for an empty file
+    values = [F.col(f"__c{j}").try_cast(t).alias(c) for j, (c, t) in enumerate(columns.items())]
+    return out.select(*part_cols, "file_path", "file_name", F.col("__k").try_cast(index_type).alias(index_name), *values)
 
 
 def read_key(spark: SparkSession, paths, traits: list[str] = TRAITS) -> DataFrame:
