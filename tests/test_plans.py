@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-FILE_BASED = {"columns_json_roundtrip", "live_trait_scores", "experiment_scores", "result_tree_scores"}
+FILE_BASED = {"columns_json_roundtrip", "live_trait_scores", "experiment_scores", "result_tree_scores",
+              "score_card_files", "persona_file_prompts", "training_split_files"}
 
 
 def plan_of(df) -> str:

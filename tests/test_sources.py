@@ -96,10 +96,11 @@ def test_markdown_and_card_writers(spark):
     out = shared_path(spark, "md")
     write_markdown(lines, out, ["model"])
     assert [r.value for r in spark.read.text(f"{out}/model=m").collect()] == ["| h |", "|--:|"]
-    card = spark.createDataFrame([("m", "3.0+-0.0", 0.0)], "model string, Openness string, na_share double")
+    card = spark.createDataFrame([("m", 3, "3.0+-0.0", 0.0)], "model string, value int, Openness string, na_share double")
     cp = shared_path(spark, "card")
     write_score_card(card, cp)
-    assert "N/A" in spark.read.json(cp).columns
+    back = read_score_cards(spark, cp, ["Openness"], path_glob=None).collect()
+    assert [(r.model, r.value, r.Openness, r.na_share) for r in back] == [("m", 3, "3.0+-0.0", 0.0)]
 
 
 def test_result_tree_reference_layout(spark):

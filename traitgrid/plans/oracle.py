@@ -409,3 +409,7 @@ SQL["live_trait_scores"] = SQL["trait_scores"]
 SQL["result_tree_scores"] = f"""{BASE}
 SELECT model, trait, value, n_keyed, n_valid, n_na, mean, std FROM scores WHERE n_keyed > 0"""
 SQL["columns_json_roundtrip"] = SQL["key_one_hot"]
+SQL["score_card_files"] = SQL["score_parse_series"]
+SQL["persona_file_prompts"] = SQL["local_prompts"]
+SQL["training_split_files"] = f"""SELECT question, prompt, answer, split FROM ({SQL["train_eval_split"]}) t
+WHERE split = 'train'"""

@@ -233,6 +233,54 @@ def result_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("model", "trait", "value", "n_keyed", "n_valid", "n_na", "mean", "std")
 
 
+def score_card_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Score cards written one file per run in the card layout, read back as a
+    directory in one pass and parsed into series."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_score_card
+    from traitgrid.sources.columns_json import read_score_cards
+    path = shared_path(spark, "cards")
+    write_score_card(score_card(spark, sf), path, run_cols=RUN)
+    cards = read_score_cards(spark, path, path_glob=None)
+    s = report.score_series(cards.withColumn("value", F.col("value").cast("int")), RUN)
+    return s.select("model", "value", "trait", "score", "mean", "std")
+
+
+def persona_file_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The persona catalogue stored in the catalogue's column-oriented layout,
+    read back and used for the local runner's prompts (same rows as
+    ``local_prompts``)."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_columns_json
+    from traitgrid.sources.columns_json import read_personas
+    cat = fx.d5_personas(spark).select(
+        (F.array_position(F.array(*[F.lit(t) for t in TRAITS]), F.col("domain")) * 10 + F.col("value")).alias("row"),
+        F.col("domain").alias("Domain"),
+        F.col("qualifier_type").alias("QualifierType"), F.col("qualifier").alias("Qualifier"),
+        F.col("value").alias("Value"), F.col("description").alias("Description"))
+    path = shared_path(spark, "personas")
+    write_columns_json(cat, path, index_col="row", rows_per_file=10**6)
+    personas = read_personas(spark, path)
+    items = fx.d2_key(spark, sf).select("item_id", "question")
+    persona = grid.persona_prefix(personas, "Neuroticism", "high", "extremely").scalar()
+    base = items.select(F.lit("baseline").alias("run"), "item_id", agreement_prompt("question").alias("prompt"))
+    pers = items.select(F.lit("Neuroticism").alias("run"), "item_id", agreement_prompt("question", persona).alias("prompt"))
+    return base.unionByName(pers)
+
+
+def training_split_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows (no index column) stored by split, and the training split
+    read back with the split filter pruning the other directory."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import training_dataset
+    from traitgrid.sources.results import read_split
+    ex = training.train_eval_split(training.training_examples(fx.d2_key(spark, sf), "Neuroticism", 1.0, "5"),
+                                   ["item_id"], n_eval=16)
+    path = shared_path(spark, "training")
+    training_dataset(ex, ("question", "prompt", "answer", "split")).write.partitionBy("split").parquet(path)
+    return read_split(spark, path, "train").select("question", "prompt", "answer", "split")
+
+
 def columns_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.session import shared_path
     from traitgrid.sinks.writers import write_columns_json
@@ -276,5 +324,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_trait_scores": live_trait_scores,
     "experiment_scores": experiment_scores,
     "result_tree_scores": result_tree_scores,
+    "score_card_files": score_card_files,
+    "persona_file_prompts": persona_file_prompts,
+    "training_split_files": training_split_files,
     "columns_json_roundtrip": columns_json_roundtrip,
 }

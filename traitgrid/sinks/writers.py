@@ -33,9 +33,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file: int = 1000,
                        chunk_cols: list[str] | None = None) -> None:
     """Column-oriented JSON export: one ``{column: {index: value}}`` object per
-    file, one file per chunk of at most ``rows_per_file`` index values, or per
-    value of ``chunk_cols`` (e.g. a grid cell: ``model/trait/value``
-    directories). Chunks bound every collect."""
+    file, one file per chunk of at most ``rows_per_file`` index values (numeric
+    index), or per value of ``chunk_cols`` (e.g. a grid cell:
+    ``model/trait/value`` directories). Chunks bound every collect."""
     keys = [F.col(c) for c in chunk_cols] if chunk_cols else [F.floor(F.col(index_col) / rows_per_file).alias("__chunk")]
     names = chunk_cols or ["__chunk"]
     cols = [c for c in df.columns if c != index_col and c not in names]
@@ -51,10 +51,18 @@ def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file:
     out.write.mode("overwrite").partitionBy(*names).text(path)
 
 
-def write_score_card(card: DataFrame, path: str) -> None:
-    """Score cards as JSON; the rounded share goes under the card's own name ``N/A``."""
+def write_score_card(card: DataFrame, path: str, run_cols: list[str] | None = None,
+                     traits: list[str] | None = None) -> None:
+    """One column-oriented card file per run (``{trait: {"0": "m+-s"}, "N/A":
+    {"0": share}}``, the card layout), in ``run=…`` directories. The rounded
+    share goes under the card's own name ``N/A``."""
+    from traitgrid.schemas import TRAITS
+    traits = [t for t in (traits or TRAITS) if t in card.columns]
     share = "na_share_rounded" if "na_share_rounded" in card.columns else "na_share"
-    card.withColumnRenamed(share, "N/A").write.mode("overwrite").json(path)
+    run_cols = run_cols or [c for c in card.columns
+                            if c not in traits and c not in ("n_rows", "n_na", "na_share", "na_share_rounded")]
+    rows = card.select(*run_cols, F.lit(0).alias("__row"), *traits, F.col(share).alias("N/A"))
+    write_columns_json(rows, path, index_col="__row", chunk_cols=run_cols)
 
 
 def write_markdown(lines: DataFrame, path: str, group_cols: list[str]) -> None:

@@ -124,8 +124,10 @@ def read_result_tree(spark: SparkSession, root: str, traits: list[str] = TRAITS,
 
 
 def read_score_cards(spark: SparkSession, directory: str, traits: list[str] = TRAITS,
-                     path_glob: str = "*.json") -> DataFrame:
-    """All score cards of a directory (files only) in one read, with file name."""
+                     path_glob: str | None = "*.json") -> DataFrame:
+    """All score cards of a directory in one read, with file name: the files of
+    the directory itself (``path_glob``), or — with ``path_glob=None`` — cards
+    written by ``sinks.write_score_card`` (run directories become columns)."""
     cols = {**{t: "string" for t in traits}, "N/A": "double"}
     df = read_columns_json(spark, directory, cols, "row_index", path_glob=path_glob)
     return df.withColumnRenamed("N/A", "na_share")
