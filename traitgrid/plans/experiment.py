@@ -6,17 +6,18 @@
       → resolve attempts (bounded top-k per item)              ──► responses table (written)
       → trait scores per cell (one aggregate)                  ──► scores table (written)
 
-Every arrow into a table is a write into the shared folder, partitioned by
-cell with dynamic partition overwrite. That cuts lineage at the points where
-recomputation would be expensive or non-deterministic: once attempts are
-written, losing an executor never re-asks the model; a re-run of the whole
-function skips every cell whose responses exist (the reference's
-``if os.path.exists(file): continue``) and re-writes a half-finished cell
-whole.
+Every arrow into a table is a write into the shared folder: attempts as one
+flat folder per call (written by the tasks that asked, one file each),
+responses partitioned by cell with dynamic partition overwrite. That cuts
+lineage where recomputation would be expensive or non-deterministic: once
+attempts are written, losing an executor never re-asks the model; a re-run of
+the whole function skips every cell whose responses exist and re-asks a cell
+that was not finished, whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -46,7 +47,8 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
                    repetitions: int = 1, max_attempts: int = 10, scale: RatingScale = DEFAULT_SCALE,
                    style: str = "rating", num_partitions: int | None = None) -> dict[str, str]:
     """Run (or resume) the grid models × traits × persona values; returns the
-    paths of the attempts, responses and scores tables under ``out_root``."""
+    paths of the attempts (one ``run=…`` folder per call), responses and
+    scores tables under ``out_root``."""
     paths = {n: f"{out_root.rstrip('/')}/{n}" for n in ("attempts", "responses", "scores")}
     cells = (personas.filter(F.col("domain").isin(*traits))
              .select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
@@ -58,10 +60,13 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
     attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
                                  num_partitions=num_partitions or parallelism(spark))
-    write_cells(attempts, paths["attempts"], rebalance=False)  # written by the tasks that asked
+    # One flat folder per call, one file per asking task: no shuffle between the
+    # model calls and the durable write, and no tasks × cells small files.
+    run_path = f"{paths['attempts']}/run={uuid.uuid4().hex}"
+    attempts.write.mode("errorifexists").parquet(run_path)
 
-    # resolve only the cells collected in this call, from the durable attempts table
-    fresh = spark.read.parquet(paths["attempts"]).join(todo, CELL, "left_semi")
+    # resolve the cells collected in this call from their durable attempts
+    fresh = spark.read.parquet(run_path)
     resolved = resolve_attempts(fresh, IDS, ["attempt"], max_attempts, scale)
     write_cells(resolved, paths["responses"])
 
