@@ -74,3 +74,15 @@ def test_rating_counts_and_mse(spark):
     scores = trait_scores(resp, _key(spark), RUN)
     m = target_mse(scores, F.lit(4.0), RUN).first()
     assert m.n_traits == 1 and m.mse == 1.0  # Extraversion mean 3.0 vs 4.0
+
+
+def test_seven_point_scale(spark):
+    from traitgrid.operators.collect import resolve_attempts
+    from traitgrid.schemas import RatingScale
+    seven = RatingScale(1, 7)
+    att = spark.createDataFrame([(0, 1, "7 of 7"), (1, 1, "9"), (1, 2, "6"), (2, 1, "2")],
+                                "item_id long, attempt int, response_text string").withColumn("elapsed_s", F.lit(0.1))
+    res = resolve_attempts(att, ["item_id"], scale=seven).withColumn("model", F.lit("m")).withColumn("value", F.lit(1))
+    key = key_df(spark, [(0, "q0", "Openness", 1.0), (1, "q1", "Openness", -1.0), (2, "q2", "Openness", 1.0)])
+    s = trait_scores(res, key, RUN, scale=seven).filter("trait = 'Openness'").first()
+    assert (s.n_keyed, s.n_valid, s.mean) == (3, 3, round((7 + (8 - 6) + 2) / 3, 2))
