@@ -25,3 +25,16 @@ def test_key_pivot_roundtrip(spark):
     back = keyed_items(key_long(wide)).select("item_id", "question", "trait", "weight")
     assert sorted(back.collect()) == sorted(long.select("item_id", "question", "trait", "weight").collect())
     assert keyed_items(long, ["Neuroticism"], 1.0).count() == 2
+
+
+def test_inventory_file_with_windows_line_endings(spark):
+    import os
+    import tempfile
+    from traitgrid.sources.inventory import read_inventory_text
+    d = tempfile.mkdtemp(prefix="tg-crlf-")
+    with open(os.path.join(d, "inv.txt"), "w", newline="") as f:
+        f.write(TEXT.replace("\n", "\r\n"))
+    rows = parse_inventory(read_inventory_text(spark, os.path.join(d, "inv.txt"))).orderBy("item_no").collect()
+    assert [(r.trait, r.sign, r.question) for r in rows][:3] == [
+        ("Neuroticism", 1, "I stay calm."), ("Neuroticism", 1, "I relax often."), ("Neuroticism", -1, "I panic easily.")]
+    assert len(rows) == 6
