@@ -125,3 +125,16 @@ def test_local_runner_flow_first_character(spark):
     res = {r.item_id: r for r in resolve_attempts(att, ["item_id"], max_attempts=1, parser=first_char).collect()}
     assert (res[1].rating_text, res[1].response_text) == ("4", "4 because")
     assert res[2].rating_text == "N/A"
+
+
+def test_responder_with_per_reply_timings(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(25)], "item_id long, prompt string")
+
+    def factory():
+        def ask(ps, attempt):
+            return pd.DataFrame({"text": ["3"] * len(ps), "elapsed_s": [0.25 * (1 + int(p[1:]) % 2) for p in ps]})
+        return ask
+    att = collect_responses(prompts, factory, ["item_id"], max_attempts=2)
+    res = resolve_attempts(att, ["item_id"])
+    timing = sorted(batch_timing(res, [], "item_id", 20).collect())
+    assert [(r.batch, r.n_questions, r.sum_elapsed_s, r.max_elapsed_s) for r in timing] == [(0, 20, 7.5, 0.5), (1, 5, 1.75, 0.5)]

@@ -38,8 +38,9 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
     """Ask every prompt until its reply holds a valid rating (or attempts run out).
 
     ``responder_factory()`` is called once per task and returns
-    ``ask(prompts: pandas.Series, attempt: int) -> pandas.Series`` of reply
-    texts (None = failed call; failed calls are retried up to
+    ``ask(prompts: pandas.Series, attempt: int)`` giving a pandas Series of
+    reply texts, or a DataFrame with ``text`` and per-reply ``elapsed_s``
+    (None text = failed call; failed calls are retried up to
     ``max_call_failures`` times and do not count as attempts). ``allowed=None``
     accepts the first reply. Output: ``id_cols, attempt, ok, response_text,
     elapsed_s`` — one row per call.
@@ -67,9 +68,13 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
                 answered = []
                 while len(todo) and failures <= max_call_failures:
                     t0 = time.perf_counter()
-                    texts = pd.Series(ask(todo[prompt_col].reset_index(drop=True), attempt), dtype=object)
-                    per_call = (time.perf_counter() - t0) / max(len(todo), 1)
-                    got = todo.assign(response_text=texts.values, elapsed_s=per_call, attempt=attempt)
+                    reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
+                    if isinstance(reply, pd.DataFrame):  # per-reply timings from the responder
+                        texts, secs = reply["text"].astype(object), reply["elapsed_s"].astype(float).values
+                    else:                                # batch wall time shared evenly
+                        texts = pd.Series(reply, dtype=object)
+                        secs = (time.perf_counter() - t0) / max(len(todo), 1)
+                    got = todo.assign(response_text=texts.values, elapsed_s=secs, attempt=attempt)
                     got["ok"] = got["response_text"].notna()
                     out.append(got.loc[~got["ok"]])
                     answered.append(got.loc[got["ok"]])
