@@ -138,3 +138,21 @@ def test_responder_with_per_reply_timings(spark):
     res = resolve_attempts(att, ["item_id"])
     timing = sorted(batch_timing(res, [], "item_id", 20).collect())
     assert [(r.batch, r.n_questions, r.sum_elapsed_s, r.max_elapsed_s) for r in timing] == [(0, 20, 7.5, 0.5), (1, 5, 1.75, 0.5)]
+
+
+def test_raising_responder_counts_as_failed_calls(spark):
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, prompt string")
+
+    def factory():
+        state = {"calls": 0}
+
+        def ask(ps, attempt):
+            state["calls"] += 1
+            if state["calls"] == 1:
+                raise ConnectionError("temporarily unavailable")
+            return ps.map(lambda p: "4")
+        return ask
+    att = collect_responses(prompts, factory, ["item_id"], max_attempts=3, num_partitions=1).cache()
+    assert att.filter("NOT ok").count() == 2 and att.filter("ok").count() == 2
+    res = {r.item_id: (r.attempt, r.rating_text) for r in resolve_attempts(att, ["item_id"]).collect()}
+    assert res == {1: (1, "4"), 2: (1, "4")}

@@ -34,14 +34,16 @@ def _single_number(text) -> str | None:
 def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callable], id_cols: list[str],
                       prompt_col: str = "prompt", max_attempts: int = 10,
                       scale: RatingScale = DEFAULT_SCALE, allowed: list[str] | None | str = "scale",
-                      max_call_failures: int = 3, num_partitions: int | None = None) -> DataFrame:
+                      max_call_failures: int = 3, num_partitions: int | None = None,
+                      retry_pause_s: float = 0.0) -> DataFrame:
     """Ask every prompt until its reply holds a valid rating (or attempts run out).
 
     ``responder_factory()`` is called once per task and returns
     ``ask(prompts: pandas.Series, attempt: int)`` giving a pandas Series of
     reply texts, or a DataFrame with ``text`` and per-reply ``elapsed_s``
-    (None text = failed call; failed calls are retried up to
-    ``max_call_failures`` times and do not count as attempts). ``allowed=None``
+    (None text = failed call; a call that raises fails all its prompts; failed
+    calls are retried up to ``max_call_failures`` times, ``retry_pause_s``
+    apart, and do not count as attempts). ``allowed=None``
     accepts the first reply. Output: ``id_cols, attempt, ok, response_text,
     elapsed_s`` — one row per call.
     """
@@ -68,7 +70,12 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
                 answered = []
                 while len(todo) and failures <= max_call_failures:
                     t0 = time.perf_counter()
-                    reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
+                    try:
+                        reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
+                    except Exception:  # the call failed as a whole: log it, pause, retry
+                        reply = pd.Series([None] * len(todo), dtype=object)
+                        if retry_pause_s:
+                            time.sleep(retry_pause_s)
                     if isinstance(reply, pd.DataFrame):  # per-reply timings from the responder
                         texts, secs = reply["text"].astype(object), reply["elapsed_s"].astype(float).values
                     else:                                # batch wall time shared evenly
