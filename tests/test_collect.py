@@ -156,3 +156,16 @@ def test_raising_responder_counts_as_failed_calls(spark):
     assert att.filter("NOT ok").count() == 2 and att.filter("ok").count() == 2
     res = {r.item_id: (r.attempt, r.rating_text) for r in resolve_attempts(att, ["item_id"]).collect()}
     assert res == {1: (1, "4"), 2: (1, "4")}
+
+
+def test_one_responder_per_model(spark):
+    prompts = spark.createDataFrame([(m, i, f"q{i}") for m in ("gpt-x", "claude-y") for i in range(6)],
+                                    "model string, item_id long, prompt string")
+    made = []
+
+    def factory(model):
+        made.append(model)
+        return lambda ps, attempt: ps.map(lambda p: "5" if model.startswith("claude") else "2")
+    att = collect_responses(prompts, factory, ["model", "item_id"], num_partitions=2, model_col="model")
+    got = {(r.model, r.rating_text) for r in resolve_attempts(att, ["model", "item_id"]).collect()}
+    assert got == {("gpt-x", "2"), ("claude-y", "5")}

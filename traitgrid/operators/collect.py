@@ -35,7 +35,7 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
                       prompt_col: str = "prompt", max_attempts: int = 10,
                       scale: RatingScale = DEFAULT_SCALE, allowed: list[str] | None | str = "scale",
                       max_call_failures: int = 3, num_partitions: int | None = None,
-                      retry_pause_s: float = 0.0) -> DataFrame:
+                      retry_pause_s: float = 0.0, model_col: str | None = None) -> DataFrame:
     """Ask every prompt until its reply holds a valid rating (or attempts run out).
 
     ``responder_factory()`` is called once per task and returns
@@ -44,8 +44,10 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
     (None text = failed call; a call that raises fails all its prompts; failed
     calls are retried up to ``max_call_failures`` times, ``retry_pause_s``
     apart, and do not count as attempts). ``allowed=None``
-    accepts the first reply. Output: ``id_cols, attempt, ok, response_text,
-    elapsed_s`` — one row per call.
+    accepts the first reply. With ``model_col`` the factory is called as
+    ``responder_factory(model)`` once per model label a task meets, and each
+    batch is asked model by model. Output: ``id_cols, attempt, ok,
+    response_text, elapsed_s`` — one row per call.
     """
     ok_values = set(scale.allowed) if allowed == "scale" else (None if allowed is None else set(allowed))
     fields = [prompts.schema[c] for c in id_cols]
@@ -55,48 +57,62 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
         T.StructField("response_text", T.StringType()),
         T.StructField("elapsed_s", T.DoubleType()),
     ])
-    src = prompts.select(*id_cols, prompt_col)
+    extra = [model_col] if model_col and model_col not in id_cols else []
+    src = prompts.select(*id_cols, *extra, prompt_col)
     if num_partitions:
         src = src.repartition(num_partitions)
 
     def run(batches):
+        responders: dict = {}
+
+        def responder_for(model):
+            if model not in responders:
+                responders[model] = responder_factory(model) if model_col else responder_factory()
+            return responders[model]
+
+        for whole in batches:
+            groups = whole.groupby(model_col, sort=False) if model_col else [(None, whole)]
+            for model, pdf in groups:
+                yield from ask_until_valid(responder_for(model), pdf)
+
+    def ask_until_valid(ask, pdf):
+        """Ask one batch of one model until every prompt has a valid reply or
+        runs out of attempts; yields the attempt log of the batch."""
         import pandas as pd
-        ask = responder_factory()
-        for pdf in batches:
-            pending = pdf
-            out = []
-            for attempt in range(1, max_attempts + 1):
-                todo, failures = pending, 0
-                answered = []
-                while len(todo) and failures <= max_call_failures:
-                    t0 = time.perf_counter()
-                    try:
-                        reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
-                    except Exception:  # the call failed as a whole: log it, pause, retry
-                        reply = pd.Series([None] * len(todo), dtype=object)
-                        if retry_pause_s:
-                            time.sleep(retry_pause_s)
-                    if isinstance(reply, pd.DataFrame):  # per-reply timings from the responder
-                        texts, secs = reply["text"].astype(object), reply["elapsed_s"].astype(float).values
-                    else:                                # batch wall time shared evenly
-                        texts = pd.Series(reply, dtype=object)
-                        secs = (time.perf_counter() - t0) / max(len(todo), 1)
-                    got = todo.assign(response_text=texts.values, elapsed_s=secs, attempt=attempt)
-                    got["ok"] = got["response_text"].notna()
-                    out.append(got.loc[~got["ok"]])
-                    answered.append(got.loc[got["ok"]])
-                    todo, failures = todo.loc[~got["ok"].values], failures + 1
-                done = pd.concat(answered) if answered else pending.iloc[0:0]
-                out.append(done)
-                if ok_values is None:
-                    valid = pd.Series(True, index=done.index)
-                else:
-                    valid = done["response_text"].map(_single_number).isin(ok_values)
-                pending = pd.concat([done.loc[~valid, pending.columns], todo])
-                if pending.empty:
-                    break
-            res = pd.concat(out) if out else pdf.iloc[0:0]
-            yield res[[f.name for f in schema.fields]]
+        pending = pdf
+        out = []
+        for attempt in range(1, max_attempts + 1):
+            todo, failures = pending, 0
+            answered = []
+            while len(todo) and failures <= max_call_failures:
+                t0 = time.perf_counter()
+                try:
+                    reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
+                except Exception:  # the call failed as a whole: log it, pause, retry
+                    reply = pd.Series([None] * len(todo), dtype=object)
+                    if retry_pause_s:
+                        time.sleep(retry_pause_s)
+                if isinstance(reply, pd.DataFrame):  # per-reply timings from the responder
+                    texts, secs = reply["text"].astype(object), reply["elapsed_s"].astype(float).values
+                else:                                # batch wall time shared evenly
+                    texts = pd.Series(reply, dtype=object)
+                    secs = (time.perf_counter() - t0) / max(len(todo), 1)
+                got = todo.assign(response_text=texts.values, elapsed_s=secs, attempt=attempt)
+                got["ok"] = got["response_text"].notna()
+                out.append(got.loc[~got["ok"]])
+                answered.append(got.loc[got["ok"]])
+                todo, failures = todo.loc[~got["ok"].values], failures + 1
+            done = pd.concat(answered) if answered else pending.iloc[0:0]
+            out.append(done)
+            if ok_values is None:
+                valid = pd.Series(True, index=done.index)
+            else:
+                valid = done["response_text"].map(_single_number).isin(ok_values)
+            pending = pd.concat([done.loc[~valid, pending.columns], todo])
+            if pending.empty:
+                break
+        res = pd.concat(out) if out else pdf.iloc[0:0]
+        yield res[[f.name for f in schema.fields]]
 
     return src.mapInPandas(run, schema)
 

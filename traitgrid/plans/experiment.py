@@ -45,10 +45,13 @@ def _existing_cells(spark: SparkSession, path: str) -> DataFrame | None:
 def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, models: list[str],
                    traits: list[str], out_root: str, responder_factory: Callable[[], Callable],
                    repetitions: int = 1, max_attempts: int = 10, scale: RatingScale = DEFAULT_SCALE,
-                   style: str = "rating", num_partitions: int | None = None) -> dict[str, str]:
+                   style: str = "rating", num_partitions: int | None = None,
+                   per_model: bool = False) -> dict[str, str]:
     """Run (or resume) the grid models × traits × persona values; returns the
     paths of the attempts (one ``run=…`` folder per call), responses and
-    scores tables under ``out_root``."""
+    scores tables under ``out_root``. With ``per_model`` the factory is called
+    with the model label (one client per model, as a provider is chosen by
+    label)."""
     paths = {n: f"{out_root.rstrip('/')}/{n}" for n in ("attempts", "responses", "scores")}
     cells = (personas.filter(F.col("domain").isin(*traits))
              .select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
@@ -59,7 +62,8 @@ def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, mod
     todo = (cells if done is None else pending_cells(cells, done)).checkpoint(eager=True)
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
     attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
-                                 num_partitions=num_partitions or parallelism(spark))
+                                 num_partitions=num_partitions or parallelism(spark),
+                                 model_col="model" if per_model else None)
     # One flat folder per call, one file per asking task: no shuffle between the
     # model calls and the durable write, and no tasks × cells small files.
     run_path = f"{paths['attempts']}/run={uuid.uuid4().hex}"
