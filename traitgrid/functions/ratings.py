@@ -90,8 +90,10 @@ def python_round_ratio(num, den, digits: int = 2, max_value: float = 10.0) -> Co
     quot = idiv(a, b)
     tie = (F.pmod(a, b) == 0) & (F.pmod(quot, F.lit(2)) == 1)   # num/den·scale = k + ½
     k = idiv(quot - 1, F.lit(2))
-    table = F.array(*[F.lit(x) for x in tie_rounds_up(digits, max_value)])
-    up = F.coalesce(F.try_element_at(table, (k + 1).cast("int")), F.pmod(k, F.lit(2)) == 1)
+    # the tie table as one literal: character k+1 is '1' when tie k rounds up
+    table = F.lit("".join("1" if x else "0" for x in tie_rounds_up(digits, max_value)))
+    n_ties = len(tie_rounds_up(digits, max_value))
+    up = F.when(k < n_ties, F.substring(table, (k + 1).cast("int"), 1) == "1").otherwise(F.pmod(k, F.lit(2)) == 1)
     nearest = idiv(a + b, 2 * b)                                 # floor(num/den·scale + ½)
     units = F.when(tie, k + F.when(up, 1).otherwise(0)).otherwise(nearest)
     return units / F.lit(float(scale))

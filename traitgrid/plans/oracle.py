@@ -75,12 +75,13 @@ BASE = f"WITH {D1},\n{D2},\n{TRAIT_LIST},\n{SCORES}"
 
 def python_round_ratio(num: str, den: str) -> str:
     """SQL twin of functions.ratings.python_round_ratio (digits=2)."""
-    table = "[" + ", ".join("true" if x else "false" for x in tie_rounds_up(2, 10.0)) + "]"
+    ties = tie_rounds_up(2, 10.0)
+    table = lit("".join("1" if x else "0" for x in ties))
     a, b = f"(CAST({num} AS BIGINT) * 200)", f"CAST({den} AS BIGINT)"
     quot = f"({a} // {b})"
     k = f"(({quot} - 1) // 2)"
     tie = f"({a} % {b} = 0 AND {quot} % 2 = 1)"
-    up = f"coalesce({table}[{k} + 1], {k} % 2 = 1)"
+    up = f"CASE WHEN {k} < {len(ties)} THEN substr({table}, CAST({k} + 1 AS INTEGER), 1) = '1' ELSE {k} % 2 = 1 END"
     return (f"CAST(CASE WHEN {tie} THEN {k} + CASE WHEN {up} THEN 1 ELSE 0 END "
             f"ELSE ({a} + {b}) // (2 * {b}) END AS DOUBLE) / CAST(100 AS DOUBLE)")
 
