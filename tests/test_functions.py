@@ -112,3 +112,11 @@ def test_python_round_ratio_matches_python(spark):
     bad = [(n, d, got[(n, d)], round(n / d, 2)) for n, d in pairs
            if got[(n, d)][1] != round(n / d, 2) or (n / d < 10 and got[(n, d)][0] != round(n / d, 2))]
     assert not bad, bad[:5]
+
+
+def test_cohort_labels_cover_cohort_of(spark):
+    from traitgrid.functions.files import cohort_labels
+    names = [f"{m}_{t}_20250101_1200{s:02d}.json" for m in ("Qwen-1.5B", "Qwen-1.5B-GRPO", "x-3b", "GRPO-1.5b-neuroticism")
+             for t in ("", "Neuroticism") for s in range(2)]
+    got = {v for v in col_values(spark, names, cohort_of) if v is not None}
+    assert got and got <= set(cohort_labels())

@@ -45,3 +45,8 @@ def cohort_of(name, persona_tag: str = "neuroticism", baseline_tag: str = "__",
                .when(contains_ci(n, baseline_tag), F.lit("base")))
     arm = F.when(contains_ci(n, treated_tag), F.lit(treated_tag.lower())).otherwise(F.lit("plain"))
     return F.when(contains_ci(n, size_tag) & persona.isNotNull(), F.concat(persona, F.lit("/"), arm))
+
+
+def cohort_labels(persona_tag: str = "neuroticism", treated_tag: str = "grpo") -> list[str]:
+    """Every label ``cohort_of`` can produce with these tags (a bounded set)."""
+    return [f"{p}/{a}" for p in (persona_tag.lower(), "base") for a in (treated_tag.lower(), "plain")]

@@ -64,19 +64,24 @@ def markdown_lines(table: DataFrame, group_cols: list[str], index_col: str, valu
     return out.select(*group_cols, F.col("line_no").cast("int").alias("line_no"), "line")
 
 
-def cohort_histogram(df: DataFrame, cohort_col: str, value_col: str, bins: int = 5) -> DataFrame:
+def cohort_histogram(df: DataFrame, cohort_col: str, value_col: str, bins: int = 5,
+                     cohorts: list[str] | None = None) -> DataFrame:
     """Equal-width histogram per cohort over the cohort's own [min, max]
     (all values equal → [v−0.5, v+0.5]); the top edge belongs to the last bin.
     Bin assignment follows numpy's uniform-bin rule, including its edge
     correction, so counts match ``numpy.histogram(x, bins)``.
 
-    Plan: partial-aggregated min/max per cohort → joined back onto the values
-    (AQE broadcasts the per-cohort row set once it is measured small) → partial-aggregated count per (cohort, bin) → all bins per
+    Plan: partial-aggregated min/max per cohort → joined back onto the values.
+    With ``cohorts`` (the possible labels) the per-cohort table has a proven
+    bound and is broadcast, so the values are never shuffled for the join;
+    otherwise AQE broadcasts it once it is measured small → partial-aggregated count per (cohort, bin) → all bins per
     cohort via a bounded explode. Two scans of the input, no skew exposure.
     """
     x = F.col(value_col).cast("double")
     vals = df.select(F.col(cohort_col).alias("cohort"), x.alias("x")).filter(
         F.col("cohort").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
+    if cohorts is not None:
+        vals = vals.filter(F.col("cohort").isin(*cohorts))
     st = vals.groupBy("cohort").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
     st = st.select("cohort",
                    F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
@@ -86,7 +91,7 @@ def cohort_histogram(df: DataFrame, cohort_col: str, value_col: str, bins: int =
     def edge(j: Column) -> Column:
         return F.when(j == bins, F.col("hi")).otherwise(j.cast("double") * F.col("step") + F.col("lo"))
 
-    b = vals.join(st, "cohort")
+    b = vals.join(F.broadcast(st) if cohorts is not None else st, "cohort")  # ≤ len(cohorts) rows
     i0 = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))).cast("int")
     b = b.withColumn("__i", F.when(i0 >= bins, F.lit(bins - 1)).otherwise(i0))
     b = b.withColumn("__i", F.when(F.col("x") < edge(F.col("__i")), F.col("__i") - 1).otherwise(F.col("__i")))

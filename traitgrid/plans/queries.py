@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitgrid.functions.files import cohort_of, parse_run_file
+from traitgrid.functions.files import cohort_labels, cohort_of, parse_run_file
 from traitgrid.functions.models import api_model_name, provider
 from traitgrid.functions.prompts import AGREEMENT_INTRO, agreement_prompt, chat_prompt
 from traitgrid.functions.ratings import digit_strings, extract_number, rating_text, rating_value
@@ -139,7 +139,7 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def cohort_histogram(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.d6_run_names(spark, sf).withColumn("cohort", cohort_of("file_name"))
-    return report.cohort_histogram(d, "cohort", "level", bins=5)
+    return report.cohort_histogram(d, "cohort", "level", bins=5, cohorts=cohort_labels())
 
 
 def run_names(spark: SparkSession, sf: str) -> DataFrame:
