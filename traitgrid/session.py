@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from hashlib import sha256
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -73,6 +76,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, so that functions sent to them can import
+    it wherever the driver was started. The driver zips its own source files and
+    Spark hands the archive out; done once per application."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: artifacts are added by the client that owns the session
+        return spark
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return spark
+    files = sorted(p for p in root.rglob("*.py"))
+    mark = sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="traitgrid-ship-"), f"{root.name}-{mark}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in files:
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
     return spark
 
 
