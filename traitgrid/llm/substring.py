@@ -29,6 +29,7 @@ OCC = "h long, g long, doc_id long, pos long, sure boolean, salt long"
 
 
 def _tag(raw: bytes) -> int:
+    """Tells texts of one id apart where ids are not unique; stands above the word position."""
     return (zlib.crc32(raw) & _TAG) << 32
 
 
@@ -44,6 +45,14 @@ class Words:
         self.ids = np.array([ids.setdefault(w, len(ids)) for x in self.lists for w in x], dtype=np.int64)
         self.words = list(ids)
 
+    def marked(self, at: list[list[int] | None], tags: np.ndarray) -> np.ndarray:
+        """A mask of the words at the positions given for each text (those with its tag)."""
+        out = np.zeros(len(self.doc), dtype=bool)
+        for i, p in enumerate(at):
+            p = np.array(p or [], dtype=np.int64)
+            out[self.first[i] + (p[p >> 32 == tags[i] >> 32] & 0xFFFFFFFF)] = True
+        return out
+
     def hashes(self, size: int, seed: int) -> np.ndarray:
         """A mixed 64-bit hash of the ``size`` words from each word on (windows that
         cross a document's end included: see ``inside``)."""
@@ -72,17 +81,33 @@ class Words:
         return start, start + at[start], h
 
 
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value of the sorted key columns begins."""
+    return np.r_[True, np.logical_or.reduce([np.diff(k) != 0 for k in keys])]
+
+
+def _alike(doc: np.ndarray, h: np.ndarray, g: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """``live``, spread to windows of the same document with the same key."""
+    order = np.lexsort((g, h, doc))
+    new = _runs(doc[order], h[order], g[order])
+    out = np.empty_like(live)
+    out[order] = np.logical_or.reduceat(live[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def _collapse(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, first_too: bool) -> list[np.ndarray]:
-    """Occurrences of one slice, as columns of ``OCC``. Those in a later document
-    than the slice's first are known to be repeats here; they get a salt of their
-    own, so a passage of very many documents sends each task's first only to its key."""
+    """Occurrences of one slice, as columns of ``OCC``: one for each key and document
+    (the first; those like it are found again from the text, see ``_alike``). Those in
+    a later document than the slice's first are known to be repeats here; they get a
+    salt, so a passage of very many documents sends each slice's first only to its key."""
     order = np.lexsort((pos, doc, g, h))
+    order = order[_runs(h[order], g[order], doc[order], pos[order] >> 32)]
     h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-    new = np.r_[True, (np.diff(h) != 0) | (np.diff(g) != 0)]
+    new = _runs(h, g)
     run = np.cumsum(new) - 1
     later = doc != doc[new][run]
     sure = later | (np.bincount(run, weights=later)[run] > 0) if first_too else later
-    return [h, g, doc, pos, sure, np.where(later, pos * 31 + doc + 1, 0)]
+    return [h, g, doc, pos, sure, np.where(later, (pos * 31 + doc) % 1021 + 1, 0)]
 
 
 def _flag(first_too: bool):
@@ -131,7 +156,7 @@ def repeated(occurrences: DataFrame, first_too: bool) -> DataFrame:
     return dealt.mapInArrow(_flag(first_too), "doc_id long, pos long")
 
 
-def _first_level(size: int):
+def _first_level(size: int, tagged: bool):
     part = (size + 1) // 2
 
     def run(rows):
@@ -140,39 +165,54 @@ def _first_level(size: int):
         _, at, h = w.chosen(size, part)
         at = np.unique(at)
         if len(at):
-            tags = np.array([_tag(t) for t in texts], dtype=np.int64)
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             d = w.doc[at]
             key = h[at].view(np.int64)
-            yield _collapse(key, np.zeros_like(key), ids[d], tags[d] | (at - w.first[d]), True)
+            yield _collapse(key, np.zeros_like(key), ids[d], _tags(texts, tagged)[d] | (at - w.first[d]), True)
 
     return run
 
 
-def _second_level(size: int):
+def _second_level(size: int, tagged: bool):
     part = (size + 1) // 2
 
     def run(rows):
         texts = rows.column("text").to_pylist()
         w = Words(texts)
-        start, at, _ = w.chosen(size, part)
+        start, at, h = w.chosen(size, part)
         if not len(start):
             return
-        tags = np.array([_tag(t) for t in texts], dtype=np.int64)
+        tags = _tags(texts, tagged)
         ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        live = np.zeros(len(w.doc), dtype=bool)
-        for i, p in enumerate(rows.column("at").to_pylist()):
-            p = np.array(p, dtype=np.int64)
-            p = p[(p & ~np.int64(0xFFFFFFFF)) == tags[i]] & 0xFFFFFFFF
-            live[w.first[i] + p] = True
+        live = w.marked(rows.column("at").to_pylist(), tags)
+        one = np.unique(at)
+        live[one] = _alike(w.doc[one], h[one], np.zeros_like(h[one]), live[one])
         start = start[live[at]]
-        d = w.doc[start]
-        yield _collapse(w.hashes(size, 2)[start].view(np.int64), w.hashes(size, 3)[start].view(np.int64), ids[d],
-                        tags[d] | (start - w.first[d]), False)
+        if len(start):
+            d = w.doc[start]
+            yield _collapse(w.hashes(size, 2)[start].view(np.int64), w.hashes(size, 3)[start].view(np.int64), ids[d],
+                            tags[d] | (start - w.first[d]), False)
 
     return run
 
 
+def _tags(texts: list[bytes], tagged: bool) -> np.ndarray:
+    return np.array([_tag(t) if tagged else 0 for t in texts], dtype=np.int64)
+
+
+def gone_words(texts: list[bytes], at: list[list[int] | None], size: int, tagged: bool) -> list[np.ndarray]:
+    """Of each text, which words lie in a passage of ``size`` words that is one of its
+    repeated ones (``at`` has the first start of each)."""
+    w = Words(texts)
+    start = np.flatnonzero(w.inside(size))
+    edge = np.zeros(len(w.doc) + 1, dtype=np.int64)
+    if len(start):
+        live = _alike(w.doc[start], w.hashes(size, 2)[start], w.hashes(size, 3)[start], w.marked(at, _tags(texts, tagged))[start])
+        edge[start[live]] += 1
+        np.add.at(edge, start[live] + size, -1)
+    return np.split(np.cumsum(edge[:-1]) > 0, w.first[1:])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n_words, sha``: of all words, one space between (null: no words)."""
     def run(part):
@@ -188,9 +228,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def repeated_starts(docs: DataFrame, marks: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, at``: the starts (tag | word position) of passages of ``size`` words
-    that also start in a document with a smaller id. Copies (their words are all
+def shared_ids(marks: DataFrame) -> bool:
+    """Whether some id has different texts (positions then carry a tag of the text)."""
+    return not marks.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a != b").isEmpty()
+
+
+def repeated_starts(docs: DataFrame, marks: DataFrame, size: int, tagged: bool) -> DataFrame:
+    """``doc_id, at``: the first start (tag | word position) of each passage of ``size``
+    words that also starts in a document with a smaller id. Copies (their words are all
     those of a smaller id) are left out: see ``copies``. All texts are shuffled
     once, by id; each later use reads that same exchange.
 
@@ -199,10 +244,10 @@ def repeated_starts(docs: DataFrame, marks: DataFrame, size: int = SIZE) -> Data
     once = marks.filter(F.col("n_words") >= size).join(
         copies(marks, size), ["doc_id", "tag"], "left_anti").select(F.col("doc_id").alias("d")).distinct()
     own = texts.join(once, F.col("doc_id") == F.col("d")).select("doc_id", "text")
-    first = map_text(own, _first_level(size), OCC)
+    first = map_text(own, _first_level(size, tagged), OCC)
     live = repeated(first, True).groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     held = texts.join(live.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "at")
-    second = map_text(held, _second_level(size), OCC)
+    second = map_text(held, _second_level(size, tagged), OCC)
     return repeated(second, False).groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
 
 
@@ -215,34 +260,23 @@ def copies(marks: DataFrame, size: int = SIZE) -> DataFrame:
             .filter("doc_id > least").select("doc_id", "tag").distinct())
 
 
-def covered(at: list[int] | None, tag: int, n: int, size: int) -> np.ndarray:
-    """Which of ``n`` words lie in a passage that starts at one of ``at``."""
-    p = np.array(at or [], dtype=np.int64)
-    p = p[(p & ~np.int64(0xFFFFFFFF)) == tag] & 0xFFFFFFFF
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, p, 1)
-    np.add.at(edge, np.minimum(p + size, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def dedup_digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256``. A word goes if a
     passage of ``size`` words that covers it also starts in a document with a
     smaller id; passages are judged on the input. Null and empty texts have no
     words; a row without id loses nothing; repeated rows count as one document."""
     marks = stored(digests(docs), "substring-marks")
+    tagged = shared_ids(marks)
 
     def run(part):
         out = []
-        for raw, at in zip(part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
-            words = raw.split()
-            tag = _tag(raw)
-            gone = covered(at, tag, len(words), size)
-            kept = [w for w, x in zip(words, gone, strict=True) if not x]
-            out.append((tag, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        texts = part.column("text").to_pylist()
+        for raw, gone in zip(texts, gone_words(texts, part.column("at").to_pylist(), size, tagged), strict=True):
+            kept = [w for w, x in zip(raw.split(), gone, strict=True) if not x]
+            out.append((_tag(raw), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         yield [part.column("doc_id"), *(list(c) for c in zip(*out, strict=True))]
 
-    hit = repeated_starts(docs, marks, size).withColumnRenamed("doc_id", "d")
+    hit = repeated_starts(docs, marks, size, tagged).withColumnRenamed("doc_id", "d")
     texts = _texts(docs).filter("doc_id is not null")
     changed = map_text(texts.join(hit, F.col("doc_id") == F.col("d")).select("doc_id", "text", "at"), run,
                        "doc_id long, tag long, n_removed long, kept string").distinct()
@@ -259,25 +293,24 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     match. Documents that keep no word of what they had are dropped; a text that
     loses nothing stays byte for byte."""
     marks = stored(digests(docs), "substring-marks")
-    hit = repeated_starts(docs, marks, size).withColumnRenamed("doc_id", "__d")
+    tagged = shared_ids(marks)
+    hit = repeated_starts(docs, marks, size, tagged).withColumnRenamed("doc_id", "__d")
     whole = copies(marks, size).select(F.col("doc_id").alias("__c"), F.col("tag").alias("__t"))
 
     def run(part):
         import re
 
-        out = []
-        for raw, at in zip(part.column("text").to_pylist(), part.column("__at").to_pylist(), strict=True):
-            if raw is None or not at:
-                out.append(raw)
-                continue
-            spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-            gone = covered(at, _tag(raw), len(spans), size)
+        out = part.column("text").to_pylist()
+        at = part.column("__at").to_pylist()
+        some = [i for i, x in enumerate(at) if x]
+        for i, gone in zip(some, gone_words([out[i] for i in some], [at[i] for i in some], size, tagged) if some else [], strict=True):
             if not gone.any():
-                out.append(raw)
                 continue
+            raw = out[i]
+            spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
             keep = np.flatnonzero(~gone)
             runs = np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else []
-            out.append(b" ".join(raw[spans[r[0]][0]:spans[r[-1]][1]] for r in runs) if runs else None)
+            out[i] = b" ".join(raw[spans[r[0]][0]:spans[r[-1]][1]] for r in runs) if runs else None
         yield [*(part.column(c) for c in rest), out, [len(raw.decode("utf-8", "replace")) if raw is not None else None for raw in out],
                [x is None and y is not None for x, y in zip(out, part.column("text").to_pylist(), strict=True)]]
 
