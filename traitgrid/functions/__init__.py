@@ -8,4 +8,4 @@ from traitgrid.functions.ratings import (  # noqa: F401
 from traitgrid.functions.prompts import rating_prompt, statement, agreement_prompt, chat_prompt  # noqa: F401
 from traitgrid.functions.rewards import rating_reward, format_reward, xml_answer, hash_answer  # noqa: F401
 from traitgrid.functions.models import provider, api_model_name  # noqa: F401
-from traitgrid.functions.files import run_file_name, parse_run_file, contains_ci, cohort_of  # noqa: F401
+from traitgrid.functions.files import run_file_name, parse_run_file, contains_ci, cohort_of, cohorts_of  # noqa: F401

@@ -47,6 +47,18 @@ def cohort_of(name, persona_tag: str = "neuroticism", baseline_tag: str = "__",
     return F.when(contains_ci(n, size_tag) & persona.isNotNull(), F.concat(persona, F.lit("/"), arm))
 
 
+def cohorts_of(name, persona_tag: str = "neuroticism", baseline_tag: str = "__",
+               size_tag: str = "1.5b", treated_tag: str = "grpo") -> Column:
+    """Every cohort a score-card file belongs to (array, for explode): a name with
+    both tags is in both."""
+    n = _c(name)
+    arm = F.when(contains_ci(n, treated_tag), F.lit(treated_tag.lower())).otherwise(F.lit("plain"))
+    sized = contains_ci(n, size_tag)
+    return F.array_compact(F.array(
+        F.when(sized & contains_ci(n, persona_tag), F.concat(F.lit(f"{persona_tag.lower()}/"), arm)),
+        F.when(sized & contains_ci(n, baseline_tag), F.concat(F.lit("base/"), arm))))
+
+
 def cohort_labels(persona_tag: str = "neuroticism", treated_tag: str = "grpo") -> list[str]:
     """Every label ``cohort_of`` can produce with these tags (a bounded set)."""
     return [f"{p}/{a}" for p in (persona_tag.lower(), "base") for a in (treated_tag.lower(), "plain")]

@@ -36,9 +36,10 @@ def rating_text(number, scale: RatingScale = DEFAULT_SCALE, allowed: list[str] |
 
 
 def rating_value(text, scale: RatingScale = DEFAULT_SCALE) -> Column:
-    """Stored rating text → int when it is one of the scale's values, else null."""
-    t = _c(text)
-    return F.when(t.isin(*scale.allowed), t.try_cast("int"))
+    """Stored rating text → int when its number is one of the scale's values (``5.0``
+    is 5, as in a numeric column with a gap), else null."""
+    n = _c(text).cast("string").try_cast("double")
+    return F.when(n.isin(*[float(x) for x in scale.allowed]), n.cast("int"))
 
 
 def reverse_key(rating, weight, scale: RatingScale = DEFAULT_SCALE) -> Column:
@@ -79,7 +80,7 @@ def python_round_ratio(num, den, digits: int = 2, max_value: float = 10.0) -> Co
     non-negative integer ``num`` and positive ``den`` (null when ``den`` is 0):
     the rational is rounded to nearest with integer arithmetic, and an exact
     decimal tie goes the way Python's rounding of the nearest double goes
-    (``tie_rounds_up``); ties beyond ``max_value`` fall back to half-even."""
+    (``tie_rounds_up``). ``max_value`` must bound the ratio (the caller knows it)."""
     scale = 10 ** digits
 
     def idiv(x: Column, y: Column) -> Column:  # exact floor division of non-negative longs

@@ -9,7 +9,6 @@ retried task can be resolved idempotently by ``resolve_attempts``.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable
 
@@ -20,31 +19,36 @@ from pyspark.sql import types as T
 from traitgrid.functions.ratings import extract_number, rating_text
 from traitgrid.schemas import DEFAULT_SCALE, RatingScale
 
-_DIGITS = re.compile(r"\d+")
+#: What a call raises when the model cannot be reached; anything else is a fault and ends the job.
+TRANSIENT = (ConnectionError, TimeoutError, OSError)
 
 
-def _single_number(text) -> str | None:
-    """Python twin of ``functions.ratings.extract_number`` for the retry test."""
-    if not isinstance(text, str):
-        return None
-    found = set(_DIGITS.findall(text))
-    return found.pop() if len(found) == 1 else None
+def single_numbers(texts):
+    """Default reply parser of the retry test (a pandas Series in and out): the one
+    distinct number of each text, else missing."""
+    texts = texts.reset_index(drop=True)
+    found = texts.astype("string").str.extractall(r"(\d+)")[0].groupby(level=0)
+    return found.first().where(found.nunique() == 1).reindex(texts.index)
 
 
 def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callable], id_cols: list[str],
                       prompt_col: str = "prompt", max_attempts: int = 10,
                       scale: RatingScale = DEFAULT_SCALE, allowed: list[str] | None | str = "scale",
                       max_call_failures: int = 3, num_partitions: int | None = None,
-                      retry_pause_s: float = 0.0, model_col: str | None = None) -> DataFrame:
+                      retry_pause_s: float = 4.0, model_col: str | None = None,
+                      parser: Callable | None = None) -> DataFrame:
     """Ask every prompt until its reply holds a valid rating (or attempts run out).
 
     ``responder_factory()`` is called once per task and returns
     ``ask(prompts: pandas.Series, attempt: int)`` giving a pandas Series of
     reply texts, or a DataFrame with ``text`` and per-reply ``elapsed_s``
-    (None text = failed call; a call that raises fails all its prompts; failed
-    calls are retried up to ``max_call_failures`` times, ``retry_pause_s``
-    apart, and do not count as attempts). ``allowed=None``
-    accepts the first reply. With ``model_col`` the factory is called as
+    (None text = failed call; a call that raises one of ``TRANSIENT`` fails all its
+    prompts, any other error ends the job; failed calls are retried up to
+    ``max_call_failures`` times in a row, ``retry_pause_s`` apart, and do not count
+    as attempts; a prompt that still has no reply is given up for this run and
+    left without a successful row). ``allowed=None`` accepts the first reply;
+    ``parser`` maps a Series of reply texts to rating texts (default: the single
+    distinct number). With ``model_col`` the factory is called as
     ``responder_factory(model)`` once per model label a task meets, and each
     batch is asked model by model. Output: ``id_cols, attempt, ok,
     response_text, elapsed_s`` — one row per call.
@@ -85,13 +89,13 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
             todo, failures = pending, 0
             answered = []
             while len(todo) and failures <= max_call_failures:
+                if failures and retry_pause_s:
+                    time.sleep(retry_pause_s)
                 t0 = time.perf_counter()
                 try:
                     reply = ask(todo[prompt_col].reset_index(drop=True), attempt)
-                except Exception:  # the call failed as a whole: log it, pause, retry
+                except TRANSIENT:  # the call failed as a whole: log it, pause, retry
                     reply = pd.Series([None] * len(todo), dtype=object)
-                    if retry_pause_s:
-                        time.sleep(retry_pause_s)
                 if isinstance(reply, pd.DataFrame):  # per-reply timings from the responder
                     texts, secs = reply["text"].astype(object), reply["elapsed_s"].astype(float).values
                 else:                                # batch wall time shared evenly
@@ -107,8 +111,8 @@ def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callab
             if ok_values is None:
                 valid = pd.Series(True, index=done.index)
             else:
-                valid = done["response_text"].map(_single_number).isin(ok_values)
-            pending = pd.concat([done.loc[~valid, pending.columns], todo])
+                valid = pd.Series((parser or single_numbers)(done["response_text"]).isin(ok_values).to_numpy(dtype=bool), index=done.index)
+            pending = done.loc[~valid, pending.columns]  # what got no reply at all is given up: see above
             if pending.empty:
                 break
         res = pd.concat(out) if out else pdf.iloc[0:0]
@@ -161,10 +165,29 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
 
 def batch_timing(responses: DataFrame, run_cols: list[str], position_col: str = "item_id",
                  batch_size: int = 20, elapsed_col: str = "elapsed_s") -> DataFrame:
-    """Per run and position batch (``floor(pos / batch_size)``): number of
-    questions, summed and slowest reply time. Sums are exact (decimal)."""
+    """Per run and batch of ``batch_size`` questions: number of questions, summed
+    and slowest reply time. Batches go by a question's place among the run's own
+    questions in the order of ``position_col`` (numeric), not by its id. Sums are
+    exact (decimal).
+
+    Places are counted on the run's distinct questions, thousand ids by thousand
+    ids: block totals are added up first, so no window sees a whole run."""
+    block = F.floor(F.col(position_col) / 1000)
+    items = responses.select(*run_cols, position_col).distinct().withColumn("__block", block)
+    one = F.lit(0).alias("__one")
+    totals = items.groupBy(*run_cols, "__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", one)
+    upto = F.sum("__n").over(Window.partitionBy("__one", *run_cols).orderBy("__block"))
+    totals = totals.select(*run_cols, "__block", (upto - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*run_cols, "__block").orderBy(position_col)) - 1
+    keys = [*run_cols, "__block"]
+    right = totals.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(keys)], "__before")
+    on = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(keys)]
+    items = items.withColumn("__place", place).join(right, on).select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate([*run_cols, position_col])],
+        F.floor((F.col("__before") + F.col("__place")) / batch_size).cast("long").alias("batch"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*run_cols, position_col])]
     e = F.col(elapsed_col).cast("decimal(18,6)")
-    return (responses.groupBy(*run_cols, F.floor(F.col(position_col) / batch_size).cast("long").alias("batch"))
+    return (responses.join(items, on).groupBy(*run_cols, "batch")
             .agg(F.count(F.lit(1)).alias("n_questions"),
                  F.sum(e).cast("double").alias("sum_elapsed_s"),
                  F.max(elapsed_col).alias("max_elapsed_s")))

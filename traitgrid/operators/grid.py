@@ -46,12 +46,15 @@ def personas_of(personas: DataFrame, trait: str) -> DataFrame:
 
 def persona_prefix(personas: DataFrame, trait: str, qualifier_type: str, qualifier: str) -> DataFrame:
     """One row ``persona``: the first description (lowest value) of the domain
-    with that qualifier type and qualifier; ``''`` for the baseline trait ``''``."""
+    with that qualifier type and qualifier; ``''`` for the baseline trait ``''``.
+    Without a match the job fails with the three arguments: no persona is not the baseline."""
     if trait == "":
         return personas.sparkSession.range(0, 1, 1, 1).select(F.lit("").alias("persona"))
     hit = personas.filter((F.col("domain") == trait) & (F.col("qualifier_type") == qualifier_type)
                           & (F.col("qualifier") == qualifier))
-    return hit.agg(F.min_by("description", "value").alias("persona"))
+    none = F.raise_error(F.lit(f"no persona for trait {trait!r}, qualifier type {qualifier_type!r}, qualifier {qualifier!r}"))
+    return hit.agg(F.min_by("description", "value").alias("persona")).select(
+        F.coalesce("persona", none.cast("string")).alias("persona"))
 
 
 def grid_cells(spark: SparkSession, models: list[str], traits: list[str], values=range(1, 10)) -> DataFrame:
@@ -73,7 +76,7 @@ def prompt_grid(key: DataFrame, personas: DataFrame, models: list[str], repetiti
         p = p.filter(F.col("trait").isin(*traits))
     g = items.join(sized_broadcast(p, 100_000), "trait")
     g = g.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "*")
-    g = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
+    g = g.select("*", F.explode(F.array(*[F.lit(r) for r in range(repetitions)]).cast("array<int>")).alias("repetition"))
     prompt = (rating_prompt("description", "question") if style == "rating"
               else agreement_prompt("question", F.col("description")))
     return g.select("model", "trait", "value", F.col("repetition").cast("int").alias("repetition"),

@@ -119,7 +119,7 @@ def score_card(responses: DataFrame, key: DataFrame | None, run_cols: list[str],
         cols.append(F.when(n > 0, format_score(_mean(n, s1), _std(n, s1, s2), sep)).otherwise(F.lit("N/A")).alias(t))
     na = _run_na(traits)
     return m.select(*run_cols, *cols, "n_rows", na.alias("n_na"), (na / F.col("n_rows")).alias("na_share"),
-                    python_round_ratio(na, F.col("n_rows")).alias("na_share_rounded"))
+                    python_round_ratio(na, F.col("n_rows"), max_value=float(max(1, len(traits)))).alias("na_share_rounded"))
 
 
 def cell_scores(responses: DataFrame, key: DataFrame | None, cell_cols: tuple[str, ...] = ("model", "trait", "value"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitgrid.functions.prompts import AGREEMENT_INTRO, statement
@@ -22,16 +22,29 @@ def training_examples(key: DataFrame, trait: str = "Neuroticism", sign: float =
                         F.concat(F.lit(system_prompt), q).alias("prompt"), F.lit(answer).alias("answer"))
 
 
-def train_eval_split(df: DataFrame, order_cols: list[str], n_eval: int = 16) -> DataFrame:
+def train_eval_split(df: DataFrame, order_cols: list[str], n_eval: int = 16, by: list[str] | None = None) -> DataFrame:
     """First ``n_eval`` rows by ``order_cols`` → ``split='eval'``, the rest
-    ``'train'`` (fewer rows → all eval).
-
-    The cut is found with a distributed top-k (``orderBy().limit()`` plans as
-    TakeOrderedAndProject: k rows per task, merged), used as a scalar
-    subquery — no global window, no single-task sort."""
-    k = F.struct(*[F.col(c) for c in order_cols])
-    cut = df.select(k.alias("k")).orderBy("k").limit(n_eval).agg(F.max("k")).scalar()
-    return df.withColumn("split", F.when(k <= cut, F.lit("eval")).otherwise(F.lit("train")))
+    ``'train'`` (fewer rows → all eval); with ``by``, so for each data set. Exactly
+    ``n_eval`` rows: ties go by a hash of the whole row, and of rows that are the
+    same in every column as many are taken as are due.
+
+    The rows due are found with a distributed top-k (``orderBy().limit()``, or a
+    grouped limit per data set, both applied in each task first) — no global
+    window, no single-task sort. Only copies of those rows are numbered."""
+    by, names = by or [], df.columns
+    d = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in names]))
+    order = [*[F.col(c) for c in order_cols], F.col("__h")]
+    if by:
+        top = d.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n_eval)
+    else:
+        top = d.orderBy(*order).limit(n_eval)
+    due = top.groupBy(F.col("__h").alias("__d")).agg(F.count(F.lit(1)).alias("__due"))
+    j = d.join(due if by else F.broadcast(due), F.col("__h") == F.col("__d"), "left")  # without ``by``: n_eval rows at most
+    rest = j.filter(F.col("__due").isNull()).select(*names, F.lit("train").alias("split"))
+    nth = F.row_number().over(Window.partitionBy("__h").orderBy("__h"))
+    held = j.filter(F.col("__due").isNotNull()).select(
+        *names, F.when(nth <= F.col("__due"), F.lit("eval")).otherwise(F.lit("train")).alias("split"))
+    return rest.unionByName(held)
 
 
 RewardSpec = tuple[Callable[[Column], Column] | Column, float]
@@ -54,14 +67,18 @@ def group_advantage(df: DataFrame, group_col: str, reward_col: str = "reward", e
     """``(r − mean_g) / (std_g + eps)`` with the sample std of the group;
     a single-completion group gets 0.
 
-    Group statistics come from a partial-aggregated groupBy and are joined
-    back on the group key: AQE broadcasts the statistics when they turn out
-    small, otherwise it is a shuffle join whose skewed partitions AQE splits —
-    a hot group never lands in one task (unlike a window over the group).
+    Group statistics come from a partial-aggregated groupBy, are written to the
+    shared folder and joined back on the group key: broadcast when they are small,
+    otherwise a shuffle join. Because the statistics are a table of their own
+    there, AQE can split a hot group's rows over many tasks (a join straight on the
+    aggregate shares its partitioning and cannot be split).
     """
+    from traitgrid.session import shared_path
     st = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("group_n"), F.avg(reward_col).alias("group_mean"),
                                    F.stddev_samp(reward_col).alias("group_std"))
-    j = df.join(st, group_col)
+    path = shared_path(df.sparkSession, "group-stats")
+    st.write.parquet(path)
+    j = df.join(df.sparkSession.read.schema(st.schema).parquet(path), group_col)
     adv = F.when(F.col("group_n") > 1,
                  (F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))).otherwise(F.lit(0.0))
     return j.withColumn("advantage", adv)

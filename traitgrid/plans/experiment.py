@@ -12,11 +12,12 @@ responses partitioned by cell with dynamic partition overwrite. That cuts
 lineage where recomputation would be expensive or non-deterministic: once
 attempts are written, losing an executor never re-asks the model; a re-run of
 the whole function skips every cell whose responses exist and re-asks a cell
-that was not finished, whole.
+that was not finished, but only its open questions.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -34,48 +35,64 @@ from traitgrid.sinks.writers import write_cells
 IDS = ["model", "trait", "value", "repetition", "item_id"]
 
 
-def _existing_cells(spark: SparkSession, path: str) -> DataFrame | None:
-    """Cells already written (from the partition listing), or None before the first run."""
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before anything was written there."""
     try:
-        return spark.read.parquet(path).select(*CELL).distinct()
-    except AnalysisException:
-        return None
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def run_experiment(spark: SparkSession, key: DataFrame, personas: DataFrame, models: list[str],
                    traits: list[str], out_root: str, responder_factory: Callable[[], Callable],
                    repetitions: int = 1, max_attempts: int = 10, scale: RatingScale = DEFAULT_SCALE,
                    style: str = "rating", num_partitions: int | None = None,
-                   per_model: bool = False) -> dict[str, str]:
+                   per_model: bool = False, max_call_failures: int = 3, retry_pause_s: float = 4.0) -> dict[str, str]:
     """Run (or resume) the grid models × traits × persona values; returns the
     paths of the attempts (one ``run=…`` folder per call), responses and
     scores tables under ``out_root``. With ``per_model`` the factory is called
     with the model label (one client per model, as a provider is chosen by
-    label)."""
+    label).
+
+    A cell is written when each of its questions has a valid reply or has used up
+    its attempts. Calls that fail use up none: a cell with a question left stays
+    pending, and the next call asks only the questions that are open, on top of
+    the attempts written before (by earlier calls, finished or not)."""
     paths = {n: f"{out_root.rstrip('/')}/{n}" for n in ("attempts", "responses", "scores")}
     cells = (personas.filter(F.col("domain").isin(*traits))
              .select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
                      F.col("domain").alias("trait"), "value").distinct())
-    done = _existing_cells(spark, paths["responses"])
+    written = _existing(spark, paths["responses"])
     # the pending cells are fixed now: checkpointed (shared folder) so that later
     # jobs, which rewrite the responses table, do not re-derive them from it
-    todo = (cells if done is None else pending_cells(cells, done)).checkpoint(eager=True)
+    todo = (cells if written is None else pending_cells(cells, written.select(*CELL).distinct())).checkpoint(eager=True)
     grid = prompt_grid(key, personas, models, repetitions, traits, style).join(todo, CELL, "left_semi")
-    attempts = collect_responses(grid, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
+
+    def answered(attempts: DataFrame) -> DataFrame:
+        mine = attempts.join(todo, CELL, "left_semi")
+        done = resolve_attempts(mine, IDS, ["run", "attempt"], max_attempts, scale)
+        return done.filter((F.col("rating_text") != "N/A") | (F.col("n_calls") >= max_attempts))
+
+    prior = _existing(spark, paths["attempts"])
+    ask = grid if prior is None else grid.join(answered(prior).select(*IDS), IDS, "left_anti")
+    attempts = collect_responses(ask, responder_factory, IDS, max_attempts=max_attempts, scale=scale,
                                  num_partitions=num_partitions or parallelism(spark),
-                                 model_col="model" if per_model else None)
+                                 model_col="model" if per_model else None,
+                                 max_call_failures=max_call_failures, retry_pause_s=retry_pause_s)
     # One flat folder per call, one file per asking task: no shuffle between the
-    # model calls and the durable write, and no tasks × cells small files.
-    run_path = f"{paths['attempts']}/run={uuid.uuid4().hex}"
-    attempts.write.mode("errorifexists").parquet(run_path)
-
-    # resolve the cells collected in this call from their durable attempts
-    fresh = spark.read.parquet(run_path)
-    resolved = resolve_attempts(fresh, IDS, ["attempt"], max_attempts, scale)
-    write_cells(resolved, paths["responses"])
+    # model calls and the durable write, and no tasks × cells small files. Names
+    # sort by time, so attempts of later calls come after earlier ones.
+    attempts.write.mode("errorifexists").parquet(f"{paths['attempts']}/run={time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
 
+    resolved = answered(spark.read.parquet(paths["attempts"]))
+    need = grid.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_need"))
+    have = resolved.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_have"))
+    whole = need.join(have, CELL).filter("n_need = n_have").select(*CELL).checkpoint(eager=True)
+    fresh = resolved.join(whole, CELL, "left_semi")
+    write_cells(fresh, paths["responses"])
     # a cell's own trait is the persona's domain; the other traits have no items in it
-    scores = cell_scores(spark.read.parquet(paths["responses"]), key, ("model", "trait", "value", "repetition"),
-                         traits, scale)
-    scores.write.mode("overwrite").parquet(paths["scores"])
+    scores = cell_scores(fresh, key, ("model", "trait", "value", "repetition"), traits, scale)
+    write_cells(scores, paths["scores"])
     return paths

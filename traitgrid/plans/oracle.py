@@ -355,9 +355,9 @@ SELECT doc_id, n_numbers, number_extracted,
     "resolve_attempts": f"""WITH {RESOLVED}
 SELECT * FROM resolved""",
     "batch_timing": f"""WITH {RESOLVED}
-SELECT CAST(floor(item_id / 20) AS BIGINT) AS batch, count(*) AS n_questions,
+SELECT (row_no - 1) // 20 AS batch, count(*) AS n_questions,
   CAST(sum(CAST(elapsed_s AS DECIMAL(18,6))) AS DOUBLE) AS sum_elapsed_s, max(elapsed_s) AS max_elapsed_s
-FROM resolved GROUP BY 1""",
+FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS row_no FROM resolved) GROUP BY 1""",
     "inventory_items": _inventory(),
     "prompt_grid": f"""WITH {D2},
 {TRAIT_LIST},
@@ -374,9 +374,9 @@ SELECT c.* FROM cells c ANTI JOIN done d ON c.model = d.model AND c.trait = d.tr
 SELECT c.* FROM cells c SEMI JOIN done d ON c.model = d.model AND c.trait = d.trait AND c.value = d.value""",
     "collect_responses": _collect(),
     "chat_messages": f"""SELECT conv_id, turn, CAST(0 AS INTEGER) AS msg_pos, 'system' AS role, {lit(AGREEMENT_INTRO)} AS content
-FROM conversations WHERE role = 'user'
+FROM conversations
 UNION ALL
-SELECT conv_id, turn, CAST(1 AS INTEGER), 'user', text FROM conversations WHERE role = 'user'""",
+SELECT conv_id, turn, CAST(1 AS INTEGER), 'user', text FROM conversations""",
     "cohort_histogram": _hist(),
     "run_names": _run_names(),
     "train_eval_split": f"""WITH {D2},
@@ -414,3 +414,7 @@ SQL["score_card_files"] = SQL["score_parse_series"]
 SQL["persona_file_prompts"] = SQL["local_prompts"]
 SQL["training_split_files"] = f"""SELECT question, prompt, answer, split FROM ({SQL["train_eval_split"]}) t
 WHERE split = 'train'"""
+SQL["resume_after_outage"] = SQL["experiment_scores"]
+SQL["card_cohort_histogram"] = _hist().replace("v AS (SELECT", """cards AS (SELECT file_name,
+    round_even(CAST(sum(CAST(level AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 100, 0) / 100 AS level FROM d6 GROUP BY file_name),
+v AS (SELECT""", 1).replace("AS x FROM d6)", "AS x FROM cards)", 1)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitgrid.functions.files import cohort_labels, cohort_of, parse_run_file
+from traitgrid.functions.files import cohort_labels, cohort_of, cohorts_of, parse_run_file
 from traitgrid.functions.models import api_model_name, provider
 from traitgrid.functions.prompts import AGREEMENT_INTRO, agreement_prompt, chat_prompt
 from traitgrid.functions.ratings import digit_strings, extract_number, rating_text, rating_value
@@ -132,13 +132,14 @@ def collect_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
-    c = fx.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = fx.table(spark, sf, "conversations")
     m = c.select("conv_id", "turn", F.posexplode(chat_prompt("text", AGREEMENT_INTRO)).alias("msg_pos", "msg"))
     return m.select("conv_id", "turn", "msg_pos", "msg.role", "msg.content")
 
 
 def cohort_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.d6_run_names(spark, sf).withColumn("cohort", cohort_of("file_name"))
+    # labels come out of a generator, so the label filter cannot be pushed into the names' expressions
+    d = fx.d6_run_names(spark, sf).select("level", F.explode(cohorts_of("file_name")).alias("cohort"))
     return report.cohort_histogram(d, "cohort", "level", bins=5, cohorts=cohort_labels())
 
 
@@ -192,6 +193,10 @@ def local_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return base.unionByName(pers)
 
 
+#: Files a micro-batch of the streaming scorer takes.
+LIVE_FILES = 4
+
+
 def live_trait_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming scorer run to completion over the response table landing as
     several files; must equal the batch ``trait_scores``."""
@@ -200,14 +205,32 @@ def live_trait_scores(spark: SparkSession, sf: str) -> DataFrame:
     resp, key = fx.d1_responses(spark, sf), fx.d2_key(spark, sf)
     src, out = shared_path(spark, "live-src"), shared_path(spark, "live-out")
     resp.write.parquet(src)  # as many files as the scan has tasks
-    n_files = len(spark.read.parquet(src).inputFiles())
     q = start_live_scores(spark, src, resp.schema, key, RUN, out,
-                          max_files_per_trigger=max(1, -(-n_files // 2)), available_now=True)  # ~2 micro-batches
+                          max_files_per_trigger=LIVE_FILES, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(out).select("model", F.col("value").cast("int").alias("value"), "trait",
                                           "n_keyed", "n_valid", "n_na", "mean", "std")
 
 
+def outage_responder():
+    """``scripted_responder`` while the model is partly down: every fifth prompt (by
+    length) gets no reply."""
+    ask = scripted_responder()
+    return lambda prompts, attempt: ask(prompts, attempt).where(prompts.str.len() % 5 != 0, None)
+
+
+def resume_after_outage(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid run while calls fail, then again with the model up: no reply is
+    lost, so the scores are those of an undisturbed run."""
+    from traitgrid.plans.experiment import run_experiment
+    from traitgrid.session import shared_path
+    args = (spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS, shared_path(spark, "outage"))
+    run_experiment(*args, outage_responder, max_attempts=10, max_call_failures=1, retry_pause_s=0.0)
+    paths = run_experiment(*args, scripted_responder, max_attempts=10)
+    return spark.read.parquet(paths["scores"]).select("model", "trait", F.col("value").cast("int").alias("value"),
+                                                      "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
+
+
 def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The durable grid runner end to end (prompts → scripted replies → attempts
     → responses → cell scores) for one model over the grid traits."""
@@ -246,6 +269,23 @@ def score_card_files(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("model", "value", "trait", "score", "mean", "std")
 
 
+def card_cohort_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Score cards of every run file written to disk, found again by the default
+    reader, put into cohorts by their run names, and binned by their mean level."""
+    from traitgrid.functions.ratings import format_score, parse_score, round_half_even
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_score_card
+    from traitgrid.sources.columns_json import read_score_cards
+    total = F.sum(F.col("level").cast("decimal(18,6)")).cast("double")
+    cards = fx.d6_run_names(spark, sf).groupBy(F.col("file_name").alias("run_file")).agg(
+        format_score(round_half_even(total / F.count(F.lit(1))), F.lit(0.0)).alias("Neuroticism"), F.lit(0.0).alias("na_share"))
+    path = shared_path(spark, "cohort-cards")
+    write_score_card(cards, path, run_cols=["run_file"], traits=["Neuroticism"])
+    found = read_score_cards(spark, path, ["Neuroticism"])
+    levels = found.select(parse_score("Neuroticism", 1).alias("level"), F.explode(cohorts_of("run_file")).alias("cohort"))
+    return report.cohort_histogram(levels, "cohort", "level", bins=5, cohorts=cohort_labels())
+
+
 def persona_file_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """The persona catalogue stored in the catalogue's column-oriented layout,
     read back and used for the local runner's prompts (same rows as
@@ -323,8 +363,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "local_prompts": local_prompts,
     "live_trait_scores": live_trait_scores,
     "experiment_scores": experiment_scores,
+    "resume_after_outage": resume_after_outage,
     "result_tree_scores": result_tree_scores,
     "score_card_files": score_card_files,
+    "card_cohort_histogram": card_cohort_histogram,
     "persona_file_prompts": persona_file_prompts,
     "training_split_files": training_split_files,
     "columns_json_roundtrip": columns_json_roundtrip,

@@ -7,7 +7,9 @@ Only when nothing is configured (local tests) do we create one.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -112,12 +114,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # Spark Connect: no SparkContext; use the session setting
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            path = tempfile.mkdtemp(prefix="traitgrid-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", path)
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
         return path
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="traitgrid-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -47,8 +47,7 @@ def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file:
     def entry(j: int):
         return lambda x: F.struct(x["__i"].cast("string"), x[f"__c{j}"])
     maps = [F.map_from_entries(F.transform("__rows", entry(j))).alias(c) for j, c in enumerate(cols)]
-    out = g.select(*names, F.to_json(F.struct(*maps)).alias("__json"))
-    out.write.mode("overwrite").partitionBy(*names).text(path)
+    g.select(*names, *maps).write.mode("overwrite").partitionBy(*names).json(path)  # one row, so one object, a file
 
 
 def write_score_card(card: DataFrame, path: str, run_cols: list[str] | None = None,

@@ -27,7 +27,8 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
                       index_type: str = "long") -> DataFrame:
     """Rows of every file under ``paths``: ``file_path, file_name, <index_name>,
     <columns…>``. ``columns`` maps JSON column name → Spark type; the row
-    indices are taken from the first column."""
+    indices are the union of the columns' keys. A file that is no such JSON fails the
+    job with its path (nothing is skipped in silence)."""
     reader = spark.read.format("binaryFile")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -35,9 +36,10 @@ def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index
         reader = reader.option("recursiveFileLookup", True)
     raw = reader.load(list(paths) if isinstance(paths, (list, tuple)) else paths)
     part_cols = [c for c in raw.columns if c not in _BINARY_FILE_COLS]  # partition directories
+    unreadable = F.raise_error(F.concat(F.lit("not column-oriented JSON: "), F.col("_metadata.file_path")))
     parsed = raw.select(*part_cols, F.col("_metadata.file_path").alias("file_path"),
                         F.col("_metadata.file_name").alias("file_name"),
-                        F.from_json(F.decode("content", "UTF-8"), _MAP).alias("m"))
+                        F.coalesce(F.from_json(F.decode("content", "UTF-8"), _MAP), unreadable.cast(_MAP)).alias("m"))
     names = list(columns)
     # Each column map → its entries sorted by row index; the columns of one file
     # share the index, so the sorted arrays line up by position (a map lookup per
