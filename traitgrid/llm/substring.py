@@ -233,16 +233,15 @@ def shared_ids(marks: DataFrame) -> bool:
     return not marks.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a != b").isEmpty()
 
 
-def repeated_starts(docs: DataFrame, marks: DataFrame, size: int, tagged: bool) -> DataFrame:
+def repeated_starts(docs: DataFrame, marks: DataFrame, whole: DataFrame, size: int, tagged: bool) -> DataFrame:
     """``doc_id, at``: the first start (tag | word position) of each passage of ``size``
-    words that also starts in a document with a smaller id. Copies (their words are all
-    those of a smaller id) are left out: see ``copies``. All texts are shuffled
+    words that also starts in a document with a smaller id. ``whole`` (see ``copies``) are left out. All texts are shuffled
     once, by id; each later use reads that same exchange.
 
     An id and text that is in the table twice counts once; rows without an id take no part."""
     texts = _texts(docs).filter("doc_id is not null")
     once = marks.filter(F.col("n_words") >= size).join(
-        copies(marks, size), ["doc_id", "tag"], "left_anti").select(F.col("doc_id").alias("d")).distinct()
+        whole, ["doc_id", "tag"], "left_anti").select(F.col("doc_id").alias("d")).distinct()
     own = texts.join(once, F.col("doc_id") == F.col("d")).select("doc_id", "text")
     first = map_text(own, _first_level(size, tagged), OCC)
     live = repeated(first, True).groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
@@ -253,10 +252,11 @@ def repeated_starts(docs: DataFrame, marks: DataFrame, size: int, tagged: bool)
 
 def copies(marks: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, tag`` of documents all of whose words (``size`` or more) are those
-    of a document with a smaller id."""
+    of a document with a smaller id. The classes are cut off before the join back, so
+    that Spark can split the rows of a text with very many copies."""
     long = marks.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     least = long.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    return (long.join(least.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s"))
+    return (long.join(cut(least).withColumnRenamed("sha", "s"), F.col("sha") == F.col("s"))
             .filter("doc_id > least").select("doc_id", "tag").distinct())
 
 
@@ -266,7 +266,7 @@ def dedup_digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     smaller id; passages are judged on the input. Null and empty texts have no
     words; a row without id loses nothing; repeated rows count as one document."""
     marks = stored(digests(docs), "substring-marks")
-    tagged = shared_ids(marks)
+    tagged, whole = shared_ids(marks), cut(copies(marks, size))
 
     def run(part):
         out = []
@@ -276,12 +276,12 @@ def dedup_digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out.append((_tag(raw), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         yield [part.column("doc_id"), *(list(c) for c in zip(*out, strict=True))]
 
-    hit = repeated_starts(docs, marks, size, tagged).withColumnRenamed("doc_id", "d")
+    hit = repeated_starts(docs, marks, whole, size, tagged).withColumnRenamed("doc_id", "d")
     texts = _texts(docs).filter("doc_id is not null")
     changed = map_text(texts.join(hit, F.col("doc_id") == F.col("d")).select("doc_id", "text", "at"), run,
                        "doc_id long, tag long, n_removed long, kept string").distinct()
     empty = hashlib.sha256(b"").hexdigest()
-    gone = copies(marks, size).withColumn("whole", F.lit(True))
+    gone = whole.withColumn("whole", F.lit(True))
     return marks.join(gone, ["doc_id", "tag"], "left").join(changed, ["doc_id", "tag"], "left").select(
         "doc_id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("whole"), F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
@@ -293,9 +293,9 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     match. Documents that keep no word of what they had are dropped; a text that
     loses nothing stays byte for byte."""
     marks = stored(digests(docs), "substring-marks")
-    tagged = shared_ids(marks)
-    hit = repeated_starts(docs, marks, size, tagged).withColumnRenamed("doc_id", "__d")
-    whole = copies(marks, size).select(F.col("doc_id").alias("__c"), F.col("tag").alias("__t"))
+    tagged, copied = shared_ids(marks), cut(copies(marks, size))
+    hit = repeated_starts(docs, marks, copied, size, tagged).withColumnRenamed("doc_id", "__d")
+    whole = copied.select(F.col("doc_id").alias("__c"), F.col("tag").alias("__t"))
 
     def run(part):
         import re
