@@ -3,6 +3,7 @@ tournament tree of bin capacities, independently in randomised groups."""
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,36 +19,72 @@ LENGTH = 4096
 END = 2
 #: Pieces a group has on average: the memory of one packing task.
 GROUP = 16_384
-CACHE = 300_000
+#: Words of a worker's cache, bytes of one, and words encoded as one text.
+CACHE = 500_000
 KEY = 64
+JOINED = 2_000
+LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _models: dict = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, which of its ids end a word, and this worker's cache."""
     if path not in _models:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
-        _models[path] = (Tokenizer.from_file(path), {})
+        t = Tokenizer.from_file(path)
+        ends = np.zeros(t.get_vocab_size() + 1, dtype=bool)
+        ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+        _models[path] = (t, ends, {})
     return _models[path]
 
 
+def _encode_words(words: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes, bytes]:
+    """Ids of distinct words. Words of letters only are one pre-token each, so many are
+    encoded as one text and told apart by the ids that end a word; if a text
+    has more ends than words, and for all other words, each is encoded alone."""
+    out: dict[bytes, bytes] = {}
+    text = [w.decode("utf-8", "replace") for w in words]
+    plain = [i for i, x in enumerate(text) if x.isalpha()]
+    alone = [i for i, x in enumerate(text) if not x.isalpha()]
+    chunks = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+    for chunk, e in zip(chunks, tokenizer.encode_batch_fast([" ".join([text[i] for i in c]) for c in chunks], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) != len(chunk):
+            alone += chunk
+            continue
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        out.update((words[i], raw[s:t]) for i, s, t in zip(chunk, [0, *at[:-1]], at, strict=True))
+    for i, e in zip(alone, tokenizer.encode_batch_fast([text[i] for i in alone], add_special_tokens=False), strict=True):
+        out[words[i]] = np.array(e.ids, dtype="<u4").tobytes()
+    return out
+
+
 def encode_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit integers.
 
-    The tokenizer turns white space into a separator that no token holds, so a
-    text's ids are those of its words one after the other; each distinct word is
-    encoded by the library once per worker (bounded cache, long words not kept)."""
-    tokenizer, cache = _tokenizer(path)
-    words = [x.split() for x in texts]
-    new = list({w for t in words for w in t if w not in cache})
-    got = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False) if new else []
-    ids = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, got, strict=True)}
-    if len(cache) + len(ids) > CACHE:
-        ids |= {w: cache[w] for t in words for w in t if w in cache}
-        cache.clear()
+    The tokenizer lower-cases and turns white space into a separator that no token
+    holds, so a text's ids are those of its lower-cased words one after the other (special
+    tokens' strings are told by case: texts with their opening are left as written). A
+    full stop or comma after an ASCII letter ends a word's first pre-token. Words are kept in a
+    bounded cache; once it is full, new ones are encoded once per slice of texts."""
+    tokenizer, ends, cache = _tokenizer(path)
+    words = [(x if b"<|" in x else x.lower()).split() for x in texts]
+    new = {w for t in words for w in t}.difference(cache)
+    halves = {w: (w[:-1], w[-1:]) for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in LETTERS}
+    base = {x for pair in halves.values() for x in pair}.union(new.difference(halves)).difference(cache)
+    ids = _encode_words(list(base), tokenizer, ends)
+    for w, x in ids.items():
+        if len(cache) >= CACHE:
+            break
+        if len(w) <= KEY:
+            cache[w] = x
+    for w, (x, y) in halves.items():
+        ids[w] = (cache[x] if x in cache else ids[x]) + (cache[y] if y in cache else ids[y])
     for t in words:
-        yield b"".join([cache.get(w) or ids.get(w, b"") for w in t])
-    cache.update((w, x) for w, x in ids.items() if len(w) <= KEY and len(cache) < CACHE)
+        yield b"".join([cache[w] if w in cache else ids[w] for w in t])
 
 
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
