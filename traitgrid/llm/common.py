@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traitgrid.session import ensure_checkpoint_dir, shared_path, ship_package
+from traitgrid.session import shared_path, ship_package
 
 SLICE_BYTES = 1 << 21
 #: Words of a text, as every contract here has them; on UTF-8 bytes this is bytes.split().
@@ -32,9 +32,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (small, iterated state)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``stored`` for small, iterated state. A table on disk also has its true size:
+    a checkpoint keeps the plan's estimate, and the product of its joins grows
+    round by round until the planner fails on it."""
+    return stored(df, "state")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) for every node of the edge
     columns ``a, b`` (long). Nodes without an edge to another node are absent.
 
-    Each round is checkpointed in the shared folder; rounds go on until the edge
+    Each round is written to the shared folder; rounds go on until the edge
     set no longer changes (it then holds one star for each component)."""
     e = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None

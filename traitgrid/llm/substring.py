@@ -294,7 +294,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     loses nothing stays byte for byte."""
     marks = stored(digests(docs), "substring-marks")
     tagged, copied = shared_ids(marks), cut(copies(marks, size))
-    hit = repeated_starts(docs, marks, copied, size, tagged).withColumnRenamed("doc_id", "__d")
+    hit = repeated_starts(docs, marks, copied, size, tagged).select(F.col("doc_id").alias("__d"), F.col("at").alias("__at"))
     whole = copied.select(F.col("doc_id").alias("__c"), F.col("tag").alias("__t"))
 
     def run(part):
@@ -315,9 +315,18 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
                [x is None and y is not None for x, y in zip(out, part.column("text").to_pylist(), strict=True)]]
 
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    tag = F.shiftleft(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(_TAG)), 32)
-    d = docs.withColumn("__tag", tag).join(whole, (F.col("doc_id") == F.col("__c")) & (F.col("__tag") == F.col("__t")), "left_anti")
-    d = d.join(hit, F.col("doc_id").cast("long") == F.col("__d"), "left").select(*rest, F.col("text").cast("binary").alias("text"), F.col("at").alias("__at"))
+    if marks.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # one row an id: the texts come from the exchange that repeated_starts made, all else is short
+        short = docs.select(F.col("doc_id").cast("long").alias("__k"), *[F.col(c).alias(f"__c_{c}") for c in rest])
+        short = short.join(whole, F.col("__k") == F.col("__c"), "left_anti").join(hit, F.col("__k") == F.col("__d"), "left")
+        d = _texts(docs).filter("doc_id is not null").join(short, F.col("doc_id") == F.col("__k")).select(
+            *[F.col(f"__c_{c}").alias(c) for c in rest], "text", "__at")
+        lone = docs.filter("doc_id is null").select(*rest, F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<long>").alias("__at"))
+        d = d.unionByName(lone)
+    else:
+        tag = F.shiftleft(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(_TAG)), 32)
+        d = docs.withColumn("__tag", tag).join(whole, (F.col("doc_id") == F.col("__c")) & (F.col("__tag") == F.col("__t")), "left_anti")
+        d = d.join(hit, F.col("doc_id").cast("long") == F.col("__d"), "left").select(*rest, F.col("text").cast("binary").alias("text"), "__at")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     out = map_text(d, run, schema + ", text binary, __n long, __gone boolean").filter("not __gone")
     cols = {c: F.col(c) for c in rest} | {"text": F.col("text").cast("string").alias("text")}
