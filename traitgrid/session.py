@@ -1,8 +1,8 @@
 """Session construction and the shared scratch location.
 
 On a cluster the shared folder comes from ``spark.checkpoint.dir`` (set by
-whoever runs the cluster); a machine-local temp folder is never used there.
-Only when nothing is configured (local tests) do we create one.
+whoever runs the cluster). Only in local mode, with nothing configured (tests), is a
+temp folder made, and removed at exit; anywhere else that is an error.
 """
 
 from __future__ import annotations
