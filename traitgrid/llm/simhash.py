@@ -132,7 +132,7 @@ def _compare(max_bits: int, run: int):
             use = np.flatnonzero((whole & ~big)[key])
             i, step, found = use, 1, []
             while len(i := i[i + step < len(fp)]) and len(i := i[key[i] == key[i + step]]):
-                near = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_bits]
+                near = i[np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64)) <= max_bits]
                 if len(near):
                     found.append((fp[near], fp[near + step]))
                 step += 1
