@@ -128,6 +128,17 @@ def test_links_lose_no_pair(spark, bits, run):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_components_of_chains_stars_and_loops(spark):
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(90, 130)] + [(7, 7), (200, 201), (201, 200), (300, 310), (305, 310)]
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    least = {x: x for p in pairs for x in p}
+    for _ in pairs:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(tuple, got)) == sorted(least.items())
+    assert graph.components(spark.createDataFrame([(5, 5)], "a long, b long")).isEmpty()
+
+
 def test_token_counts(spark, docs, rows, empty):
     import sentencepiece
 
