@@ -139,6 +139,20 @@ def test_components_of_chains_stars_and_loops(spark):
     assert graph.components(spark.createDataFrame([(5, 5)], "a long, b long")).isEmpty()
 
 
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_components_when_tasks_contract_little(spark, chunk):
+    rng = random.Random(chunk)
+    ids = rng.sample(range(-10**6, 10**6), 300)
+    pairs = [(ids[i], ids[i + 1]) for i in range(120)] + [tuple(rng.sample(ids[130:], 2)) for _ in range(110)]
+    pairs += pairs[:50]
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), chunk).collect()
+    least = {x: x for p in pairs for x in p}
+    for _ in ids:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(tuple, got)) == sorted(least.items())
+
+
 def test_token_counts(spark, docs, rows, empty):
     import sentencepiece
 

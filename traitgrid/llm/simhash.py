@@ -10,7 +10,7 @@ nearest to either, and are compared there on all 64 bits.
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from traitgrid.llm.common import map_text, stored
-from traitgrid.llm.graph import components
+from traitgrid.llm.graph import components, stars
 from traitgrid.session import ship_package
 
 #: Members of one anchor that are compared in place; larger anchors are dealt to a finer code.
@@ -84,24 +84,6 @@ def _at(block: int, x: Column):
     return lambda flip: F.struct(F.lit(block).alias("block"), x.bitwiseXOR(flip).alias("anchor"))
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) as links of each node to the least of its component among them."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[:len(a)], at[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        m = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[far], nodes[label[far]]
-
-
 def _compare(max_bits: int, run: int):
     """Over batches sorted by (block, anchor, fp): the links found inside anchors,
     as stars, and ``(fp, null)`` for each member of an anchor with over ``run`` members."""
@@ -110,7 +92,7 @@ def _compare(max_bits: int, run: int):
     def go(batches):
         left = [np.empty(0, np.int64)] * 3
         hot = None  # key of an anchor found too large, while its rows go on
-        for batch in [*_each(batches), None]:
+        for batch in chain(_each(batches), [None]):
             block, anchor, fp = left if batch is None else (np.concatenate(x) for x in zip(left, batch, strict=True))
             if not len(fp):
                 continue
@@ -137,7 +119,7 @@ def _compare(max_bits: int, run: int):
                     found.append((fp[near], fp[near + step]))
                 step += 1
             if found:
-                a, b = _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                a, b = stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     def _each(batches):
