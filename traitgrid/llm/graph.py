@@ -61,10 +61,10 @@ def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """``u, v`` pairs with ``m``, the least of u and its v's. The minimum is
-    pre-aggregated and joined back, so a hub's pairs need not meet in one task."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(
-        "u", "v", F.least("u", "m").alias("m"))
+    pre-aggregated and written before it is joined back: a join straight on the
+    aggregate could not be split, and a hub's pairs would meet in one task."""
+    least = cut(pairs.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -86,7 +86,7 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         near = _with_least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         e = cut(contracted(cut(small.filter("u != v").distinct()), chunk))
