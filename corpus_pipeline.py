@@ -28,11 +28,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group stays: the one its group is named after (of rows
     repeated under that id, one). Rows without an id have no name to go by and stay."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=3, max_bits=2)
-    keep = stored(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("i")).agg(F.count(F.lit(1)).alias("n")), "pipeline-keep")
-    named = docs.join(keep, F.col("doc_id") == F.col("i"), "left_semi").select(*COLUMNS)
-    if not keep.filter("n > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    own = F.count(F.when(F.col("doc_id") == F.col("component_id"), 1))
+    named = stored(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("i")).agg(own.alias("n")), "pipeline-named")
+    # fewer documents go than stay: texts are held against those that go, in a table of its true size
+    gone = stored(named.filter("n = 0").select("i"), "pipeline-gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("i"), "left_anti").select(*COLUMNS)
+    if named.filter("n > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
