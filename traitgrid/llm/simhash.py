@@ -47,13 +47,23 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(ends)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (long) of every row; null and empty texts have fingerprint 0."""
+def text_hashes(text_col: str = "text") -> tuple[Column, Column]:
+    """Two 64-bit hashes that, with the id, tell a row's text from others."""
+    return F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hashes: bool = False) -> DataFrame:
+    """``doc_id, fp`` (long) of every row, with ``hashes`` also ``h, g`` (``text_hashes``);
+    null and empty texts have fingerprint 0."""
+    more = ["h", "g"] if hashes else []
+
     def run(part):
-        yield [part.column("doc_id"), [fingerprint(x, shingle) for x in part.column("text").to_pylist()]]
+        yield [part.column("doc_id"), [fingerprint(x, shingle) for x in part.column("text").to_pylist()], *(part.column(c) for c in more)]
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return map_text(src, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    own = [c.alias(n) for c, n in zip(text_hashes(text_col), more, strict=False)]
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *own)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_text(src, run, f"doc_id {kind}, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _array(values: list[int]) -> str:
@@ -177,3 +187,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owner = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(owner.withColumnRenamed("part", "p"), F.col("part") == F.col("p")).select(F.col("fp").alias("f"), "component_id")
     return marks.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def chosen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
+           apart: bool = False) -> DataFrame:
+    """``doc_id, h, g, chosen`` for every row: true for the one row key (id and text) that
+    stays of a component, the smallest id, then the smallest hashes (rows that repeat the
+    key are all true). Null ids come after all others; with ``apart`` one row with a
+    null id is chosen besides."""
+    marks = stored(fingerprints(docs, id_col, text_col, shingle, hashes=True), "simhash-fp")
+    key = F.struct("doc_id", "h", "g")
+    picks = [F.min(F.when(F.col("doc_id").isNotNull(), key)).alias("named"), F.min(F.when(F.col("doc_id").isNull(), key)).alias("unnamed")]
+    nodes = marks.groupBy("fp").agg(*picks)
+    parts = components(links(nodes.select("fp"), max_bits))
+    labelled = nodes.join(parts, F.col("fp") == F.col("node"), "left").select(
+        "fp", "named", "unnamed", F.coalesce("component", "fp").alias("part"))
+    least = labelled.groupBy(F.col("part").alias("p")).agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    if not apart:
+        least = least.withColumn("unnamed", F.when(F.col("named").isNull(), F.col("unnamed")))
+    by_fp = labelled.select(F.col("fp").alias("f"), "part").join(least, F.col("part") == F.col("p")).select("f", "named", "unnamed")
+    hit = key.eqNullSafe(F.col("named")) | key.eqNullSafe(F.col("unnamed"))
+    return marks.join(by_fp, F.col("fp") == F.col("f")).select("doc_id", "h", "g", hit.alias("chosen"))
