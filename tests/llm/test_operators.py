@@ -237,6 +237,20 @@ def test_mixing(spark, docs, empty):
             assert abs(sum(r.weight for r in w if r[d] == v) / 105 - share) < 1e-4
 
 
+def test_a_source_of_one_document_does_not_set_the_rate(spark):
+    rng = random.Random(5)
+    many = [(i, " ".join(f"word{rng.randint(0, 400)}" for _ in range(40)), "fr" if i % 4 else "en", "big" if i % 2 else f"s{i % 3}") for i in range(2000)]
+    d = spark.createDataFrame([*many, (9999, "one two word", "en", "lone")], "doc_id long, text string, lang string, source string").repartition(4)
+    got = mixing.mixture(d).collect()
+    total = sum(r.n_tokens for r in got)
+    assert sum(r.probability * r.n_tokens for r in got) / total == pytest.approx(mixing.KEEP, abs=1e-5)
+    assert next(r.probability for r in got if r.source == "lone") == pytest.approx(1) and max(r.probability for r in got) <= 1
+    # shares of the values that are not taken whole are as their targets are
+    part = {s: (sum(r.probability * r.n_tokens for r in got if r.source == s), sum(r.n_tokens for r in got if r.source == s)) for s in ("big", "s0", "s1")}
+    for s in ("s0", "s1"):
+        assert part[s][0] / part["big"][0] == pytest.approx((part[s][1] / part["big"][1]) ** 0.85, rel=1e-4)
+
+
 def test_substring_dedup(spark, docs, rows, empty):
     got = [tuple(r) for r in substring.dedup_digest(docs).collect()]
     assert _sorted(got) == _sorted(brute.dedup([x[:2] for x in rows]))
