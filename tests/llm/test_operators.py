@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from traitgrid.llm import ann, chat, graph, langid, mixing, packing, quality, sharding, simhash, substring, tokens
@@ -293,3 +294,35 @@ def test_chat(spark):
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {r.conv_id for r in out} == {1, None}
     assert chat.format_conversations(d.filter("false")).count() == 0
+
+
+def test_long_chat_is_decoded_as_a_whole(spark, monkeypatch):
+    rng = random.Random(11)
+    said = ["Is it so?", "It is.", "word " * 30, "a: no\nand more", "Q? A!", "x\n\ny"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "user", "assistant", None]), rng.choice(said) + f" {t % 9}") for c, n in ((1, 700), (2, 3), (3, 200)) for t in range(n)]
+    rows += [(4, None, "user", f"equal {i}") for i in range(150)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    raw = chat.written(d, every=True).withColumn("held_out", F.lit(False))
+    model = chat.learn(chat.ordered(raw))
+    got = chat.parse_turns(chat.ordered(raw), model).orderBy("part").collect()
+    turns = chat.ordered(raw).collect()
+    for c in (1, 2, 3, 4):
+        own = [x for x in turns if x.conv_id == c]
+        whole = chat.parse(model, "\n".join(x.marked for x in own))
+        parts = [r for r in got if r.conv_id == c]
+        assert "".join(r.rendered for r in parts) == chat.render(whole)
+        assert [r.part for r in parts] == list(range(len(parts))) and all(r.n_turns <= chat.PART for r in parts)
+        assert sum(r.n_right for r in parts) == sum(a.r == b for a, (b, _) in zip(own, whole))
+        assert sum(r.n_true for r in parts) == sum(x.r is not None for x in own) and sum(r.n_lines for r in parts) == sum(x.marked.count("\n") + 1 for x in own)
+    assert sum(r.conv_id == 1 for r in got) > 5
+
+
+def test_decoder_gives_the_undivided_path():
+    model = chat.Model({(6, 2): 5, (2, 3): 3, (3, 4): 4, (4, 5): 2, (5, 2): 2}, {(2, 7): 5, (4, 11): 6, (3, 19): 4, (5, 19): 3})
+    rng = random.Random(2)
+    lines = [rng.choice(["User: x", "Assistant: y", "plain", "why?", "", "Foo: z", "long " * 40]) for _ in range(900)]
+    for look in (1, 7, 512):
+        decoder = chat.Decoder(model, look)
+        some = [x for line in lines for x in decoder.add(line)]
+        assert len(some) > 0
+        assert [s for s, *_ in [*some, *decoder.end()]] == model.viterbi([chat.observe(x)[0] for x in lines])

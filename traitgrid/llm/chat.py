@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitgrid.llm.common import cut, map_text
+from traitgrid.llm.common import cut, slices
+from traitgrid.session import ship_package
 
 ROLES = ["system", "user", "assistant"]
 STATES = [(r, first) for r in range(len(ROLES)) for first in (True, False)]
@@ -27,7 +30,8 @@ SPEAKERS = {
 }
 MARKER = re.compile(r"^\s*(?:#{1,6}\s*|\[|<\|?|\*\*)?([A-Za-z]{1,20})(?:\]|\|?>|\*\*)?\s*(?::|>>|\]|\|>|$)\s?")
 MARKS, SHAPES = 5, 4
-PART = 64
+#: Turns of a stored part, and lines after which a task looks what is decided.
+PART, LOOK = 64, 512
 
 
 def observe(line: str) -> tuple[int, int]:
@@ -48,6 +52,9 @@ def labelled_lines(turns: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return [(STATES.index((role, i == 0)), line) for role, text in turns for i, line in enumerate(text.split("\n"))]
 
 
+_NONE = object()
+
+
 class Model:
     """Log probabilities with one added to every count."""
 
@@ -80,29 +87,88 @@ class Model:
         return out[::-1]
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Counts steps and symbols over transcripts (``roles`` array<int>, ``texts``
-    array<string>, ``marked`` array<string>: the same turns as written in the
-    transcript). What is collected is at most states × symbols rows."""
-    def count(part):
-        import pyarrow as pa  # noqa: F401
+def learn(turns: DataFrame) -> Model:
+    """Counts steps and symbols over ``ordered`` turns. A turn without a known role teaches
+    nothing, nor does the step after it. What is collected is at most states × symbols rows."""
+    schema = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())])
 
+    def count(batches):
         total: dict[tuple[int, int, int], int] = {}
-        for roles, texts in zip(part.column("roles").to_pylist(), part.column("marked").to_pylist(), strict=True):
-            last = len(STATES)
-            for state, line in labelled_lines(list(zip(roles, texts, strict=True))):
-                for key in ((0, last, state), (1, state, observe(line)[0])):
-                    total[key] = total.get(key, 0) + 1
-                last = state
+        conv, last = _NONE, None
+        for part in batches:
+            for c, r, text in zip(*(part.column(x).to_pylist() for x in ("conv_id", "r", "marked")), strict=True):
+                if c != conv:
+                    conv, last = c, len(STATES)
+                if r is None:
+                    last = None
+                    continue
+                for state, line in labelled_lines([(r, text)]):
+                    for key in (() if last is None else ((0, last, state),)) + ((1, state, observe(line)[0]),):
+                        total[key] = total.get(key, 0) + 1
+                    last = state
         if total:
             kinds, i, j = zip(*total, strict=True)
-            yield [list(kinds), list(i), list(j), list(total.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kinds, i, j, total.values()), schema.types, strict=True)], schema=schema)
 
-    rows = (map_text(labelled.select("roles", "marked", "transcript"), count, "kind int, i int, j int, n long", "transcript")
+    ship_package(turns.sparkSession)
+    rows = (turns.select("conv_id", "r", "marked").mapInArrow(count, "kind int, i int, j int, n long")
             .groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect())
     return Model(*({(r["i"], r["j"]): r["n"] for r in rows if r["kind"] == k} for k in (0, 1)))
 
 
+class Decoder:
+    """Viterbi over the lines of one transcript as they come. States are given out once all
+    best paths agree on them, so they are those of the whole transcript, while only the
+    undecided lines are held."""
+
+    def __init__(self, model: Model, look: int = LOOK):
+        self.model, self.look, self.score = model, look, None
+        self.back: list[np.ndarray] = []  # of each line held, after the first line of all
+        self.held: list[tuple[str, int, int]] = []
+        self.next_look, self.text = look, False
+
+    def add(self, line: str) -> Iterator[tuple[int, str, int, int]]:
+        """(state, line, symbol, where its text starts) of the lines that this one decides."""
+        symbol, at = observe(line)
+        see, n = self.model.see[:, symbol], len(STATES)
+        if self.score is None:
+            self.score = self.model.step[n] + see
+            self.back.append(np.arange(n))
+        else:
+            ways = self.score[:, None] + self.model.step[:n]
+            self.back.append(ways.argmax(axis=0))
+            self.score = ways.max(axis=0) + see
+        self.held.append((line, symbol, at))
+        self.text = self.text or bool(line.strip())
+        if len(self.held) >= self.next_look and self.text:
+            ends = np.arange(n)
+            for t in range(len(self.held) - 1, 0, -1):
+                ends = self.back[t][ends]
+                if (ends == ends[0]).all():  # the state of line t - 1, whatever comes
+                    yield from self._out(t, int(ends[0]))
+                    break
+            self.next_look = len(self.held) + self.look
+
+    def _out(self, n: int, end: int) -> Iterator[tuple[int, str, int, int]]:
+        states = [end]
+        for t in range(n - 1, 0, -1):
+            states.append(int(self.back[t][states[-1]]))
+        out = [(s, *x) for s, x in zip(reversed(states), self.held[:n], strict=True)]
+        self.back, self.held = self.back[n:], self.held[n:]
+        yield from out
+
+    def end(self) -> Iterator[tuple[int, str, int, int]]:
+        """The lines still held; none of a transcript without text."""
+        if self.held and self.text:
+            yield from self._out(len(self.held), int(self.score.argmax()))
+
+
+def _own(state: int, symbol: int, line: str, at: int) -> str:
+    """The line without its marker, if that agrees with the role of the turn it begins."""
+    role, first = STATES[state]
+    return line[at:] if first and symbol // SHAPES == role else line
+
+
 def parse(model: Model, transcript: str) -> list[tuple[int, str]]:
     """Turns (role, text) of a whole transcript; markers that agree with the role
     recovered are taken off, all other text stays. No text: no turn."""
@@ -111,12 +177,11 @@ def parse(model: Model, transcript: str) -> list[tuple[int, str]]:
     lines = transcript.split("\n")
     seen = [observe(x) for x in lines]
     turns: list[tuple[int, list[str]]] = []
-    for state, (symbol, cut_at), line in zip(model.viterbi([s for s, _ in seen]), seen, lines, strict=True):
+    for state, (symbol, at), line in zip(model.viterbi([s for s, _ in seen]), seen, lines, strict=True):
         role, first = STATES[state]
         if first or not turns:
             turns.append((role, []))
-        own = first and symbol // SHAPES == role
-        turns[-1][1].append(line[cut_at:] if own else line)
+        turns[-1][1].append(_own(state, symbol, line, at))
     return [(role, "\n".join(x).strip()) for role, x in turns]
 
 
@@ -125,17 +190,46 @@ def render(turns: list[tuple[int, str]]) -> str:
     return "".join(f"<|{ROLES[r]}|>\n{text}\n<|end|>\n" for r, text in turns)
 
 
-def parse_transcripts(transcripts: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """``carry`` columns, ``n_lines``, ``n_turns``, ``roles`` (array<string>) and
-    ``rendered`` of every row's ``transcript``; null, empty or blank: no turns, empty rendering."""
-    def run(part):
-        got = [parse(model, x or "") for x in part.column("transcript").to_pylist()]
-        yield [*(part.column(c) for c in carry), [x.count("\n") + 1 if x and x.strip() else 0 for x in part.column("transcript").to_pylist()],
-               [len(t) for t in got], [[ROLES[r] for r, _ in t] for t in got], [render(t) for t in got]]
-
-    schema = ", ".join(f"`{c}` {transcripts.schema[c].dataType.simpleString()}" for c in carry)
-    return map_text(transcripts.select(*carry, "transcript"), run,
-                    schema + ", n_lines long, n_turns long, roles array<string>, rendered string", "transcript")
+class Conversation:
+    """One conversation's turns in order, given out as stored parts of ``part`` recovered turns."""
+
+    def __init__(self, key: list, model: Model, part: int):
+        self.key, self.size, self.decoder = key, part, Decoder(model)
+        self.part, self.lines, self.truth = 0, 0, 0
+        self.turns: list[tuple[int, list[str]]] = []
+        # roles by turn position, of the side (true or recovered) that is ahead
+        self.true: list[int | None] = []
+        self.got: list[int] = []
+        self.right = 0
+
+    def _take(self, decided) -> Iterator[list]:
+        for state, line, symbol, at in decided:
+            role, first = STATES[state]
+            if first or (not self.turns and not self.part):
+                if len(self.turns) == self.size:
+                    yield self._row()
+                self.turns.append((role, []))
+                self.got.append(role)
+            self.turns[-1][1].append(_own(state, symbol, line, at))
+            self.lines += 1
+
+    def _row(self) -> list:
+        n = min(len(self.true), len(self.got))
+        right = self.right + sum(a == b for a, b in zip(self.true[:n], self.got[:n], strict=True))
+        self.true, self.got = self.true[n:], self.got[n:]
+        out = [*self.key, self.part, self.lines, len(self.turns), right, self.truth, render([(r, "\n".join(x).strip()) for r, x in self.turns])]
+        self.part, self.lines, self.truth, self.turns, self.right = self.part + 1, 0, 0, [], 0
+        return out
+
+    def add(self, role: int | None, marked: str) -> Iterator[list]:
+        self.true.append(role)
+        self.truth += role is not None
+        for line in marked.split("\n"):
+            yield from self._take(self.decoder.add(line))
+
+    def end(self) -> Iterator[list]:
+        yield from self._take(self.decoder.end())
+        yield self._row()
 
 
 #: How raw transcripts write their speakers (system, user, assistant) by style.
@@ -143,42 +237,84 @@ STYLES = [("System: ", "User: ", "Assistant: "), ("### Instruction:\n", "### Hum
           ("[context] ", "[q] ", "[a] "), ("notice>> ", "customer>> ", "agent>> ")]
 
 
-def written(conversations: DataFrame, part: int = PART) -> DataFrame:
-    """Raw transcripts of turn tables: ``conv_id, part, roles, marked, transcript``.
+def written(conversations: DataFrame, every: bool = False) -> DataFrame:
+    """Turns as raw transcripts have them: ``conv_id, turn, r, marked``.
 
-    Turns are put in order, speakers written in a style that goes by a hash of the
-    conversation, and every eighth turn (by hash) has no speaker at all. Rows
-    without a known role or a text are left out, and rows repeated count once. A conversation
-    is cut into parts of ``part`` turn numbers, so that no group grows without bound."""
-    known = F.lower("role")
-    c = (conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), known.alias("role"), "text")
-         .filter(F.col("role").isin(*ROLES) & F.col("text").isNotNull()).distinct())
-    role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
+    Speakers are written in a style that goes by a hash of the conversation, and every
+    eighth turn (by hash) has no speaker at all. Rows repeated count once. With
+    ``every``, no turn is left out: roles go by ``SPEAKERS``, a turn with another role or none has no speaker and ``r``
+    null, and a null text is empty. Without, only turns with a text and one of ``ROLES`` are
+    written."""
+    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role", F.lit(" \t\r\n\f\v")) if every else "role").alias("role"), "text")
+    c = (c.fillna("", ["text"]) if every else c.filter(F.col("role").isin(*ROLES) & F.col("text").isNotNull())).distinct()
+    words = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
     styles = F.array(*[F.array(*[F.lit(x) for x in s]) for s in STYLES])
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
     silent = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(8)) == 0
-    marker: Column = F.when(silent, F.lit("")).otherwise(F.element_at(F.element_at(styles, style + 1), F.col("r") + 1))
-    c = c.withColumn("r", role).withColumn("marked", F.concat(marker, F.col("text")))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "r", "marked")))
-    g = c.groupBy("conv_id", F.floor(F.col("turn") / part).cast("long").alias("part")).agg(turns.alias("t"))
-    return g.select("conv_id", "part", F.col("t.r").alias("roles"), F.col("t.marked").alias("marked"),
-                    F.array_join("t.marked", "\n").alias("transcript"))
-
-
-def format_conversations(conversations: DataFrame) -> DataFrame:
+    marker: Column = F.when(silent | F.col("r").isNull(), F.lit("")).otherwise(F.element_at(F.element_at(styles, style + 1), F.col("r") + 1))
+    c = c.withColumn("r", F.when(F.col("role").isNotNull(), F.try_element_at(words, F.col("role"))))
+    return c.select("conv_id", "turn", "r", F.concat(marker, F.col("text")).alias("marked"))
+
+
+def ordered(turns: DataFrame) -> DataFrame:
+    """Each conversation's turns in order, in one task."""
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "r", "marked")
+
+
+def parse_turns(turns: DataFrame, model: Model, part: int = PART) -> DataFrame:
+    """``ordered`` turns (with ``held_out``) parsed and rendered, ``conv_id, held_out, part, n_lines, n_turns,
+    n_right, n_true, rendered``: conversations are decoded as a whole, rows are parts
+    of ``part`` recovered turns (at least one row each), whose renderings in order make up that of the whole."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = (f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, held_out boolean, part long, n_lines long, "
+             "n_turns long, n_right long, n_true long, rendered string")
+    schema = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def rows(batches):
+        now = None
+        for batch in batches:
+            for x in slices(iter([batch]), "marked"):
+                for c, held_out, r, text in zip(*(x.column(k).to_pylist() for k in ("conv_id", "held_out", "r", "marked")), strict=True):
+                    if now is None or now.key[0] != c:
+                        if now is not None:
+                            yield from now.end()
+                        now = Conversation([c, held_out], model, part)
+                    yield from now.add(r, text)
+        if now is not None:
+            yield from now.end()
+
+    def run(batches):
+        out, size = [], 0
+        for row in rows(batches):
+            out.append(row)
+            size += len(row[-1]) + 64
+            if size > 1 << 21:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
+
+    def _batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    ship_package(turns.sparkSession)
+    return turns.select("conv_id", "held_out", "r", "marked").mapInArrow(run, kinds)
+
+
+def format_conversations(conversations: DataFrame, every: bool = False, part: int = PART) -> DataFrame:
     """Raw transcripts parsed and rendered: ``conv_id, part, held_out, n_lines,
-    n_turns, n_right, n_true, rendered``. Learned from conversations whose crc32 of the id
+    n_turns, n_right, n_true, rendered``, parts of ``part`` recovered turns each; with ``every``, of every
+    conversation and turn (see ``written``). Learned from conversations whose crc32 of the id
     leaves something else than 2 modulo 4 (a null id teaches nothing). ``n_right`` counts
-    turn positions whose recovered role is the true one (for accuracy), of ``n_true`` turns."""
-    raw = cut(written(conversations))
+    turn positions whose recovered role is the true one (for accuracy), of ``n_true`` turns with a known
+    role; both are summed up over a conversation's parts."""
     fold = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
-    model = learn(raw.filter(fold != 2))
-    names = F.transform("roles", lambda r: F.element_at(F.array(*[F.lit(x) for x in ROLES]), r + 1))
-    src = raw.select("conv_id", "part", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), names.alias("true_roles"), "transcript")
-    out = parse_transcripts(src, model, ["conv_id", "part", "held_out", "true_roles"])
-    right = F.size(F.filter(F.arrays_zip(F.col("roles").alias("x"), F.col("true_roles").alias("y")), lambda z: z["x"] == z["y"]))
-    return out.select("conv_id", "part", "held_out", "n_lines", "n_turns", right.cast("long").alias("n_right"),
-                      F.size("true_roles").cast("long").alias("n_true"), "rendered")
+    raw = cut(written(conversations, every).withColumn("held_out", F.coalesce(fold == 2, F.lit(False))))
+    model = learn(ordered(raw.filter("conv_id is not null and not held_out")))
+    out = parse_turns(ordered(raw), model, part)
+    return out.select("conv_id", "part", "held_out", "n_lines", "n_turns", "n_right", "n_true", "rendered")
 
 
 def log_likelihood(model: Model, states: list[int], symbols: list[int]) -> float:
