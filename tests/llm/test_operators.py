@@ -296,6 +296,23 @@ def test_chat(spark):
     assert chat.format_conversations(d.filter("false")).count() == 0
 
 
+def test_chat_keeps_every_conversation_and_turn(spark):
+    rows = [(1, 0, "Human", "Hi?"), (1, 1, "tool", "looked up"), (1, 2, " ai ", "Yes."), (2, None, "user", None), (3, 0, "robot", "yes indeed"), (4, 0, None, None),
+            (5, 0, "bot", "a reply"), (6, 0, "customer", "where is it?"), (None, 0, "agent", "here")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.format_conversations(d, every=True).collect()}
+    assert set(out) == {1, 2, 3, 4, 5, 6, None}
+    assert all(x in out[1].rendered for x in ("Hi?", "looked up", "Yes.")) and "yes indeed" in out[3].rendered
+    assert out[1].n_true == 2 and out[3].n_true == 0 and out[4].n_turns == 0 and out[5].n_true == out[6].n_true == 1
+
+
+def test_query_keeps_every_conversation(spark, tmp_path):
+    from traitgrid.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, 0, "robot", "x"), (2, 0, "user", "y")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.conv_id for r in QUERIES["op5_chat_formatting"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_long_chat_is_decoded_as_a_whole(spark, monkeypatch):
     rng = random.Random(11)
     said = ["Is it so?", "It is.", "word " * 30, "a: no\nand more", "Q? A!", "x\n\ny"]

@@ -36,7 +36,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+    return chat.format_conversations(table(spark, sf_dir, "conversations"), every=True)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
