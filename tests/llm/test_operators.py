@@ -252,6 +252,20 @@ def test_a_source_of_one_document_does_not_set_the_rate(spark):
         assert part[s][0] / part["big"][0] == pytest.approx((part[s][1] / part["big"][1]) ** 0.85, rel=1e-4)
 
 
+def test_raking_goes_on_until_it_is_met_or_says_so(spark):
+    def made(cells, **goal):
+        c = spark.createDataFrame(cells, "source string, lang string, tokens long")
+        return c, {d: spark.createDataFrame(t, "value string, share double") for d, t in goal.items()}
+
+    c, goal = made([("a", "x", 1500), ("a", "y", 1), ("b", "x", 1), ("b", "y", 1500)], source=[("a", 0.5), ("b", 0.5)], lang=[("x", 0.3), ("y", 0.7)])
+    w = mixing.rake(c, goal, rounds=10, tolerance=1e-3).collect()  # 17 are needed
+    for d, v, share in (("source", "a", 0.5), ("lang", "x", 0.3), ("lang", "y", 0.7)):
+        assert sum(r.weight for r in w if r[d] == v) / 3002 == pytest.approx(share, rel=2e-3)
+    c, goal = made([("a", "x", 10), ("b", "y", 10)], source=[("a", 0.5), ("b", 0.5)], lang=[("x", 0.3), ("y", 0.7)])
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.rake(c, goal, rounds=2)
+
+
 def test_substring_dedup(spark, docs, rows, empty):
     got = [tuple(r) for r in substring.dedup_digest(docs).collect()]
     assert _sorted(got) == _sorted(brute.dedup([x[:2] for x in rows]))
