@@ -1,6 +1,7 @@
 """Plain restatements of the operators' results, for small inputs."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -140,3 +141,29 @@ def merkle(rows):
             proof = _sha("".join(d for left, right in path for d in [*left, *right]))
             out.append((r[0], leaf, trees[x][-1][0], top[-1][0], proof, value, value == top[-1][0]))
     return out
+
+
+def collocations(rows, min_count=100, longest=5, top=2000, inside=100):
+    """Sorted (lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().lower()):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, longest + 1):
+                f[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, c in f.items():
+        cand = {p: a for p, a in c.items() if a >= min_count and len(p) > 1}
+        held = {p[i:j] for p, a in cand.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1)
+                if j - i < len(p) and 100 * a >= inside * c[p[i:j]]}
+        best = []
+        for p, a in cand.items():
+            if p in held:
+                continue
+            score, k = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+            best.append((-score, -a, b" ".join(p), c[p[:k]], c[p[k:]]))
+        for i, (score, a, p, left, right) in enumerate(sorted(best)[:top]):
+            out.append((lang, i + 1, p.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)

@@ -136,7 +136,7 @@ def manifest(docs: DataFrame, columns: list[str] | None = None, tree_col: str =
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(False)
     hashed = docs.select(F.col(id_col).alias("id"), F.col(tree_col).alias("tree"), leaf(columns).alias("digest"),
                          F.when(hit, leaf(now)).alias("now"))
-    leaves = numbered(hashed, ["tree"], ["id", "digest"])
+    leaves = numbered(stored(hashed, "merkle-hashes"), ["tree"], ["id", "digest"])
     n = cut(leaves.groupBy(F.col("tree").alias("t")).agg(F.count(F.lit(1)).alias("n")))
     leaves = stored(leaves.join(n, F.col("tree").eqNullSafe(F.col("t"))).drop("t"), "merkle-leaves")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitgrid.llm import ann, chat, langid, merkle, mixing, packing, quality, sharding, simhash, substring, tokens
+from traitgrid.llm import ann, chat, langid, merkle, mixing, packing, phrases, quality, sharding, simhash, substring, tokens
 from traitgrid.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": lowered}, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
@@ -70,5 +74,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_sharding, op3_simhash_near_dedup, op4_token_counts, op5_chat_formatting,
-                            op6_packing, op7_nearest_neighbours, op8_quality_rules, op9_mixing, op10_substring_dedup, op13_merkle_manifest)
+                            op6_packing, op7_nearest_neighbours, op8_quality_rules, op9_mixing, op10_substring_dedup,
+                            op12_phrase_mining, op13_merkle_manifest)
 }
