@@ -167,3 +167,15 @@ def collocations(rows, min_count=100, longest=5, top=2000, inside=100):
         for i, (score, a, p, left, right) in enumerate(sorted(best)[:top]):
             out.append((lang, i + 1, p.decode(), -a, left, right, n[lang], -score))
     return sorted(out)
+
+
+def top_products(rows, is_query, k=5):
+    """Sorted (query, rank, id, score) over (id, vector) rows; a vector without a null or non-finite component."""
+    fine = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (i, q) in enumerate(fine):
+        if i is None or not is_query(i):
+            continue
+        found = [(-sum(x * y for x, y in zip(q, v, strict=True)), j is None, j or 0, j) for b, (j, v) in enumerate(fine) if a != b and len(v) == len(q)]
+        out += [(i, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(found)[:k])]
+    return sorted(out, key=repr)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitgrid.llm import ann, chat, langid, merkle, mixing, packing, phrases, quality, sharding, simhash, substring, tokens
+from traitgrid.llm import ann, chat, langid, merkle, mixing, mtree, packing, phrases, quality, sharding, simhash, substring, tokens
 from traitgrid.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mtree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,5 +80,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_sharding, op3_simhash_near_dedup, op4_token_counts, op5_chat_formatting,
                             op6_packing, op7_nearest_neighbours, op8_quality_rules, op9_mixing, op10_substring_dedup,
-                            op12_phrase_mining, op13_merkle_manifest)
+                            op11_exact_top_k, op12_phrase_mining, op13_merkle_manifest)
 }
