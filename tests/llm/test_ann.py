@@ -1,0 +1,53 @@
+import numpy as np
+import pytest
+
+from tests.llm import brute
+from traitgrid.llm import ann
+from traitgrid.llm.queries import QUERIES
+
+
+def run(spark, rows, where="vec_id % 100 = 0", **options):
+    df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<double>, uid long, list string").repartition(3)
+    return sorted(tuple(r) for r in ann.search(df, df.filter(where), **options).collect())
+
+
+def test_more_copies_than_neighbours(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)] + [(i, None) for i in range(300, 310)]
+    rows += [(i, rows[0][1]) for i in range(1000, 1041)]
+    got = run(spark, rows, probes=1.0, lists=4)
+    assert [r for r in got if r[0] == 0] == [(0, j + 1, 1000 + j + (j > 1000), 0.0) for j in range(10)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-150, 1e6])
+def test_all_equal(spark, scale):
+    rows = [(i, [0.1 * scale, 0.7 * scale, -0.3 * scale]) for i in range(300)]
+    got = run(spark, rows)
+    assert got == [(q, j + 1, v, 0.0) for q in (0, 100, 200) for j, v in enumerate([i for i in range(12) if i != q][:10])]
+
+
+def test_tiny_distances(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.ones(16) + rng.standard_normal(16) * 1e-9).tolist()) for i in range(400)]
+    got = {(q, v) for q, _, v, _ in run(spark, rows, probes=1.0)}
+    want = {(q, v) for q, _, v, _ in brute.nearest(dict(rows))}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_ids_and_lengths(spark):
+    """Another row under the query's id, the query's row twice, and a second vector length."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.5]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (3, [2.0, 2.0]), (7, [1.0, 1.0, 1.0]), (200, [1.0, 1.0, 2.0])]
+    got = run(spark, rows)
+    assert (0, 1, 0, 0.5) in got and len([r for r in got if r[0] == 0]) == 8  # two queries under one id, four candidates each
+    assert [r for r in got if r[0] == 100][0] == (100, 1, 100, 0.0) and len([r for r in got if r[0] == 100]) == 4
+    assert [r for r in got if r[0] == 200] == [(200, 1, 7, 1.0)]
+
+
+def test_recall_on_a_whole_table(spark):
+    import duckdb
+
+    rows = dict(duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall())
+    want = {(q, v) for q, _, v, _ in brute.nearest(rows)}
+    got = {(r.query_id, r.vec_id) for r in QUERIES["op7_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect()}
+    print("recall", len(got & want) / len(want))
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
