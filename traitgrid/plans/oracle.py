@@ -415,6 +415,7 @@ SQL["persona_file_prompts"] = SQL["local_prompts"]
 SQL["training_split_files"] = f"""SELECT question, prompt, answer, split FROM ({SQL["train_eval_split"]}) t
 WHERE split = 'train'"""
 SQL["resume_after_outage"] = SQL["experiment_scores"]
+SQL["crash_between_writes"] = SQL["experiment_scores"]
 SQL["card_cohort_histogram"] = _hist().replace("v AS (SELECT", """cards AS (SELECT file_name,
     round_even(CAST(sum(CAST(level AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 100, 0) / 100 AS level FROM d6 GROUP BY file_name),
 v AS (SELECT""", 1).replace("AS x FROM d6)", "AS x FROM cards)", 1)

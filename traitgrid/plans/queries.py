@@ -226,9 +226,31 @@ def resume_after_outage(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.session import shared_path
     args = (spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS, shared_path(spark, "outage"))
     run_experiment(*args, outage_responder, max_attempts=10, max_call_failures=1, retry_pause_s=0.0)
-    paths = run_experiment(*args, scripted_responder, max_attempts=10)
-    return spark.read.parquet(paths["scores"]).select("model", "trait", F.col("value").cast("int").alias("value"),
-                                                      "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
+    run_experiment(*args, scripted_responder, max_attempts=10)
+    return _cell_scores(spark, args[-1])
+
+
+def crash_between_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid run stopped before each of its writes in turn, then run to the end: no reply is asked for
+    twice or lost, no cell has responses without scores, so the scores are those of an undisturbed run."""
+    from traitgrid.plans.experiment import run_experiment
+    from traitgrid.session import shared_path
+    args = (spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS, shared_path(spark, "crash"), scripted_responder)
+    for step in ("attempts", "state", "responses", "scores", "commit"):
+        def stop(now, at=step):
+            if now == at:
+                raise InterruptedError(at)
+        try:
+            run_experiment(*args, max_attempts=10, before=stop)
+        except InterruptedError:
+            pass
+    run_experiment(*args, max_attempts=10)
+    return _cell_scores(spark, args[5])
+
+
+def _cell_scores(spark: SparkSession, root: str) -> DataFrame:
+    from traitgrid.plans.experiment import results
+    return results(spark, root, "scores").select("model", "trait", "value", "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
 
 
 def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,10 +258,9 @@ def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
     → responses → cell scores) for one model over the grid traits."""
     from traitgrid.plans.experiment import run_experiment
     from traitgrid.session import shared_path
-    paths = run_experiment(spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS,
-                           shared_path(spark, "experiment"), scripted_responder, max_attempts=10)
-    return spark.read.parquet(paths["scores"]).select("model", "trait", F.col("value").cast("int").alias("value"),
-                                                      "repetition", "n_keyed", "n_valid", "n_na", "mean", "std")
+    root = shared_path(spark, "experiment")
+    run_experiment(spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], GRID_TRAITS, root, scripted_responder, max_attempts=10)
+    return _cell_scores(spark, root)
 
 
 def result_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "live_trait_scores": live_trait_scores,
     "experiment_scores": experiment_scores,
     "resume_after_outage": resume_after_outage,
+    "crash_between_writes": crash_between_writes,
     "result_tree_scores": result_tree_scores,
     "score_card_files": score_card_files,
     "card_cohort_histogram": card_cohort_histogram,
