@@ -34,3 +34,21 @@ def test_a_hot_value_is_spread(spark):
         assert shares > 1 and got.select("pos").distinct().count() == 20000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_batches_of_skewed_ids_without_a_global_window(spark):
+    """Ids in clusters, far apart, null and repeated: places go by order, and no window spans all rows."""
+    from traitgrid.operators.collect import batch_timing
+
+    ids = [*range(5000), *range(10**12, 10**12 + 30), -7, None, 10**15]
+    df = spark.createDataFrame([(i, 0.5) for i in ids + ids[:100]], "item_id long, elapsed_s double").repartition(6)
+    out = batch_timing(df, [], "item_id", 20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    got = {r.batch: r.n_questions for r in out.collect()}
+    order = sorted(ids, key=lambda x: (x is not None, x or 0))
+    want = {}
+    for i in ids + ids[:100]:
+        b = order.index(i) // 20
+        want[b] = want.get(b, 0) + 1
+    assert got == want

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from traitgrid import storage
 from traitgrid.functions.ratings import extract_number, rating_text
+from traitgrid.operators.numbering import numbered
 from traitgrid.schemas import DEFAULT_SCALE, RatingScale
 from traitgrid.session import parallelism
 
@@ -170,7 +171,7 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
 
 
 #: Prompts of one task of a durable collection: what a lost task asks again at most.
-TASK_PROMPTS = 500
+TASK_PROMPTS = 2_000
 
 
 def collect_durably(prompts: DataFrame, out: str, work: str, responder_factory: Callable[[], Callable], id_cols: list[str],
@@ -276,21 +277,11 @@ def batch_timing(responses: DataFrame, run_cols: list[str], position_col: str =
     questions in the order of ``position_col`` (numeric), not by its id. Sums are
     exact (decimal).
 
-    Places are counted on the run's distinct questions, thousand ids by thousand
-    ids: block totals are added up first, so no window sees a whole run."""
-    block = F.floor(F.col(position_col) / 1000)
-    items = responses.select(*run_cols, position_col).distinct().withColumn("__block", block)
-    one = F.lit(0).alias("__one")
-    totals = items.groupBy(*run_cols, "__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", one)
-    upto = F.sum("__n").over(Window.partitionBy("__one", *run_cols).orderBy("__block"))
-    totals = totals.select(*run_cols, "__block", (upto - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(*run_cols, "__block").orderBy(position_col)) - 1
-    keys = [*run_cols, "__block"]
-    right = totals.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(keys)], "__before")
-    on = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(keys)]
-    items = items.withColumn("__place", place).join(right, on).select(
-        *[F.col(c).alias(f"__k{i}") for i, c in enumerate([*run_cols, position_col])],
-        F.floor((F.col("__before") + F.col("__place")) / batch_size).cast("long").alias("batch"))
+    Places are counted on the run's distinct questions, dealt to tasks by sampled ranges of their ids
+    (``operators.numbering``): no task sees a whole run, wherever its ids lie."""
+    items = numbered(responses.select(*run_cols, position_col).distinct(), run_cols, [position_col], "__place")
+    items = items.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*run_cols, position_col])],
+                         F.floor(F.col("__place") / batch_size).cast("long").alias("batch"))
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*run_cols, position_col])]
     e = F.col(elapsed_col).cast("decimal(18,6)")
     return (responses.join(items, on).groupBy(*run_cols, "batch")
