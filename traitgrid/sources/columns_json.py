@@ -1,78 +1,107 @@
 """Column-oriented JSON (``{column: {rowIndex: value}}``, one object per file).
 
-``spark.read.json`` would infer one struct field per row index, so each file
-is read whole (the ``binaryFile`` source, which also keeps partition
-directories such as ``value=3`` as columns), parsed once into a map of maps,
-and turned into rows by sorting each column's entries by row index and zipping
-the columns — no row-by-row Python, no per-row map lookups (a linear scan in
-Spark), no copy of the parsed file per output row. Files are independent, so a directory
-of many cell files is read in parallel; values arrive as text and are
-``try_cast`` to the declared types (numbers written as JSON numbers arrive as
-their text, ``"N/A"`` in a numeric column becomes null).
+``spark.read.json`` would infer one struct field per row index. Here Spark lists the
+files (the ``binaryFile`` source, which also keeps partition directories such as
+``value=3`` as columns; their contents are not loaded), deals them to tasks, and each task
+reads its files a chunk at a time (``column_files``): no file, column or cell is held as a
+whole. Values arrive as text and are ``try_cast`` to the declared types (numbers written
+as JSON numbers arrive as their text, ``"N/A"`` in a numeric column becomes null).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traitgrid.schemas import TRAITS
+from traitgrid.session import parallelism, ship_package
+from traitgrid.sources import column_files
 
-_MAP = "map<string, map<string, string>>"
 _BINARY_FILE_COLS = {"path", "modificationTime", "length", "content"}
 
 
-def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index_name: str = "row_index",
-                      path_glob: str | None = None, recursive: bool = False,
-                      index_type: str = "long") -> DataFrame:
-    """Rows of every file under ``paths``: ``file_path, file_name, <index_name>,
-    <columns…>``. ``columns`` maps JSON column name → Spark type; the row
-    indices are the union of the columns' keys. A file that is no such JSON fails the
-    job with its path (nothing is skipped in silence)."""
+def list_json_files(spark: SparkSession, paths, path_glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """``<partition columns>, file_path, file_name, path, length, content`` of the files under ``paths``, dealt to the
+    task slots; no file is opened. ``content`` (null elsewhere) is set where only Spark can read the store."""
     reader = spark.read.format("binaryFile")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    raw = reader.load(list(paths) if isinstance(paths, (list, tuple)) else paths)
-    part_cols = [c for c in raw.columns if c not in _BINARY_FILE_COLS]  # partition directories
-    unreadable = F.raise_error(F.concat(F.lit("not column-oriented JSON: "), F.col("_metadata.file_path")))
-    parsed = raw.select(*part_cols, F.col("_metadata.file_path").alias("file_path"),
-                        F.col("_metadata.file_name").alias("file_name"),
-                        F.coalesce(F.from_json(F.decode("content", "UTF-8"), _MAP), unreadable.cast(_MAP)).alias("m"))
+    many = list(paths) if isinstance(paths, (list, tuple)) else [paths]
+    raw = reader.load(many)
+    part_cols = [c for c in raw.columns if c not in _BINARY_FILE_COLS]
+    content = F.lit(None).cast("binary") if all(map(_reachable, many)) else F.col("content")
+    files = raw.select(*part_cols, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
+                       "path", "length", content.alias("content"))
+    return files.repartition(parallelism(spark))
+
+
+def _reachable(path: str) -> bool:
+    """Whether workers can open files of this store themselves."""
+    scheme = path.split("://")[0] if "://" in path else "file"
+    if scheme.startswith("file"):
+        return True
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except Exception:  # no driver for this scheme here
+        return False
+    return True
+
+
+def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index_name: str = "row_index",
+                      path_glob: str | None = None, recursive: bool = False,
+                      index_type: str = "long") -> DataFrame:
+    """Rows of every file under ``paths``: ``file_path, file_name, <index_name>,
+    <columns…>``. ``columns`` maps JSON column name → Spark type; the row
+    indices are the union of the columns' keys, and a column that a file lacks reads as
+    nulls. A file that is no such JSON fails the job with its path (nothing is skipped in silence)."""
+    files = list_json_files(ship_package(spark), paths, path_glob, recursive)
+    carried = [f for f in files.schema if f.name not in ("path", "length", "content")]
     names = list(columns)
-    # Each column map → its entries sorted by row index; the columns of one file
-    # share the index, so the sorted arrays line up by position (a map lookup per
-    # row would be a linear scan, quadratic per file).
-    # Row index = union of the columns' keys. When every present column holds
-    # exactly those keys (what a DataFrame export writes), rows are assembled by
-    # position from the sorted entries; otherwise that file falls back to a
-    # lookup per key. A missing column reads as nulls.
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    ents = [F.coalesce(F.array_sort(F.map_entries(F.element_at("m", F.lit(c)))), empty) for c in names]
-    keys = [F.transform(e, lambda x: x["key"]) for e in ents]
-    parsed = parsed.select(*part_cols, "file_path", "file_name", "m",
-                           *[e.alias(f"__e{j}") for j, e in enumerate(ents)],
-                           F.array_sort(F.array_distinct(F.flatten(F.array(*keys)))).alias("__idx"))
-    idx = F.col("__idx")
-    aligned = F.lit(True)
-    for j in range(len(names)):
-        kj = F.transform(F.col(f"__e{j}"), lambda x: x["key"])
-        aligned = aligned & ((F.size(f"__e{j}") == 0) | (kj == idx))
-
-    def by_position(i):
-        return F.struct(F.element_at(idx, i).alias("__k"),
-                        *[F.try_element_at(F.col(f"__e{j}"), i)["value"].alias(f"__c{j}") for j in range(len(names))])
-
-    def by_key(k):
-        return F.struct(k.alias("__k"),
-                        *[F.element_at(F.element_at("m", F.lit(c)), k).alias(f"__c{j}") for j, c in enumerate(names)])
-    rows = F.when(F.size(idx) > 0,
-                  F.when(aligned, F.transform(F.sequence(F.lit(1), F.size(idx)), by_position))
-                  .otherwise(F.transform(idx, by_key)))
-    out = parsed.select(*part_cols, "file_path", "file_name", F.inline(rows))  # no rows for an empty file
+    schema = T.StructType([*carried, T.StructField("__k", T.StringType()), *[T.StructField(f"__c{j}", T.StringType()) for j in range(len(names))]])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+    same = [f.name for f in carried]
+
+    def read(batches):
+        import pyarrow as pa
+        for b in batches:
+            for i in range(b.num_rows):
+                one = {c: b.column(c)[i] for c in (*same, "path", "length", "content")}
+                try:
+                    with column_files.as_file(one["content"].as_py(), one["path"].as_py()) as f:
+                        for keys, values in column_files.rows(f, one["length"].as_py(), names):
+                            fixed = [pa.repeat(one[c], len(keys)) for c in same]
+                            cols = [*fixed, pa.array(keys, pa.string()), *[pa.array(v, pa.string()) for v in values]]
+                            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                except ValueError as e:
+                    raise ValueError(f"not column-oriented JSON: {one['file_path'].as_py()}: {e}") from e
+
+    out = files.mapInArrow(read, schema)
     values = [F.col(f"__c{j}").try_cast(t).alias(c) for j, (c, t) in enumerate(columns.items())]
-    return out.select(*part_cols, "file_path", "file_name", F.col("__k").try_cast(index_type).alias(index_name), *values)
+    return out.select(*same, F.col("__k").try_cast(index_type).alias(index_name), *values)
+
+
+def json_columns(spark: SparkSession, paths, path_glob: str | None = None, recursive: bool = False) -> list[str]:
+    """The distinct column names of all files under ``paths``, sorted. Values are passed over, not parsed."""
+    files = list_json_files(ship_package(spark), paths, path_glob, recursive).select("file_path", "path", "length", "content")
+
+    def read(batches):
+        import pyarrow as pa
+        for b in batches:
+            for r in b.to_pylist():
+                try:
+                    with column_files.as_file(r["content"], r["path"]) as f:
+                        found = sorted(set(column_files.column_names(f, r["length"])))
+                except ValueError as e:
+                    raise ValueError(f"not column-oriented JSON: {r['file_path']}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["name"])
+
+    return sorted(r["name"] for r in files.mapInArrow(read, "name string").distinct().collect())
 
 
 def read_key(spark: SparkSession, paths, traits: list[str] = TRAITS) -> DataFrame:
@@ -125,11 +154,17 @@ def read_result_tree(spark: SparkSession, root: str, traits: list[str] = TRAITS,
                      F.regexp_extract(p, CELL_PATH_RE, 3).try_cast("int").alias("value"), "*")
 
 
-def read_score_cards(spark: SparkSession, directory: str, traits: list[str] = TRAITS,
+def read_score_cards(spark: SparkSession, directory: str, traits: list[str] | None = None,
                      path_glob: str | None = "*.json") -> DataFrame:
     """All score cards of a directory in one read, with file name: the files of
     the directory itself (``path_glob``), or — with ``path_glob=None`` — cards
-    written by ``sinks.write_score_card`` (run directories become columns)."""
+    written by ``sinks.write_score_card`` (run directories become columns).
+
+    Cards need not have the same columns: without ``traits`` the files are looked through first, and every column that
+    any card has is read (null where a card lacks it), besides the known traits."""
+    if traits is None:
+        found = json_columns(spark, directory, path_glob)
+        traits = [*TRAITS, *[c for c in found if c not in TRAITS and c != "N/A"]]
     cols = {**{t: "string" for t in traits}, "N/A": "double"}
     df = read_columns_json(spark, directory, cols, "row_index", path_glob=path_glob)
     return df.withColumnRenamed("N/A", "na_share")
