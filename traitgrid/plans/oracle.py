@@ -419,3 +419,13 @@ SQL["crash_between_writes"] = SQL["experiment_scores"]
 SQL["card_cohort_histogram"] = _hist().replace("v AS (SELECT", """cards AS (SELECT file_name,
     round_even(CAST(sum(CAST(level AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 100, 0) / 100 AS level FROM d6 GROUP BY file_name),
 v AS (SELECT""", 1).replace("AS x FROM d6)", "AS x FROM cards)", 1)
+
+
+SQL["card_union"] = f"""{BASE},
+{CARD},
+named AS (SELECT s.*, s.model || '_mixed_202501' || lpad(CAST(s.value AS VARCHAR), 2, '0') || '_120000.json' AS file_name, c.na_share_rounded AS na_share
+  FROM fscores s JOIN card c ON s.model = c.model AND s.value = c.value),
+kept AS (SELECT file_name, na_share, trait, score, mean, std FROM named WHERE value % 2 = 1 AND trait IN ('Extraversion', 'Agreeableness', 'Conscientiousness')
+  UNION ALL SELECT file_name, na_share, trait, score, mean, std FROM named WHERE value % 2 = 0 AND trait IN ('Neuroticism', 'Openness')
+  UNION ALL SELECT file_name, na_share, 'Honesty', score, mean, std FROM named WHERE value % 2 = 0 AND trait = 'Neuroticism')
+SELECT file_name, na_share, trait, score, mean, std FROM kept"""

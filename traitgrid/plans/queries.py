@@ -264,14 +264,13 @@ def experiment_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Response files of every grid cell written as column-oriented JSON, read
-    back as one result tree and scored per cell from the files' own weights."""
+    """Response files of every grid cell written as column-oriented JSON under their real names
+    (``<model>/<trait>_<value>.json``), read back as one result tree and scored per cell from the files' own weights."""
     from traitgrid.session import shared_path
-    from traitgrid.sinks.writers import write_columns_json
+    from traitgrid.sinks.writers import write_response_files
     from traitgrid.sources.columns_json import read_result_tree
     root = shared_path(spark, "result-tree")
-    write_columns_json(fx.d1_cell_files(spark, sf), root, index_col="row_id",
-                       chunk_cols=["model", "trait", "value", "chunk"])
+    write_response_files(fx.d1_cell_files(spark, sf).drop("chunk"), root, index_col="row_id")
     tree = read_result_tree(spark, root, index_type="string")
     s = scoring.cell_scores(tree, None, ("model", "trait", "value"))
     return s.select("model", "trait", "value", "n_keyed", "n_valid", "n_na", "mean", "std")
@@ -291,22 +290,40 @@ def score_card_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def card_cohort_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """Score cards of every run file written to disk, found again by the default
-    reader, put into cohorts by their run names, and binned by their mean level."""
+    """Score cards of every run written to disk under their run file names, found again by the default
+    reader, put into cohorts by their file names, and binned by their mean level."""
     from traitgrid.functions.ratings import format_score, parse_score, round_half_even
     from traitgrid.session import shared_path
-    from traitgrid.sinks.writers import write_score_card
+    from traitgrid.sinks.writers import write_run_cards
     from traitgrid.sources.columns_json import read_score_cards
     total = F.sum(F.col("level").cast("decimal(18,6)")).cast("double")
-    cards = fx.d6_run_names(spark, sf).groupBy(F.col("file_name").alias("run_file")).agg(
+    cards = fx.d6_run_names(spark, sf).groupBy("file_name").agg(
         format_score(round_half_even(total / F.count(F.lit(1))), F.lit(0.0)).alias("Neuroticism"), F.lit(0.0).alias("na_share"))
     path = shared_path(spark, "cohort-cards")
-    write_score_card(cards, path, run_cols=["run_file"], traits=["Neuroticism"])
+    write_run_cards(cards, path, traits=["Neuroticism"])
     found = read_score_cards(spark, path, ["Neuroticism"])
-    levels = found.select(parse_score("Neuroticism", 1).alias("level"), F.explode(cohorts_of("run_file")).alias("cohort"))
+    levels = found.select(parse_score("Neuroticism", 1).alias("level"), F.explode(cohorts_of("file_name")).alias("cohort"))
     return report.cohort_histogram(levels, "cohort", "level", bins=5, cohorts=cohort_labels())
 
 
+def card_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards whose files have unlike columns, one of them no known trait, written under their run file names and read
+    as one table: every score of every file."""
+    from traitgrid.functions.files import run_file_name
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_run_cards
+    from traitgrid.sources.columns_json import read_score_cards
+    stamp = F.make_timestamp(F.lit(2025), F.lit(1), F.col("value"), F.lit(12), F.lit(0), F.lit(0))
+    name = run_file_name(F.concat(F.lit("org/"), "model"), F.lit("mixed"), stamp)
+    card = score_card(spark, sf).withColumns({"file_name": name, "Honesty": F.col("Neuroticism")})
+    path = shared_path(spark, "unlike-cards")
+    write_run_cards(card.filter("value % 2 = 1"), path, traits=["Extraversion", "Agreeableness", "Conscientiousness"])
+    write_run_cards(card.filter("value % 2 = 0"), path, traits=["Neuroticism", "Openness", "Honesty"])
+    cards = read_score_cards(spark, path)
+    traits = [c for c in cards.columns if c not in ("file_path", "file_name", "row_index", "na_share")]
+    return report.score_series(cards, ["file_name", "na_share"], traits).filter("score is not null")
+
+
 def persona_file_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """The persona catalogue stored in the catalogue's column-oriented layout,
     read back and used for the local runner's prompts (same rows as
@@ -389,6 +406,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_tree_scores": result_tree_scores,
     "score_card_files": score_card_files,
     "card_cohort_histogram": card_cohort_histogram,
+    "card_union": card_union,
     "persona_file_prompts": persona_file_prompts,
     "training_split_files": training_split_files,
     "columns_json_roundtrip": columns_json_roundtrip,

@@ -7,10 +7,20 @@ and the resume step reads which cells exist from the partition listing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from itertools import groupby
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from traitgrid import storage
 from traitgrid.operators.grid import CELL
+from traitgrid.operators.numbering import numbered, written
+from traitgrid.schemas import TRAITS
+from traitgrid.session import ship_package
 
 
 def write_cells(responses: DataFrame, path: str, cell_cols: list[str] = CELL, fmt: str = "parquet",
@@ -30,24 +40,114 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     df.write.mode(mode).format(fmt).save(path)
 
 
+def _lines(group: list[str], index: str, cols: list[str], schema):
+    """Rows sorted by file and index → the lines of the files: ``group…, __j, __i, line``. Each batch of a file's rows gives a line for each
+    column; sorted by ``__j`` (column) and ``__i``, a file's lines make up one JSON object, and no task holds a file."""
+    def run(batches):
+        import pyarrow as pa
+
+        def emit(name, js, at, texts):
+            return pa.RecordBatch.from_arrays([*[pa.array([v] * len(js), type=f.type) for v, f in zip(name, schema)],
+                                               pa.array(js, pa.int32()), pa.array([at] * len(js), pa.int64()), pa.array(texts, pa.string())], schema=schema)
+
+        def close(name, at):
+            return emit(name, list(range(len(cols))), at, ["}" + ("}" if j == len(cols) - 1 else "") for j in range(len(cols))])
+
+        name, at = None, 0
+        for b in batches:
+            names = list(zip(*[b.column(c).to_pylist() for c in group], strict=True))
+            start = 0
+            for key, run_ in groupby(names):
+                stop = start + sum(1 for _ in run_)
+                if key != name:
+                    if name is not None:
+                        yield close(name, at)
+                    name, at = key, 0
+                index_ = b.column(index).slice(start, stop - start).cast(pa.string()).to_pylist()
+                texts = []
+                for j, c in enumerate(cols):
+                    body = json.dumps(dict(zip(index_, b.column(c).slice(start, stop - start).to_pylist(), strict=True)), ensure_ascii=False, separators=(",", ":"))[1:-1]
+                    head = "," if at else ("{" if j == 0 else ",") + json.dumps(c, ensure_ascii=False) + ":{"
+                    texts.append(head + body)
+                yield emit(name, list(range(len(cols))), at, texts)
+                at, start = at + 1, stop
+        if name is not None:
+            yield close(name, at)
+
+    return run
+
+
+def write_column_files(df: DataFrame, root: str, index_col: str, folders: list[str], file: Column, rows_per_file: int = 1_000_000,
+                       columns: list[str] | None = None, plain: bool = False) -> list[str]:
+    """Column-oriented JSON files under their real names: ``root/<folders>/<file>.json``; the paths written.
+
+    ``folders`` are columns: partition folders (``model=…``), or with ``plain`` folders of their values alone. ``file`` is
+    a file's name without ``.json``. Rows are counted: a file of more than ``rows_per_file`` is cut into
+    ``<file>.json``, ``<file>.1.json``, …, in the order of ``index_col`` (unique in a file). Lines are written to a staging folder by Spark
+    and moved into place, file by file, when the whole job has succeeded; a job that fails leaves nothing. A number that is
+    not finite becomes null. (Hadoop's paths take no colon.)"""
+    spark = ship_package(df.sparkSession)
+    cols = columns or [c for c in df.columns if c != index_col and c not in folders]
+    group = [*folders, "__file"]
+    df = df.withColumn("__file", file)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = written(sizes, "file-sizes").select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(group)], "__n")
+    rows = df.join(sizes, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(group)])
+    dealt = rows.withColumn("__part", F.lit(0).cast("long"))
+    if not sizes.filter(F.col("__n") > rows_per_file).isEmpty():
+        at = numbered(rows.filter(F.col("__n") > rows_per_file), group, [index_col], "__at")
+        dealt = dealt.filter(F.col("__n") <= rows_per_file).unionByName(at.withColumn("__part", F.floor(F.col("__at") / rows_per_file)).drop("__at"))
+    name = F.when(F.col("__part") == 0, F.concat("__file", F.lit(".json"))).otherwise(F.concat("__file", F.lit("."), F.col("__part").cast("string"), F.lit(".json")))
+    kinds = dict(df.dtypes)
+    values = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float")
+              else F.col(c) if kinds[c] in ("string", "boolean", "tinyint", "smallint", "int", "bigint") else F.col(c).cast("string").alias(c) for c in cols]
+    dealt = dealt.select(*folders, name.alias("__file"), F.col(index_col).cast("string").alias("__index"), F.col(index_col).alias("__order"), *values)
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "__order").select(*group, "__index", *cols)
+    schema = T.StructType([*[dealt.schema[c] for c in group], T.StructField("__j", T.IntegerType()), T.StructField("__i", T.LongType()), T.StructField("line", T.StringType())])
+    lines = dealt.mapInArrow(_lines(group, "__index", cols, to_arrow_schema(schema)), schema)
+    staging = f"{root.rstrip('/')}/.staging-{storage.new_name()}"
+    try:
+        (lines.sortWithinPartitions(*group, "__j", "__i").select(*group, "line")
+         .write.partitionBy(*group).text(staging))
+        out = []
+        for path in storage.files(spark, staging):
+            steps = path.split("/")[:-1]  # folders and file name, as partition folders
+            last = unquote(steps[-1].partition("=")[2])
+            inside = [unquote(s.partition("=")[2]) for s in steps[:-1]] if plain else steps[:-1]
+            target = "/".join([root.rstrip("/"), *inside, last])
+            if target in out:
+                raise ValueError(f"{target} was written in more than one piece (spark.sql.files.maxRecordsPerFile?)")
+            storage.move(spark, f"{staging}/{path}", target)
+            out.append(target)
+    finally:
+        storage.remove(spark, staging)
+    return sorted(out)
+
+
 def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file: int = 1000,
                        chunk_cols: list[str] | None = None) -> None:
     """Column-oriented JSON export: one ``{column: {index: value}}`` object per
-    file, one file per chunk of at most ``rows_per_file`` index values (numeric
-    index), or per value of ``chunk_cols`` (e.g. a grid cell:
-    ``model/trait/value`` directories). Chunks bound every collect."""
-    keys = [F.col(c) for c in chunk_cols] if chunk_cols else [F.floor(F.col(index_col) / rows_per_file).alias("__chunk")]
-    names = chunk_cols or ["__chunk"]
-    cols = [c for c in df.columns if c != index_col and c not in names]
-    # one bounded collect per chunk, sorted once; each column map is a view of it.
-    # The index must be unique within a file (it becomes the JSON object keys).
-    rows = F.struct(F.col(index_col).alias("__i"), *[F.col(c).alias(f"__c{j}") for j, c in enumerate(cols)])
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(rows)).alias("__rows"))
-
-    def entry(j: int):
-        return lambda x: F.struct(x["__i"].cast("string"), x[f"__c{j}"])
-    maps = [F.map_from_entries(F.transform("__rows", entry(j))).alias(c) for j, c in enumerate(cols)]
-    g.select(*names, *maps).write.mode("overwrite").partitionBy(*names).json(path)  # one row, so one object, a file
+    file, at most ``rows_per_file`` rows a file, in partition folders of ``chunk_cols`` (e.g. a grid cell:
+    ``model/trait/value``). What was at ``path`` is replaced."""
+    storage.remove(df.sparkSession, path)
+    write_column_files(df, path, index_col, chunk_cols or [], F.lit("part"), rows_per_file)
+
+
+def write_response_files(responses: DataFrame, root: str, index_col: str = "item_id", rows_per_file: int = 1_000_000,
+                         columns: list[str] | None = None) -> list[str]:
+    """Response files of grid cells, ``root/<model>/<trait>_<value>.json``."""
+    file = F.concat_ws("_", F.col("trait"), F.col("value").cast("string"))
+    cols = columns or [c for c in responses.columns if c not in (*CELL, index_col)]
+    return write_column_files(responses, root, index_col, ["model"], file, rows_per_file, cols, plain=True)
+
+
+def write_run_cards(cards: DataFrame, root: str, file_col: str = "file_name", traits: list[str] | None = None) -> list[str]:
+    """Score cards under their run file names (``functions.files.run_file_name``), one row each; traits a card has
+    no value for are left out of no file, but null."""
+    traits = traits or [t for t in TRAITS if t in cards.columns]
+    share = "na_share_rounded" if "na_share_rounded" in cards.columns else "na_share"
+    rows = cards.select(F.lit(0).alias("__row"), F.regexp_replace(file_col, r"\.json$", "").alias("__name"), *traits, F.col(share).alias("N/A"))
+    return write_column_files(rows, root, "__row", [], F.col("__name"), columns=[*traits, "N/A"])
 
 
 def write_score_card(card: DataFrame, path: str, run_cols: list[str] | None = None,
@@ -55,7 +155,6 @@ def write_score_card(card: DataFrame, path: str, run_cols: list[str] | None = No
     """One column-oriented card file per run (``{trait: {"0": "m+-s"}, "N/A":
     {"0": share}}``, the card layout), in ``run=…`` directories. The rounded
     share goes under the card's own name ``N/A``."""
-    from traitgrid.schemas import TRAITS
     traits = [t for t in (traits or TRAITS) if t in card.columns]
     share = "na_share_rounded" if "na_share_rounded" in card.columns else "na_share"
     run_cols = run_cols or [c for c in card.columns

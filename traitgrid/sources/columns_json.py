@@ -10,7 +10,7 @@ as JSON numbers arrive as their text, ``"N/A"`` in a numeric column becomes null
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,12 +54,14 @@ def _reachable(path: str) -> bool:
 
 def read_columns_json(spark: SparkSession, paths, columns: dict[str, str], index_name: str = "row_index",
                       path_glob: str | None = None, recursive: bool = False,
-                      index_type: str = "long") -> DataFrame:
+                      index_type: str = "long", file_columns: dict[str, Column] | None = None) -> DataFrame:
     """Rows of every file under ``paths``: ``file_path, file_name, <index_name>,
-    <columns…>``. ``columns`` maps JSON column name → Spark type; the row
+    <columns…>``, after partition columns and ``file_columns`` (made of the file's path or name, once a file). ``columns`` maps JSON column name → Spark type; the row
     indices are the union of the columns' keys, and a column that a file lacks reads as
     nulls. A file that is no such JSON fails the job with its path (nothing is skipped in silence)."""
     files = list_json_files(ship_package(spark), paths, path_glob, recursive)
+    made = file_columns or {}
+    files = files.select(*[e.alias(c) for c, e in made.items()], *[c for c in files.columns if c not in made])
     carried = [f for f in files.schema if f.name not in ("path", "length", "content")]
     names = list(columns)
     schema = T.StructType([*carried, T.StructField("__k", T.StringType()), *[T.StructField(f"__c{j}", T.StringType()) for j in range(len(names))]])
@@ -120,20 +122,21 @@ def read_personas(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, paths, traits: list[str] = TRAITS, recursive: bool = True,
-                   path_glob: str | None = "*.json", index_type: str = "long") -> DataFrame:
+                   path_glob: str | None = "*.json", index_type: str = "long", file_columns: dict[str, Column] | None = None) -> DataFrame:
     """Response files (key columns + ``responses``, ``numbers_extracted``,
     ``elapsed_times``) of any number of cells, with their file path."""
     cols = {"question": "string", **{t: "double" for t in traits},
             "responses": "string", "numbers_extracted": "string", "elapsed_times": "double"}
     df = read_columns_json(spark, paths, cols, "item_id", path_glob=path_glob, recursive=recursive,
-                           index_type=index_type)
+                           index_type=index_type, file_columns=file_columns)
     return (df.withColumnRenamed("responses", "response_text")
               .withColumnRenamed("numbers_extracted", "rating_text")
               .withColumnRenamed("elapsed_times", "elapsed_s"))
 
 
-# ``<root>/<model>/<trait>_<value>.json`` — one response file per grid cell.
-CELL_PATH_RE = r"([^/]+)/([^/_]+)_(\d+)\.json$"
+# ``<root>/<model>/<trait>_<value>.json`` — one response file per grid cell (a large one goes on in ``….1.json``, …).
+CELL_PATH_RE = r"([^/]+)/[^/]*$"
+CELL_FILE_RE = r"^([^/_]+)_(\d+)(?:\.\d+)?\.json$"
 
 
 def read_result_tree(spark: SparkSession, root: str, traits: list[str] = TRAITS,
@@ -147,11 +150,10 @@ def read_result_tree(spark: SparkSession, root: str, traits: list[str] = TRAITS,
     df = read_responses(spark, root, traits, recursive=False, path_glob=path_glob, index_type=index_type)
     if {"model", "trait", "value"} <= set(df.columns):  # decided from the listing, no job
         return df.withColumn("value", F.col("value").cast("int"))
-    df = read_responses(spark, root, traits, recursive=True, path_glob=path_glob or "*.json", index_type=index_type)
     p = F.col("file_path")
-    return df.select(F.regexp_extract(p, CELL_PATH_RE, 1).alias("model"),
-                     F.regexp_extract(p, CELL_PATH_RE, 2).alias("trait"),
-                     F.regexp_extract(p, CELL_PATH_RE, 3).try_cast("int").alias("value"), "*")
+    cell = {"model": F.url_decode(F.replace(F.regexp_extract(p, CELL_PATH_RE, 1), F.lit("+"), F.lit("%2B"))), "trait": F.regexp_extract("file_name", CELL_FILE_RE, 1),
+            "value": F.regexp_extract("file_name", CELL_FILE_RE, 2).try_cast("int")}
+    return read_responses(spark, root, traits, recursive=True, path_glob=path_glob or "*.json", index_type=index_type, file_columns=cell)
 
 
 def read_score_cards(spark: SparkSession, directory: str, traits: list[str] | None = None,

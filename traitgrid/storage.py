@@ -24,6 +24,18 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in found if n[0] not in "._")
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Paths, relative to a folder, of all files below it; hidden ones are left out."""
+    fs, p = _store(spark, path)
+    if not fs.exists(p):
+        return []
+    base, found, more = fs.resolvePath(p).toString().rstrip("/") + "/", [], fs.listFiles(p, True)
+    while more.hasNext():
+        found.append(more.next().getPath().toString())
+    cut = [f[f.index(base) + len(base):] if base in f else f for f in found]
+    return sorted(f for f in cut if f.rsplit("/", 1)[-1][0] not in "._")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder with all it holds, if it is there."""
     fs, p = _store(spark, path)
