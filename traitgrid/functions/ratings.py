@@ -37,9 +37,12 @@ def rating_text(number, scale: RatingScale = DEFAULT_SCALE, allowed: list[str] |
 
 def rating_value(text, scale: RatingScale = DEFAULT_SCALE) -> Column:
     """Stored rating text → int when its number is one of the scale's values (``5.0``
-    is 5, as in a numeric column with a gap), else null."""
-    n = _c(text).cast("string").try_cast("double")
-    return F.when(n.isin(*[float(x) for x in scale.allowed]), n.cast("int"))
+    is 5, as in a numeric column with a gap), else null. The scale's own texts are taken as they are; only
+    others are looked at as numbers, and a suffix such as ``5d`` makes none."""
+    t = _c(text).cast("string")
+    n = F.when(t.rlike(r"\A\s*[+-]?[0-9]+(\.0*)?\s*\z"), t.try_cast("double"))
+    return (F.when(t.isin(*scale.allowed), t.try_cast("int"))
+            .when(t.isNotNull() & ~t.isin("N/A"), F.when(n.isin(*[float(x) for x in scale.allowed]), n.cast("int"))))
 
 
 def reverse_key(rating, weight, scale: RatingScale = DEFAULT_SCALE) -> Column:

@@ -148,11 +148,18 @@ def rating_counts(responses: DataFrame, run_cols: list[str], rating_col: str = "
                          F.sum("n").over(total).alias("n_total"))
 
 
-def target_mse(scores: DataFrame, target: Column, run_cols: list[str]) -> DataFrame:
-    """Mean squared error of the rounded trait means against a target per run.
+def target_mse(scores: DataFrame, target: Column | DataFrame, run_cols: list[str], on: list[str] | None = None) -> DataFrame:
+    """Mean squared error of the rounded trait means against a target per run. ``target`` is a Column of
+    ``scores``, or a table with a column ``target``, joined by ``on`` (default: the columns both have); a score without a target
+    is left out.
 
     Differences are taken in exact decimals, so the result is one final double
     division (independent of summation order)."""
+    if isinstance(target, DataFrame):
+        keys = on or [c for c in target.columns if c != "target" and c in scores.columns]
+        t = target.select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate(keys)], F.col("target").alias("__target"))
+        scores = scores.join(t, [F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(keys)]).filter(F.col("__target").isNotNull())
+        target = F.col("__target")
     d = target.cast("decimal(20,6)") - F.col("mean").cast("decimal(20,6)")
     return (scores.filter(F.col("mean").isNotNull())
             .groupBy(*run_cols)

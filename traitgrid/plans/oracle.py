@@ -429,3 +429,38 @@ kept AS (SELECT file_name, na_share, trait, score, mean, std FROM named WHERE va
   UNION ALL SELECT file_name, na_share, trait, score, mean, std FROM named WHERE value % 2 = 0 AND trait IN ('Neuroticism', 'Openness')
   UNION ALL SELECT file_name, na_share, 'Honesty', score, mean, std FROM named WHERE value % 2 = 0 AND trait = 'Neuroticism')
 SELECT file_name, na_share, trait, score, mean, std FROM kept"""
+
+SQL["inventory_files"] = SQL["inventory_items"]
+SQL["bucketed_advantage"] = SQL["group_advantage"]
+SQL["run_file_list"] = f"""WITH r AS ({SQL["run_names"]})
+SELECT DISTINCT file_name, model, trait FROM r"""
+SQL["listed_cells"] = SQL["present_cells"]
+SQL["any_reply"] = f"""WITH att AS (SELECT user_id AS item_id, props AS response_text, value AS elapsed_s,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events),
+f AS (SELECT *, {_number('response_text')} AS number FROM att WHERE n = 1)
+SELECT item_id, CAST(1 AS INTEGER) AS attempt, CAST(least(c, 10) AS INTEGER) AS n_calls, response_text,
+  CASE WHEN number IN {ALLOWED} THEN number ELSE 'N/A' END AS rating_text, elapsed_s FROM f"""
+SQL["parsed_experiment"] = f"""WITH {D2},
+{TRAIT_LIST},
+{PERSONAS},
+{_grid(['A'], ['Openness'])},
+a AS (SELECT g.*, t.attempt, CAST((length(prompt) + 3 * t.attempt) % 7 AS VARCHAR) AS digit
+  FROM grid g, (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS attempt) t),
+f AS (SELECT model, trait, value, repetition, item_id, coalesce(min(attempt) FILTER (WHERE digit IN {ALLOWED}), 10) AS attempt FROM a GROUP BY ALL)
+SELECT a.model, a.trait, a.value, a.repetition, a.item_id, a.attempt, a.attempt AS n_calls, ' ' || digit || ' of 9' AS response_text,
+  CASE WHEN digit IN {ALLOWED} THEN digit ELSE 'N/A' END AS rating_text
+FROM a JOIN f USING (model, trait, value, repetition, item_id, attempt)"""
+SQL["split_by_trait"] = f"""WITH {D2}
+SELECT trait, item_id, question, CASE WHEN row_number() OVER (PARTITION BY trait ORDER BY item_id) <= 16 THEN 'eval' ELSE 'train' END AS split
+FROM d2 WHERE weight = 1"""
+SQL["target_table_mse"] = f"""{BASE},
+t AS (SELECT *, CAST(value AS DOUBLE) / 2.0 AS target FROM scores WHERE trait IN ({', '.join(lit(t) for t in GRID_TRAITS)}) AND mean IS NOT NULL)
+SELECT model, value, count(*) AS n_traits,
+  CAST(sum((CAST(target AS DECIMAL(18,6)) - CAST(mean AS DECIMAL(18,6))) * (CAST(target AS DECIMAL(18,6)) - CAST(mean AS DECIMAL(18,6)))) AS DOUBLE) / count(*) AS mse
+FROM t GROUP BY model, value"""
+SQL["mixed_rewards"] = f"""WITH {D7},
+{REWARDS},
+m AS (SELECT *, CAST(2 AS DOUBLE) - CAST(0.125 AS DOUBLE) * length(completion) - CAST(0.25 AS DOUBLE) * line_no AS brevity,
+    CAST(length(regexp_replace(completion, '[^0-9]', '', 'g')) AS DOUBLE) AS digits FROM rw2)
+SELECT {IDS7}, rating_reward, format_reward, brevity, digits,
+  reward + CAST(0.5 AS DOUBLE) * brevity + CAST(-0.25 AS DOUBLE) * digits AS reward FROM m"""

@@ -371,6 +371,101 @@ def columns_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("item_id", "question", *TRAITS)  # must equal the one-hot key
 
 
+def inventory_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Inventory texts written as text files, read back and parsed: the items of every file."""
+    from traitgrid.session import shared_path
+    from traitgrid.sources.inventory import read_inventory_text
+    path = shared_path(spark, "inventory")
+    fx.d4_inventory(spark, sf).repartition("file_id").write.partitionBy("file_id").text(path, lineSep="\n")
+    items = instrument.parse_inventory(read_inventory_text(spark, path))
+    return items.withColumn("file_id", F.regexp_extract("file_id", r"/file_id=(\d+)/", 1).cast("long"))
+
+
+def run_file_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of a folder of score cards, by name, with what their names say."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_run_cards
+    from traitgrid.sources.results import list_files
+    cards = fx.d6_run_names(spark, sf).select("file_name", F.lit("3.0+-0.0").alias("Openness"), F.lit(0.0).alias("na_share")).distinct()
+    path = shared_path(spark, "run-files")
+    write_run_cards(cards, path, traits=["Openness"])
+    found = list_files(spark, path, "*.json")
+    return found.select("file_name", parse_run_file("file_name").alias("p")).select("file_name", "p.model", "p.trait")
+
+
+def listed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid cells that a result table has, and how many of its model, from the names of its folders alone."""
+    from traitgrid.session import shared_path
+    from traitgrid.sinks.writers import write_cells
+    from traitgrid.sources.results import list_cells, list_models
+    keyed = instrument.keyed_items(fx.d2_key(spark, sf)).select("item_id", "trait")
+    path = shared_path(spark, "cells")
+    write_cells(fx.d1_responses(spark, sf).join(keyed, "item_id"), path)
+    done = list_cells(spark, path)
+    cells = grid.grid_cells(spark, RESUME_MODELS, GRID_TRAITS).join(list_models(done), "model", "left_semi")
+    return grid.present_cells(cells, done)
+
+
+def any_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts resolved where every reply is accepted: the first successful call."""
+    return collect.resolve_attempts(fx.d3_attempts(spark, sf), ["item_id"], ["ts", "call_id"], max_attempts=10, allowed=None)
+
+
+def first_character(replies):
+    """The parser of one-token replies, for the calls: the first character of each stripped text."""
+    return replies.str.strip().str[:1]
+
+
+def parsed_responder():
+    """Deterministic stand-in for a model that answers in one token, valid or not, and goes on."""
+    return lambda prompts, attempt: " " + ((prompts.str.len() + 3 * attempt) % 7).astype(str) + " of 9"
+
+
+def parsed_experiment(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid run with a parser of its own (the first character) for calls and replies."""
+    from traitgrid.plans.experiment import results, run_experiment
+    from traitgrid.session import shared_path
+    root = shared_path(spark, "parsed")
+    run_experiment(spark, fx.d2_key(spark, sf), fx.d5_personas(spark), ["A"], ["Openness"], root, parsed_responder, max_attempts=10,
+                   parser=first_char, reply_parser=first_character)
+    return results(spark, root, "responses").select("model", "trait", "value", "repetition", "item_id", "attempt", "n_calls", "response_text", "rating_text")
+
+
+def split_by_trait(spark: SparkSession, sf: str) -> DataFrame:
+    """The training rows of every trait, split for each trait by itself."""
+    items = instrument.keyed_items(fx.d2_key(spark, sf), sign=1.0).select("trait", "item_id", "question")
+    return training.train_eval_split(items, ["item_id"], n_eval=16, by=["trait"])
+
+
+def target_table_mse(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores against a table of targets: a trait's target at a prompted intensity, none for two of the traits."""
+    targets = fx.d5_personas(spark).filter(F.col("domain").isin(*GRID_TRAITS)).select(
+        F.col("domain").alias("trait"), "value", (F.col("value") / 2.0).alias("target"))
+    return scoring.target_mse(_scores(spark, sf), targets, RUN)
+
+
+def list_rewards(completions, line_no):
+    """A reward over lists: a short completion of an early line is worth more."""
+    return [None if c is None else 2.0 - 0.125 * len(c) - 0.25 * n for c, n in zip(completions, line_no, strict=True)]
+
+
+def mixed_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """Reward functions of both forms: Columns, and functions over lists in one Python pass."""
+    rewards = REWARDS | {"brevity": (training.BatchReward(list_rewards, ("line_no",)), 0.5),
+                         "digits": (training.BatchReward(lambda completions: [sum(ch in "0123456789" for ch in c) for c in completions]), -0.25)}
+    d = training.score_completions(fx.d7_completions(spark, sf), rewards)
+    return d.select(*_D7_IDS, "rating_reward", "format_reward", "brevity", "digits", "reward")
+
+
+def bucketed_advantage(spark: SparkSession, sf: str) -> DataFrame:
+    """Group-relative advantages from completions stored in buckets of their prompts (rewards computed once)."""
+    from traitgrid.session import shared_path
+    scored = training.score_completions(fx.d7_completions(spark, sf), REWARDS)
+    stored = training.store_completions(scored, shared_path(spark, "completions"), "prompt_id")
+    g = training.stored_advantage(spark, stored, "prompt_id", "reward")
+    return g.select(*_D7_IDS, "reward", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trait_scores": trait_scores,
     "score_card": score_card,
@@ -410,4 +505,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "persona_file_prompts": persona_file_prompts,
     "training_split_files": training_split_files,
     "columns_json_roundtrip": columns_json_roundtrip,
+    "inventory_files": inventory_files,
+    "run_file_list": run_file_list,
+    "listed_cells": listed_cells,
+    "any_reply": any_reply,
+    "parsed_experiment": parsed_experiment,
+    "split_by_trait": split_by_trait,
+    "target_table_mse": target_table_mse,
+    "mixed_rewards": mixed_rewards,
+    "bucketed_advantage": bucketed_advantage,
 }

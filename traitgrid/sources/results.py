@@ -14,7 +14,25 @@ def read_cells(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
+def list_files(spark: SparkSession, directory: str, path_glob: str | None = None) -> DataFrame:
+    """``file_name, length`` of the files (not the folders) of a directory; none is opened."""
+    reader = spark.read.format("binaryFile")
+    if path_glob:
+        reader = reader.option("pathGlobFilter", path_glob)
+    return reader.load(f"{directory.rstrip('/')}/*").select(F.col("_metadata.file_name").alias("file_name"), "length")
+
+
+def list_cells(spark: SparkSession, root: str) -> DataFrame:
+    """``model, trait, value`` of the cells that a table written with ``sinks.write_cells`` has, from the names of its
+    folders: no data file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root).select("path")
+    steps = {c: F.regexp_extract("path", f"/{c}=([^/]*)/", 1) for c in ("model", "trait", "value")}
+    plain = {c: F.when(e != "__HIVE_DEFAULT_PARTITION__", F.url_decode(F.replace(e, F.lit("+"), F.lit("%2B")))) for c, e in steps.items()}
+    return files.select(plain["model"].alias("model"), plain["trait"].alias("trait"), plain["value"].try_cast("int").alias("value")).distinct()
+
+
 def list_models(cells: DataFrame) -> DataFrame:
+    """The models of a table of cells (``list_cells``: of those written)."""
     return cells.select("model").distinct()
 
 
