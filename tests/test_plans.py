@@ -7,7 +7,8 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 FILE_BASED = {"columns_json_roundtrip", "live_trait_scores", "experiment_scores", "result_tree_scores",
-              "score_card_files", "persona_file_prompts", "training_split_files"}
+              "score_card_files", "persona_file_prompts", "training_split_files", "crash_between_writes", "parsed_experiment",
+              "card_union", "run_file_list", "inventory_files", "listed_cells", "bucketed_advantage"}
 
 
 def plan_of(df) -> str:
@@ -71,3 +72,15 @@ def test_fits_guards_partition_count(spark):
 def test_grid_broadcasts_personas(plans):
     p = plans["prompt_grid"]
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_size_check_by_bytes_gathers_no_rows(spark, tmp_path):
+    from traitgrid.operators.joins import estimated_bytes, fits
+    path = str(tmp_path / "wide")
+    spark.range(2000).selectExpr("id", "repeat(cast(rand() as string), 200) AS text").write.parquet(path)
+    wide = spark.read.parquet(path)
+    assert estimated_bytes(wide) > 100_000 and not fits(wide, 300)  # few rows allowed, many bytes
+    assert fits(wide, 1_000_000)
+    rows = spark.createDataFrame([(i,) for i in range(50)], "x int")
+    assert estimated_bytes(rows.repartition(3)) is None or fits(rows, 50)
+    assert fits(rows, 50) and not fits(rows, 49)
