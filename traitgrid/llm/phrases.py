@@ -34,7 +34,7 @@ class Sizes:
 
     side: int = 1_024  #: ids along a tile's side
     band: int = 64  #: rows of a tile that travel together
-    flush: int = 1 << 22  #: pairs that a task holds before it sums them up and sends the sums
+    flush: int = 1 << 21  #: pairs that a task holds before it sums them up and sends the sums
     words: int = 1 << 20  #: distinct words, likewise
     per_cell: int = 16  #: a tile is dense if a flush is expected to hit it once for so many cells
     broadcast: int = 64 << 20  #: a lookup table of more bytes is joined
