@@ -5,6 +5,8 @@ propagation, SimHash closure, the tokenizers' merges, packing, approximate searc
 raked sampling, 13-word windows); tests hold those against brute force.
 """
 
+from traitgrid.llm import quality
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 OP8 = rf"""
@@ -113,4 +115,11 @@ SELECT doc_id, leaf, sub.d AS subroot, top.d AS root, sha256(p) AS proof_sha256,
 FROM or{_OVER} a JOIN o0 sub ON a.g = sub.pos CROSS JOIN o{_OVER} top
 """
 
-SQL = {"op8_quality_rules": OP8, "op11_exact_top_k": OP11, "op12_phrase_mining": OP12, "op13_merkle_manifest": OP13}
+def _ablation() -> str:
+    rows = ", ".join(f"('{p}', '{r.name}', {quality.mask(names)}, {1 << r.bit})" for p, names in quality.POLICIES.items() for r in quality.RULES if r.name in names)
+    return f"""WITH led AS ({OP8}), e AS (SELECT * FROM (VALUES {rows}) AS v(policy, rule, m, b))
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & b <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & m = b) AS n_only
+FROM led CROSS JOIN e GROUP BY policy, rule"""
+
+
+SQL = {"quality_ablation": _ablation(), "op8_quality_rules": OP8, "op11_exact_top_k": OP11, "op12_phrase_mining": OP12, "op13_merkle_manifest": OP13}

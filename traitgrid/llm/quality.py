@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitgrid.llm.common import map_text
+from traitgrid.llm.common import map_text, stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -122,6 +122,12 @@ def ledger(docs: DataFrame, carry: list[str] | None = None, text_col: str = "tex
     return out.withColumn("fail_bits", total)
 
 
+def stored_ledger(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """``ledger``, written to the shared folder once: every rule is evaluated once, policies and ablations read
+    the bits, and rejected rows stay on record with theirs."""
+    return stored(ledger(docs, carry, text_col, rules), "quality-ledger")
+
+
 def verdicts(led: DataFrame, policy: str = "standard-v1", policies: dict[str, list[str]] = POLICIES,
              rules: list[Rule] = RULES) -> DataFrame:
     """Adds ``kept`` under one policy and ``policy``: a mask over the stored bits."""

@@ -49,7 +49,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")), "standard-v1")
+    led = quality.verdicts(quality.stored_ledger(table(spark, sf_dir, "documents")), "standard-v1")
     base = F.lit(quality.mask(quality.BASE)).cast("long")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits")
@@ -77,8 +77,14 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": lowered}, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone, from the stored ledger of op8."""
+    return quality.ablation(quality.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_sharding, op3_simhash_near_dedup, op4_token_counts, op5_chat_formatting,
                             op6_packing, op7_nearest_neighbours, op8_quality_rules, op9_mixing, op10_substring_dedup,
-                            op11_exact_top_k, op12_phrase_mining, op13_merkle_manifest)
+                            op11_exact_top_k, op12_phrase_mining, op13_merkle_manifest,
+                            quality_ablation)
 }
