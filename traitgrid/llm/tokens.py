@@ -3,8 +3,9 @@
 A text is cut where no merge can cross (before each run of spaces), so its
 count is the sum of its pieces' counts. Frequent pieces are looked up in a
 broadcast table of lengths; the rest are encoded once per worker and kept in a
-bounded cache. No piece is ever shuffled: only each task's short list of
-frequent ones is, to build the table.
+bounded cache. No piece is shuffled with its text: to build the table, each task keeps one
+bounded sketch of its frequent pieces over all its texts, and only these sketches
+(``PROPOSED`` rows a task) are added up.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitgrid.llm.common import map_text
+from traitgrid.llm.common import map_text, slices
+from traitgrid.session import ship_package
 
-#: Entries of the broadcast table, entries a slice of texts may propose, and
-#: characters of a key: together they bound the broadcast (16 MB at most).
+#: Entries of the broadcast table and characters of a key: together they bound the broadcast (16 MB at
+#: most). Entries a task may propose, and holds while it reads.
 TABLE = 65_536
-PROPOSED = 4_096
+PROPOSED = 16_384
+SKETCH = 131_072
 KEY = 64
 CACHE = 200_000
 PIECE = re.compile(" *[^ ]+| +")
@@ -53,19 +57,41 @@ def encode_lengths(path: str, keys: list[str]) -> list[int]:
     return [len(x) if k != " " else 1 for k, x in zip(keys, model(path).encode([k[1:] for k in keys], num_threads=1), strict=True)]
 
 
+class Sketch:
+    """Counts of at most about ``size`` frequent keys: when there are twice as many, the rarer half is dropped, and what
+    was dropped last is the most that a count may be too low by."""
+
+    def __init__(self, size: int):
+        self.size, self.seen, self.low = size, Counter(), 0
+
+    def add(self, keys: list[str]) -> None:
+        self.seen.update(k for k in keys if len(k) <= KEY)
+        if len(self.seen) > 2 * self.size:
+            kept = self.seen.most_common(self.size + 1)
+            self.low = max(self.low, kept.pop()[1])
+            self.seen = Counter(dict(kept))
+
+    def top(self, n: int) -> list[tuple[str, int]]:
+        return [(k, c) for k, c in self.seen.most_common(n) if c > 1]
+
+
 def frequent_lengths(docs: DataFrame, path: str, size: int = TABLE) -> dict[str, int]:
-    """Token counts of the corpus' most frequent pieces. Each slice of texts
-    proposes its own most frequent ones, added up by Spark; the table decides
+    """Token counts of the corpus' most frequent pieces. Each task proposes those most frequent in all its texts
+    (``Sketch``), added up by Spark; the table decides
     speed only, so approximate frequencies do."""
-    def propose(part):
-        seen: Counter = Counter()
-        for x in part.column("text").to_pylist():
-            seen.update(pieces(x))
-        got = [(k, n) for k, n in seen.most_common(PROPOSED) if n > 1 and len(k) <= KEY]
+    schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+
+    def propose(batches):
+        seen = Sketch(SKETCH)
+        for part in slices(batches, "text"):
+            for x in part.column("text").to_pylist():
+                seen.add(pieces(x))
+        got = seen.top(PROPOSED)
         if got:
-            yield [list(c) for c in zip(*got, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
-    found = map_text(docs.select("text").filter("text is not null"), propose, "piece string, n long")
+    ship_package(docs.sparkSession)
+    found = docs.select("text").filter("text is not null").mapInArrow(propose, "piece string, n long")
     rows = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(size).collect()
     keys = [r["piece"] for r in rows]
     return dict(zip(keys, encode_lengths(path, keys), strict=True)) if keys else {}
