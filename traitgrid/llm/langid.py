@@ -18,6 +18,8 @@ from traitgrid.llm.common import cut, map_text
 PROFILE = 300
 #: A profile table is collected and shipped to tasks; more labels than this is an error, not a cut.
 MAX_LANGUAGES = 10_000
+#: Bytes of the profile table in each worker.
+MAX_BYTES = 64 << 20
 CHUNK = 1 << 18
 BLANK = 32
 
@@ -92,16 +94,23 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
 
 
 class Profiles:
-    """The profiles as arrays: ``ranks[l, j]`` is the rank of ``grams[j]`` in language l (``size``: absent)."""
+    """The profiles, sparse: ``lang[k]`` and ``rank[k]`` for ``start[j] <= k < start[j + 1]`` are the languages that have
+    ``grams[j]`` and its rank there (``size``: absent). No more than a row of the profile table each."""
 
     def __init__(self, rows: list, size: int):
         self.size = size
         self.langs = sorted({r["lang"] for r in rows})
-        self.grams = np.unique(np.array([r["gram"] for r in rows], dtype=np.int64))
-        self.ranks = np.full((len(self.langs), len(self.grams) + 1), size, dtype=np.int64)
         at = {x: i for i, x in enumerate(self.langs)}
-        for r in rows:
-            self.ranks[at[r["lang"]], np.searchsorted(self.grams, r["gram"])] = r["rank"]
+        gram = np.array([r["gram"] for r in rows], dtype=np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.grams, first = np.unique(gram[order], return_index=True)
+        self.start = np.append(first, len(rows)).astype(np.int64)
+        self.lang = np.array([at[r["lang"]] for r in rows], dtype=np.int32)[order]
+        self.rank = np.array([r["rank"] for r in rows], dtype=np.int32)[order]
+
+    @property
+    def nbytes(self) -> int:
+        return self.grams.nbytes + self.start.nbytes + self.lang.nbytes + self.rank.nbytes + sum(len(x.encode()) for x in self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language of smallest out-of-place distance (ties: first label) and
@@ -109,11 +118,14 @@ class Profiles:
         grams = top(*ngrams(text or ""), self.size)
         if not len(grams) or not self.langs:
             return "und", 0.0
-        j = np.searchsorted(self.grams, grams)
-        j[(j == len(self.grams)) | (self.grams[np.minimum(j, len(self.grams) - 1)] != grams)] = len(self.grams)
-        rank = self.ranks[:, j]
-        away = np.where(rank == self.size, self.size, np.abs(rank - np.arange(len(grams))))
-        total = away.sum(axis=1)
+        j = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[j] == grams)
+        j = j[place]
+        n = self.start[j + 1] - self.start[j]
+        k = np.repeat(self.start[j] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        # what a language's profile has is so much nearer than absent
+        gain = self.size - np.abs(self.rank[k] - np.repeat(place, n))
+        total = self.size * len(grams) - np.bincount(self.lang[k], weights=gain, minlength=len(self.langs))
         best = int(total.argmin())
         return self.langs[best], 1.0 - float(total[best]) / (self.size * len(grams))
 
@@ -123,14 +135,20 @@ def predict_language(docs: DataFrame, profiles: DataFrame, carry: list[str], tex
     """``carry`` columns, ``lang_pred`` and ``score`` (0 to 1) for every row.
 
     A null text or one without a letter is ``und`` with score 0, and so is
-    everything when nothing was learned. Whole texts; the only thing shipped to
-    tasks is the profile table (languages × ``size``, checked)."""
+    everything when nothing was learned; equal distances go to the first label; a repeated row is predicted
+    each time. Whole texts; the only thing shipped to
+    tasks is the sparse profile table, broadcast (a row for each language and n-gram; more than ``MAX_BYTES``
+    of it are an error)."""
     rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
     if len(rows) > MAX_LANGUAGES * size:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    model = Profiles(rows, size)
+    made = Profiles(rows, size)
+    if made.nbytes > MAX_BYTES:
+        raise ValueError(f"profiles of {made.nbytes} bytes, more than {MAX_BYTES}")
+    held = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(part):
+        model = held.value
         got = [model.predict(x) for x in part.column("__text").to_pylist()]
         yield [*(part.column(c) for c in carry), [x for x, _ in got], [x for _, x in got]]
 
