@@ -4,8 +4,10 @@ A passage of ``size`` words can only repeat across documents if its shorter
 windows do. The first level takes windows of ``(size + 1) // 2`` words, and of
 those the one with the smallest hash inside each passage (equal passages choose
 alike, so nothing is lost and about a quarter of the windows are compared). Only
-passages whose chosen window occurs in two documents are extended to twice the
-length; with ``longest`` the doubling goes on until no candidates survive.
+passages whose chosen window occurs in two documents are extended to twice that length, less the
+word in the middle that both halves share: 7 words, then 13. Longer passages cover no
+word that their 13-word windows do not, so the removal stops there; ``longest_passages`` goes on
+doubling until no candidates survive.
 """
 
 from __future__ import annotations
