@@ -306,7 +306,7 @@ def test_chat(spark):
     assert got > 0.85
     rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Yes.\nMore."), (1, 1, "assistant", "Yes.\nMore."), (None, 0, "user", "x"), (2, None, "user", None), (3, 0, "robot", "y")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {r.conv_id for r in out} == {1, None}
+    assert {r.conv_id for r in out} == {1, 2, 3, None}
     assert chat.format_conversations(d.filter("false")).count() == 0
 
 
@@ -314,7 +314,7 @@ def test_chat_keeps_every_conversation_and_turn(spark):
     rows = [(1, 0, "Human", "Hi?"), (1, 1, "tool", "looked up"), (1, 2, " ai ", "Yes."), (2, None, "user", None), (3, 0, "robot", "yes indeed"), (4, 0, None, None),
             (5, 0, "bot", "a reply"), (6, 0, "customer", "where is it?"), (None, 0, "agent", "here")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in chat.format_conversations(d, every=True).collect()}
+    out = {r.conv_id: r for r in chat.format_conversations(d).collect()}
     assert set(out) == {1, 2, 3, 4, 5, 6, None}
     assert all(x in out[1].rendered for x in ("Hi?", "looked up", "Yes.")) and "yes indeed" in out[3].rendered
     assert out[1].n_true == 2 and out[3].n_true == 0 and out[4].n_turns == 0 and out[5].n_true == out[6].n_true == 1
@@ -333,7 +333,7 @@ def test_long_chat_is_decoded_as_a_whole(spark, monkeypatch):
     rows = [(c, t, rng.choice(["user", "assistant", "system", "user", "assistant", None]), rng.choice(said) + f" {t % 9}") for c, n in ((1, 700), (2, 3), (3, 200)) for t in range(n)]
     rows += [(4, None, "user", f"equal {i}") for i in range(150)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    raw = chat.written(d, every=True).withColumn("held_out", F.lit(False))
+    raw = chat.written(d).withColumn("held_out", F.lit(False))
     model = chat.learn(chat.ordered(raw))
     got = chat.parse_turns(chat.ordered(raw), model).orderBy("part").collect()
     turns = chat.ordered(raw).collect()

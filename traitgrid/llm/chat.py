@@ -4,6 +4,12 @@ A transcript is lines. Hidden states are (role, first or later line of a turn);
 a line is observed as a speaker-marker class and a shape. The model is counted
 from labelled transcripts, roles are recovered by Viterbi, and the turns are
 rendered in one canonical form.
+
+Which role a marker speaks for is found for each transcript by itself, as names mean nothing
+(``Anna:``, ``SPEAKER_00:``): what looks like a marker and recurs, or begins the transcript and is written like one that does, is a
+speaker, tied over all of its lines. Of all ways to give the transcript's speakers roles (or none: a
+heading inside a text) the likeliest is taken, by the order in which they first speak, who follows whom, the
+shapes of the lines they begin, and what the word itself has stood for in labelled transcripts, if it occurs there.
 """
 
 from __future__ import annotations
@@ -34,17 +40,128 @@ MARKS, SHAPES = 5, 4
 PART, LOOK = 64, 512
 
 
-def observe(line: str) -> tuple[int, int]:
+#: What may be a marker: a name of up to three words between brackets or before a colon or the like.
+CANDIDATE = re.compile(r"^\s*(#{1,6}\s*|\[|\(|<\|?|\*\*)?([^\W\d_][\w.'-]{0,29}(?: [\w.'-]{1,20}){0,2})(:?\*\*|\]|\)|\|?>)?\s*(:|>>|\]|\|>)?(\s|$)")
+#: Speakers of a transcript that are told apart, candidates that are counted, and transcripts the tables are learned from.
+SLOTS, COUNTED, LEARN = 6, 64, 5_000
+TEXT = len(ROLES)  #: the class of a candidate that is no marker
+
+
+def shape_of(text: str) -> int:
+    return 0 if not text else 1 if text.endswith("?") else 2 if len(text) > 120 else 3
+
+
+def candidate(line: str) -> tuple[tuple[str, str, str], int] | None:
+    """``(opening, name, closing)`` of a line that may begin with a marker, and where its text starts. A word alone, or before a
+    bracket only, is none."""
+    m = CANDIDATE.match(line)
+    if m is None:
+        return None
+    opening, name, closing, end, _ = (x or "" for x in m.groups())
+    opening = opening.strip()
+    if not end and not (opening and closing) and not (opening.startswith("#") and m.end() == len(line)):
+        return None
+    return (opening[:1], " ".join(name.lower().split()), closing + end), m.end()
+
+
+def observe(line: str, roles: dict | None = None) -> tuple[int, int]:
     """Symbol of a line (marker class × shape) and where its text starts. Marker
-    classes: one per role, an unknown word, none. Shapes: blank, question, long, other."""
+    classes: one per role, another candidate, none. Shapes: blank, question, long, other. ``roles`` are those of the transcript's
+    speakers (``Markers.roles``); without, known words alone are markers."""
+    if roles is not None:
+        found = candidate(line)
+        role = None if found is None else roles.get(found[0])
+        mark, at = (4, 0) if found is None else (3, 0) if role is None else (role, found[1])
+        return mark * SHAPES + shape_of(line.strip()), at
     m = MARKER.match(line)
     word = m.group(1).lower() if m else None
     role = SPEAKERS.get(word)
     alone = m is not None and m.group(0).strip() == m.group(1)  # a bare word is no marker
     mark = 4 if m is None or alone else role if role is not None else 3
-    text = line.strip()
-    shape = 0 if not text else 1 if text.endswith("?") else 2 if len(text) > 120 else 3
-    return mark * SHAPES + shape, m.end() if mark < 3 else 0
+    return mark * SHAPES + shape_of(line.strip()), m.end() if mark < 3 else 0
+
+
+class Tables:
+    """What labelled transcripts say about markers, as log probabilities with one added to every count: ``word`` (class by name), ``order``
+    (class of a speaker by its place among how many, and whether it speaks again), ``shape`` (of a line, by class), ``step`` (class by the class of the marker before; first: none)."""
+
+    def __init__(self, counts: dict[tuple[str, str, int], int]):
+        n = TEXT + 1
+        self.shape, self.step = np.ones((n, SHAPES)), np.ones((n + 1, n))
+        rest: dict[str, dict[str, np.ndarray]] = {"word": {}, "order": {}}
+        for (kind, key, c), k in counts.items():
+            if kind in rest:
+                rest[kind].setdefault(key, np.full(n, 0.25))[c] += k
+            elif kind == "shape":
+                self.shape[c, int(key)] += k
+            else:
+                self.step[int(key), c] += k
+        self.shape, self.step = (np.log(x / x.sum(axis=1, keepdims=True)) for x in (self.shape, self.step))
+        self.word, self.order = ({w: np.log(x / x.sum()) for w, x in rest[kind].items()} for kind in ("word", "order"))
+
+
+class Markers:
+    """The candidates of one transcript, counted line by line; at most ``COUNTED`` of them, the rarer go."""
+
+    def __init__(self):
+        self.seen: dict[tuple, list] = {}  # lines, first place, lines by shape
+        self.after: dict[tuple, int] = {}
+        self.last, self.place = None, 0
+
+    def add(self, line: str) -> None:
+        found = candidate(line)
+        if found is None:
+            return
+        key, at = found
+        if key not in self.seen:
+            self.seen[key] = [0, self.place, [0] * SHAPES]
+            self.place += 1
+        x = self.seen[key]
+        x[0] += 1
+        x[2][shape_of(line[at:].strip())] += 1
+        self.after[self.last, key] = self.after.get((self.last, key), 0) + 1
+        self.last = key
+        if len(self.seen) > 2 * COUNTED:
+            kept = sorted(self.seen, key=lambda k: (-self.seen[k][0], self.seen[k][1]))[:COUNTED]
+            self.seen = {k: self.seen[k] for k in kept}
+            self.after = {p: n for p, n in self.after.items() if p[1] in self.seen and (p[0] is None or p[0] in self.seen)}
+
+    def slots(self) -> list[tuple]:
+        """The speakers: candidates that recur, the first one of all, if it is written like one that does, and known words; the most
+        frequent, in order of appearance."""
+        ways = {(k[0], k[2]) for k, x in self.seen.items() if x[0] > 1}
+        some = [k for k, x in self.seen.items() if x[0] > 1 or x[1] == 0 and (k[0], k[2]) in ways or k[1] in SPEAKERS]
+        return sorted(sorted(some, key=lambda k: (-self.seen[k][0], self.seen[k][1]))[:SLOTS], key=lambda k: self.seen[k][1])
+
+    def places(self) -> dict[tuple, str]:
+        """Each speaker's place: its number, how many speak again, and whether it does."""
+        slots = self.slots()
+        again = sum(self.seen[k][0] > 1 for k in slots)
+        return {k: f"{i}/{min(again, 3)}/{int(self.seen[k][0] > 1)}" for i, k in enumerate(slots)}
+
+    def roles(self, tables: Tables) -> dict[tuple, int]:
+        """The likeliest roles of the speakers, all ways compared (ties: the first in order of roles). Candidates that are text are left out."""
+        place = self.places()
+        slots = list(place)
+        if not slots:
+            return {}
+        m, n = len(slots), TEXT + 1
+        own = np.zeros((m, n))
+        for i, k in enumerate(slots):
+            own[i] = tables.order.get(place[k], 0.0) + tables.word.get(k[1], 0.0) + tables.shape @ np.array(self.seen[k][2]) - _LEVEL @ np.array(self.seen[k][2])
+        ways = np.stack(np.unravel_index(np.arange(n**m), (n,) * m), axis=1)
+        score = own[np.arange(m), ways].sum(axis=1)
+        at = {k: i for i, k in enumerate(slots)}
+        for (a, b), c in self.after.items():
+            if b in at and (a is None or a in at):
+                score += min(c, _ENOUGH) * tables.step[n if a is None else ways[:, at[a]], ways[:, at[b]]]
+        best = ways[int(score.argmax())]
+        return {k: int(r) for k, r in zip(slots, best, strict=True) if r < TEXT}
+
+
+_LEVEL = np.log(np.full((TEXT + 1, SHAPES), 1.0 / SHAPES))
+#: A pair of speakers is believed after so many of its turns; more add nothing.
+_ENOUGH = 50
 
 
 def labelled_lines(turns: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -87,31 +204,128 @@ class Model:
         return out[::-1]
 
 
+def conversations_of(batches, columns: list[str]):
+    """``(new, row)`` of each turn of ordered batches; ``new`` where another conversation begins (a row without an id is one by itself)."""
+    last = _NONE
+    for part in batches:
+        for x in zip(*(part.column(c).to_pylist() for c in ("conv_id", "own", *columns)), strict=True):
+            yield x[:2] != last, x
+            last = x[:2]
+
+
+def learn_tables(turns: DataFrame) -> Tables:
+    """Counts of markers over ``ordered`` turns with known roles. What is collected is bounded by the turns given."""
+    schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("c", pa.int32()), ("n", pa.int64())])
+
+    def count(batches):
+        total: dict[tuple[str, str, int], int] = {}
+
+        def note(kind, key, c):
+            total[kind, str(key), c] = total.get((kind, str(key), c), 0) + 1
+        def close(found, classes):
+            for key, place in found.places().items():
+                note("order", place, max(range(TEXT + 1), key=lambda c: classes[key][c]))
+        now, classes, last = Markers(), {}, TEXT + 1
+        for new, (_, _, r, text) in conversations_of(batches, ["r", "marked"]):
+            if new:
+                close(now, classes)
+                now, classes, last = Markers(), {}, TEXT + 1
+            if r is None:
+                continue
+            for i, line in enumerate(text.split("\n")):
+                found = candidate(line)
+                if found is None:
+                    continue
+                key, at = found
+                c = r if i == 0 else TEXT
+                now.add(line)
+                classes.setdefault(key, [0] * (TEXT + 1))[c] += 1
+                note("word", key[1], c)
+                note("shape", shape_of(line[at:].strip()), c)
+                note("step", last, c)
+                last = c
+        close(now, classes)
+        if total:
+            kinds, keys, classes = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kinds, keys, classes, total.values()), schema.types, strict=True)], schema=schema)
+
+    ship_package(turns.sparkSession)
+    rows = (turns.select("conv_id", "own", "r", "marked").mapInArrow(count, "kind string, key string, c int, n long")
+            .groupBy("kind", "key", "c").agg(F.sum("n").alias("n")).collect())
+    return Tables({(r["kind"], r["key"], r["c"]): r["n"] for r in rows})
+
+
+#: Roles of a conversation's speakers, as rows hold them.
+SPEAKER_LIST = "array<struct<opening:string,name:string,closing:string,role:int>>"
+
+
+def _as_roles(found: list | None) -> dict | None:
+    return None if found is None else {(x["opening"], x["name"], x["closing"]): x["role"] for x in found}
+
+
+def speakers(turns: DataFrame, tables: Tables) -> DataFrame:
+    """``conv_id, own, speakers``: the roles of each conversation's speakers (at most ``SLOTS``), from ``ordered`` turns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, own long, speakers {SPEAKER_LIST}"
+    schema = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def run(batches):
+        out, now, key = [], None, None
+
+        def row():
+            return (*key, [{"opening": k[0], "name": k[1], "closing": k[2], "role": r} for k, r in now.roles(tables).items()])
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for new, (conv, own, text) in conversations_of(batches, ["marked"]):
+            if new:
+                if now is not None:
+                    out.append(row())
+                    if len(out) >= 10_000:
+                        yield batch()
+                        out = []
+                now, key = Markers(), (conv, own)
+            for line in text.split("\n"):
+                now.add(line)
+        if now is not None:
+            out.append(row())
+        if out:
+            yield batch()
+
+    ship_package(turns.sparkSession)
+    return turns.select("conv_id", "own", "marked").mapInArrow(run, kinds)
+
+
 def learn(turns: DataFrame) -> Model:
-    """Counts steps and symbols over ``ordered`` turns. A turn without a known role teaches
+    """Counts steps and symbols over ``ordered`` turns (with ``speakers``, if they are found). A turn without a known role teaches
     nothing, nor does the step after it. What is collected is at most states × symbols rows."""
     schema = pa.schema([("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())])
+    named = "speakers" in turns.columns
 
     def count(batches):
         total: dict[tuple[int, int, int], int] = {}
-        conv, last = _NONE, None
-        for part in batches:
-            for c, r, text in zip(*(part.column(x).to_pylist() for x in ("conv_id", "r", "marked")), strict=True):
-                if c != conv:
-                    conv, last = c, len(STATES)
-                if r is None:
-                    last = None
-                    continue
-                for state, line in labelled_lines([(r, text)]):
-                    for key in (() if last is None else ((0, last, state),)) + ((1, state, observe(line)[0]),):
-                        total[key] = total.get(key, 0) + 1
-                    last = state
+        last = None
+        for new, x in conversations_of(batches, ["r", "marked", *(["speakers"] if named else [])]):
+            r, text = x[2:4]
+            roles = _as_roles(x[4]) if named else None
+            if new:
+                last = len(STATES)
+            if r is None:
+                last = None
+                continue
+            for state, line in labelled_lines([(r, text)]):
+                for key in (() if last is None else ((0, last, state),)) + ((1, state, observe(line, roles)[0]),):
+                    total[key] = total.get(key, 0) + 1
+                last = state
         if total:
             kinds, i, j = zip(*total, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((kinds, i, j, total.values()), schema.types, strict=True)], schema=schema)
 
     ship_package(turns.sparkSession)
-    rows = (turns.select("conv_id", "r", "marked").mapInArrow(count, "kind int, i int, j int, n long")
+    rows = (turns.select("conv_id", "own", "r", "marked", *(["speakers"] if named else [])).mapInArrow(count, "kind int, i int, j int, n long")
             .groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect())
     return Model(*({(r["i"], r["j"]): r["n"] for r in rows if r["kind"] == k} for k in (0, 1)))
 
@@ -121,15 +335,15 @@ class Decoder:
     best paths agree on them, so they are those of the whole transcript, while only the
     undecided lines are held."""
 
-    def __init__(self, model: Model, look: int = LOOK):
-        self.model, self.look, self.score = model, look, None
+    def __init__(self, model: Model, look: int = LOOK, roles: dict | None = None):
+        self.model, self.look, self.score, self.roles = model, look, None, roles
         self.back: list[np.ndarray] = []  # of each line held, after the first line of all
         self.held: list[tuple[str, int, int]] = []
         self.next_look, self.text = look, False
 
     def add(self, line: str) -> Iterator[tuple[int, str, int, int]]:
         """(state, line, symbol, where its text starts) of the lines that this one decides."""
-        symbol, at = observe(line)
+        symbol, at = observe(line, self.roles)
         see, n = self.model.see[:, symbol], len(STATES)
         if self.score is None:
             self.score = self.model.step[n] + see
@@ -169,13 +383,21 @@ def _own(state: int, symbol: int, line: str, at: int) -> str:
     return line[at:] if first and symbol // SHAPES == role else line
 
 
-def parse(model: Model, transcript: str) -> list[tuple[int, str]]:
-    """Turns (role, text) of a whole transcript; markers that agree with the role
+def find_roles(tables: Tables, transcript: str) -> dict[tuple, int]:
+    """Roles of a transcript's speakers."""
+    found = Markers()
+    for line in transcript.split("\n"):
+        found.add(line)
+    return found.roles(tables)
+
+
+def parse(model: Model, transcript: str, roles: dict | None = None) -> list[tuple[int, str]]:
+    """Turns (role, text) of a whole transcript, with the ``roles`` of its speakers (see ``observe``); markers that agree with the role
     recovered are taken off, all other text stays. No text: no turn."""
     if not transcript.strip():
         return []
     lines = transcript.split("\n")
-    seen = [observe(x) for x in lines]
+    seen = [observe(x, roles) for x in lines]
     turns: list[tuple[int, list[str]]] = []
     for state, (symbol, at), line in zip(model.viterbi([s for s, _ in seen]), seen, lines, strict=True):
         role, first = STATES[state]
@@ -193,8 +415,8 @@ def render(turns: list[tuple[int, str]]) -> str:
 class Conversation:
     """One conversation's turns in order, given out as stored parts of ``part`` recovered turns."""
 
-    def __init__(self, key: list, model: Model, part: int):
-        self.key, self.size, self.decoder = key, part, Decoder(model)
+    def __init__(self, key: list, model: Model, part: int, roles: dict | None = None):
+        self.key, self.size, self.decoder = key, part, Decoder(model, roles=roles)
         self.part, self.lines, self.truth = 0, 0, 0
         self.turns: list[tuple[int, list[str]]] = []
         # roles by turn position, of the side (true or recovered) that is ahead
@@ -232,37 +454,47 @@ class Conversation:
         yield self._row()
 
 
-#: How raw transcripts write their speakers (system, user, assistant) by style.
+#: How raw transcripts write their speakers (system, user, assistant) by style; and names, which say nothing of the role.
 STYLES = [("System: ", "User: ", "Assistant: "), ("### Instruction:\n", "### Human:\n", "### AI:\n"),
           ("[context] ", "[q] ", "[a] "), ("notice>> ", "customer>> ", "agent>> ")]
+NAMES = ["Anna", "Ben", "Carla", "Dmitri", "Eve", "Farid", "Grace", "Hugo", "Ines", "Jonas"]
 
 
-def written(conversations: DataFrame, every: bool = False) -> DataFrame:
-    """Turns as raw transcripts have them: ``conv_id, turn, r, marked``.
+def written(conversations: DataFrame) -> DataFrame:
+    """Turns as raw transcripts have them: ``conv_id, own, turn, r, marked``.
 
-    Speakers are written in a style that goes by a hash of the conversation, and every
-    eighth turn (by hash) has no speaker at all. Rows repeated count once. With
-    ``every``, no turn is left out: roles go by ``SPEAKERS``, a turn with another role or none has no speaker and ``r``
-    null, and a null text is empty. Without, only turns with a text and one of ``ROLES`` are
-    written."""
-    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role", F.lit(" \t\r\n\f\v")) if every else "role").alias("role"), "text")
-    c = (c.fillna("", ["text"]) if every else c.filter(F.col("role").isin(*ROLES) & F.col("text").isNotNull())).distinct()
+    Speakers are written in a style that goes by a hash of the conversation: one of ``STYLES``, or, half of
+    the time, two of ``NAMES`` and ``Note`` in some way of writing. Every
+    eighth turn (by hash) has no speaker at all. Rows repeated count once. No turn is left out:
+    roles go by ``SPEAKERS``, a turn with another role or none has no speaker and ``r``
+    null, a null text is empty, and a turn without a conversation is one by itself (``own`` tells them apart)."""
+    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role", F.lit(" \t\r\n\f\v"))).alias("role"), "text")
+    c = c.fillna("", ["text"]).distinct()
     words = F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair])
     styles = F.array(*[F.array(*[F.lit(x) for x in s]) for s in STYLES])
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
+    h = F.xxhash64("conv_id")
+    names = F.array(*[F.lit(x) for x in NAMES])
+    one = F.pmod(F.shiftright(h, 8), F.lit(len(NAMES))).cast("int")
+    two = F.pmod(one + 1 + F.pmod(F.shiftright(h, 20), F.lit(len(NAMES) - 1)), F.lit(len(NAMES))).cast("int")
+    name = F.element_at(F.array(F.lit("Note"), F.element_at(names, one + 1), F.element_at(names, two + 1)), F.col("r") + 1)
+    way = F.pmod(F.shiftright(h, 32), F.lit(3))
+    by_name = F.when(way == 0, F.concat(name, F.lit(": "))).when(way == 1, F.concat(F.lit("["), name, F.lit("] "))).otherwise(F.concat(F.lit("**"), name, F.lit(":** ")))
+    by_style = F.element_at(F.element_at(styles, F.pmod(F.shiftright(h, 1), F.lit(len(STYLES))).cast("int") + 1), F.col("r") + 1)
     silent = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(8)) == 0
-    marker: Column = F.when(silent | F.col("r").isNull(), F.lit("")).otherwise(F.element_at(F.element_at(styles, style + 1), F.col("r") + 1))
     c = c.withColumn("r", F.when(F.col("role").isNotNull(), F.try_element_at(words, F.col("role"))))
-    return c.select("conv_id", "turn", "r", F.concat(marker, F.col("text")).alias("marked"))
+    marker: Column = F.when(silent | F.col("r").isNull(), F.lit("")).when(F.pmod(h, F.lit(2)) == 0, by_style).otherwise(by_name)
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0))
+    return c.select("conv_id", own.cast("long").alias("own"), "turn", "r", F.concat(marker, F.col("text")).alias("marked"))
 
 
 def ordered(turns: DataFrame) -> DataFrame:
     """Each conversation's turns in order, in one task."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "r", "marked")
+    turns = turns if "own" in turns.columns else turns.withColumn("own", F.lit(0).cast("long"))
+    return turns.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "turn", "r", "marked")
 
 
 def parse_turns(turns: DataFrame, model: Model, part: int = PART) -> DataFrame:
-    """``ordered`` turns (with ``held_out``) parsed and rendered, ``conv_id, held_out, part, n_lines, n_turns,
+    """``ordered`` turns (with ``held_out``, and ``speakers`` if they are found) parsed and rendered, ``conv_id, held_out, part, n_lines, n_turns,
     n_right, n_true, rendered``: conversations are decoded as a whole, rows are parts
     of ``part`` recovered turns (at least one row each), whose renderings in order make up that of the whole."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -272,16 +504,17 @@ def parse_turns(turns: DataFrame, model: Model, part: int = PART) -> DataFrame:
              "n_turns long, n_right long, n_true long, rendered string")
     schema = to_arrow_schema(_parse_datatype_string(kinds))
 
+    named = "speakers" in turns.columns
+    columns = ["held_out", "r", "marked", *(["speakers"] if named else [])]
+
     def rows(batches):
         now = None
-        for batch in batches:
-            for x in slices(iter([batch]), "marked"):
-                for c, held_out, r, text in zip(*(x.column(k).to_pylist() for k in ("conv_id", "held_out", "r", "marked")), strict=True):
-                    if now is None or now.key[0] != c:
-                        if now is not None:
-                            yield from now.end()
-                        now = Conversation([c, held_out], model, part)
-                    yield from now.add(r, text)
+        for new, x in conversations_of((p for b in batches for p in slices(iter([b]), "marked")), columns):
+            if new:
+                if now is not None:
+                    yield from now.end()
+                now = Conversation([x[0], x[2]], model, part, _as_roles(x[5]) if named else None)
+            yield from now.add(*x[3:5])
         if now is not None:
             yield from now.end()
 
@@ -300,20 +533,38 @@ def parse_turns(turns: DataFrame, model: Model, part: int = PART) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     ship_package(turns.sparkSession)
-    return turns.select("conv_id", "held_out", "r", "marked").mapInArrow(run, kinds)
+    return turns.select("conv_id", "own", *columns).mapInArrow(run, kinds)
+
+
+def trained(conversations: DataFrame, sample: int = LEARN) -> tuple[Tables, Model]:
+    """Tables and model, from turns as ``written``: of the ``sample`` conversations of least id hash."""
+    ids = conversations.filter("conv_id is not null").select("conv_id").distinct()
+    ids = cut(ids.orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).withColumnRenamed("conv_id", "c"))
+    some = cut(ordered(conversations.join(F.broadcast(ids), F.col("conv_id") == F.col("c"), "left_semi")))
+    tables = learn_tables(ordered(some))
+    return tables, learn(with_speakers(some, tables))
+
+
+def with_speakers(turns: DataFrame, tables: Tables) -> DataFrame:
+    """Ordered turns with the ``speakers`` of their conversation. Both readings are of one shuffle of the turns."""
+    dealt = ordered(turns)
+    found = speakers(dealt, tables).select(F.col("conv_id").alias("c"), F.col("own").alias("o"), "speakers")
+    both = dealt.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("own") == F.col("o"))).drop("c", "o")
+    return ordered(both)
 
 
-def format_conversations(conversations: DataFrame, every: bool = False, part: int = PART) -> DataFrame:
+def format_conversations(conversations: DataFrame, part: int = PART, sample: int = LEARN) -> DataFrame:
     """Raw transcripts parsed and rendered: ``conv_id, part, held_out, n_lines,
-    n_turns, n_right, n_true, rendered``, parts of ``part`` recovered turns each; with ``every``, of every
-    conversation and turn (see ``written``). Learned from conversations whose crc32 of the id
+    n_turns, n_right, n_true, rendered``, parts of ``part`` recovered turns each, of every
+    conversation and turn (see ``written``). Learned from at most ``sample`` conversations whose crc32 of the id
     leaves something else than 2 modulo 4 (a null id teaches nothing). ``n_right`` counts
     turn positions whose recovered role is the true one (for accuracy), of ``n_true`` turns with a known
-    role; both are summed up over a conversation's parts."""
+    role; both are summed up over a conversation's parts. Ties between turns go by role and text; columns
+    beside ``conv_id, turn, role, text`` take no part; a turn of any length is read line by line; no rows give none."""
     fold = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
-    raw = cut(written(conversations, every).withColumn("held_out", F.coalesce(fold == 2, F.lit(False))))
-    model = learn(ordered(raw.filter("conv_id is not null and not held_out")))
-    out = parse_turns(ordered(raw), model, part)
+    raw = written(conversations).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    tables, model = trained(raw.filter("not held_out"), sample)
+    out = parse_turns(with_speakers(raw, tables), model, part)
     return out.select("conv_id", "part", "held_out", "n_lines", "n_turns", "n_right", "n_true", "rendered")
 
 
