@@ -153,3 +153,21 @@ print("ROWS", e.queries()["collect_responses"](s, "/root/testdata/sf0.001").coun
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     r = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(prefix="tg-away-"), env=env, capture_output=True, text=True, timeout=180)
     assert "ROWS" in r.stdout, r.stderr[-2000:]
+
+
+def test_scratch_is_removed_when_the_driver_ends(tmp_path):
+    """What intermediate steps wrote to the shared folder goes with the application."""
+    import subprocess
+    import sys
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()
+from traitgrid.operators.numbering import written
+import os
+written(spark.range(5), 'x').count()
+print('held', sum(len(f) for _, _, f in os.walk('{tmp_path}')))
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert "held" in out.stdout and "held 0" not in out.stdout, out.stderr[-2000:]
+    assert not [p for p in tmp_path.rglob("*.parquet")]

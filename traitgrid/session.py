@@ -135,7 +135,27 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
+_scratch: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared checkpoint folder. It is removed, with all that intermediate
+    steps have written to it, when the driver ends."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's owner removes what is left
+        return base
+    if sc.applicationId not in _scratch:
+        path = os.path.join(base, f"traitgrid-{sc.applicationId}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _scratch[sc.applicationId] = path
+    return _scratch[sc.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the application's folder in the shared checkpoint folder."""
+    return os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
