@@ -35,7 +35,7 @@ def test_against_plain_counting(spark, options):
 
 def test_small_tiles_flushes_and_joined_lookups(spark):
     """Many dense and sparse tiles, several flushes a task, split tiles and bundles, no broadcast."""
-    small = phrases.Sizes(side=4, band=2, flush=50, words=30, per_cell=8, broadcast=0)
+    small = phrases.Sizes(side=4, band=2, flush=50, words=30, per_cell=8, merged=20, broadcast=0)
     rows = texts(2, 120)
     got = run(spark, rows, min_count=5, z=small)
     assert got == run(spark, rows, min_count=5) == brute.collocations(rows, min_count=5)

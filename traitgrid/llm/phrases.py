@@ -36,6 +36,7 @@ class Sizes:
     band: int = 64  #: rows of a tile that travel together
     flush: int = 1 << 21  #: pairs that a task holds before it sums them up and sends the sums
     words: int = 1 << 20  #: distinct words, likewise
+    merged: int = 512  #: flushes of a dense tile that one task adds up; more are split over tasks, and the sums added by Spark
     per_cell: int = 16  #: a tile is dense if a flush is expected to hit it once for so many cells
     broadcast: int = 64 << 20  #: a lookup table of more bytes is joined
 
@@ -294,7 +295,7 @@ def count_pairs(text: DataFrame, m: int, min_count: int, dense: dict[str, list[t
     """``lang, key, n`` of the phrases of ``m`` words that occur ``min_count`` times. ``total`` (occurrences
     of words) sets how many bundles the sparse tiles are dealt to, and how often a dense one is split."""
     bundles = max(1, min(1 << 14, total // z.flush))
-    salts = max(1, round((total / z.flush) ** 0.5 / 16))
+    salts = max(1, round(total / z.flush / z.merged))
     out = pa.schema([("lang", pa.string()), ("dense", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()),
                      ("salt", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 
