@@ -151,6 +151,7 @@ def test_inventory_file_split_models_and_training_rows(spark):
 def test_published_score_card_format(spark):
     from traitgrid.operators.report import score_series
     d = tempfile.mkdtemp(prefix="tg-card-")
+    # fixed values: a published score card
     text = ('{"Extraversion":{"0":"3.22+-0.95"},"Agreeableness":{"0":"3.03+-0.97"},"Conscientiousness":{"0":"3.17+-0.86"},'
             '"Neuroticism":{"0":"2.83+-0.9"},"Openness":{"0":"3.07+-0.95"},"N\\/A":{"0":0.0}}')
     with open(f"{d}/Qwen2.5-1.5B__20250101_120000.json", "w") as f:
