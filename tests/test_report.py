@@ -67,13 +67,12 @@ PRINTED_B = """|    | Agreeableness   | Openness   | Conscientiousness   |
 
 def _numbers(printed):
     """The (mean, std) triples of a printed table's rows."""
-    return [tuple(tuple(float(x) for x in cell.split("+-")) for cell in line.strip("|").replace(" ", "").split("|")[1:]) for line in printed.split("\n")[2:]]
+    return [tuple(tuple(float(x) for x in cell.replace("±", "+-").split("+-")) for cell in line.strip("|").replace(" ", "").split("|")[1:]) for line in printed.split("\n")[2:]]
 
 
 PUBLISHED_A, PUBLISHED_B = _numbers(PRINTED_A), _numbers(PRINTED_B)
 
 
-
 def test_published_table_reproduced_and_sep_variant(spark):
     from traitgrid.operators.report import dose_response_table
     traits = ["Agreeableness", "Openness", "Conscientiousness"]
