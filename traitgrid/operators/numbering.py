@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from traitgrid.session import shared_path
 
@@ -25,10 +26,12 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str
     are numbered in any order, spread over tasks like all others. The result is read
     from the shared folder, so the numbers are fixed."""
     keys = {f"__k{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)}
-    dealt = df.withColumns(keys | {"__tie": F.rand(11)})
-    sort = [*by, *keys, "__tie"]
+    # chance only parts rows that are alike in every column: a task that runs again deals all others as before
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    dealt = df.withColumns(keys | {"__row": F.xxhash64(*plain), "__tie": F.rand(11)})
+    sort = [*by, *keys, "__row", "__tie"]
     dealt = dealt.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__at", F.monotonically_increasing_id())
-    table = written(dealt.drop(*keys, "__tie"), "numbered")
+    table = written(dealt.drop(*keys, "__row", "__tie"), "numbered")
     task, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     shares = table.groupBy(*by, task.alias("__task")).agg(F.min(row).alias("__low"), F.count(F.lit(1)).alias("__n"))
     if by:
