@@ -21,7 +21,7 @@ ROW_BYTES = 256
 def estimated_bytes(df: DataFrame) -> int | None:
     """The planner's size of a side, or None where it knows none (an RDD of rows, Spark Connect)."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
     except Exception:  # no access to the plan: count
         return None
