@@ -546,7 +546,8 @@ def trained(conversations: DataFrame, sample: int = LEARN) -> tuple[Tables, Mode
 
 
 def with_speakers(turns: DataFrame, tables: Tables) -> DataFrame:
-    """Ordered turns with the ``speakers`` of their conversation. Both readings are of one shuffle of the turns."""
+    """Ordered turns with the ``speakers`` of their conversation. Both readings are of one shuffle of the turns; the join is
+    dealt once more, as Spark may split its partitions, and with them a conversation."""
     dealt = ordered(turns)
     found = speakers(dealt, tables).select(F.col("conv_id").alias("c"), F.col("own").alias("o"), "speakers")
     both = dealt.join(found, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("own") == F.col("o"))).drop("c", "o")
