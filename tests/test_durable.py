@@ -91,6 +91,16 @@ def test_a_killed_task_asks_one_batch_again(spark, tmp_path):
     assert again.count() == 200 and len(open(f"{log}/asked").read().split()) == len(asked)
 
 
+def test_batches_grow_with_the_prompts(spark, monkeypatch):
+    from traitgrid.operators import collect
+    monkeypatch.setattr(collect, "BATCHES", 4)
+    prompts = spark.range(90).selectExpr("id AS item_id", "concat('p', id) AS prompt").repartition(1)
+    out = shared_path(spark, "batches")
+    got = collect_durably(prompts, out, shared_path(spark, "batches-work"), lambda: _answers, ["item_id"], task_prompts=3, tasks=2, max_attempts=3)
+    assert len(storage.names(spark, out)) <= 4
+    assert sorted(got.groupBy("item_id").count().collect()) == [(i, 2) for i in range(90)]
+
+
 def test_missing_file_is_no_outage(spark):
     prompts = spark.createDataFrame([(1, "a")], "item_id long, prompt string")
 

@@ -172,6 +172,8 @@ def resolve_attempts(attempts: DataFrame, key_cols: list[str], order_cols: list[
 
 #: Prompts of one task of a durable collection: what a lost task asks again at most.
 TASK_PROMPTS = 2_000
+#: Batches that a durable collection is dealt into: a batch costs the driver about half a second, however few prompts it has.
+BATCHES = 64
 
 
 def collect_durably(prompts: DataFrame, out: str, work: str, responder_factory: Callable[[], Callable], id_cols: list[str],
@@ -180,8 +182,8 @@ def collect_durably(prompts: DataFrame, out: str, work: str, responder_factory:
     """``collect_responses`` batch by batch: replies are durable as soon as their batch is.
 
     The prompts are written under ``work`` once, ``task_prompts`` to a file, and read as a stream of files; a batch is
-    ``tasks`` files (default: one for each task slot), asked by as many tasks, and written to
-    ``out/<batch_name>=<number>``. The stream's log of offsets lies beside the prompts: called again with the same
+    ``tasks`` files (default: one for each task slot), or more where there would be more than ``BATCHES`` batches, asked by
+    as many tasks, and written to ``out/<batch_name>=<number>``. The stream's log of offsets lies beside the prompts: called again with the same
     ``work`` after a crash, it goes on with the batch that was under way (which is asked again, and replaces what it
     may have left) and asks nothing else twice. Returns the attempt log in ``out``; ``options`` are those
     of ``collect_responses``."""
@@ -191,7 +193,7 @@ def collect_durably(prompts: DataFrame, out: str, work: str, responder_factory:
     if "prompts" not in storage.names(spark, work) or "done" not in storage.names(spark, work):
         src.write.mode("overwrite").option("maxRecordsPerFile", task_prompts).parquet(f"{work}/prompts")
         storage.put_record(spark.range(1), work, "done")
-    slots = tasks or parallelism(spark)
+    slots = max(tasks or parallelism(spark), -(-storage.count_files(spark, f"{work}/prompts") // BATCHES))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", slots).parquet(f"{work}/prompts")
 
     def ask(batch: DataFrame, number: int) -> None:

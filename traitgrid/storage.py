@@ -36,6 +36,12 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f for f in cut if f.rsplit("/", 1)[-1][0] not in "._")
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """How many files a folder and those below it hold (markers of a finished write among them)."""
+    fs, p = _store(spark, path)
+    return fs.getContentSummary(p).getFileCount()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder with all it holds, if it is there."""
     fs, p = _store(spark, path)
