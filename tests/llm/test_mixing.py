@@ -56,3 +56,39 @@ def test_rows_are_sampled_at_their_probability(spark):
     spread = sum(r.probability * (1 - r.probability) for r in got) ** 0.5
     assert abs(sum(r.sampled for r in got) - want) < 4 * spread + 1
     assert {r.doc_id for r in got if r.sampled} == {r.doc_id for r in mixing.mixture(df.repartition(2)).collect() if r.sampled}
+
+
+def test_topics_are_fitted_on_every_row(spark, monkeypatch):
+    """Plain k-means from the same first centres over all distinct rows, copies counted in weights and means alone."""
+    rows = [(i, t, g, "s") for i, (_, t, g, _, _) in enumerate(_themed(300))]
+    rows += [(1000 + i, rows[0][1], "en", "s") for i in range(50)] + [(2000, None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    packs = [(r[2], mixing.term_counts((r[1] or "").encode().split())) for r in rows]
+    table = spark.createDataFrame(packs, "lang string, terms binary")
+    first = []
+    monkeypatch.setattr(mixing, "_first_centres", lambda *a, f=mixing._first_centres: first.append(f(*a)) or first[-1].copy())
+    held = mixing.fit_topics(table.repartition(5), 3)
+
+    counts = np.zeros((len(packs), mixing.TERMS))
+    row, at, n = mixing._terms([p for _, p in packs])
+    counts[row, at] = n
+    weight = np.log((1 + len(packs)) / (1 + (counts > 0).sum(axis=0)))
+    x = np.log1p(counts) * weight
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for g in {g for g, _ in packs}:
+        mine = [a == g for a, _ in packs]
+        x[mine] -= x[mine].mean(axis=0)
+    x = x[[i for i, p in enumerate(packs) if p not in packs[:i]]]
+    fits = []
+    for centre in first[0] / mixing.GRID:
+        assert all(np.abs(x - c).max(axis=1).min() < 1e-5 for c in centre)  # a row each
+        for _ in range(mixing.TURNS):
+            d = ((x[:, None] - centre) ** 2).sum(axis=2)
+            centre = np.stack([x[d.argmin(axis=1) == j].mean(axis=0) for j in range(3)])
+        fits.append((d.min(axis=1).sum(), centre))
+    want = min(fits, key=lambda f: f[0])
+    got = held.centre / mixing.GRID
+    assert ((x[:, None] - got) ** 2).sum(axis=2).min(axis=1).sum() == pytest.approx(want[0], rel=1e-4)
+    again = mixing.fit_topics(table.repartition(2), 3)
+    assert (again.centre == held.centre).all() and (again.mean == held.mean).all()
+    assert not hasattr(mixing, "SAMPLE") and {r.topic for r in mixing.with_topics(df, ["doc_id"], 3).collect()} <= {0, 1, 2}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,104 +17,249 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitgrid.llm.common import cut, map_text, stored
+from traitgrid.session import parallelism
 
 DIMS = ["source", "lang", "topic"]
 TOPICS = 8
-#: Hashed buckets of words, and documents that topics are fitted on (every row is assigned to one).
+#: Hashed buckets of words.
 TERMS = 512
-SAMPLE = 10_000
+#: Steps of a coordinate of 1. On whole numbers all products and sums of the fit are exact, so its result does not
+#: depend on how rows are dealt to tasks.
+GRID = 1 << 22
+#: Fits from other first centres, and turns of each; the fit that leaves least counts.
+TRIES, TURNS = 8, 20
+#: Vectors that a task has at a time, and distinct ones that make another task of the fit.
+ROWS, TASK_ROWS = 512, 50_000
 #: Expected share of all tokens that a mixture keeps.
 KEEP = 0.8
 #: Cells (counted) up to which documents look their probability up in a broadcast; more cells are joined by shuffle.
 BROADCAST_CELLS = 100_000
 
 
-def term_counts(words: list[bytes]) -> np.ndarray:
-    """Counts of the words of four bytes or more, lower-cased, in ``TERMS`` hashed buckets."""
-    out = np.zeros(TERMS, dtype=np.float32)
+def term_counts(words: list[bytes]) -> bytes:
+    """Counts of the words of four bytes or more, lower-cased, in ``TERMS`` hashed buckets: the buckets that have any
+    (two bytes each), then their counts (four)."""
+    out = Counter()
     for w, n in Counter(words).items():
         if len(w) > 3:
             out[zlib.crc32(w.lower()) % TERMS] += n
-    return out
+    at = sorted(out)
+    return np.array(at, dtype="<u2").tobytes() + np.array([out[i] for i in at], dtype="<u4").tobytes()
+
+
+def _terms(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``term_counts`` as ``row, bucket, count`` of each bucket that a row has."""
+    size = np.array([len(p) // 6 for p in packs], dtype=np.int64)
+    at = np.frombuffer(b"".join([p[:2 * n] for p, n in zip(packs, size, strict=True)]), dtype="<u2")
+    count = np.frombuffer(b"".join([p[2 * n:] for p, n in zip(packs, size, strict=True)]), dtype="<u4")
+    return np.repeat(np.arange(len(packs)), size), at, count
 
 
 class Topics:
-    """Topics found by k-means over hashed term weights, from rows ``(lang, counts)``.
-
-    Weights are log counts, rarer terms more, on unit length, less the mean of the document's language: without that
-    the topics would be the languages. A document goes to the centre it is most like; one without a term to topic 0."""
-
-    def __init__(self, rows: list[tuple[str | None, np.ndarray]], topics: int, turns: int = 20, seed: int = 3):
-        x = np.array([c for _, c in rows], dtype=np.float64).reshape(-1, TERMS)
-        self.weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
-        x = self._unit(x)
-        self.mean = {}
-        for lang in {r[0] for r in rows}:
-            mine = np.array([r[0] == lang for r in rows])
-            self.mean[lang] = x[mine].mean(axis=0)
-            x[mine] -= self.mean[lang]
-        self.other = np.zeros(TERMS)
-        x = np.unique(x, axis=0)  # copies count once
-        rng = np.random.default_rng(seed)
-        tries = [self._fitted(x, min(topics, len(x)), turns, rng) for _ in range(8 if len(x) else 0)]
-        self.centre = min(tries, key=lambda t: t[0])[1] if tries else np.zeros((1, TERMS))
-
-    @staticmethod
-    def _fitted(x: np.ndarray, k: int, turns: int, rng: np.random.Generator) -> tuple[float, np.ndarray]:
-        """Squared distances left, and centres: first ones far apart (each drawn by its squared distance to those before)."""
-        centre = x[rng.integers(len(x))][None]
-        while len(centre) < k:
-            far = ((x - centre[-1]) ** 2).sum(axis=1) if len(centre) == 1 else np.minimum(far, ((x - centre[-1]) ** 2).sum(axis=1))
-            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum()) if far.sum() else rng.integers(len(x))]])
-        for _ in range(turns):
-            d = (x * x).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * x @ centre.T
-            at = d.argmin(axis=1)
-            n = np.bincount(at, minlength=k)
-            sums = np.stack([x[at == j].sum(axis=0) for j in range(k)])
-            centre = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centre)
-        return float(d.min(axis=1).sum()), centre
-
-    def _unit(self, x: np.ndarray) -> np.ndarray:
-        x = np.log1p(x) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def _nearest(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centre**2).sum(axis=1) - 2 * x @ self.centre.T).argmin(axis=1)
-
-    def assign(self, langs: list[str | None], counts: np.ndarray) -> np.ndarray:
-        x = self._unit(counts.astype(np.float64)) - np.array([self.mean.get(g, self.other) for g in langs]).reshape(-1, TERMS)
-        return np.where(counts.any(axis=1), self._nearest(x), 0)
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> Topics:
-    """``Topics`` of at most ``sample`` documents: those of the least hash of id and text."""
-    src = docs.select("lang", F.col("text").cast("binary").alias("__text"), F.xxhash64("doc_id", "text").alias("mark"))
-    edge = src.select("mark").orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
-    if edge is None:
-        return Topics([], topics)
+    """Centres of topics over hashed term weights.
+
+    Weights are log counts, rarer terms more, on unit length (in ``GRID`` steps), less the mean of the document's
+    language: without that the topics would be the languages. A document goes to the centre it is most like; one
+    without a term to topic 0. A few centres, and a mean (4 KB) for each language: that is all a driver holds."""
+
+    def __init__(self, weight: np.ndarray, langs: list[str | None]):
+        self.weight, self.langs = weight, {g: i for i, g in enumerate(langs)}
+        self.mean, self.centre = np.zeros((len(langs), TERMS)), np.zeros((1, TERMS))
+
+    def units(self, packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``row, bucket, coordinate`` (a whole number) of rows' vectors before the mean is taken off."""
+        row, at, count = _terms(packs)
+        x = np.log1p(count.astype(np.float64)) * self.weight[at]
+        norm = np.sqrt(np.bincount(row, x * x, minlength=len(packs)))
+        return row, at, np.rint(GRID * x / np.maximum(norm, 1e-12)[row])
+
+    def assign(self, langs: list[str | None], packs: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(packs), dtype=np.int32)
+        for i in range(0, len(packs), ROWS):
+            part = packs[i:i + ROWS]
+            x = -self.mean[[self.langs[g] for g in langs[i:i + ROWS]]]
+            row, at, unit = self.units(part)
+            x[row, at] += unit
+            out[i:i + ROWS] = np.where([len(p) > 0 for p in part], _apart(x, self.centre).argmin(axis=1), 0)
+        return out
+
+
+def _apart(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    d = x @ (-2 * centre).T
+    d += np.einsum("ij,ij->i", x, x)[:, None]
+    d += (centre**2).sum(axis=1)
+    return d
+
+
+def _chance(mark: np.ndarray, number: int) -> np.ndarray:
+    """A number over 0, up to 1, for each mark: hashed (splitmix64), other ones for another ``number``."""
+    z = mark + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+
+
+def _blocks(rows: DataFrame, held: Topics) -> DataFrame:
+    """The distinct rows (``lang, terms``; copies count once) as vectors without their language's mean, many to a row:
+    bytes of ``g`` (the language's number), ``mark`` (a hash), ``n`` (copies), ``size`` (buckets), ``at``, ``x``."""
+    distinct = rows.groupBy("lang", "terms").agg(F.count(F.lit(1)).alias("n")).withColumn("mark", F.xxhash64("lang", "terms"))
+    tasks = max(parallelism(rows.sparkSession), rows.count() // TASK_ROWS)
 
     def run(part):
-        yield [part.column("lang").cast("string"), [term_counts((x or b"").split()).tobytes() for x in part.column("__text").to_pylist()]]
+        packs = part.column("terms").to_pylist()
+        row, at, x = held.units(packs)
+        g = np.array([held.langs[v] for v in part.column("lang").to_pylist()], dtype=np.int32)
+        columns = [g, part.column("mark").to_numpy(), part.column("n").to_numpy(), np.bincount(row, minlength=len(packs)).astype(np.int32),
+                   at.astype(np.uint16), x.astype(np.int32)]
+        yield [[c.tobytes()] for c in columns]
+
+    return map_text(distinct.repartition(tasks, "mark"), run, "g binary, mark binary, n binary, size binary, at binary, x binary", "terms")
+
+
+def _vectors(batches, mean: np.ndarray):
+    """``g, mark, n, x`` of up to ``ROWS`` rows of blocks at a time."""
+    less = -mean
+    for b in batches:
+        for block in b.to_pylist():
+            g, mark, n, size, at, x = (np.frombuffer(block[c], dtype=t) for c, t in
+                                       (("g", np.int32), ("mark", np.uint64), ("n", np.int64), ("size", np.int32), ("at", np.uint16), ("x", np.int32)))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            for i in range(0, len(g), ROWS):
+                j = min(i + ROWS, len(g))
+                out = less[g[i:j]]
+                out.reshape(-1)[np.repeat(np.arange(j - i) * TERMS, size[i:j]) + at[ends[i]:ends[j]]] += x[ends[i]:ends[j]]
+                yield g[i:j], mark[i:j], n[i:j], out
+
+
+def _sums(blocks: DataFrame, run: Callable[[Iterator], tuple[np.ndarray, np.ndarray]], mean: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all vectors of a row of ``TERMS`` whole numbers, and of one of two more, for each of ``keys``. Tasks add up their own, Spark theirs."""
+    import pyarrow as pa
+
+    def task(batches):
+        sums = np.hstack(run(_vectors(batches, mean))).astype(np.int64)
+        key, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[key, at])], names=["key", "at", "s"])
+
+    got = blocks.mapInArrow(task, "key int, at int, s long").groupBy("key", "at").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros((keys, TERMS + 2))
+    out[got["key"].to_numpy(), got["at"].to_numpy()] = got["s"].to_numpy()
+    return out[:, :TERMS], out[:, TERMS:]
+
+
+def _means(blocks: DataFrame, langs: int) -> tuple[np.ndarray, int]:
+    """The mean vector of each language (copies count), and the number of distinct vectors."""
+    def run(vectors):
+        sums, more = np.zeros((langs, TERMS)), np.zeros((langs, 2))
+        for g, _, n, x in vectors:
+            for v in np.unique(g):
+                sums[v] += n[g == v] @ x[g == v]
+                more[v] += (n[g == v].sum(), (g == v).sum())
+        return sums, more
+
+    sums, more = _sums(blocks, run, np.zeros((langs, TERMS)), langs)
+    return np.rint(sums / more[:, :1]), int(more[:, 1].sum())
+
+
+def _first_centres(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
+    """``TRIES`` times ``k`` vectors far apart: each drawn from all by its squared distance to those before (the least of
+    exponential draws with that rate is such a draw)."""
+    import pyarrow as pa
+
+    centres = np.zeros((TRIES, 0, TERMS))
+    for turn in range(k):
+        def task(batches, turn=turn, centres=centres):
+            best: dict[int, tuple] = {}
+            for _, mark, _, x in _vectors(batches, mean):
+                far = _apart(x, centres.reshape(-1, TERMS)).reshape(len(x), TRIES, turn).min(axis=2) if turn else np.ones((len(x), TRIES))
+                for t in range(TRIES):
+                    with np.errstate(divide="ignore"):
+                        key = -np.log(_chance(mark, 1 + turn * TRIES + t)) / far[:, t]
+                    i = int(np.lexsort((mark, key))[0])
+                    best[t] = min(best.get(t, (np.inf, 1 << 64, b"")), (float(key[i]), int(mark[i]), x[i].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v[0] for v in best.values()], pa.float64()),
+                                              pa.array([v[2] for v in best.values()], pa.binary())], names=["t", "key", "x"])
+
+        got = blocks.mapInArrow(task, "t int, key double, x binary").groupBy("t").agg(F.min(F.struct("key", "x"))["x"].alias("x")).collect()
+        drawn = np.stack([np.frombuffer(r["x"], dtype=np.int32) for r in sorted(got, key=lambda r: r["t"])])
+        centres = np.concatenate([centres, drawn[:, None].astype(np.float64)], axis=1)
+    return centres
+
+
+def _fitted(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
+    """K-means over all vectors: of ``TRIES`` fits the centres that leave the least squared distances. A fit whose centres stay is done."""
+    centres = _first_centres(blocks, mean, k)
+    left, going = np.full(TRIES, np.inf), list(range(TRIES))
+    for _ in range(TURNS):
+        flat = centres[going].reshape(-1, TERMS)
+
+        def run(vectors, flat=flat):
+            sums, more = np.zeros(flat.shape), np.zeros((len(flat), 2))
+            first = np.arange(0, len(flat), k)
+            for _, _, _, x in vectors:
+                d = _apart(x, flat).reshape(len(x), -1, k)
+                hot = np.zeros((len(x), len(flat)))
+                hot[np.arange(len(x))[:, None], first + d.argmin(axis=2)] = 1
+                sums += hot.T @ x
+                more[:, 0] += hot.sum(axis=0)
+                more[first, 1] += (d.min(axis=2) // GRID).sum(axis=0)
+            return sums, more
+
+        sums, more = _sums(blocks, run, mean, len(flat))
+        new = np.where(more[:, :1] > 0, np.rint(sums / np.maximum(more[:, :1], 1)), flat).reshape(-1, k, TERMS)
+        left[going] = more[::k, 1]
+        stay = [(new[i] == centres[t]).all() for i, t in enumerate(going)]
+        centres[going] = new
+        going = [t for t, s in zip(going, stay, strict=True) if not s]
+        if not going:
+            break
+    return centres[int(left.argmin())]
 
-    rows = map_text(src.filter(F.col("mark") <= edge), run, "lang string, counts binary", "__text").limit(sample).collect()
-    return Topics([(r["lang"], np.frombuffer(r["counts"], dtype=np.float32)) for r in sorted(rows, key=lambda r: (r["lang"] or "", r["counts"]))], topics)
+
+def fit_topics(rows: DataFrame, topics: int = TOPICS) -> Topics:
+    """``Topics`` of all ``rows`` (``lang, terms`` of ``term_counts``): weights and means of every row, centres by k-means over every
+    distinct one. ``rows`` are read twice, their vectors once a turn."""
+    def run(part):
+        row, at, _ = _terms(part.column("terms").to_pylist())
+        langs = part.column("lang").to_pylist()
+        names = list(dict.fromkeys(langs))
+        n = np.bincount(at, minlength=TERMS)
+        yield [[None] * TERMS + names, [*range(TERMS)] + [-1] * len(names), [*n, *(langs.count(g) for g in names)]]
+
+    found = map_text(rows.select("lang", "terms"), run, "lang string, at int, n long", "terms").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    langs = sorted((r["lang"] for r in found if r["at"] == -1), key=lambda g: (g is not None, g or ""))
+    has = np.zeros(TERMS)
+    for r in found:
+        if r["at"] >= 0:
+            has[r["at"]] = r["n"]
+    held = Topics(np.log((1 + sum(r["n"] for r in found if r["at"] == -1)) / (1 + has)), langs)
+    if langs:
+        blocks = stored(_blocks(rows, held), "mixing-vectors")
+        held.mean, n = _means(blocks, len(langs))
+        held.centre = _fitted(blocks, held.mean, min(topics, n))
+    return held
 
 
 def with_topics(docs: DataFrame, carry: list[str], topics: int = TOPICS) -> DataFrame:
-    """The ``carry`` columns and ``topic, n_tokens, mark`` of every row: topics are fitted on a sample and every row is assigned
+    """The ``carry`` columns and ``topic, n_tokens, mark`` of every row: topics are fitted on all rows and every row is assigned
     to one, tokens are words
-    of the whole text (null: 0), ``mark`` is a hash of id and text that sampling draws by."""
-    held = docs.sparkSession.sparkContext.broadcast(fit_topics(docs, topics))  # a few centres, and a mean for each language of the sample
+    of the whole text (null: 0), ``mark`` is a hash of id and text that sampling draws by. Texts are read once; their terms are
+    stored with the rows."""
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
-    def run(part):
+    def count(part):
         words = [(x or b"").split() for x in part.column("__text").to_pylist()]
-        counts = np.array([term_counts(w) for w in words], dtype=np.float32).reshape(-1, TERMS)
-        at = held.value.assign(part.column("__lang").cast("string").to_pylist(), counts)
-        yield [*(part.column(c) for c in carry), at.astype(np.int32), [len(w) for w in words], part.column("mark")]
+        yield [*(part.column(c) for c in carry), part.column("__lang").cast("string"), [term_counts(w) for w in words], [len(w) for w in words], part.column("mark")]
 
     src = docs.select(*carry, F.col("lang").alias("__lang"), F.col("text").cast("binary").alias("__text"), F.xxhash64("doc_id", "text").alias("mark"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return map_text(src, run, kinds + ", topic int, n_tokens long, mark long", "__text")
+    rows = stored(map_text(src, count, kinds + ", __lang string, __terms binary, n_tokens long, mark long", "__text"), "mixing-terms")
+    held = rows.sparkSession.sparkContext.broadcast(fit_topics(rows.select(F.col("__lang").alias("lang"), F.col("__terms").alias("terms")), topics))
+
+    def run(part):
+        at = held.value.assign(part.column("__lang").to_pylist(), part.column("__terms").to_pylist())
+        yield [*(part.column(c) for c in carry), at, part.column("n_tokens"), part.column("mark")]
+
+    return map_text(rows, run, kinds + ", topic int, n_tokens long, mark long", "__terms")
 
 
 def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
