@@ -10,6 +10,7 @@ retried task can be resolved idempotently by ``resolve_attempts``.
 from __future__ import annotations
 
 import http.client
+import re
 import socket
 import time
 import urllib.error
@@ -33,9 +34,9 @@ TRANSIENT = (ConnectionError, TimeoutError, socket.gaierror, urllib.error.URLErr
 def single_numbers(texts):
     """Default reply parser of the retry test (a pandas Series in and out): the one
     distinct number of each text, else missing."""
-    texts = texts.reset_index(drop=True)
-    found = texts.astype("string").str.extractall(r"(\d+)")[0].groupby(level=0)
-    return found.first().where(found.nunique() == 1).reindex(texts.index)
+    import pandas as pd
+    found = [set(re.findall(r"\d+", t)) for t in texts.astype("string").fillna("")]
+    return pd.Series([f.pop() if len(f) == 1 else None for f in found], dtype="string")
 
 
 def collect_responses(prompts: DataFrame, responder_factory: Callable[[], Callable], id_cols: list[str],
