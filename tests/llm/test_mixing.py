@@ -92,3 +92,14 @@ def test_topics_are_fitted_on_every_row(spark, monkeypatch):
     again = mixing.fit_topics(table.repartition(2), 3)
     assert (again.centre == held.centre).all() and (again.mean == held.mean).all()
     assert not hasattr(mixing, "SAMPLE") and {r.topic for r in mixing.with_topics(df, ["doc_id"], 3).collect()} <= {0, 1, 2}
+
+
+def test_vectors_are_stored_one_to_a_row(spark):
+    """No value of the table that each turn reads grows with the input: distinct rows are a row each, copies are counted."""
+    packs = [("en" if i % 2 else None, mixing.term_counts(f"word{i} other{i % 7} glue".encode().split())) for i in range(600)] + [("en", b"")] * 9
+    rows = spark.createDataFrame(packs, "lang string, terms binary").repartition(2)
+    held = mixing.Topics(np.ones(mixing.TERMS), [None, "en"])
+    got = mixing._table(rows, held).collect()
+    assert len(got) == len(set(packs)) and sum(r.n for r in got) == len(packs)
+    assert max(len(r.x) for r in got) <= 4 * 3 and all(len(r.x) == 2 * len(r.at) for r in got)
+    assert {r.n for r in got if not r.at} == {9}

@@ -100,39 +100,39 @@ def _chance(mark: np.ndarray, number: int) -> np.ndarray:
     return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
 
 
-def _blocks(rows: DataFrame, held: Topics) -> DataFrame:
-    """The distinct rows (``lang, terms``; copies count once) as vectors without their language's mean, many to a row:
-    bytes of ``g`` (the language's number), ``mark`` (a hash), ``n`` (copies), ``size`` (buckets), ``at``, ``x``."""
+def _table(rows: DataFrame, held: Topics) -> DataFrame:
+    """The distinct rows (``lang, terms``; copies count once) as vectors without their language's mean, one to a row, so that
+    no batch grows with the input: ``g`` (the language's number), ``mark`` (a hash), ``n`` (copies), ``at`` and ``x`` (bytes of
+    its buckets and coordinates)."""
     distinct = rows.groupBy("lang", "terms").agg(F.count(F.lit(1)).alias("n")).withColumn("mark", F.xxhash64("lang", "terms"))
     tasks = max(parallelism(rows.sparkSession), rows.count() // TASK_ROWS)
 
     def run(part):
         packs = part.column("terms").to_pylist()
         row, at, x = held.units(packs)
-        g = np.array([held.langs[v] for v in part.column("lang").to_pylist()], dtype=np.int32)
-        columns = [g, part.column("mark").to_numpy(), part.column("n").to_numpy(), np.bincount(row, minlength=len(packs)).astype(np.int32),
-                   at.astype(np.uint16), x.astype(np.int32)]
-        yield [[c.tobytes()] for c in columns]
+        ends = np.cumsum(np.bincount(row, minlength=len(packs)))[:-1]
+        yield [[held.langs[v] for v in part.column("lang").to_pylist()], part.column("mark"), part.column("n"),
+               [v.tobytes() for v in np.split(at.astype("<u2"), ends)], [v.tobytes() for v in np.split(x.astype("<i4"), ends)]]
 
-    return map_text(distinct.repartition(tasks, "mark"), run, "g binary, mark binary, n binary, size binary, at binary, x binary", "terms")
+    return map_text(distinct.repartition(tasks, "mark"), run, "g int, mark long, n long, at binary, x binary", "terms")
 
 
 def _vectors(batches, mean: np.ndarray):
-    """``g, mark, n, x`` of up to ``ROWS`` rows of blocks at a time."""
+    """``g, mark, n, x`` of up to ``ROWS`` rows of the table at a time."""
     less = -mean
     for b in batches:
-        for block in b.to_pylist():
-            g, mark, n, size, at, x = (np.frombuffer(block[c], dtype=t) for c, t in
-                                       (("g", np.int32), ("mark", np.uint64), ("n", np.int64), ("size", np.int32), ("at", np.uint16), ("x", np.int32)))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            for i in range(0, len(g), ROWS):
-                j = min(i + ROWS, len(g))
-                out = less[g[i:j]]
-                out.reshape(-1)[np.repeat(np.arange(j - i) * TERMS, size[i:j]) + at[ends[i]:ends[j]]] += x[ends[i]:ends[j]]
-                yield g[i:j], mark[i:j], n[i:j], out
-
-
-def _sums(blocks: DataFrame, run: Callable[[Iterator], tuple[np.ndarray, np.ndarray]], mean: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+        for i in range(0, b.num_rows, ROWS):
+            part = b.slice(i, ROWS)
+            g, mark, n = (part.column(c).to_numpy() for c in ("g", "mark", "n"))
+            packs = part.column("at").to_pylist()
+            at = np.frombuffer(b"".join(packs), dtype="<u2")
+            x = np.frombuffer(b"".join(part.column("x").to_pylist()), dtype="<i4")
+            out = less[g]
+            out.reshape(-1)[np.repeat(np.arange(len(g)) * TERMS, [len(p) // 2 for p in packs]) + at] += x
+            yield g, mark.view(np.uint64), n, out
+
+
+def _sums(table: DataFrame, run: Callable[[Iterator], tuple[np.ndarray, np.ndarray]], mean: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all vectors of a row of ``TERMS`` whole numbers, and of one of two more, for each of ``keys``. Tasks add up their own, Spark theirs."""
     import pyarrow as pa
 
@@ -141,13 +141,13 @@ def _sums(blocks: DataFrame, run: Callable[[Iterator], tuple[np.ndarray, np.ndar
         key, at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[key, at])], names=["key", "at", "s"])
 
-    got = blocks.mapInArrow(task, "key int, at int, s long").groupBy("key", "at").agg(F.sum("s").alias("s")).toArrow()
+    got = table.mapInArrow(task, "key int, at int, s long").groupBy("key", "at").agg(F.sum("s").alias("s")).toArrow()
     out = np.zeros((keys, TERMS + 2))
     out[got["key"].to_numpy(), got["at"].to_numpy()] = got["s"].to_numpy()
     return out[:, :TERMS], out[:, TERMS:]
 
 
-def _means(blocks: DataFrame, langs: int) -> tuple[np.ndarray, int]:
+def _means(table: DataFrame, langs: int) -> tuple[np.ndarray, int]:
     """The mean vector of each language (copies count), and the number of distinct vectors."""
     def run(vectors):
         sums, more = np.zeros((langs, TERMS)), np.zeros((langs, 2))
@@ -157,11 +157,11 @@ def _means(blocks: DataFrame, langs: int) -> tuple[np.ndarray, int]:
                 more[v] += (n[g == v].sum(), (g == v).sum())
         return sums, more
 
-    sums, more = _sums(blocks, run, np.zeros((langs, TERMS)), langs)
+    sums, more = _sums(table, run, np.zeros((langs, TERMS)), langs)
     return np.rint(sums / more[:, :1]), int(more[:, 1].sum())
 
 
-def _first_centres(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
+def _first_centres(table: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
     """``TRIES`` times ``k`` vectors far apart: each drawn from all by its squared distance to those before (the least of
     exponential draws with that rate is such a draw)."""
     import pyarrow as pa
@@ -180,15 +180,15 @@ def _first_centres(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([v[0] for v in best.values()], pa.float64()),
                                               pa.array([v[2] for v in best.values()], pa.binary())], names=["t", "key", "x"])
 
-        got = blocks.mapInArrow(task, "t int, key double, x binary").groupBy("t").agg(F.min(F.struct("key", "x"))["x"].alias("x")).collect()
+        got = table.mapInArrow(task, "t int, key double, x binary").groupBy("t").agg(F.min(F.struct("key", "x"))["x"].alias("x")).collect()
         drawn = np.stack([np.frombuffer(r["x"], dtype=np.int32) for r in sorted(got, key=lambda r: r["t"])])
         centres = np.concatenate([centres, drawn[:, None].astype(np.float64)], axis=1)
     return centres
 
 
-def _fitted(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
+def _fitted(table: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
     """K-means over all vectors: of ``TRIES`` fits the centres that leave the least squared distances. A fit whose centres stay is done."""
-    centres = _first_centres(blocks, mean, k)
+    centres = _first_centres(table, mean, k)
     left, going = np.full(TRIES, np.inf), list(range(TRIES))
     for _ in range(TURNS):
         flat = centres[going].reshape(-1, TERMS)
@@ -205,7 +205,7 @@ def _fitted(blocks: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
                 more[first, 1] += (d.min(axis=2) // GRID).sum(axis=0)
             return sums, more
 
-        sums, more = _sums(blocks, run, mean, len(flat))
+        sums, more = _sums(table, run, mean, len(flat))
         new = np.where(more[:, :1] > 0, np.rint(sums / np.maximum(more[:, :1], 1)), flat).reshape(-1, k, TERMS)
         left[going] = more[::k, 1]
         stay = [(new[i] == centres[t]).all() for i, t in enumerate(going)]
@@ -234,9 +234,9 @@ def fit_topics(rows: DataFrame, topics: int = TOPICS) -> Topics:
             has[r["at"]] = r["n"]
     held = Topics(np.log((1 + sum(r["n"] for r in found if r["at"] == -1)) / (1 + has)), langs)
     if langs:
-        blocks = stored(_blocks(rows, held), "mixing-vectors")
-        held.mean, n = _means(blocks, len(langs))
-        held.centre = _fitted(blocks, held.mean, min(topics, n))
+        vectors = stored(_table(rows, held), "mixing-vectors")
+        held.mean, n = _means(vectors, len(langs))
+        held.centre = _fitted(vectors, held.mean, min(topics, n))
     return held
 
 
