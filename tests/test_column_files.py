@@ -124,3 +124,17 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         write_response_files(df, str(tmp_path / "tree"))
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_columns_looked_up_beside_do_not_go_through_the_shuffle(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = _cells(spark, 300).withColumn("key", F.col("item_id") % 7)
+    items = spark.range(6).select(F.col("id").alias("key"), F.concat(F.lit("I am "), F.col("id").cast("string")).alias("question"), (F.col("id") / 0.0).alias("Openness"))
+    cols, dealt = ["question", "Openness", "responses"], []
+    write_response_files(df.join(items, "key"), str(tmp_path / "a"), columns=cols)
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a, f=type(df).repartition: dealt.append(self.columns) or f(self, *a))
+    write_response_files(df, str(tmp_path / "b"), columns=cols, beside=items, on="key")
+    assert dealt == [["model", "__file", "__order", "responses", "key"]]
+    a, b = (json.load(open(tmp_path / x / "gpt 4" / "o" / "Openness_3.json")) for x in "ab")
+    assert a == b and list(a) == cols and 0 < len(a["question"]) < 300 and set(a["Openness"].values()) == {None}

@@ -35,20 +35,16 @@ def d1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 as response-file rows of grid cells: each response goes to the cell of
-    its item's trait and carries the item's weight columns; the row key is
-    ``orderkey:linenumber:partkey:suppkey`` (unique) and a file holds one cell's
-    rows of at most 1,000,000 orders."""
+def d1_cell_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bool]:
+    """D1 as response-file rows of grid cells, without the item's own columns: each response goes to the cell of its
+    item's trait; the row key is ``orderkey:linenumber:partkey:suppkey`` (unique) and a file holds one cell's
+    rows of at most 1,000,000 orders. Beside them the items' question and weights, and whether these may be broadcast."""
     from traitgrid.operators.instrument import key_wide
     from traitgrid.operators.joins import fits
     li = table(spark, sf_dir, "lineitem")
     key = d2_key(spark, sf_dir)
     small = fits(key, 1_000_000)  # checked on the source, before the pivot
-    wide = key_wide(key)
     keyed = key.filter(F.col("weight") != 0).select("item_id", "trait")
-    if small:
-        wide, keyed = F.broadcast(wide), F.broadcast(keyed)
     r = li.select(
         F.col("l_returnflag").alias("model"),
         (F.lit(1) + F.col("l_suppkey") % 9).cast("int").alias("value"),
@@ -58,7 +54,13 @@ def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("My answer: "), F.col("l_linenumber").cast("string")).alias("responses"),
         F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber").cast("string")).otherwise(F.lit("N/A")).alias("numbers_extracted"),
         (F.col("l_quantity") / 10.0).alias("elapsed_times"))
-    r = r.join(keyed, "item_id").join(wide, "item_id")
+    return r.join(F.broadcast(keyed) if small else keyed, "item_id"), key_wide(key), small
+
+
+def d1_cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``d1_cell_rows`` with their item's question and weight columns."""
+    r, wide, small = d1_cell_rows(spark, sf_dir)
+    r = r.join(F.broadcast(wide) if small else wide, "item_id")
     return r.select("model", "trait", "value", "chunk", "row_id", "question", *TRAITS,
                     "responses", "numbers_extracted", "elapsed_times")
 

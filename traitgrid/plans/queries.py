@@ -270,7 +270,11 @@ def result_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
     from traitgrid.sinks.writers import write_response_files
     from traitgrid.sources.columns_json import read_result_tree
     root = shared_path(spark, "result-tree")
-    write_response_files(fx.d1_cell_files(spark, sf).drop("chunk"), root, index_col="row_id")
+    rows, items, small = fx.d1_cell_rows(spark, sf)
+    if small:  # the items' own columns are added once the rows are dealt to their files
+        write_response_files(rows.drop("chunk"), root, "row_id", columns=["question", *TRAITS, "responses", "numbers_extracted", "elapsed_times"], beside=items, on="item_id")
+    else:
+        write_response_files(fx.d1_cell_files(spark, sf).drop("chunk"), root, index_col="row_id")
     tree = read_result_tree(spark, root, index_type="string")
     s = scoring.cell_scores(tree, None, ("model", "trait", "value"))
     return s.select("model", "trait", "value", "n_keyed", "n_valid", "n_na", "mean", "std")

@@ -78,14 +78,17 @@ def _lines(group: list[str], index: str, cols: list[str], schema):
 
 
 def write_column_files(df: DataFrame, root: str, index_col: str, folders: list[str], file: Column, rows_per_file: int = 1_000_000,
-                       columns: list[str] | None = None, plain: bool = False) -> list[str]:
+                       columns: list[str] | None = None, plain: bool = False, beside: DataFrame | None = None, on: str = "") -> list[str]:
     """Column-oriented JSON files under their real names: ``root/<folders>/<file>.json``; the paths written.
 
     ``folders`` are columns: partition folders (``model=…``), or with ``plain`` folders of their values alone. ``file`` is
     a file's name without ``.json``. Rows are counted: a file of more than ``rows_per_file`` is cut into
     ``<file>.json``, ``<file>.1.json``, …, in the order of ``index_col`` (unique in a file). Lines are written to a staging folder by Spark
     and moved into place, file by file, when the whole job has succeeded; a job that fails leaves nothing. A number that is
-    not finite becomes null. (Hadoop's paths take no colon.)"""
+    not finite becomes null. (Hadoop's paths take no colon.)
+
+    ``beside`` has more columns, by ``on``: it is broadcast to rows that are dealt to their files already, so that the shuffle does not
+    carry them. ``columns`` then names all columns of the files."""
     spark = ship_package(df.sparkSession)
     cols = columns or [c for c in df.columns if c != index_col and c not in folders]
     group = [*folders, "__file"]
@@ -98,11 +101,14 @@ def write_column_files(df: DataFrame, root: str, index_col: str, folders: list[s
         at = numbered(rows.filter(F.col("__n") > rows_per_file), group, [index_col], "__at")
         dealt = dealt.filter(F.col("__n") <= rows_per_file).unionByName(at.withColumn("__part", F.floor(F.col("__at") / rows_per_file)).drop("__at"))
     name = F.when(F.col("__part") == 0, F.concat("__file", F.lit(".json"))).otherwise(F.concat("__file", F.lit("."), F.col("__part").cast("string"), F.lit(".json")))
-    kinds = dict(df.dtypes)
+    kinds = dict(df.dtypes) | dict(beside.dtypes if beside is not None else [])
     values = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float")
               else F.col(c) if kinds[c] in ("string", "boolean", "tinyint", "smallint", "int", "bigint") else F.col(c).cast("string").alias(c) for c in cols]
-    dealt = dealt.select(*folders, name.alias("__file"), F.col(index_col).cast("string").alias("__index"), F.col(index_col).alias("__order"), *values)
-    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "__order").select(*group, "__index", *cols)
+    dealt = dealt.select(*folders, name.alias("__file"), F.col(index_col).alias("__order"), *[c for c in df.columns if c in (*cols, on)])
+    dealt = dealt.repartition(*group)
+    if beside is not None:
+        dealt = dealt.join(F.broadcast(beside), on)  # before the sort: Spark drops a sort below a join
+    dealt = dealt.sortWithinPartitions(*group, "__order").select(*group, F.col("__order").cast("string").alias("__index"), *values)
     schema = T.StructType([*[dealt.schema[c] for c in group], T.StructField("__j", T.IntegerType()), T.StructField("__i", T.LongType()), T.StructField("line", T.StringType())])
     lines = dealt.mapInArrow(_lines(group, "__index", cols, to_arrow_schema(schema)), schema)
     staging = f"{root.rstrip('/')}/.staging-{storage.new_name()}"
@@ -134,11 +140,11 @@ def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file:
 
 
 def write_response_files(responses: DataFrame, root: str, index_col: str = "item_id", rows_per_file: int = 1_000_000,
-                         columns: list[str] | None = None) -> list[str]:
+                         columns: list[str] | None = None, beside: DataFrame | None = None, on: str = "") -> list[str]:
     """Response files of grid cells, ``root/<model>/<trait>_<value>.json``."""
     file = F.concat_ws("_", F.col("trait"), F.col("value").cast("string"))
     cols = columns or [c for c in responses.columns if c not in (*CELL, index_col)]
-    return write_column_files(responses, root, index_col, ["model"], file, rows_per_file, cols, plain=True)
+    return write_column_files(responses, root, index_col, ["model"], file, rows_per_file, cols, plain=True, beside=beside, on=on)
 
 
 def write_run_cards(cards: DataFrame, root: str, file_col: str = "file_name", traits: list[str] | None = None) -> list[str]:
