@@ -130,7 +130,7 @@ def test_columns_looked_up_beside_do_not_go_through_the_shuffle(spark, tmp_path,
     from pyspark.sql import functions as F
 
     df = _cells(spark, 300).withColumn("key", F.col("item_id") % 7)
-    items = spark.range(6).select(F.col("id").alias("key"), F.concat(F.lit("I am "), F.col("id").cast("string")).alias("question"), (F.col("id") / 0.0).alias("Openness"))
+    items = spark.range(6).select(F.col("id").alias("key"), F.concat(F.lit("I am "), F.col("id").cast("string")).alias("question"), F.lit(float("inf")).alias("Openness"))
     cols, dealt = ["question", "Openness", "responses"], []
     write_response_files(df.join(items, "key"), str(tmp_path / "a"), columns=cols)
     monkeypatch.setattr(type(df), "repartition", lambda self, *a, f=type(df).repartition: dealt.append(self.columns) or f(self, *a))
