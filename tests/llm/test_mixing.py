@@ -103,3 +103,17 @@ def test_vectors_are_stored_one_to_a_row(spark):
     assert len(got) == len(set(packs)) and sum(r.n for r in got) == len(packs)
     assert max(len(r.x) for r in got) <= 4 * 3 and all(len(r.x) == 2 * len(r.at) for r in got)
     assert {r.n for r in got if not r.at} == {9}
+
+
+def test_a_turn_of_raking_is_one_join(spark, monkeypatch):
+    """Each join of a turn is a broadcast that the driver builds and holds; cells without a target end with weight 0."""
+    cells = [(f"s{i}", None if j == 3 else f"l{j}", k, 10 + i * j + 3 * k) for i in range(3) for j in range(4) for k in range(2)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    goal = {d: mixing.tempered_targets(df, d, 0.5) for d in mixing.DIMS}
+    goal["source"] = goal["source"].filter("value != 's2'")
+    joins = []
+    monkeypatch.setattr(mixing, "cut", lambda d, f=mixing.cut: joins.append(d._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or f(d))
+    got = mixing.rake(df, goal, keep=0.5).collect()
+    assert len(joins) > 12 and max(joins) <= len(goal) and set(joins[8:]) == {0, 1}
+    assert {r.weight for r in got if r.source == "s2"} == {0.0} and len(got) == len(cells)
+    assert sum(r.weight for r in got) == pytest.approx(0.5 * sum(c[3] for c in cells), rel=1e-5)

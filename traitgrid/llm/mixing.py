@@ -10,7 +10,6 @@ import warnings
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -296,43 +295,44 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
     With ``keep`` the weights are that part of all tokens, none is over its cell's
     tokens, and what full cells cannot take goes to the others of their value.
 
-    Works on one row per combination of values, however many documents each has.
+    Works on one row per combination of values, however many documents each has. The cells carry their values' goals
+    and the product of their factors, so that a turn of one dimension is one join, whatever the number of dimensions.
     Sums are pre-aggregated and written before they are joined back, so the cells of a common value
     never meet in one task. A null value is a value of its own. A value without a target gets weight 0;
     targets of values that hold no token cannot be met, the rest is scaled alike."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {d: _goals(cells, d, t, total, keep) for d, t in targets.items()}
+    dims = list(targets)
     # a cell's weight is its tokens times x, the product of its values' factors; with keep, x over 1 counts as 1
-    factors = {d: cut(cells.select(F.col(d).alias("v")).distinct().withColumn("f", F.lit(1.0))) for d in targets}
-
-    def with_x() -> DataFrame:
-        w = cells.withColumn("__x", F.lit(float(keep or 1)))
-        for d, t in factors.items():
-            w = w.join(t.select(F.col("v").alias("__v"), F.col("f").alias("__f")), F.col(d).eqNullSafe(F.col("__v")))
-            w = w.withColumn("__x", F.col("__x") * F.col("__f")).drop("__v", "__f")
-        return w
-
+    state = cells.withColumn("__x", F.lit(float(keep or 1))).withColumn("__off", F.lit(0.0))
+    for i, d in enumerate(dims):
+        goal = _goals(cells, d, targets[d], total, keep).select(F.col("v").alias("__v"), F.col("goal").alias(f"__g{i}"))
+        state = state.join(goal, F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v").fillna(0.0, [f"__g{i}"])
+    state = cut(state)
     full = F.lit(False) if keep is None else F.col("__x") >= 1
+    have, g = F.col("__full") + F.col("__free"), F.col("__g")
+    step = F.when((g >= F.col("__full")) & (F.col("__free") > 0), (g - F.col("__full")) / F.col("__free")).when(
+        g < F.col("__full"), g / have).otherwise(1.0)
+    off = F.when(have > 0, F.abs(g - have) / have).otherwise(0.0)
     least, since = float("inf"), 0
     while True:
-        for d, goal in goals.items():
-            sums = with_x().groupBy(F.col(d).alias("value")).agg(
-                F.sum(F.when(full, F.col("tokens")).otherwise(0).cast("double")).alias("full"),
-                F.sum(F.when(~full, F.col("tokens") * F.col("__x")).otherwise(0.0)).alias("free"))
-            sums = sums.join(goal.withColumnRenamed("v", "__g"), F.col("value").eqNullSafe(F.col("__g")), "left").fillna(0.0, ["goal"])
-            have, g = F.col("full") + F.col("free"), F.col("goal")
-            step = F.when((g >= F.col("full")) & (F.col("free") > 0), (g - F.col("full")) / F.col("free")).when(g < F.col("full"), g / have).otherwise(1.0)
-            sums = sums.join(factors[d].select("v", "f"), F.col("value").eqNullSafe(F.col("v")))
-            factors[d] = cut(sums.select("v", (F.col("f") * step).alias("f"), F.when(have > 0, F.abs(g - have) / have).otherwise(0.0).alias("off")))
-        off = reduce(DataFrame.union, [t.select("off") for t in factors.values()]).agg(F.max("off")).first()[0]
-        if off is None or off <= tolerance:
+        for i, d in enumerate(dims):
+            sums = state.groupBy(F.col(d).alias("__v")).agg(
+                F.first(f"__g{i}").alias("__g"),
+                F.sum(F.when(full, F.col("tokens")).otherwise(0).cast("double")).alias("__full"),
+                F.sum(F.when(~full, F.col("tokens") * F.col("__x")).otherwise(0.0)).alias("__free"))
+            sums = cut(sums.select("__v", step.alias("__step"), off.alias("__o")))
+            state = state.join(sums, F.col(d).eqNullSafe(F.col("__v")))
+            state = cut(state.withColumns({"__x": F.col("__x") * F.col("__step"), "__off": F.greatest("__off", "__o") if i else F.col("__o")})
+                        .drop("__v", "__step", "__o"))
+        most = state.agg(F.max("__off")).first()[0]
+        if most is None or most <= tolerance:
             break
-        least, since = (off, 0) if off < least / 2 else (least, since + 1)
+        least, since = (most, 0) if most < least / 2 else (least, since + 1)
         if since >= rounds:
-            warnings.warn(f"raking stopped with sums up to {off:.2g} of themselves off their targets", stacklevel=2)
+            warnings.warn(f"raking stopped with sums up to {most:.2g} of themselves off their targets", stacklevel=2)
             break
     x = F.col("__x") if keep is None else F.least(F.lit(1.0), F.col("__x"))
-    return with_x().withColumn("weight", F.col("tokens") * x).drop("__x")
+    return state.select(*cells.columns, (F.col("tokens") * x).alias("weight"))
 
 
 def mixture(docs: DataFrame, power: float = 0.85, topics: int = TOPICS, seed: int = 17, carry: list[str] | None = None,
