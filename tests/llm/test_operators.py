@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with every odd case in it."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -357,3 +358,32 @@ def test_decoder_gives_the_undivided_path():
         some = [x for line in lines for x in decoder.add(line)]
         assert len(some) > 0
         assert [s for s, *_ in [*some, *decoder.end()]] == model.viterbi([chat.observe(x)[0] for x in lines])
+
+
+def _shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    return sum(1 for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from traitgrid.llm.common import CLEANUP, stored
+
+    setting, before = spark.conf.get(CLEANUP), _shuffle_files(spark)
+    got = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-stored")
+    end = time.time() + 20
+    while _shuffle_files(spark) > before and time.time() < end:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before and spark.conf.get(CLEANUP) == setting
+    assert sorted(r["count"] for r in got.collect()) == [142] + [143] * 6
+
+
+def test_levels_of_substring_dedup_are_stored(spark):
+    """Windows of both levels and the texts never lie in shuffle files together: what is left to run holds no level."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(2, " ".join(words[10:30] + ["own"]), "en", "s", 1), (1, " ".join(words), "en", "s", 1), (3, " ".join(words), "en", "s", 1), (4, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for run, column, want in ((substring.dedup_digest, "n_removed", {1: 0, 2: 20, 3: 40, 4: 0}), (substring.remove_repeated, "text", {1: " ".join(words), 2: "own", 4: None})):
+        out = run(docs)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: r[column] for r in out.collect()} == want

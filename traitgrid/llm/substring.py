@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -35,6 +35,11 @@ def _tag(raw: bytes) -> int:
     return (zlib.crc32(raw) & _TAG) << 32
 
 
+def _tag_column(raw: Column | str) -> Column:
+    """``_tag`` of a binary column."""
+    return F.shiftleft(F.crc32(raw).bitwiseAND(F.lit(_TAG)), 32)
+
+
 class Words:
     """The words of a slice of texts, one after the other, as arrays."""
 
@@ -235,21 +240,25 @@ def shared_ids(marks: DataFrame) -> bool:
     return not marks.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a != b").isEmpty()
 
 
-def repeated_starts(docs: DataFrame, marks: DataFrame, whole: DataFrame, size: int, tagged: bool) -> DataFrame:
+def repeated_starts(docs: DataFrame, whole: DataFrame, size: int, tagged: bool) -> DataFrame:
     """``doc_id, at``: the first start (tag | word position) of each passage of ``size``
-    words that also starts in a document with a smaller id. ``whole`` (see ``copies``) are left out. All texts are shuffled
-    once, by id; each later use reads that same exchange.
+    words that also starts in a document with a smaller id. ``whole`` (see ``copies``) are left out.
 
+    Each level is stored, so that its shuffles are gone before the next begins: what lies on disk at one time is one level's
+    windows and, where texts are joined to what is known of them, the texts once.
     An id and text that is in the table twice counts once; rows without an id take no part."""
-    texts = _texts(docs).filter("doc_id is not null")
-    once = marks.filter(F.col("n_words") >= size).join(
-        whole, ["doc_id", "tag"], "left_anti").select(F.col("doc_id").alias("d")).distinct()
-    own = texts.join(once, F.col("doc_id") == F.col("d")).select("doc_id", "text")
+    texts = _texts(docs).filter("doc_id is not null and text is not null")
+    gone = whole.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"))
+    own = texts.join(gone, (F.col("doc_id") == F.col("d")) & (_tag_column("text") == F.col("t")), "left_anti")
     first = map_text(own, _first_level(size, tagged), OCC)
-    live = repeated(first, True).groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    live = _stored_starts(repeated(first, True))
     held = texts.join(live.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "at")
     second = map_text(held, _second_level(size, tagged), OCC)
-    return repeated(second, False).groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    return _stored_starts(repeated(second, False))
+
+
+def _stored_starts(found: DataFrame) -> DataFrame:
+    return stored(found.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "substring-starts")
 
 
 def copies(marks: DataFrame, size: int = SIZE) -> DataFrame:
@@ -278,7 +287,7 @@ def dedup_digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out.append((_tag(raw), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         yield [part.column("doc_id"), *(list(c) for c in zip(*out, strict=True))]
 
-    hit = repeated_starts(docs, marks, whole, size, tagged).withColumnRenamed("doc_id", "d")
+    hit = repeated_starts(docs, whole, size, tagged).withColumnRenamed("doc_id", "d")
     texts = _texts(docs).filter("doc_id is not null")
     changed = map_text(texts.join(hit, F.col("doc_id") == F.col("d")).select("doc_id", "text", "at"), run,
                        "doc_id long, tag long, n_removed long, kept string").distinct()
@@ -296,7 +305,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     loses nothing stays byte for byte."""
     marks = stored(digests(docs), "substring-marks")
     tagged, copied = shared_ids(marks), cut(copies(marks, size))
-    hit = repeated_starts(docs, marks, copied, size, tagged).select(F.col("doc_id").alias("__d"), F.col("at").alias("__at"))
+    hit = repeated_starts(docs, copied, size, tagged).select(F.col("doc_id").alias("__d"), F.col("at").alias("__at"))
     whole = copied.select(F.col("doc_id").alias("__c"), F.col("tag").alias("__t"))
 
     def run(part):
@@ -318,7 +327,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     if marks.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # one row an id: the texts come from the exchange that repeated_starts made, all else is short
+        # one row an id: texts are shuffled once, all else is short
         short = docs.select(F.col("doc_id").cast("long").alias("__k"), *[F.col(c).alias(f"__c_{c}") for c in rest])
         short = short.join(whole, F.col("__k") == F.col("__c"), "left_anti").join(hit, F.col("__k") == F.col("__d"), "left")
         d = _texts(docs).filter("doc_id is not null").join(short, F.col("doc_id") == F.col("__k")).select(
@@ -326,7 +335,7 @@ def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
         lone = docs.filter("doc_id is null").select(*rest, F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<long>").alias("__at"))
         d = d.unionByName(lone)
     else:
-        tag = F.shiftleft(F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(_TAG)), 32)
+        tag = _tag_column(F.coalesce("text", F.lit("")).cast("binary"))
         d = docs.withColumn("__tag", tag).join(whole, (F.col("doc_id") == F.col("__c")) & (F.col("__tag") == F.col("__t")), "left_anti")
         d = d.join(hit, F.col("doc_id").cast("long") == F.col("__d"), "left").select(*rest, F.col("text").cast("binary").alias("text"), "__at")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
