@@ -10,6 +10,7 @@ import warnings
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -296,19 +297,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
     tokens, and what full cells cannot take goes to the others of their value.
 
     Works on one row per combination of values, however many documents each has. The cells carry their values' goals
-    and the product of their factors, so that a turn of one dimension is one join, whatever the number of dimensions.
+    and factors, so that a turn of one dimension is one join, whatever the number of dimensions.
     Sums are pre-aggregated and written before they are joined back, so the cells of a common value
     never meet in one task. A null value is a value of its own. A value without a target gets weight 0;
     targets of values that hold no token cannot be met, the rest is scaled alike."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     dims = list(targets)
     # a cell's weight is its tokens times x, the product of its values' factors; with keep, x over 1 counts as 1
-    state = cells.withColumn("__x", F.lit(float(keep or 1))).withColumn("__off", F.lit(0.0))
+    state = cells.withColumns({f"__f{i}": F.lit(1.0) for i in range(len(dims))} | {"__off": F.lit(0.0)})
+    x = reduce(lambda a, i: a * F.col(f"__f{i}"), range(len(dims)), F.lit(float(keep or 1)))
     for i, d in enumerate(dims):
         goal = _goals(cells, d, targets[d], total, keep).select(F.col("v").alias("__v"), F.col("goal").alias(f"__g{i}"))
         state = state.join(goal, F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v").fillna(0.0, [f"__g{i}"])
     state = cut(state)
-    full = F.lit(False) if keep is None else F.col("__x") >= 1
+    full = F.lit(False) if keep is None else x >= 1
     have, g = F.col("__full") + F.col("__free"), F.col("__g")
     step = F.when((g >= F.col("__full")) & (F.col("__free") > 0), (g - F.col("__full")) / F.col("__free")).when(
         g < F.col("__full"), g / have).otherwise(1.0)
@@ -319,10 +321,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
             sums = state.groupBy(F.col(d).alias("__v")).agg(
                 F.first(f"__g{i}").alias("__g"),
                 F.sum(F.when(full, F.col("tokens")).otherwise(0).cast("double")).alias("__full"),
-                F.sum(F.when(~full, F.col("tokens") * F.col("__x")).otherwise(0.0)).alias("__free"))
+                F.sum(F.when(~full, F.col("tokens") * x).otherwise(0.0)).alias("__free"))
             sums = cut(sums.select("__v", step.alias("__step"), off.alias("__o")))
             state = state.join(sums, F.col(d).eqNullSafe(F.col("__v")))
-            state = cut(state.withColumns({"__x": F.col("__x") * F.col("__step"), "__off": F.greatest("__off", "__o") if i else F.col("__o")})
+            state = cut(state.withColumns({f"__f{i}": F.col(f"__f{i}") * F.col("__step"), "__off": F.greatest("__off", "__o") if i else F.col("__o")})
                         .drop("__v", "__step", "__o"))
         most = state.agg(F.max("__off")).first()[0]
         if most is None or most <= tolerance:
@@ -331,8 +333,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
         if since >= rounds:
             warnings.warn(f"raking stopped with sums up to {most:.2g} of themselves off their targets", stacklevel=2)
             break
-    x = F.col("__x") if keep is None else F.least(F.lit(1.0), F.col("__x"))
-    return state.select(*cells.columns, (F.col("tokens") * x).alias("weight"))
+    return state.select(*cells.columns, (F.col("tokens") * (x if keep is None else F.least(F.lit(1.0), x))).alias("weight"))
 
 
 def mixture(docs: DataFrame, power: float = 0.85, topics: int = TOPICS, seed: int = 17, carry: list[str] | None = None,
