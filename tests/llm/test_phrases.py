@@ -54,6 +54,28 @@ def test_tiles():
     assert found == dict(zip(values.tolist(), counts.tolist(), strict=True))
 
 
+def test_rows_of_text_are_short_and_read_a_few_at_a_time(spark, monkeypatch):
+    """Rows as long as their slice of text (megabytes), read a file at a time, filled an executor's memory. No row outgrows its
+    bound by more than a piece, batches have one, and the session's settings stay."""
+    small = phrases.Sizes(ids=100, rows=4, batch=4096)
+    rows = [("en", "a b c d " * 5 + ".")] * 400 + [("fr", "a b . c d, " * 900)]
+    sizes, held = [], ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(k) for k in held]
+
+    def noted(df, name, f=phrases.stored):
+        out = f(df, name)
+        if name == "phrase-ids":
+            sizes.extend((r["lang"], len(r["w"]), len(r["cur"])) for r in out.collect())
+            assert [spark.conf.get(k) for k in held] == ["4096", "4"]
+        return out
+
+    monkeypatch.setattr(phrases, "stored", noted)
+    assert run(spark, rows, min_count=20, z=small) == brute.collocations(rows, min_count=20)
+    assert {g for g, *_ in sizes} == {"en", "fr"} and len(sizes) > 50
+    assert max(max(n) for _, *n in sizes) <= 4 * (100 + 21)
+    assert [spark.conf.get(k) for k in held] == before
+
+
 def test_scores_past_64_bits(spark):
     from pyspark.sql import functions as F
 

@@ -8,7 +8,7 @@ coordinates with counts. Each task counts what it has read and sends sums; pairs
 occur often enough are ranked by frequency again, their ids replace them in the text,
 and the next level counts them against the word that follows.
 
-The text is stored as ids, and shrinks from level to level to the places where a
+The text is stored as ids in short rows, read a few at a time, and shrinks from level to level to the places where a
 longer frequent phrase can still begin.
 """
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitgrid.llm.common import as_bytes, cut, slices, stored
+from traitgrid.llm.common import as_bytes, cut, slices, small_batches, stored
 from traitgrid.operators.numbering import numbered
 from traitgrid.session import ship_package
 
@@ -36,12 +36,16 @@ class Sizes:
     band: int = 64  #: rows of a tile that travel together
     flush: int = 1 << 21  #: pairs that a task holds before it sums them up and sends the sums
     words: int = 1 << 20  #: distinct words, likewise
+    ids: int = 1 << 14  #: ids of text in a row; more if no piece ends
+    rows: int = 64  #: rows of text read at once
+    batch: int = 8 << 20  #: bytes that a task hands to Python at once
     merged: int = 512  #: flushes of a dense tile that one task adds up; more are split over tasks, and the sums added by Spark
     per_cell: int = 16  #: a tile is dense if a flush is expected to hit it once for so many cells
     broadcast: int = 64 << 20  #: a lookup table of more bytes is joined
 
 
 _KEY = np.dtype("<i8")
+TEXT = pa.schema([("lang", pa.string()), ("w", pa.binary()), ("cur", pa.binary())])
 
 _FROM = bytes(range(65, 91)) + b"\t,;:!?\n\x0b\x0c\r"
 _TO = bytes(range(97, 123)) + b" ........."
@@ -120,6 +124,25 @@ def _pairs(w: np.ndarray, cur: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
     return at, cur[at].astype(np.int64) << 32 | w[at + m - 1]
 
 
+def _rows(lang: str, w: np.ndarray, cur: np.ndarray, z: Sizes):
+    """Rows of about ``z.ids`` ids, each up to the end of a run: what a row holds does not follow the slice of text it comes from.
+    All end in -1, so any that lie behind one another are a text again."""
+    ends = np.flatnonzero(w < 0) + 1
+    last = np.append(np.diff(ends // z.ids) > 0, True)[:len(ends)]
+    i = 0
+    for j in ends[last].tolist():
+        yield _batch(TEXT, [[lang], [w[i:j].tobytes()], [cur[i:j].tobytes()]])
+        i = j
+
+
+def _texts(b: pa.RecordBatch):
+    """``lang, w, cur`` of all of a batch's text in each lang."""
+    langs = b.column("lang").to_pylist()
+    parts = [b.column(c).to_pylist() for c in ("w", "cur")]
+    for lang in dict.fromkeys(langs):
+        yield lang, *(np.frombuffer(b"".join([x for g, x in zip(langs, c, strict=True) if g == lang]), np.int32) for c in parts)
+
+
 def _by_lang(part: pa.RecordBatch):
     langs = part.column("lang").to_pylist()
     texts = part.column("text").to_pylist()
@@ -128,10 +151,9 @@ def _by_lang(part: pa.RecordBatch):
 
 
 def encoded(docs: DataFrame, vocab: DataFrame, z: Sizes) -> DataFrame:
-    """``row, lang, w, cur``: the texts as ids, about one row for each lang of a slice of text."""
+    """``row, lang, w, cur``: the texts as ids, each row of one lang."""
     spark = docs.sparkSession
     schema = "lang string, w binary, cur binary"
-    out = pa.schema([("lang", pa.string()), ("w", pa.binary()), ("cur", pa.binary())])
     if _small(vocab, F.octet_length("word") + 1, z):
         held = spark.sparkContext.broadcast({k: b"\n".join(t.sort_by("id")["word"].to_pylist()) for k, t in _langs(vocab)})
 
@@ -143,9 +165,8 @@ def encoded(docs: DataFrame, vocab: DataFrame, z: Sizes) -> DataFrame:
                         continue
                     if lang not in ids:
                         ids[lang] = {w: i for i, w in enumerate(held.value[lang].split(b"\n"))}
-                    x = _encode(texts, ids[lang]).tobytes()
-                    if x:
-                        yield _batch(out, [[lang], [x], [x]])
+                    x = _encode(texts, ids[lang])
+                    yield from _rows(lang, x, x, z)
 
         rows = docs.mapInArrow(run, schema)
     else:
@@ -168,9 +189,8 @@ def encoded(docs: DataFrame, vocab: DataFrame, z: Sizes) -> DataFrame:
         def answer(batches):
             for b in batches:
                 for r in b.to_pylist():
-                    x = _encode(r["texts"], {y["word"]: y["id"] for y in r["found"]}).tobytes()
-                    if x:
-                        yield _batch(out, [[r["lang"]], [x], [x]])
+                    x = _encode(r["texts"], {y["word"]: y["id"] for y in r["found"]})
+                    yield from _rows(r["lang"], x, x, z)
 
         rows = _with_answers(held, held.select("row", "lang", "texts").mapInArrow(ask, "row long, lang string, word binary"), vocab, "word").mapInArrow(answer, schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "phrase-ids")
@@ -200,26 +220,22 @@ def advanced(text: DataFrame, table: DataFrame, m: int, z: Sizes) -> DataFrame:
     """``text`` with the ids of frequent phrases of ``m`` words (``table``) in ``cur``, shrunk to where one of
     ``m + 1`` words can be."""
     spark = text.sparkSession
-    out = pa.schema([("lang", pa.string()), ("w", pa.binary()), ("cur", pa.binary())])
     schema = "lang string, w binary, cur binary"
 
     def step(lang, w, cur, keys, ids):
-        w, cur = np.frombuffer(w, np.int32), np.frombuffer(cur, np.int32)
         at, key = _pairs(w, cur, m)
         new = np.full(len(w), -1, dtype=np.int32)
         i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[i] == key
         new[at[hit]] = ids[i[hit]]
-        w, cur = _runs(w, new, m + 1)
-        if len(w):
-            yield _batch(out, [[lang], [w.tobytes()], [cur.tobytes()]])
+        yield from _rows(lang, *_runs(w, new, m + 1), z)
 
     if _small(table, F.lit(0), z):
         held = spark.sparkContext.broadcast({k: tuple(t.sort_by("key")[c].to_numpy() for c in ("key", "id")) for k, t in _langs(table)})
 
         def run(batches):
             for b in batches:
-                for lang, w, cur in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "cur")), strict=True):
+                for lang, w, cur in _texts(b):
                     if lang in held.value:
                         yield from step(lang, w, cur, *held.value[lang])
 
@@ -237,7 +253,7 @@ def advanced(text: DataFrame, table: DataFrame, m: int, z: Sizes) -> DataFrame:
             for b in batches:
                 for r in b.to_pylist():
                     found = np.array(sorted((x["key"], x["id"]) for x in r["found"]), dtype=np.int64).T
-                    yield from step(r["lang"], r["w"], r["cur"], *found)
+                    yield from step(r["lang"], np.frombuffer(r["w"], np.int32), np.frombuffer(r["cur"], np.int32), *found)
 
         rows = _with_answers(text, text.select("row", "lang", "w", "cur").mapInArrow(ask, "row long, lang string, key long"), table, "key").mapInArrow(answer, schema)
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "phrase-ids")
@@ -316,8 +332,8 @@ def count_pairs(text: DataFrame, m: int, min_count: int, dense: dict[str, list[t
         held: dict[str, list] = {}
         many, salt = 0, TaskContext.get().partitionId()
         for b in batches:
-            for lang, w, cur in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "cur")), strict=True):
-                key = _pairs(np.frombuffer(w, np.int32), np.frombuffer(cur, np.int32), m)[1]
+            for lang, w, cur in _texts(b):
+                key = _pairs(w, cur, m)[1]
                 held.setdefault(lang, []).append(key)
                 many += len(key)
                 if many >= z.flush:
@@ -395,6 +411,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, te
     """``lang, phrase, m, f`` of every phrase of 1 to ``longest`` words that occurs ``min_count`` times in its
     lang, and ``lang, n`` (all word occurrences)."""
     ship_package(docs.sparkSession)
+    with small_batches(docs.sparkSession, z.batch, z.rows):
+        return _frequent(docs, min_count, longest, text_col, lang_col, z)
+
+
+def _frequent(docs: DataFrame, min_count: int, longest: int, text_col: str, lang_col: str, z: Sizes) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), as_bytes(text_col).alias("text"))
     counts = stored(count_words(docs, min_count, z), "phrase-words")
     n = cut(counts.filter("word is null").select("lang", "n"))
