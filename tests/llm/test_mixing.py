@@ -1,6 +1,8 @@
 """Topics, raking and sampling against plain restatements."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,3 +119,29 @@ def test_a_turn_of_raking_is_one_join(spark, monkeypatch):
     assert len(joins) > 12 and max(joins) <= len(goal) and set(joins[8:]) == {0, 1}
     assert {r.weight for r in got if r.source == "s2"} == {0.0} and len(got) == len(cells)
     assert sum(r.weight for r in got) == pytest.approx(0.5 * sum(c[3] for c in cells), rel=1e-5)
+
+
+def test_words_are_hashed_many_at_once(monkeypatch):
+    """A loop over words took most of the stage that reads the texts: no call is made for each of them. Counts are those of plain
+    counting, also of blanks of all kinds, long words, texts without words, many short ones."""
+    rng = random.Random(5)
+    some = ["A", "the", "HOUSE", "house", "\u00c9t\u00e9", "na\x1cme", "x\u00a0y", "\x00\x00\x00\x00", "z" * 64, "Z" * 65, "q" * 3000] + [f"Word{i}" for i in range(300)]
+    texts = ["".join(rng.choice(some) + rng.choice([" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"]) for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    texts = [t.encode() for t in [*texts, "", " \t\n", "end", " lead", " ".join(f"many{i}" for i in range(70_000))] + ["word a"] * 1200] + [b"\xff\xfe\xff\xfe bad"]
+
+    def plain(text):
+        n = Counter()
+        for w in text.split():
+            if len(w) > 3:
+                n[zlib.crc32(w.lower()) % mixing.TERMS] += 1
+        at = sorted(n)
+        return np.array(at, dtype="<u2").tobytes() + np.array([n[i] for i in at], dtype="<u4").tobytes()
+
+    want, words = [plain(t) for t in texts], [t.split() for t in texts]
+    calls = []
+    monkeypatch.setattr(mixing.zlib, "crc32", lambda w, f=zlib.crc32: calls.append(w) or f(w))
+    assert [mixing.term_counts(w) for w in words[:310]] == want[:310]
+    assert all(len(w) > 64 for w in calls)
+    packs, tokens = mixing.counted(texts)
+    assert packs == want and tokens.tolist() == [len(w) for w in words]
+    assert all(len(w) > 64 for w in calls) and mixing.counted([])[0] == []

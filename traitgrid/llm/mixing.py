@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import warnings
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -36,15 +35,58 @@ KEEP = 0.8
 BROADCAST_CELLS = 100_000
 
 
+#: Bytes of the longest words that are hashed by table, and how many are at a time.
+LONG, HASHED = 64, 1 << 16
+_LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
+# crc32 is affine: a word's is that of as many zeros, xor what each byte adds by its distance from the word's end
+_ZEROS = np.array([zlib.crc32(bytes(n)) for n in range(LONG + 1)], dtype=np.uint32)
+_ADDED = np.array([[zlib.crc32(bytes([v, *bytes(d)])) for v in range(256)] for d in range(LONG)], dtype=np.uint32) ^ _ZEROS[1:, None]
+
+
+def _hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """crc32 of the words of ``text`` (between blanks)."""
+    out = np.zeros(len(start), dtype=np.uint32)
+    long = size > LONG
+    for i in np.flatnonzero(long).tolist():
+        word = text[start[i]:start[i] + size[i]]
+        out[i] = zlib.crc32(word)
+        word[:] = 32
+    short = np.flatnonzero(~long)
+    for i in range(0, len(short), HASHED):
+        at = short[i:i + HASHED]
+        n = size[at]
+        run = text[start[at[0]]:start[at[-1]] + n[-1]]
+        upto = np.cumsum(n)
+        back = np.repeat(upto - 1, n) - np.arange(upto[-1])
+        out[at] = np.bitwise_xor.reduceat(_ADDED.reshape(-1)[back * 256 + run[run != 32]], upto - n) ^ _ZEROS[n]
+    return out
+
+
+def counted(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Of each text the counts of its words of four bytes or more, lower-cased, in ``TERMS`` hashed buckets: the buckets that
+    have any (two bytes each), then their counts (four); and the number of all its words. Many words are hashed at once."""
+    text = np.frombuffer(bytearray(b" ".join([b"", *texts, b""]).translate(_LOWER)), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(text != 32)) + 1
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    first = np.searchsorted(start, np.cumsum([1, *(len(x) + 1 for x in texts)]))
+    tokens = np.diff(first)
+    bucket, big = (_hashes(text, start, size) % TERMS).astype(np.int64), size > 3
+    packs = []
+    for i in range(0, len(texts), ROWS):
+        n = tokens[i:i + ROWS]
+        words = slice(first[i], first[i] + n.sum())
+        row = np.repeat(np.arange(len(n)) * TERMS, n)[big[words]]
+        cells = np.bincount(row + bucket[words][big[words]], minlength=len(n) * TERMS)
+        at = np.flatnonzero(cells)
+        ends = np.searchsorted(at, np.arange(1, len(n) + 1) * TERMS).tolist()
+        terms, counts = (at % TERMS).astype("<u2").tobytes(), cells[at].astype("<u4").tobytes()
+        packs += [terms[2 * j:2 * k] + counts[4 * j:4 * k] for j, k in zip([0, *ends], ends, strict=False)]
+    return packs, tokens
+
+
 def term_counts(words: list[bytes]) -> bytes:
-    """Counts of the words of four bytes or more, lower-cased, in ``TERMS`` hashed buckets: the buckets that have any
-    (two bytes each), then their counts (four)."""
-    out = Counter()
-    for w, n in Counter(words).items():
-        if len(w) > 3:
-            out[zlib.crc32(w.lower()) % TERMS] += n
-    at = sorted(out)
-    return np.array(at, dtype="<u2").tobytes() + np.array([out[i] for i in at], dtype="<u4").tobytes()
+    """``counted`` of one text's words."""
+    return counted([b" ".join(words)])[0][0]
 
 
 def _terms(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,8 +290,8 @@ def with_topics(docs: DataFrame, carry: list[str], topics: int = TOPICS) -> Data
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def count(part):
-        words = [(x or b"").split() for x in part.column("__text").to_pylist()]
-        yield [*(part.column(c) for c in carry), part.column("__lang").cast("string"), [term_counts(w) for w in words], [len(w) for w in words], part.column("mark")]
+        packs, tokens = counted([x or b"" for x in part.column("__text").to_pylist()])
+        yield [*(part.column(c) for c in carry), part.column("__lang").cast("string"), packs, tokens, part.column("mark")]
 
     src = docs.select(*carry, F.col("lang").alias("__lang"), F.col("text").cast("binary").alias("__text"), F.xxhash64("doc_id", "text").alias("mark"))
     rows = stored(map_text(src, count, kinds + ", __lang string, __terms binary, n_tokens long, mark long", "__text"), "mixing-terms")
