@@ -91,3 +91,58 @@ def test_query(spark):
         rows = duckdb.sql(f"SELECT vec_id, embedding FROM '/root/testdata/{sf}/embeddings.parquet'").fetchall()
         got = sorted((tuple(r) for r in QUERIES["op11_exact_top_k"](spark, f"/root/testdata/{sf}").collect()), key=repr)
         assert got == brute.top_products(rows, lambda i: i % 50 == 0)
+
+
+def test_queries_go_down_a_tree_together(monkeypatch):
+    """Many queries read a leaf in one step, whether bounds leave much out or nothing; each gets what a full scan finds, ties and copies included."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    alike = rng.integers(-300, 300, (1, 16)) + np.zeros((700, 16), dtype=np.int64)
+    far = rng.integers(-4000, 4000, (40, 16))[rng.integers(0, 40, 3000)] + rng.integers(-30, 30, (3000, 16))
+    for v in (rng.integers(-300, 300, (3000, 16)), far, np.vstack([alike, rng.integers(-300, 300, (300, 16))]), far << 16, far * 220_000):
+        v = v.astype(np.int64)
+        n = len(v)
+        most = float((v.astype(float) ** 2).sum(axis=1).max())
+        ids = pd.array(rng.integers(0, n // 2, n), dtype="Int64")
+        ids[rng.integers(0, n, 20)] = pd.NA
+        t = mtree.Tree(mtree._pages(pd.DataFrame({"dim": 16, "region": 0, "tree": 0, "uid": np.arange(n), "vec_id": ids, "v": list(v)}), most), most)
+        calls, once = [], mtree.multiplied
+        monkeypatch.setattr(mtree, "multiplied", lambda *a: calls.append(1) or once(*a))  # noqa: B023
+        asks = np.arange(0, n, 3)
+        best = mtree.Best(asks, v[asks], 5, most, np.full(len(asks), np.inf))
+        t.search_all(best, np.arange(len(asks)))
+        monkeypatch.undo()
+        assert len(calls) < len(asks)  # one product for each query and leaf before
+        big = v.astype(object) if np.abs(v).max() > 1 << 25 else v  # far: products of 32, 64 and more bits
+        for i in range(0, len(asks), 37):
+            score = big @ big[asks[i]]
+            want = sorted((-int(s), x is pd.NA, 0 if x is pd.NA else int(x), u) for u, (s, x) in enumerate(zip(score, ids, strict=True)) if u != asks[i])[:5]
+            at = best.rows[0] == i
+            assert [(-s, bool(z), x, u) for s, z, x, u in best.rows[1:, at].T.tolist()] == want
+            assert t.search(int(asks[i]), v[asks[i]], 5)[0] == want
+
+
+def test_plots_hold_whole_trees(spark):
+    count = np.array([10, 0, 9000, 200_000, 5, 70_000, 3, 4000, 50])
+    trees = np.maximum(-(-count // mtree.TREE), 1)
+    every = [(r, t) for r, n in enumerate(trees) for t in range(n)]
+    rows = spark.createDataFrame(every, "region int, tree int")
+    for dim, slots, most in ((64, 1, 65_536), (64, 8, 9_000), (2048, 8, 8_192), (0, 100, 9_000)):
+        of = mtree._plots(count, trees, dim, mtree.TREE, slots)
+        held = {}
+        for r in rows.withColumn("plot", of(F.col("region"), F.col("tree"))).collect():
+            held.setdefault(r["plot"], []).append((r["region"], r["tree"]))
+        assert sorted(held) == list(range(len(held)))  # none is empty
+        assert all(sum(count[r] / trees[r] for r, _ in part) <= most for part in held.values())
+        assert len(held) < len(every)
+
+
+def test_a_query_is_sent_once_to_a_plot(spark, monkeypatch):
+    """Of many small trees a task searches a plot, with each query once; before, each query was sent to each tree."""
+    sent = []
+    ask = mtree._ask
+    monkeypatch.setattr(mtree, "_ask", lambda pages, queries, *a, **b: sent.append(queries.count()) or ask(pages, queries, *a, **b))
+    rows = vectors(3000, 12)
+    assert run(spark, rows) == brute.top_products(rows, lambda i: i % 50 == 0)
+    assert sent == [60, 60]
