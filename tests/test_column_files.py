@@ -8,6 +8,8 @@ import tracemalloc
 import pytest
 
 from traitgrid import storage
+from traitgrid.session import CLEANUP, scratch_folder
+from traitgrid.sinks import writers
 from traitgrid.sinks.writers import write_columns_json, write_response_files
 from traitgrid.sources import column_files
 from traitgrid.sources.columns_json import json_columns, read_columns_json, read_result_tree, read_score_cards
@@ -138,3 +140,51 @@ def test_columns_looked_up_beside_do_not_go_through_the_shuffle(spark, tmp_path,
     assert dealt == [["model", "__file", "__order", "responses", "key"]]
     a, b = (json.load(open(tmp_path / x / "gpt 4" / "o" / "Openness_3.json")) for x in "ab")
     assert a == b and list(a) == cols and 0 < len(a["question"]) < 300 and set(a["Openness"].values()) == {None}
+
+
+def _in_waves(monkeypatch, rows=400):
+    monkeypatch.setattr(writers, "WAVE_ROWS", rows)
+    monkeypatch.setattr(writers, "parallelism", lambda spark: 1)
+
+
+def _all_files(path):
+    return {str(p.relative_to(path)): [(c, list(v.items())) for c, v in json.loads(p.read_text()).items()] for p in path.rglob("*.json")}
+
+
+def test_rows_go_to_their_files_in_waves(spark, tmp_path, monkeypatch):
+    """Many rows are dealt and sorted some files at a time; the files are those of one turn."""
+    from pyspark.sql import functions as F
+
+    df = _cells(spark, 1200).withColumns({"value": F.col("item_id") % 9, "model": F.when(F.col("item_id") % 11 > 0, F.col("model")), "key": F.col("item_id") % 7, "none": F.lit(None), "day": F.make_dt_interval(F.lit(1))})
+    items = spark.range(6).select(F.col("id").alias("key"), F.concat(F.lit("I am "), F.col("id").cast("string")).alias("question"), F.lit(float("inf")).alias("Openness"))
+    cols = ["question", "Openness", "responses", "elapsed_times", "none", "day"]
+
+    def write(at):
+        write_response_files(df, str(tmp_path / at / "a"), rows_per_file=100, columns=cols, beside=items, on="key")
+        write_columns_json(df, str(tmp_path / at / "b"), "item_id", rows_per_file=60, chunk_cols=["model", "value"])
+
+    write("once")
+    sizes, once = [], writers._write_lines
+    monkeypatch.setattr(writers, "_write_lines", lambda rows, *a: sizes.append(rows.count()) or once(rows, *a))
+    _in_waves(monkeypatch)
+    write("waves")
+    assert len(sizes) == 6 and max(sizes) < 800 and sum(sizes) == 2 * 1200
+    a, b = _all_files(tmp_path / "once"), _all_files(tmp_path / "waves")
+    assert a == b and len(a) > 50
+
+
+def test_nothing_is_left_beside_the_files(spark, tmp_path, monkeypatch):
+    """Sizes, numbers and stored rows go with the write, also with one that fails."""
+    from pyspark.sql import functions as F
+
+    folder, before = scratch_folder(spark).removeprefix("file:"), None
+    for waves in (False, True):
+        if waves:
+            _in_waves(monkeypatch)
+        before = sorted(storage.names(spark, folder))
+        write_response_files(_cells(spark), str(tmp_path / f"tree{waves}"), rows_per_file=90)
+        bad = _cells(spark).withColumn("responses", F.when(F.col("item_id") == 7919, F.raise_error("broken").cast("string")).otherwise(F.col("responses")))
+        with pytest.raises(Exception, match="broken"):
+            write_response_files(bad, str(tmp_path / f"bad{waves}"), rows_per_file=90)
+        assert sorted(storage.names(spark, folder)) == before and not _all_files(tmp_path / f"bad{waves}")
+        assert spark.conf.get(CLEANUP, "false") == "false"

@@ -4,7 +4,6 @@ bounded slices of text, and gapless numbering without a single-task window."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from traitgrid.session import shared_path, ship_package
+from traitgrid.session import CLEANUP, configured, shared_path, ship_package
 
 SLICE_BYTES = 1 << 21
 #: Words of a text, as every contract here has them; on UTF-8 bytes this is bytes.split().
@@ -23,32 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _configured(spark: SparkSession, conf: dict[str, str]):
-    """The session's settings are ``conf`` meanwhile, and as before after it."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and
     a lost executor costs no recomputation. Nothing reads the shuffles of the write again,
     so Spark removes their files with its end (else when the driver happens to collect its garbage)."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with _configured(spark, {CLEANUP: "true"}):
+    with configured(spark, {CLEANUP: "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, limit: int, rows: int):
     """What runs meanwhile hands Python at most ``limit`` bytes (or a row) at once, and reads Parquet by ``rows`` rows: for tables
     of long values, of which the usual batches (thousands of rows) hold a whole file several times over."""
-    return _configured(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(limit), "spark.sql.parquet.columnarReaderBatchSize": str(rows)})
+    return configured(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(limit), "spark.sql.parquet.columnarReaderBatchSize": str(rows)})
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from hashlib import sha256
 from pathlib import Path
 
@@ -81,6 +82,26 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return ship_package(spark)
 
 
+#: Spark removes the shuffle files of a query at its end (else when the driver happens to collect its garbage).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]):
+    """The session's settings are ``conf`` meanwhile, and as before after it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 _shipped: set[str] = set()
 
 
@@ -156,6 +177,6 @@ def scratch_folder(spark: SparkSession) -> str:
     return _scratch[sc.applicationId]
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the application's folder in the shared checkpoint folder."""
-    return os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+def shared_path(spark: SparkSession, name: str, under: str | None = None) -> str:
+    """A fresh sub-folder of the application's folder in the shared checkpoint folder, or of one of its folders."""
+    return os.path.join(under or scratch_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")

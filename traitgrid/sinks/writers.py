@@ -11,7 +11,7 @@ import json
 from itertools import groupby
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,7 +20,10 @@ from traitgrid import storage
 from traitgrid.operators.grid import CELL
 from traitgrid.operators.numbering import numbered, written
 from traitgrid.schemas import TRAITS
-from traitgrid.session import ship_package
+from traitgrid.session import CLEANUP, configured, parallelism, shared_path, ship_package
+
+#: Rows of column files that are dealt, sorted and turned into text at once (more where these would be fewer than four files for each task slot).
+WAVE_ROWS = 16_000_000
 
 
 def write_cells(responses: DataFrame, path: str, cell_cols: list[str] = CELL, fmt: str = "parquet",
@@ -87,47 +90,88 @@ def write_column_files(df: DataFrame, root: str, index_col: str, folders: list[s
     and moved into place, file by file, when the whole job has succeeded; a job that fails leaves nothing. A number that is
     not finite becomes null. (Hadoop's paths take no colon.)
 
+    Many rows are stored once and go to their files in waves of about ``WAVE_ROWS``: what a wave has shuffled, spilled and stored is removed with its
+    end, so that it lies beside the files only for one wave at a time.
+
     ``beside`` has more columns, by ``on``: it is broadcast to rows that are dealt to their files already, so that the shuffle does not
     carry them. ``columns`` then names all columns of the files."""
     spark = ship_package(df.sparkSession)
     cols = columns or [c for c in df.columns if c != index_col and c not in folders]
     group = [*folders, "__file"]
     df = df.withColumn("__file", file)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = written(sizes, "file-sizes").select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(group)], "__n")
-    rows = df.join(sizes, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(group)])
-    dealt = rows.withColumn("__part", F.lit(0).cast("long"))
-    if not sizes.filter(F.col("__n") > rows_per_file).isEmpty():
-        at = numbered(rows.filter(F.col("__n") > rows_per_file), group, [index_col], "__at")
+    staging = f"{root.rstrip('/')}/.staging-{storage.new_name()}"
+    held = shared_path(spark, "column-files")
+    try:
+        with configured(spark, {CLEANUP: "true"}):
+            sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+            names = [f"__s{i}" for i in range(len(group))]
+            sizes = written(sizes, "file-sizes", held).select(*[F.col(c).alias(s) for c, s in zip(group, names, strict=True)], "__n")
+            waves = _waves(sizes, rows_per_file)
+            if waves > 1:
+                before = F.sum("__n").over(Window.orderBy(*names)) - F.col("__n")  # a row for each file
+                sizes = sizes.withColumn("wave__", F.floor(before * waves / F.sum("__n").over(Window.partitionBy())).cast("int"))
+            rows = df.join(sizes, [F.col(c).eqNullSafe(F.col(s)) for c, s in zip(group, names, strict=True)]).drop(*names)
+            stages = [staging]
+            if waves == 1:
+                _write_lines(rows, staging, index_col, group, cols, rows_per_file, beside, on, held)
+            else:
+                fixed = [*folders, "__file", "__n", index_col, on]
+                rows = rows.select(*[c if c in fixed else _value(c, kind) for c, kind in rows.dtypes if c in (*fixed, *cols)], "wave__")
+                stored, schema = f"{held}/rows", rows.drop("wave__").schema
+                rows.write.partitionBy("wave__").parquet(stored)
+                stages = [f"{staging}/{r[0]}" for r in sizes.select("wave__").distinct().sort("wave__").collect()]
+                for stage in stages:
+                    now = f"{stored}/wave__={stage.rsplit('/', 1)[1]}"
+                    _write_lines(spark.read.schema(schema).parquet(now), stage, index_col, group, cols, rows_per_file, beside, on, meanwhile := f"{held}/wave")
+                    storage.remove(spark, now)
+                    storage.remove(spark, meanwhile)
+        out = []
+        for stage in stages:
+            for path in storage.files(spark, stage):
+                steps = path.split("/")[:-1]  # folders and file name, as partition folders
+                last = unquote(steps[-1].partition("=")[2])
+                inside = [unquote(s.partition("=")[2]) for s in steps[:-1]] if plain else steps[:-1]
+                target = "/".join([root.rstrip("/"), *inside, last])
+                if target in out:
+                    raise ValueError(f"{target} was written in more than one piece (spark.sql.files.maxRecordsPerFile?)")
+                storage.move(spark, f"{stage}/{path}", target)
+                out.append(target)
+    finally:
+        storage.remove(spark, staging)
+        storage.remove(spark, held)
+    return sorted(out)
+
+
+def _value(c: str, kind: str) -> Column:
+    """A column as the files have it."""
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
+    return F.col(c) if kind in ("string", "boolean", "tinyint", "smallint", "int", "bigint") else F.col(c).cast("string").alias(c)
+
+
+def _waves(sizes: DataFrame, rows_per_file: int) -> int:
+    """In how many turns files of these sizes are written."""
+    r = sizes.agg(F.sum("__n").alias("rows"), F.sum(F.ceil(F.col("__n") / rows_per_file)).alias("files")).first()
+    return max(1, min(-(-(r["rows"] or 0) // WAVE_ROWS), (r["files"] or 0) // (4 * parallelism(sizes.sparkSession))))
+
+
+def _write_lines(rows: DataFrame, staging: str, index_col: str, group: list[str], cols: list[str], rows_per_file: int, beside: DataFrame | None, on: str, held: str) -> None:
+    """Writes the lines of the files of ``rows`` (``__n``: rows of the row's file); what it stores meanwhile lies in ``held``."""
+    folders, dealt = group[:-1], rows.withColumn("__part", F.lit(0).cast("long"))
+    if not rows.filter(F.col("__n") > rows_per_file).isEmpty():
+        at = numbered(rows.filter(F.col("__n") > rows_per_file), group, [index_col], "__at", held)
         dealt = dealt.filter(F.col("__n") <= rows_per_file).unionByName(at.withColumn("__part", F.floor(F.col("__at") / rows_per_file)).drop("__at"))
     name = F.when(F.col("__part") == 0, F.concat("__file", F.lit(".json"))).otherwise(F.concat("__file", F.lit("."), F.col("__part").cast("string"), F.lit(".json")))
-    kinds = dict(df.dtypes) | dict(beside.dtypes if beside is not None else [])
-    values = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if kinds[c] in ("double", "float")
-              else F.col(c) if kinds[c] in ("string", "boolean", "tinyint", "smallint", "int", "bigint") else F.col(c).cast("string").alias(c) for c in cols]
-    dealt = dealt.select(*folders, name.alias("__file"), F.col(index_col).alias("__order"), *[c for c in df.columns if c in (*cols, on)])
+    kinds = dict(rows.dtypes) | dict(beside.dtypes if beside is not None else [])
+    values = [_value(c, kinds[c]) for c in cols]
+    dealt = dealt.select(*folders, name.alias("__file"), F.col(index_col).alias("__order"), *[c for c in rows.columns if c in (*cols, on)])
     dealt = dealt.repartition(*group)
     if beside is not None:
         dealt = dealt.join(F.broadcast(beside), on)  # before the sort: Spark drops a sort below a join
     dealt = dealt.sortWithinPartitions(*group, "__order").select(*group, F.col("__order").cast("string").alias("__index"), *values)
     schema = T.StructType([*[dealt.schema[c] for c in group], T.StructField("__j", T.IntegerType()), T.StructField("__i", T.LongType()), T.StructField("line", T.StringType())])
     lines = dealt.mapInArrow(_lines(group, "__index", cols, to_arrow_schema(schema)), schema)
-    staging = f"{root.rstrip('/')}/.staging-{storage.new_name()}"
-    try:
-        (lines.sortWithinPartitions(*group, "__j", "__i").select(*group, "line")
-         .write.partitionBy(*group).text(staging))
-        out = []
-        for path in storage.files(spark, staging):
-            steps = path.split("/")[:-1]  # folders and file name, as partition folders
-            last = unquote(steps[-1].partition("=")[2])
-            inside = [unquote(s.partition("=")[2]) for s in steps[:-1]] if plain else steps[:-1]
-            target = "/".join([root.rstrip("/"), *inside, last])
-            if target in out:
-                raise ValueError(f"{target} was written in more than one piece (spark.sql.files.maxRecordsPerFile?)")
-            storage.move(spark, f"{staging}/{path}", target)
-            out.append(target)
-    finally:
-        storage.remove(spark, staging)
-    return sorted(out)
+    lines.sortWithinPartitions(*group, "__j", "__i").select(*group, "line").write.partitionBy(*group).text(staging)
 
 
 def write_columns_json(df: DataFrame, path: str, index_col: str, rows_per_file: int = 1000,
